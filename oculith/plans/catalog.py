@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from oculith.plans import alignment, geometry
 
-def oracle_sql() -> dict:
-    return {}
+GROUPS = (alignment.QUERIES, geometry.QUERIES)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for group in GROUPS for name, (f, _) in group.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for group in GROUPS for name, (_, sql) in group.items() if sql}
