@@ -37,7 +37,7 @@ class Encoder:
 
     MARKS = ".,!?|$#%&*"
 
-    def __init__(self, path: str, end_id: int, chunks: int = 600_000, words: int = 500_000):
+    def __init__(self, path: str, end_id: int, chunks: int = 1_200_000, words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,24 +52,25 @@ class Encoder:
             return core.lower() if core.isascii() else core, chunk[len(core) :]
         return chunk, ""
 
-    def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        every = set()
+        for chunks in split:
+            every.update(chunks)
+        new = every.difference(self.chunks)
+        if len(self.chunks) + len(new) > self.most[0]:
+            self.chunks = {"": b""}
+            new = every - {""}
         known = self.chunks
-        new = {x for x in chunks if x not in known}
         if new:
-            if len(known) + len(new) > self.most[0]:
-                known = self.chunks = {"": b""}
-                new = set(chunks) - {""}
             if len(self.words) > self.most[1]:
                 self.words = {"": b""}
-            split = {x: self.parts(x) for x in new}
-            words = self.words
-            unseen = [x for x in dict.fromkeys(p for pair in split.values() for p in pair) if x not in words]
+            words, parts = self.words, [self.parts(x) for x in new]
+            unseen = list({p for pair in parts for p in pair}.difference(words))
             for word, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
                 words[word] = array("I", e.ids).tobytes()
-            for x, (core, marks) in split.items():
-                known[x] = words[core] + words[marks]
-        return b"".join(map(known.__getitem__, chunks)) + self.end
+            known.update(zip(new, [words[core] + words[marks] for core, marks in parts]))
+        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
 
 
 @cache
@@ -183,10 +184,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
 
         for batch in slices(batches):
             own = batch.column("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, encoded in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()])):
                 docs_.append(doc)
-                ids.append(encode(text or ""))
-                tokens += len(ids[-1]) // 4
+                ids.append(encoded)
+                tokens += len(encoded) // 4
                 if tokens >= shard_tokens:
                     yield flush()
                     docs_, ids, tokens = [], [], 0
