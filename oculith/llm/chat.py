@@ -54,7 +54,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     runs = F.when(single, F.array(F.col("log"))).otherwise(
         F.transform(F.array_distinct(F.transform(run, lambda r: r["run"])), lambda k: F.transform(F.filter(run, lambda r: r["run"] == k), lambda r: r["event"]))
     )
-    role = lambda es: F.coalesce(F.filter(es, lambda e: e["role"].isNotNull())[0]["role"], F.lit(""))
+    role = lambda es: F.coalesce(F.get(F.filter(es, lambda e: e["role"].isNotNull()), 0)["role"], F.lit(""))
     text = lambda es: F.aggregate(es, F.lit(""), lambda s, e: F.when(e["kind"] == "delta", F.concat(s, e["text"])).otherwise(e["text"]))
     turns = folded.select("conv_id", "message", F.posexplode(runs).alias("at", "es")).select("conv_id", F.struct(F.col("es")[0]["seq"].alias("seq"), "message", "at", role(F.col("es")).alias("role"), text(F.col("es")).alias("text")).alias("turn"))
     return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))

@@ -117,8 +117,8 @@ def identifiers(postfix: list[str]) -> list[str]:
 
 
 def family(identifier: str) -> str:
-    """Label of a licence identifier: the contract's names for its four, else the identifier without a version."""
-    for label in ("gpl", "apache", "mit"):
+    """Label of a licence identifier: the contract's names for its own, else the identifier without a version."""
+    for label in ("gpl", "apache", "mit", "bsd"):
         if identifier == label or identifier.startswith(label + "-"):
             return label
     return re.sub(r"-?v?\d[\d.]*(-only|-or-later|\+)?$|\+$", "", identifier) or identifier

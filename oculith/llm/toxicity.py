@@ -30,7 +30,7 @@ LABELLED, CANDIDATES = 20_000, 100_000
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏбкмнтвαοερντικυχ", "aeopcyxijsdhlbkmhtbaoepvtikux"))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line", "pond scum", "stupid simple", "worthless cheque", "sore loser")
-DISGUISED = regex.compile(r"(?<=\p{L})[0134578@$!9]+(?=\p{L})|(?<![\p{L}\p{N}$@!])[0134578@$9]+(?=\p{L}{2})|(?<=\p{L}{2})[013457@$](?![\p{L}\p{N}$@!#%&*])")
+DISGUISED = regex.compile(r"(?<=\p{L})[0134578@$!9]+(?=\p{L})|(?<![\p{L}\p{N}$@!])[0134578@$9]+(?=\p{L}[\p{L}0134578@$])|(?<=\p{L}{2})[013457@$](?![\p{L}\p{N}$@!#%&*])")
 WORD = regex.compile(r"\p{L}+")
 GLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None, 0xFEFF: None}
 LETTERS = {ord(k): v for k, v in SIGNS.items()}
