@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oculith.functions.columns import by, rounded, rows
 from oculith.operators import align, kinematics
 from oculith.plans.base import BOUNDS, DIMS, INTEGRATED, events, gaze, integrated, rsql
-from oculith.plans.geometry import slice_number
+from oculith.operators.geometry import slice_number
 from oculith.sources import recordings
 
 I_COLS = "session_id; gaze_id; ~time_sec; ~time_aligned; ~gaze_x; ~gaze_y; z_event_id; ~z_time_sec; plane; ~slice_index; image_id; ~time_start; ~time_end; integration_mode; ~coverage_ratio; ~gaze_x_adjusted; ~gaze_y_adjusted; within_bounds"
