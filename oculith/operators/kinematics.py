@@ -68,14 +68,14 @@ def fixations_deg(moving: DataFrame, screen: Screen = Screen()) -> DataFrame:
     return df.withColumn("is_fixation", F.col("slow") & (F.col("n_samples") >= screen.min_samples)).drop("slow", "change")
 
 
-def fixations_norm(gaze: DataFrame, threshold: float = 0.5, min_duration: float = 0.05) -> DataFrame:
+def fixations_norm(gaze: DataFrame, threshold: float = 0.5, min_duration: float = 0.05, keys: tuple[str, ...] = SESSION) -> DataFrame:
     """velocity, is_fixation, fixation_id, fixation_duration in normalised units; short islands lose flag and id."""
-    dt = F.greatest(F.coalesce(step("time_sec"), F.lit(0.0)), F.lit(1e-6))
-    df = gaze.withColumn("velocity", norm2(F.coalesce(step("gaze_x"), F.lit(0.0)), F.coalesce(step("gaze_y"), F.lit(0.0))) / dt)
+    dt = F.greatest(F.coalesce(step("time_sec", keys), F.lit(0.0)), F.lit(1e-6))
+    df = gaze.withColumn("velocity", norm2(F.coalesce(step("gaze_x", keys), F.lit(0.0)), F.coalesce(step("gaze_y", keys), F.lit(0.0))) / dt)
     df = df.withColumn("slow", F.col("velocity") < threshold)
-    rise = (F.col("slow") & ~F.lag("slow", 1, False).over(by(SESSION, *ORDER))).cast("int")
-    df = df.withColumn("rise", rise).withColumn("island", F.when(F.col("slow"), F.sum("rise").over(by(SESSION, *ORDER).rowsBetween(Window.unboundedPreceding, 0))))
-    own = by((*SESSION, "island"))
+    rise = (F.col("slow") & ~F.lag("slow", 1, False).over(by(keys, *ORDER))).cast("int")
+    df = df.withColumn("rise", rise).withColumn("island", F.when(F.col("slow"), F.sum("rise").over(by(keys, *ORDER).rowsBetween(Window.unboundedPreceding, 0))))
+    own = by((*keys, "island"))
     df = df.withColumn("span", F.max("time_sec").over(own) - F.min("time_sec").over(own))
     valid = F.col("slow") & (F.col("span") >= min_duration)
     return df.withColumns({"is_fixation": F.coalesce(valid, F.lit(False)), "fixation_id": F.when(valid, F.col("island")), "fixation_duration": F.when(valid, F.col("span"))}).drop("slow", "rise", "island", "span")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oculith.plans import alignment, geometry, motion
+from oculith.plans import alignment, geometry, motion, studies
 
-GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES)
+GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES, studies.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
