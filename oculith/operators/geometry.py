@@ -32,6 +32,18 @@ class Volume:
         """From fractions of the volume to millimetres: voxel centres lie half a voxel inside."""
         return self.matrix() @ np.array([[self.dims[0], 0, 0, -0.5], [0, self.dims[1], 0, -0.5], [0, 0, self.dims[2], -0.5], [0, 0, 0, 1]])
 
+    def ortho(self) -> np.ndarray:
+        """From fractions to millimetres of the unrotated volume: the spacing alone scales, and the world's origin stays."""
+        origin = (self.inverse() @ [0.0, 0.0, 0.0, 1.0])[:3]
+        out = np.diag([*(p * n for p, n in zip(self.pixdim, self.dims)), 1.0])
+        out[:3, 3] = [(-o - 0.5) * p for o, p in zip(origin, self.pixdim)]
+        return out
+
+    def extents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest corner of the unrotated volume."""
+        m = self.ortho()
+        return m[:3, 3], m[:3, 3] + np.diag(m)[:3]
+
 
 def transform(m: np.ndarray, *xyz: Column) -> list[Column]:
     """Affine product as three expressions with literal weights."""
@@ -86,6 +98,22 @@ def canvas(x: Column, y: Column, frame: tuple[float, float] = (2624, 1640), size
     return (x * frame[0] - border[0]) / size[0], (y * frame[1] - border[1]) / size[1]
 
 
+def letterbox(display_aspect: float, image_aspect: float) -> dict[str, float]:
+    """Bounds of an image that fills the display's height (or its width, if wider than the display), centred."""
+    across, down = min(1.0, image_aspect / display_aspect), min(1.0, display_aspect / image_aspect)
+    return {"left": (1 - across) / 2, "right": (1 + across) / 2, "top": (1 - down) / 2, "bottom": (1 + down) / 2}
+
+
+def anisotropy(sizes: Column) -> Column:
+    """Largest over smallest of voxel sizes written as "AxBxC"; null where one isn't a number."""
+    parts = F.transform(F.split(sizes, "x"), lambda x: x.try_cast("double"))
+    return F.when(~F.exists(parts, lambda x: x.isNull()), F.try_divide(F.array_max(parts), F.array_min(parts)))
+
+
+def orientation_class(orientation: Column, oblique: Column) -> Column:
+    return F.when(oblique, "Oblique").when(orientation.isin("RAS", "LPS", "LAS", "RPI"), orientation).otherwise("Other")
+
+
 def density(samples: DataFrame, keys: tuple[str, ...], n: int, bandwidth: float, weight: str | None = None) -> DataFrame:
     """Weighted Gaussian density of gaze_x, gaze_y on an n x n grid over the unit square, by key: sums over samples for
     each cell of a grid of fixed size; divided by the sum of positive weights."""

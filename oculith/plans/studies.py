@@ -248,6 +248,26 @@ def s6(s, d):
     return rounded(v.join(seen, "slice_num", "left_semi").groupBy("slice_num").agg(rows().alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")))
 
 
+def f38(s, d):
+    """Voxel sizes as text for every event, their anisotropy and the kind of orientation."""
+    b = recordings.clicks(s, d)
+    text = F.concat_ws("x", F.lit("2"), (F.col("k") % 3 + 1).cast("string"), (F.col("k") % 5 + 2).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("RAS", "LPS", "LAS", "RPI", "ASL"))), (F.col("event_id") % 5 + 1).cast("int"))
+    df = b.select(geometry.anisotropy(text).alias("max_anisotropy"), geometry.orientation_class(kind, F.col("event_id") % 7 == 0).alias("orientation_type"), "value")
+    return rounded(df.groupBy("max_anisotropy", "orientation_type").agg(rows().alias("n"), F.avg("value").alias("mean_error")))
+
+
+def f6(s, d):
+    out = align.within_image(gaze(s, d), **geometry.letterbox(16 / 9, 1.0))
+    return rounded(out.select("session_id", "gaze_id", "gaze_x_adjusted", "gaze_y_adjusted", "within_bounds"))
+
+
+def a51(s, d):
+    """Mean position of each session's samples on each atlas region, and the plane of the first of them."""
+    v = valued(s, d).filter("region_id > 0")
+    return rounded(v.groupBy("session_id", F.col("region_id").cast("long").alias("region_id")).agg(rows().alias("n"), F.avg("gaze_x").alias("mean_x"), F.avg("gaze_y").alias("mean_y"), F.min_by("plane", F.struct("time_sec", "gaze_id")).alias("plane")))
+
+
 def a60(s, d):
     """Chance of success of every trial by a logistic fit."""
     t = studies.trial_columns(trials.trials(s, d))
@@ -353,6 +373,12 @@ QUERIES = {
     "a47_spatial_accuracy": (lambda s, d: rounded(studies.error_summary(j10(s, d).filter("error is not null"), "error", ("session_id",), 0.01).select("session_id", "mean", "max", "pct_below")), None),
     "j11_event_membership": (j11, rsql("session_id; count(*) as n; count(*) filter (where exists (select 1 from zi where zi.session_id = g.session_id and plane = 'AXIAL' and integration_mode <> 'single_event' and time_start < g.time_sec and g.time_sec < time_end)) as n_inside", "from g group by 1")),
     "s6_slice_matrix": (s6, rsql("k::int + 1 as slice_num; count(*) as n; ~sum(value) as total; ~min(value) as low; ~max(value) as high", "from vx where k + 1 in (select slice_num from lc where plane = 'AXIAL') group by 1", LOC.lstrip())),
+    "f38_anisotropy": (
+        f38,
+        rsql("~greatest(2, k % 3 + 1, k % 5 + 2) / least(2, k % 3 + 1, k % 5 + 2) as max_anisotropy; o as orientation_type; count(*) as n; ~avg(value) as mean_error", "from (select *, case when event_id % 7 = 0 then 'Oblique' else ['RAS', 'LPS', 'LAS', 'RPI', 'Other'][event_id % 5 + 1] end as o from b0) group by 1, 2"),
+    ),
+    "f6_letterbox": (f6, rsql("session_id; gaze_id; ~(gaze_x - 0.21875) / 0.5625 as gaze_x_adjusted; ~gaze_y as gaze_y_adjusted; (gaze_x - 0.21875) / 0.5625 between 0 and 1 and gaze_y between 0 and 1 as within_bounds", "from g")),
+    "a51_region_means": (a51, rsql("session_id; region_id::bigint as region_id; count(*) as n; ~avg(gaze_x) as mean_x; ~avg(gaze_y) as mean_y; arg_min(plane, (time_sec, gaze_id)) as plane", "from lv where region_id > 0 group by 1, 2", LOC.lstrip())),
     "f11_valid_samples": (lambda s, d: moving(s, d).filter("velocity_norm > 0").dropna(subset=["gaze_x", "gaze_y"]).groupBy("session_id").agg(rows().alias("n")), rsql("session_id; count(*) as n", "from m where velocity_norm > 0 and gaze_x is not null and gaze_y is not null group by 1")),
     "f13_index_of_slice": (lambda s, d: rounded(events(s, d).select("session_id", "z_event_id", geometry.index_of(slice_number("slice_index", "plane", (128, 128, 128)), 128).alias("index"))), rsql("session_id; z_event_id; ~round_even(slice_index * 127, 0) / 127 as index", "from z")),
     "f27_visual_angle": (lambda s, d: rounded(moving(s, d).select("session_id", "gaze_id", kinematics.visual_angle(F.col("displacement") * 53.0, F.lit(60.0)).alias("degrees"))), rsql("session_id; gaze_id; ~degrees(2 * atan(displacement * 53 / 120)) as degrees", "from m")),

@@ -33,6 +33,16 @@ def test_fractions_to_millimetres():
         Volume((1, 1, 1), affine=((0,) * 4,) * 4).inverse()
 
 
+def test_unrotated_volume(spark):
+    want = [[220, 0, 0, -114.91867065429688], [0, 220, 0, -139.10035705566406], [0, 0, 125, 29.007308959960938]]
+    assert np.allclose(OBLIQUE.ortho()[:3], want, atol=1e-4)
+    low, high = Volume((100, 100, 50), (1.0, 1.0, 2.0)).extents()
+    assert np.allclose(high - low, 100)
+    got = spark.range(1).select(*[geometry.anisotropy(F.lit(t)) for t in ("1x2x4", "2x2x2", "1xax3")]).first()
+    assert list(got) == [4.0, 1.0, None]
+    assert geometry.letterbox(2.0, 1.0) == {"left": 0.25, "right": 0.75, "top": 0.0, "bottom": 1.0}
+
+
 def test_slice_numbers(spark):
     cases = [(0.0, 100, 1), (1.0, 100, 100), (0.5, 99, 50), (0.3, 1, 1), (0.49, 2, 1), (0.51, 2, 2), (-0.5, 100, 1), (1.5, 100, 100), (0.5, 128, 65)]
     row = spark.range(1).select(*[geometry.slice_of(F.lit(x), n).alias(f"c{i}") for i, (x, n, _) in enumerate(cases)]).first()
