@@ -18,6 +18,8 @@ NONE = "(none)"
 #: Production parameters: power of each margin's shares, share of all tokens to sample, rounds of raking.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION, ROUNDS = 0.5, 10
+#: Most cells that are raked in one plan.
+TOGETHER = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -39,23 +41,54 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", margin("source"), margin("lang"), topic_of(text).alias("topic"), tokens.alias("tokens"))
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: tokens to sample, 0 < weight <= tokens."""
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    cells = cells.withColumn("budget", fraction * total.cast("double"))
+def goals(cells: DataFrame, powers: dict[str, float], fraction: float) -> dict[str, DataFrame]:
+    """For each margin its values with `goal`, the tokens to sample of each."""
+    total = cells.agg((fraction * F.sum("tokens").cast("double")).alias("budget"))
+    found = {}
+    for name in MARGINS:
+        raw = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(powers[name]))).alias("raw"))
+        whole = raw.agg(F.sum("raw").alias("whole")).crossJoin(F.broadcast(total))  # one row each
+        found[name] = written(raw.crossJoin(F.broadcast(whole)).select(name, (F.col("budget") * F.col("raw") / F.col("whole")).alias("goal")), f"goal-{name}")
+    return found
+
+
+def rake_few(cells: DataFrame, powers: dict[str, float], fraction: float, rounds: int) -> DataFrame:
+    """rake() in one plan, by windows over each margin."""
+    cells = cells.withColumn("budget", fraction * F.sum("tokens").over(Window.partitionBy(F.lit(0))).cast("double"))
     for name in MARGINS:
         own = Window.partitionBy(name)
         power = F.pow(F.sum("tokens").over(own).cast("double"), F.lit(float(powers[name])))
         cells = cells.withColumn("raw", power).withColumn("each", F.col("raw") / F.count(F.lit(1)).over(own))
-        cells = cells.withColumn(f"target_{name}", F.col("budget") * F.col("raw") / F.sum("each").over(Window.partitionBy(F.lit(0)))).drop("raw", "each")
+        cells = cells.withColumn(f"goal_{name}", F.col("budget") * F.col("raw") / F.sum("each").over(Window.partitionBy(F.lit(0)))).drop("raw", "each")
     cells = cells.withColumn("weight", fraction * F.col("tokens").cast("double"))
     for _ in range(rounds):
         for name in MARGINS:
-            scale = F.col(f"target_{name}") / F.sum("weight").over(Window.partitionBy(name))
+            scale = F.col(f"goal_{name}") / F.sum("weight").over(Window.partitionBy(name))
             cells = cells.withColumn("weight", F.least(F.col("weight") * scale, F.col("tokens").cast("double")))
+    return written(cells.select(*MARGINS, "tokens", "weight"), "raked")
+
+
+def rake_many(cells: DataFrame, powers: dict[str, float], fraction: float, rounds: int) -> DataFrame:
+    """rake() with margins summed by partial aggregation and joined back; every round is written."""
+    goal = goals(cells, powers, fraction)
+    cells = cells.withColumn("weight", fraction * F.col("tokens").cast("double"))
+    for _ in range(rounds):
+        for name in MARGINS:
+            held = cells.groupBy(name).agg(F.sum("weight").alias("held"))
+            scale = held.join(goal[name], name).select(name, (F.col("goal") / F.col("held")).alias("scale"))
+            cells = cells.join(scale, name).select(*MARGINS, "tokens", F.least(F.col("weight") * F.col("scale"), F.col("tokens").cast("double")).alias("weight"))
+        cells = written(cells, "raked")
     return cells
 
 
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FRACTION, rounds: int = ROUNDS, together: int = TOGETHER) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: tokens to sample, 0 < weight <= tokens.
+
+    Up to `together` cells are raked in one plan; beyond, in a way where no task holds all cells of a common value.
+    """
+    return (rake_few if cells.count() <= together else rake_many)(cells, powers, fraction, rounds)
+
+
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, probability, sampled.
 
@@ -64,7 +97,7 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FR
     """
     rows = measured(docs)
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = written(rake(cells, powers, fraction, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("probability")), "raked")
+    raked = rake(cells, powers, fraction, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("probability"))
     chance = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     joined = rows.join(raked, list(MARGINS))  # AQE broadcasts the cells if they are small, else it can split hot ones
     return joined.select("doc_id", *MARGINS, "tokens", "probability", (chance < F.col("probability")).alias("sampled"))

@@ -297,3 +297,10 @@ def test_mixing_meets_targets(spark):
     raw = got.groupby("lang").tokens.sum() ** mixing.POWERS["lang"]
     assert abs(share.groupby(got.lang).sum() / share.sum() - raw / raw.sum()).max() < 0.05
     assert abs(got[got.sampled].tokens.sum() / share.sum() - 1) < 0.05
+
+
+def test_mixing_rakes_many_cells_as_it_does_few(spark):
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 4}", "prose" if i % 5 else "tabular", 10 + 7 * i) for i in range(60)], "source string, lang string, topic string, tokens long")
+    cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    few, many = [mixing.rake(cells, rounds=3, together=n).toPandas().set_index(["source", "lang", "topic"]).sort_index().weight for n in (1000, 0)]
+    assert len(few) == len(many) and np.allclose(few, many, rtol=1e-9)
