@@ -93,6 +93,31 @@ def located(df: DataFrame, volume: Volume, x: str = "gaze_x", y: str = "gaze_y",
     return df.withColumns(dict(zip(("voxel_i", "voxel_j", "voxel_k"), voxel)) | dict(zip(("mm_x", "mm_y", "mm_z"), mm)) | {"valid": F.coalesce(valid, F.lit(False))})
 
 
+def anatomy(integrated: DataFrame, volume: Volume, axis_order: str = "screen") -> DataFrame:
+    """slice_num, voxel_x, voxel_y, voxel_z (from 0), frac_x, frac_y, frac_z, world_x, world_y, world_z of the samples
+    inside the image. "screen" leaves the voxel in screen order (x, y, slice) on every plane; "anatomical" gives the
+    volume's own axes. Null on unknown planes."""
+    if axis_order not in ("screen", "anatomical"):
+        raise ValueError(f"unknown axis order: {axis_order}")
+    df = integrated.filter("within_bounds").withColumn("slice_num", slice_number("slice_index", "plane", volume.dims))
+    pick = lambda place: F.coalesce(*[F.when(F.col("plane") == name, F.lit(volume.dims[axes[place]] - 1.0)) for name, axes in AXES.items()])
+    df = df.withColumns({"voxel_x": F.rint(F.col("gaze_x_adjusted") * pick(0)), "voxel_y": F.rint(F.col("gaze_y_adjusted") * pick(1)), "voxel_z": F.col("slice_num") - 1.0})
+    if axis_order == "anatomical":
+        order = {f"voxel_{name}": F.coalesce(*[F.when(F.col("plane") == plane, F.col(f"voxel_{'xyz'[axes.index(axis)]}")) for plane, axes in AXES.items()]) for axis, name in enumerate("xyz")}
+        df = df.withColumns(order)
+    df = df.withColumns({f"frac_{c}": F.col(f"voxel_{c}") / float(n - 1) for c, n in zip("xyz", volume.dims)})
+    return df.withColumns(dict(zip(("world_x", "world_y", "world_z"), transform(volume.frac2mm(), F.col("frac_x"), F.col("frac_y"), F.col("frac_z")))))
+
+
+def picked(points: DataFrame, volume: Volume, x: str = "x", y: str = "y", number: str = "slice_num") -> DataFrame:
+    """voxel_i, voxel_j, voxel_k (from 0), world_x, world_y, world_z of points on axial slices; points off the slice are
+    left out."""
+    i, j = F.rint(F.col(x) * (volume.dims[0] - 1.0)), F.rint(F.col(y) * (volume.dims[1] - 1.0))
+    df = points.withColumns({"voxel_i": i.cast("int"), "voxel_j": j.cast("int"), "voxel_k": F.col(number) - 1}).filter(F.col("voxel_i").between(0, volume.dims[0] - 1) & F.col("voxel_j").between(0, volume.dims[1] - 1))
+    share = [F.col(c) / float(n) for c, n in zip(("voxel_i", "voxel_j", "voxel_k"), volume.dims)]
+    return df.withColumns(dict(zip(("world_x", "world_y", "world_z"), transform(volume.ortho(), *share))))
+
+
 def canvas(x: Column, y: Column, frame: tuple[float, float] = (2624, 1640), size: tuple[float, float] = (1924, 1560), border: tuple[float, float] = (350, 80)) -> tuple[Column, Column]:
     """Display coordinates to those of the canvas inside the browser frame."""
     return (x * frame[0] - border[0]) / size[0], (y * frame[1] - border[1]) / size[1]

@@ -48,6 +48,6 @@ def write_points(df: DataFrame, path: str, columns: tuple[str, ...] = ("mm_x", "
     df.select(*columns).dropna().write.mode("overwrite").option("sep", " ").csv(path)
 
 
-def sampled(df: DataFrame, key: str, n: int = 10_000) -> DataFrame:
-    """n rows by the order of a hash of the key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+def sampled(df: DataFrame, *keys: str, n: int = 10_000) -> DataFrame:
+    """n rows by the order of a hash of the keys: the same rows on every run."""
+    return df.orderBy(F.md5(F.concat_ws("-", *keys)), *keys).limit(n)

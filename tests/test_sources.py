@@ -54,7 +54,7 @@ def test_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "points")).collect()] == ["1.0 2.0 3.0 4.0"]
     files.write_csv(points, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
-    assert files.sampled(spark.range(100), "id", 7).collect() == files.sampled(spark.range(100), "id", 7).collect()
+    assert files.sampled(spark.range(100), "id", n=7).collect() == files.sampled(spark.range(100), "id", n=7).collect()
 
 
 def test_stream_equals_table(spark, tmp_path):
