@@ -5,7 +5,7 @@ All modes are one plan keyed by session: a session's number of events and its co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, require_columns
@@ -65,25 +65,56 @@ def intervals(events: DataFrame, spans: DataFrame) -> DataFrame:
 PAYLOAD = ("z_event_id", "z_time_sec", "plane", "slice_index", "image_id", "time_start", "time_end", "integration_mode", "coverage_ratio")
 
 
-def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: tuple[str, ...], tie: str, bucket: float = 30.0, forward: bool = False) -> DataFrame:
+def _cell(t: Column, bucket: float) -> Column:
+    return F.floor(t / F.lit(bucket)).cast("long")
+
+
+def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: tuple[str, ...], tie: str, bucket: float = 30.0, forward: bool = False, reach: tuple[Column, Column] | None = None) -> DataFrame:
     """Left rows with struct `hit` of the last right row at or before (forward: first at or after) in the same session.
 
-    Both sides are dealt by (session, time bucket), so that a long session spreads over tasks; what earlier buckets leave
-    behind comes from one row per bucket. Ties of time go to the largest `tie` (forward: the smallest).
+    Both sides are dealt by (session, time bucket), so that a long session spreads over tasks. What other buckets leave
+    behind comes from one row per bucket; or, where a right row holds for a known `reach` (from, to) only, the row is
+    dealt to every bucket that it reaches, and rows that reach none are left out. Then both sides are read once. Ties
+    of time go to the largest `tie` (forward: the smallest).
     """
-    cell = lambda t: F.floor(F.col(t) / F.lit(bucket)).cast("long")
     hit = F.struct(F.col(right_time).alias("at"), F.col(tie).alias("tie"), *payload)
-    rows = left.select("session_id", cell(left_time).alias("cell"), F.col(left_time).alias("at"), F.lit(0 if forward else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"))
-    marks = right.select("session_id", cell(right_time).alias("cell"), F.col(right_time).alias("at"), F.lit(1 if forward else 0).alias("side"), F.col(tie).cast("long").alias("tie"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), hit.alias("hit"))
+    cells = F.array(_cell(F.col(right_time), bucket))
+    if reach:
+        first, last = (_cell(x, bucket) for x in reach)
+        cells = F.when(first <= last, F.sequence(first, last))
+    rows = left.select("session_id", _cell(F.col(left_time), bucket).alias("cell"), F.col(left_time).alias("at"), F.lit(0 if forward else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"))
+    marks = right.select("session_id", F.explode(cells).alias("cell"), F.col(right_time).alias("at"), F.lit(1 if forward else 0).alias("side"), F.col(tie).cast("long").alias("tie"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), hit.alias("hit"))
     both = rows.unionByName(marks)
     up = (lambda c: F.col(c).desc()) if forward else F.col
     own = F.last("hit", ignorenulls=True).over(Window.partitionBy("session_id", "cell").orderBy(up("at"), up("side"), up("tie")).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("own", own).filter("row is not null")
+    if reach:
+        return found.select("row.*", F.col("own").alias("hit"))
     pick = F.min("hit") if forward else F.max("hit")
     ends = both.groupBy("session_id", "cell").agg(pick.alias("end"))
     before = F.last("end", ignorenulls=True).over(Window.partitionBy("session_id").orderBy(up("cell")).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("session_id", "cell", before.alias("before"))
-    found = both.withColumn("own", own).filter("row is not null").join(ends, ["session_id", "cell"])
-    return found.select("row.*", F.coalesce("own", "before").alias("hit"))
+    return found.join(ends, ["session_id", "cell"]).select("row.*", F.coalesce("own", "before").alias("hit"))
+
+
+def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, bucket: float = 30.0) -> DataFrame:
+    """Left rows with the distance to the nearest right row of the session, null where there is none.
+
+    Dealt as in as_of(); both directions are searched in one dealing.
+    """
+    rows = left.select("session_id", _cell(F.col(left_time), bucket).alias("cell"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast("double").alias("mark"))
+    t = F.col(right_time).cast("double")
+    both = rows.unionByName(right.select("session_id", _cell(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark")))
+    w, cells = Window.partitionBy("session_id", "cell").orderBy("at", F.col("mark").asc_nulls_last()), Window.partitionBy("session_id").orderBy("cell")
+    back = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    forth = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ends = both.groupBy("session_id", "cell").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    before = F.last("high", ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("low", ignorenulls=True).over(cells.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select("session_id", "cell", before.alias("before"), after.alias("after"))
+    found = both.withColumns({"back": back, "forth": forth}).filter("row is not null").join(ends, ["session_id", "cell"])
+    distance = F.least(F.col("at") - F.coalesce("back", "before"), F.coalesce("forth", "after") - F.col("at"))
+    return found.select("row.*", distance.alias(name))
 
 
 def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95, latency: float | None = None, method: str = "asof", fallback: bool = False) -> DataFrame:
@@ -99,7 +130,9 @@ def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95,
     if method == "range":
         out = g.join(z.select("session_id", *PAYLOAD), "session_id").filter((F.col("time_aligned") >= F.col("time_start")) & inside)
     else:
-        out = as_of(g, z, "time_aligned", "time_start", PAYLOAD, "z_event_id").select(*g.columns, *[F.col(f"hit.{c}").alias(c) for c in PAYLOAD]).filter(inside)
+        end = F.when(F.col("integration_mode") == "single_event", F.col("gaze_duration")).otherwise(F.col("time_end"))
+        reach = F.greatest("time_start", "latency"), F.least(end, F.col("gaze_duration") + F.col("latency"))  # no sample lies outside
+        out = as_of(g, z, "time_aligned", "time_start", PAYLOAD, "z_event_id", reach=reach).select(*g.columns, *[F.col(f"hit.{c}").alias(c) for c in PAYLOAD]).filter(inside)
     if not fallback:
         return out
     missed = g.join(out.select("session_id").distinct(), "session_id", "left_anti")

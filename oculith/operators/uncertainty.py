@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, equal_bin, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2
-from oculith.operators.align import as_of
+from oculith.operators.align import nearest
 from oculith.operators.kinematics import Screen, rolling_mean, transitions
 
 SESSION = ("session_id",)
 
 
-def nearest_transition(samples: DataFrame, marks: DataFrame, time: str = "time_aligned", mark: str = "transition_time", tie: str = "transition_id") -> DataFrame:
-    """dist_to_transition: distance to the nearest mark of the session, by one as-of search back and one forth."""
-    back = as_of(samples, marks, time, mark, (), tie).withColumnRenamed("hit", "back")
-    forth = as_of(back, marks, time, mark, (), tie, forward=True)
-    distance = F.least(F.col(time) - F.col("back.at"), F.col("hit.at") - F.col(time))
-    return forth.withColumn("dist_to_transition", distance).drop("back", "hit")
+def nearest_transition(samples: DataFrame, marks: DataFrame, time: str = "time_aligned", mark: str = "transition_time") -> DataFrame:
+    """dist_to_transition: distance to the nearest mark of the session; null without any."""
+    return nearest(samples, marks, time, mark, "dist_to_transition")
 
 
 def confidence(df: DataFrame, screen: Screen = Screen()) -> DataFrame:
