@@ -19,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import ascii_lower, written
+from oculith.llm.shared import ascii_lower, one_row, written
 
 
 def double_directory(histogram: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int]]:
@@ -95,6 +95,10 @@ def exact_dedup(docs: DataFrame, capacity: int = 65536, max_depth: int = 14) ->
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, whole rows."""
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each set of equal texts one row, that with the largest doc_id; whole rows.
+
+    A null doc_id loses to any other. Of rows that repeat the id, one stays.
+    """
+    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("whole"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"))
+    return one_row(rows, ["h", "text_sha256"], largest=True)

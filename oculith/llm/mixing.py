@@ -33,12 +33,12 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens (words; at least 1) of each document."""
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, lang, topic, tokens (words; at least 1) of each document, and `more` columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     margin = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(NONE)).alias(name)
     tokens = F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
-    return docs.select("doc_id", margin("source"), margin("lang"), topic_of(text).alias("topic"), tokens.alias("tokens"))
+    return docs.select("doc_id", margin("source"), margin("lang"), topic_of(text).alias("topic"), tokens.alias("tokens"), *more)
 
 
 def goals(cells: DataFrame, powers: dict[str, float], fraction: float) -> dict[str, DataFrame]:
@@ -89,21 +89,30 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, fraction: float =
     return (rake_few if cells.count() <= together else rake_many)(cells, powers, fraction, rounds)
 
 
+def probabilities(rows: DataFrame, powers: dict[str, float], fraction: float, rounds: int) -> DataFrame:
+    """source, lang, topic, probability of each cell of measured() rows."""
+    cells = written(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    return rake(cells, powers, fraction, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("probability"))
+
+
+def chance() -> Column:
+    """A number from 0 to 1 by a hash of doc_id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, probability, sampled.
 
     Null source and lang form a value of their own; an empty or null text counts one token. Rows that repeat a doc_id
-    are decided alike. Other columns are ignored; an empty table gives no rows.
+    have the same chance. Other columns are ignored; an empty table gives no rows.
     """
     rows = measured(docs)
-    cells = written(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, powers, fraction, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("probability"))
-    chance = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    joined = rows.join(raked, list(MARGINS))  # AQE broadcasts the cells if they are small, else it can split hot ones
-    return joined.select("doc_id", *MARGINS, "tokens", "probability", (chance < F.col("probability")).alias("sampled"))
+    joined = rows.join(probabilities(rows, powers, fraction, rounds), list(MARGINS))  # AQE broadcasts the cells if they are small, else it can split hot ones
+    return joined.select("doc_id", *MARGINS, "tokens", "probability", (chance() < F.col("probability")).alias("sampled"))
 
 
-def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The documents that mix() samples, whole rows."""
-    kept = mix(docs, **options).filter("sampled").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
+    """The rows that mix() samples, whole: each is filtered by its own cell's probability, whatever its id."""
+    rows = measured(docs, F.struct("*").alias("whole"))
+    joined = rows.join(probabilities(measured(docs), powers, fraction, rounds), list(MARGINS))
+    return joined.filter(chance() < F.col("probability")).select(*(F.col("whole")[c].alias(c) for c in docs.columns))

@@ -52,13 +52,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def one_row(rows: DataFrame, group: list[str], columns: list[str], largest: bool) -> DataFrame:
-    """Of each group the whole row with the largest or smallest doc_id; a null id loses to any other.
+def one_row(rows: DataFrame, group: list[str], largest: bool) -> DataFrame:
+    """Of each group the row with the largest or smallest doc_id; a null id loses to any other. Rows are in the struct
+    column `whole`, whose names can't clash with the group's.
 
     The row itself is carried, so repeated and null ids need no join back; copies are folded before the shuffle. Rows
     with the same id are told apart by a hash of their columns.
     """
-    plain = [F.col(c) for c in columns if not any(k in rows.schema[c].dataType.simpleString() for k in ("map<", "variant"))]
-    order = F.struct(F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*plain))
-    best = (F.max_by if largest else F.min_by)(F.struct(*columns), order)
-    return rows.groupBy(*group).agg(best.alias("row")).select(*(F.col("row")[c].alias(c) for c in columns))
+    fields = rows.schema["whole"].dataType.fields
+    plain = [F.col("whole")[f.name] for f in fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    doc_id = F.col("whole")["doc_id"]
+    order = F.struct(doc_id.isNotNull() if largest else doc_id.isNull(), doc_id, F.xxhash64(*plain))
+    best = (F.max_by if largest else F.min_by)(F.col("whole"), order)
+    return rows.groupBy(*group).agg(best.alias("whole")).select("whole.*")

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from oculith.llm.shared import slices, texts, written
+from oculith.llm.shared import one_row, slices, texts, written
 
 LANES = 64
 #: Words of lanes that are abandoned together.
@@ -212,6 +213,14 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def grouped_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, rep (its smallest doc_id), root of its component; one row for each different fingerprint."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    roots = components(near_links(nodes.select("fp"), radius))
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return written(grouped, "roots")
+
+
 def simhash_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -219,17 +228,23 @@ def simhash_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame
     rows share a component. A null doc_id is larger than any other; a component of null ids only has a null id.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(near_links(nodes.select("fp"), radius))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    grouped = written(grouped, "roots")
+    grouped = grouped_fingerprints(fps, radius)
     best = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = grouped.join(best, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """Of each component, the document with the smallest doc_id; whole rows."""
-    found = simhash_dedup(docs, width, radius)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component one row, that with the smallest doc_id (null last); whole rows."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raws = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            fps = np.array([fingerprint(x, width) for x in raws], np.uint64).view(np.int64)
+            yield pa.record_batch([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
+
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    rows = written(rows.select(F.struct(*docs.columns).alias("whole"), F.col("__fp").alias("fp")), "fingerprinted")
+    roots = grouped_fingerprints(rows.select(F.col("whole")["doc_id"].alias("doc_id"), "fp"), radius).select("fp", "root")
+    return one_row(rows.join(roots, "fp"), ["root"], largest=False)
