@@ -1,15 +1,14 @@
 """Exact duplicates by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Texts (A-Z lower-cased) are grouped by (64-bit hash, text). The map side folds copies before the shuffle, so that
-   a text which a third of all rows share arrives once from each task, and owner tasks compare whole texts byte by
-   byte within each hash chain.
-2. The directory starts at depth 0 and doubles until no bucket of entries is over `capacity` (or `max_depth` bits are
-   used up; a bucket that is still overfull stays as a chain). It is worked out from a histogram of at most
-   2**max_depth counts.
-3. The index (one small row for each text: hash, digest, the id to keep, the number of rows) is written to the shared
-   folder; owners write ranges of buckets.
-4. Documents look their entry up by hash and digest; only ids and digests move. The join can be split by AQE where a
-   key is hot.
+1. Hashes of the texts (A-Z lower-cased) are counted by their first `max_depth` bits. The directory starts with one
+   bucket and doubles until no bucket holds more than `capacity` rows, or its bits are used up; what is then still
+   overfull (copies of one text share all bits) is a chain, which is dealt to as many parts as its rows ask for.
+2. Whole rows are dealt once, by the bucket and part that the directory names. Owner tasks fold what they own by hash
+   and bytes: texts that collide in their hash stay apart. Parts of a chain are folded again, one row for each part.
+3. The index (one small row for each text: bucket, hash, digest, the id to keep, the number of rows) is written to the
+   shared folder, in ranges of buckets.
+4. Documents ask the directory for their bucket and look their entry up there by hash and digest; only ids and digests
+   move. Entries of many rows are broadcast, so that no task holds all copies of a hot text.
 """
 
 from __future__ import annotations
@@ -19,86 +18,122 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import ascii_lower, one_row, written
+from oculith.llm.shared import ascii_lower, kept_row, looked_up, written
 
+#: Rows of a bucket before it is split, and bits of the hash that the directory can use.
+CAPACITY, MAX_DEPTH = 4096, 16
+#: Buckets that one owner task holds on average, so that uneven ones even out.
+TOGETHER = 4
 
-def double_directory(histogram: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int]]:
-    """(slot, bucket) for all slots of the directory, given counts by the first `bits` bits of the hash.
+
+def double_directory(histogram: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int, int]]:
+    """(slot, bucket, rows of the bucket) for all slots of the directory, given counts by the first `bits` bits.
 
     Starts with one bucket and splits any overfull one by its next bit; the directory doubles when a bucket is split
     whose depth equals the directory's.
     """
     below = list(accumulate((histogram.get(k, 0) for k in range(1 << bits)), initial=0))  # counts before each slot
-    depth, full, split = 0, [(0, 0)], set()
+    depth, full, split = 0, [(0, 0)], {}
     while full:
         again = []
         for prefix, local in full:
             first, last = prefix << (bits - local), (prefix + 1) << (bits - local)
-            if below[last] - below[first] > capacity and local < bits:
+            held = below[last] - below[first]
+            if held > capacity and local < bits:
                 depth = max(depth, local + 1)
                 again += [(prefix << 1, local + 1), (prefix << 1 | 1, local + 1)]
             else:
-                split.add(first)
+                split[first] = held
         full = again
-    slots, bucket = [], -1
+    slots, bucket, held = [], -1, 0
     for slot in range(1 << depth):
-        if slot << (bits - depth) in split:
-            bucket += 1
-        slots.append((slot, bucket))
+        if (first := slot << (bits - depth)) in split:
+            bucket, held = bucket + 1, split[first]
+        slots.append((slot, bucket, held))
     return slots
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, norm (the whole text, A-Z lower-cased; null as empty) and its hash."""
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
+def normal(text: Column) -> Column:
+    """The text that is compared: A-Z lower-cased, null as empty."""
+    return ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def slot_of(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_index(docs: DataFrame, capacity: int = 65536, max_depth: int = 14) -> DataFrame:
+class Directory:
+    """Which bucket, and which part of it, a row belongs to; at most 2**max_depth slots."""
+
+    def __init__(self, docs: DataFrame, capacity: int, max_depth: int):
+        counts = docs.groupBy(slot_of(F.xxhash64(normal(F.col("text"))), max_depth).alias("slot")).count()
+        slots = double_directory({r["slot"]: r["count"] for r in counts.collect()}, max_depth, capacity)  # 2**max_depth counts at most
+        self.depth, self.buckets = len(slots).bit_length() - 1, slots[-1][1] + 1
+        parts = {b: self.split(n, capacity) for _, b, n in slots}
+        self.parts, self.chains = sum(parts.values()), max(parts.values()) > 1
+        self.table = docs.sparkSession.createDataFrame([(s, b, self.split(n, capacity)) for s, b, n in slots], "slot long, bucket int, parts int")
+
+    @staticmethod
+    def split(rows: int, capacity: int) -> int:
+        return max(1, -(-rows // capacity))
+
+    def find(self, rows: DataFrame) -> DataFrame:
+        """rows with `bucket` and `parts`, by column h."""
+        return rows.withColumn("slot", slot_of(F.col("h"), self.depth)).join(F.broadcast(self.table), "slot").drop("slot")
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """rows at their owners, with bucket and part. In a chain, rows of the same text go to any of its parts, by id."""
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
+        return rows.withColumn("part", part.cast("int")).repartition(max(1, -(-self.parts // TOGETHER)), "bucket", "part")
+
+
+def folded(rows: DataFrame, text: Column, directory: Directory, first: dict[str, Column], again: dict[str, Column]) -> DataFrame:
+    """bucket, h, norm and the aggregates of each different text, folded by the owners of its bucket. Only what chains
+    leave, one row a text and part, is dealt and folded a second time."""
+    rows = directory.find(rows)
+    fold = lambda some: directory.deal(some).withColumn("norm", normal(text)).groupBy("bucket", "part", "h", "norm").agg(*[c.alias(k) for k, c in first.items()]).drop("part")
+    if not directory.chains:
+        return fold(rows)
+    return fold(rows.filter("parts = 1")).unionByName(fold(rows.filter("parts > 1")).groupBy("bucket", "h", "norm").agg(*[c.alias(k) for k, c in again.items()]))
+
+
+def build_index(docs: DataFrame, directory: Directory) -> DataFrame:
     """The index on shared files: bucket, h, text_sha256, keep_id, group_size; one row for each different text."""
-    spark = docs.sparkSession
-    entries = (
-        keyed(docs)
-        .groupBy("h", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    entries = written(entries, "exact-entries")
-    histogram = entries.groupBy(slot_of(F.col("h"), max_depth).alias("slot")).count()  # 2**max_depth rows at most
-    slots = double_directory({r["slot"]: r["count"] for r in histogram.collect()}, max_depth, capacity)
-    depth = len(slots).bit_length() - 1
-    directory = spark.createDataFrame(slots, "slot long, bucket int")  # bounded by 2**max_depth rows
-    owned = (
-        entries.withColumn("slot", slot_of(F.col("h"), depth))
-        .join(F.broadcast(directory), "slot")
-        .drop("slot")
-        .repartitionByRange("bucket", "h")
-        .sortWithinPartitions("bucket", "h")
-    )
-    return written(owned, "exact-index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 65536, max_depth: int = 14) -> DataFrame:
+    rows = docs.select("doc_id", "text", F.xxhash64(normal(F.col("text"))).alias("h"))
+    first = {"keep_id": F.max("doc_id"), "group_size": F.count(F.lit(1))}
+    entries = folded(rows, F.col("text"), directory, first, {"keep_id": F.max("keep_id"), "group_size": F.sum("group_size")})
+    entries = written(entries.select("bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "exact-entries")
+    return written(entries.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "exact-index")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Of equal texts the row with the largest doc_id stays. Null text is empty; empty texts are equal to each other.
     Rows that repeat a doc_id count in group_size and share `kept`. A null doc_id loses to any other; a group of null
-    ids only has a null keep_id and is kept. Other columns are ignored; an empty table gives an empty result.
+    ids only has a null keep_id and is kept. Texts of any length are compared whole, as one value of a row. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    index = build_index(docs, capacity, max_depth)
-    probe = keyed(docs).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
-    return probe.join(index, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket")
-
-
-def keep_distinct(docs: DataFrame) -> DataFrame:
-    """Of each set of equal texts one row, that with the largest doc_id; whole rows.
-
-    A null doc_id loses to any other. Of rows that repeat the id, one stays.
+    docs = docs.select("doc_id", "text")
+    directory = Directory(docs, capacity, max_depth)
+    index = build_index(docs, directory)
+    norm = normal(F.col("text"))
+    probe = directory.find(docs.select("doc_id", F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256")))
+    probe = written(probe.select("doc_id", F.struct("bucket", "h", "text_sha256").alias("entry")), "exact-probe")
+    index = index.select(F.struct("bucket", "h", "text_sha256").alias("entry"), "keep_id", "group_size", F.col("group_size").alias("n"))
+    found = looked_up(probe, index, "entry", probe.count())
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "entry.text_sha256", "entry.bucket")
+
+
+def keep_distinct(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Of each set of equal texts one row, that with the largest doc_id; whole rows, whatever their columns are called.
+
+    Dealt and folded like the index, with rows in place of ids, so that nothing is joined back. A null doc_id loses to
+    any other; of rows that repeat an id and a text, one stays; rows that share only their id are told apart. Null text
+    is empty. An empty table gives an empty result.
     """
-    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.struct("*").alias("whole"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"))
-    return one_row(rows, ["h", "text_sha256"], largest=True)
+    rows = docs.select(F.struct("*").alias("whole"))
+    text, doc_id = F.col("whole")["text"], F.col("whole")["doc_id"]
+    rows = rows.select("whole", doc_id.alias("doc_id"), F.xxhash64(normal(text)).alias("h"))
+    best = kept_row(docs.schema, largest=True)
+    return folded(rows, text, Directory(docs, capacity, max_depth), {"whole": best}, {"whole": best}).select("whole.*")
