@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from oculith.llm.shared import one_row, slices, texts, written
+from oculith.llm.shared import looked_up, numbered_columns, one_row, slices, texts, written
 
 LANES = 64
 #: Words of lanes that are abandoned together.
 BLOCK = 16
+#: Most fingerprints of one bucket that are compared in one task's block.
+MOST = 4096
 
 
 def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
@@ -57,24 +59,33 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def within(vertical: np.ndarray, n: int, radius: int, query: int = 0) -> np.ndarray:
-    """Which of the `n` lanes differ from `query` in at most `radius` bits.
+    """Which of the `n` lanes differ from `query` in at most `radius` bits."""
+    return near_lanes(blocked(vertical), radius, query)[:n]
+
+
+def blocked(vertical: np.ndarray) -> np.ndarray:
+    """Planes in blocks of words, the form that near_lanes() reads again for every query."""
+    blocks = -(-vertical.shape[1] // BLOCK)
+    padded = np.zeros((64, blocks * BLOCK), np.uint64)
+    padded[:, : vertical.shape[1]] = vertical
+    return padded.reshape(64, blocks, BLOCK)
+
+
+def near_lanes(store: np.ndarray, radius: int, query: int, alive: np.ndarray | None = None) -> np.ndarray:
+    """One flag a lane: whether it differs from `query` in at most `radius` bits. Only blocks in `alive` are read.
 
     Two planes at a time go through a carry-save adder into bitwise counters. After every eight planes, blocks of
     words whose lanes all exceed the radius are abandoned.
     """
-    words = vertical.shape[1]
-    blocks = -(-words // BLOCK)
-    padded = np.zeros((64, blocks * BLOCK), np.uint64)
-    padded[:, :words] = vertical
-    padded = padded.reshape(64, blocks, BLOCK)
+    blocks = store.shape[1]
     depth = max(radius, 1).bit_length()
-    alive = np.arange(blocks)
-    counters = [np.zeros((blocks, BLOCK), np.uint64) for _ in range(depth)]
-    over = np.zeros((blocks, BLOCK), np.uint64)
+    alive = np.arange(blocks) if alive is None else alive
+    counters = [np.zeros((len(alive), BLOCK), np.uint64) for _ in range(depth)]
+    over = np.zeros((len(alive), BLOCK), np.uint64)
     ones = ~np.uint64(0)
     for plane in range(0, 64, 2):
-        a = padded[plane, alive]
-        b = padded[plane + 1, alive]
+        a = store[plane, alive]
+        b = store[plane + 1, alive]
         if query >> (63 - plane) & 1:
             a = a ^ ones
         if query >> (62 - plane) & 1:
@@ -95,7 +106,7 @@ def within(vertical: np.ndarray, n: int, radius: int, query: int = 0) -> np.ndar
     near = np.zeros((blocks, BLOCK), np.uint64)
     if len(alive):
         near[alive] = ~(over | _greater(counters, radius))
-    return np.unpackbits(near.reshape(-1)[:words].view(np.uint8))[:n].astype(bool)
+    return np.unpackbits(near.reshape(-1).view(np.uint8)).astype(bool)
 
 
 def _greater(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -111,17 +122,32 @@ def _greater(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (indices) that connect what is connected within the radius: a search from each lane not yet reached,
-    which compares with the lanes that are left, so that a cluster costs little more than its size."""
-    left, links = np.arange(len(values)), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = within(planes(values[left]), len(left), radius, int(values[at]))
-            links += [(at, x) for x in left[hit]]
-            queue += list(left[hit])
-            left = left[~hit]
+    """Links (indices) that connect what is connected within the radius: a search from each lane not yet reached.
+
+    The bit planes are stored once and read by every query, with a mask for the lanes that are left; blocks without any
+    are skipped, and the planes are stored anew only when half of the lanes are gone.
+    """
+    at, links = np.arange(len(values)), []
+    left, store, queue, seed = np.ones(len(values), bool), blocked(planes(values)), [], 0
+    lanes = LANES * BLOCK
+    while left.any():
+        if not queue:
+            seed += int(np.argmax(left[seed:]))
+            left[seed] = False
+            queue.append(seed)
+        query = queue.pop()
+        own = np.zeros(store.shape[1] * lanes, bool)
+        own[: len(left)] = left
+        hit = np.flatnonzero(near_lanes(store, radius, int(values[at[query]]), np.flatnonzero(own.reshape(-1, lanes).any(axis=1)))[: len(left)] & left)
+        links += [(at[query], x) for x in at[hit]]
+        left[hit] = False
+        queue += hit.tolist()
+        if len(left) > 2 * lanes and 2 * np.count_nonzero(left) < len(left):
+            keep = left.copy()
+            keep[queue] = True
+            moved = np.cumsum(keep) - 1
+            at, left, queue, seed = at[keep], left[keep], moved[queue].tolist(), 0
+            store = blocked(planes(values[at]))
     return links
 
 
@@ -178,8 +204,12 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links u > v that connect all fingerprints (column fp, distinct) which pairs within the radius connect."""
+def near_links(fps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
+    """Links u > v that connect all fingerprints (column fp, distinct) which pairs within the radius connect.
+
+    A key with more than `most` fingerprints is dealt as pairs of parts: no task holds more than two parts of it, and
+    every pair still meets.
+    """
     blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [F.shiftrightunsigned(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
@@ -188,7 +218,15 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         F.shiftleft(F.lit(t).cast("long"), 2 * width) + F.shiftleft(parts[i].cast("long"), width) + parts[j]
         for t, (i, j) in enumerate(combinations(range(blocks), 2))
     ]
-    dealt = fps.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    full = written(keyed.groupBy("key").count().filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "full-keys")
+    pairs = keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    if full.head(1):
+        part = keyed.join(full, "key", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+        other = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
+        part = part.select("key", "fp", "part", F.explode(other).alias("other"))
+        pairs = part.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
+    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(F.xxhash64("key", "i", "j").alias("key"), "fp")
     return dealt.mapInArrow(lambda batches: bucket_links(batches, radius), "u long, v long").distinct()
 
 
@@ -214,10 +252,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
-    """fp, rep (its smallest doc_id), root of its component; one row for each different fingerprint."""
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    """fp, n (its rows), rep (its smallest doc_id), root of its component; one row for each different fingerprint."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(near_links(nodes.select("fp"), radius))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "rep", F.coalesce("root", "fp").alias("root"))
     return written(grouped, "roots")
 
 
@@ -225,26 +263,30 @@ def simhash_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts, and texts of white space only, have fingerprint 0 and are linked like any other. Repeated
-    rows share a component. A null doc_id is larger than any other; a component of null ids only has a null id.
+    rows share a component. A null doc_id is larger than any other; a component of null ids only has a null id. Texts of
+    any length are read whole; other columns are ignored; an empty table gives no rows.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     grouped = grouped_fingerprints(fps, radius)
-    best = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = grouped.join(best, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    best = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels = looked_up(grouped.select("fp", "root", F.col("n").alias("docs")), best, "root", grouped.count())
+    labels = written(labels.select("fp", "component_id", F.col("docs").alias("n")), "labels")
+    return looked_up(fps, labels, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """Of each component one row, that with the smallest doc_id (null last); whole rows."""
+    """Of each component one row, that with the smallest doc_id (null last); whole rows, whatever their columns are called.
+    Of rows that repeat an id within a component, one stays. An empty table gives an empty result."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raws = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             fps = np.array([fingerprint(x, width) for x in raws], np.uint64).view(np.int64)
-            yield pa.record_batch([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
+            yield pa.record_batch([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "fp"])
 
-    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    rows = written(rows.select(F.struct(*docs.columns).alias("whole"), F.col("__fp").alias("fp")), "fingerprinted")
+    plain = numbered_columns(docs)
+    rows = plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("fp", LongType())]))
+    rows = written(rows.select(F.struct(*(F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns))).alias("whole"), "fp"), "fingerprinted")
     roots = grouped_fingerprints(rows.select(F.col("whole")["doc_id"].alias("doc_id"), "fp"), radius).select("fp", "root")
     return one_row(rows.join(roots, "fp"), ["root"], largest=False)
