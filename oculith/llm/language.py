@@ -1,8 +1,9 @@
 """Language identification by compression: a text belongs to the language whose sample helps zstandard most.
 
-Each language has a raw-content dictionary of at most `dictionary_bytes`, joined from pieces of at most
-`documents` training documents in hash order. A text is compressed in chunks (all of it), so that the dictionary and not
-the text's own beginning is what helps; the smallest total wins. The margin to the second smallest gives the score.
+Each language has a raw-content dictionary of at most `DICTIONARY_BYTES`, joined from pieces of at most `documents`
+different training texts with letters, in hash order; a piece is cut at a hashed place anywhere in its text. A text is
+compressed in chunks (all of it), so that the dictionary and not the text's own beginning is what helps; the smallest
+total wins. The margin to the second smallest gives the score.
 """
 
 from __future__ import annotations
@@ -13,30 +14,36 @@ from math import exp
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oculith.llm.shared import crc_fold, slices
 
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
-#: Bounds of what is learned of each language; chunk of compression; narrowest margin that isn't rejected.
+#: Bounds of what is learned of each language: texts, characters of a text, bytes in all; chunk of compression; narrowest margin that isn't rejected.
 DOCUMENTS, PIECE, DICTIONARY_BYTES = 160, 400, 60_000
 CHUNK, NARROW, LEVEL = 2048, 0.02, 6
 LETTER = regex.compile(r"\p{L}")
 
 
 def samples(docs: DataFrame, documents: int = DOCUMENTS) -> list[tuple[str, bytes]]:
-    """(language, dictionary), the commonest first: heads of at most `documents` training texts each, in hash order."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= documents).select("doc_id", F.col("lang").alias("own"))
-    heads = rows.join(F.broadcast(chosen), "doc_id").filter("lang = own").select("lang", "doc_id", F.substring("text", 1, PIECE).alias("head"))
+    """(language, dictionary), the commonest first: a piece of at most `documents` different training texts each."""
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = rows.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order", 0.02).alias("different")).collect()  # a row a language
+    if not known:
+        return []
+    # The first of a language by hash lie below this hash: about twice as many as are wanted, however many there are.
+    below = {r["lang"]: min(1.0, (2 * documents + 50) / r["different"]) * 2.0**64 - 2.0**63 for r in known}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+    place = F.pmod(F.xxhash64("order"), F.greatest(F.char_length("text") - PIECE, F.lit(0)) + 1) + 1
+    pieces = rows.filter(F.col("order").cast("double") <= bound).groupBy("lang", "order").agg(F.first(F.substring(F.col("text"), place.cast("int"), F.lit(PIECE))).alias("piece"))
     parts: dict[str, list[bytes]] = {}
-    for r in heads.dropDuplicates(["lang", "doc_id"]).orderBy("lang", "doc_id").collect():  # documents * PIECE characters a language
-        parts.setdefault(r["lang"], []).append((r["head"] or "").encode())
-    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    return [(lang, b"\n".join(dict.fromkeys(x))[-DICTIONARY_BYTES:]) for lang, x in sorted(parts.items(), key=lambda p: (-common[p[0]], p[0])) if b"".join(x).strip()]
+    for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["order"])):  # about 2 * documents * PIECE characters a language
+        parts.setdefault(r["lang"], []).append(r["piece"].encode())
+    common = {r["lang"]: r["n"] for r in known}
+    return [(lang, b"\n".join(x[:documents])[-DICTIONARY_BYTES:]) for lang, x in sorted(parts.items(), key=lambda p: (-common[p[0]], p[0]))]
 
 
 class Classifier:
@@ -66,7 +73,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     `und` with score 0 if the text is null, empty or has no letter, or if nothing could be learned; `rejected` marks
     these and narrow margins, where lang_pred is still the best guess. A null doc_id isn't held out and never learned
-    from. Repeated rows are predicted alike; other columns are ignored.
+    from. Repeated rows are predicted alike; texts of any length are compressed whole, chunk by chunk; other columns are
+    ignored; an empty table gives no rows.
     """
     learned = docs.sparkSession.sparkContext.broadcast(samples(docs))
 
