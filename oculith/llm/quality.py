@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms of a text are trigrams of character classes (case, digits, blanks, each kind of punctuation, letters beyond ASCII)
-and the shares of repeated, shouted and punctuated words, over the whole text. A bounded sample of labelled documents
+Terms of a text are its words (hashed to `WORDS` terms), trigrams of character classes (case, digits, blanks, each kind of
+punctuation, letters beyond ASCII) and the shares of repeated, shouted and punctuated words, over the whole text. A bounded sample of labelled documents
 (`per_class` of each label, by hash order) gives term weights and a truncated SVD; its projected vectors, at most
 2 * per_class * rank numbers, are broadcast. Every document is projected and compared with all of them by exact cosine
 products in blocks; the nearest vote with their similarity, corrected for the sample's class balance.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import crc_fold, slices, texts
+from oculith.llm.shared import crc_fold, numbered_columns, slices, texts
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Bound of the labelled sample and shape of the model.
 PER_CLASS, RANK, NEIGHBOURS = 1000, 64, 25
 SHAPES, SHARES = 4096, 12
-TERMS = SHAPES + 3 * SHARES
+WORDS, WORD_WEIGHT = 2048, 0.5
+TERMS = SHAPES + 3 * SHARES + WORDS
 
 
 def _classes() -> np.ndarray:
@@ -39,7 +41,7 @@ CLASSES = _classes()
 
 
 def terms(raw: bytes) -> np.ndarray:
-    """Term frequencies of one text: square roots, of length 1 in each of the four parts."""
+    """Term frequencies of one text: square roots, of length 1 in each of the five parts (WORD_WEIGHT for words)."""
     out = np.zeros(TERMS, np.float32)
     if not raw:
         return out
@@ -58,15 +60,22 @@ def terms(raw: bytes) -> np.ndarray:
             out[SHAPES + part * SHARES + low] = 1 - (at - low)
             if at > low:
                 out[SHAPES + part * SHARES + low + 1] = at - low
+        held = np.sqrt(np.bincount(np.fromiter(map(crc32, words), np.uint32, len(words)) % WORDS, minlength=WORDS))
+        out[-WORDS:] = held * (WORD_WEIGHT / np.linalg.norm(held))
     return out
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> pd.DataFrame:
-    """label and terms (bytes) of at most `per_class` labelled training documents of each class, by hash order."""
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label (0 or 1; the smallest of several) of the labelled documents of the training folds."""
+    rows = labels.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    return rows.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int, shares: dict[int, int]) -> pd.DataFrame:
+    """label, at and value (places and values of the terms that aren't zero, as bytes) of at most `per_class` labelled
+    training documents of each class, by hash order. `shares` has the number of labelled documents of each class."""
     order = F.xxhash64("doc_id")
-    ids = labels.filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min(label).alias("label"))
-    ids = ids.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    n = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}  # two rows at most
+    ids, n = labelled(labels, label), shares
     # The first of a class by hash lie below this hash: about twice as many as needed go on to be ranked, however many there are.
     below = {y: min(1.0, (2 * per_class + 200) / n.get(y, 1)) * 2.0**64 - 2.0**63 for y in (0, 1)}
     ids = ids.filter(order.cast("double") <= F.when(F.col("label") == 1, below[1]).otherwise(below[0]))
@@ -76,16 +85,13 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("label").cast(pa.int32()), pa.array([terms(x).tobytes() for x in texts(batch)], pa.binary())], names=["doc_id", "label", "terms"])
-
-    out = chosen.select("doc_id", "label", "text").mapInArrow(run, "doc_id string, label int, terms binary").toPandas()
-    return out.sort_values(["doc_id", "terms"]).drop_duplicates("doc_id")
-
+            found = [terms(x) for x in texts(batch)]
+            at = [np.flatnonzero(x).astype(np.uint16) for x in found]
+            columns = [pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x[k].tobytes() for x, k in zip(found, at)], pa.binary())]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("label").cast(pa.int32()), *columns], names=["doc_id", "label", "at", "value"])
 
-def class_share(labels: DataFrame, label: str) -> float:
-    """Share of label 1 among all training labels."""
-    got = labels.filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return 0.5 if got is None else float(got)
+    out = chosen.select("doc_id", "label", "text").mapInArrow(run, "doc_id string, label int, at binary, value binary").toPandas()
+    return out.sort_values(["doc_id", "at", "value"]).drop_duplicates("doc_id")
 
 
 class Model:
@@ -133,16 +139,21 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learns from training folds only. Without any label the model gives 0.5."""
-    rows = labelled_terms(docs, labels, label, per_class)
-    x = np.stack([np.frombuffer(t, np.float32) for t in rows["terms"]]) if len(rows) else np.zeros((0, TERMS), np.float32)
-    return Model(x, rows["label"].to_numpy(np.int64), class_share(labels, label))
+    n = {r["label"]: r["count"] for r in labelled(labels, label).groupBy("label").count().collect()}  # two rows at most
+    rows = labelled_terms(docs, labels, label, per_class, n)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for row, at, value in zip(x, rows["at"], rows["value"]):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    return Model(x, rows["label"].to_numpy(np.int64), n.get(1, 0) / sum(n.values()) if n else 0.5)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null and empty texts score the share of label 1. A null doc_id isn't held out and never learned from. Several
-    labels of a document count as the smallest, labels other than 0 and 1 as none; repeated rows score alike; other columns are ignored.
+    Null and empty texts have no terms: they score the share of label 1 among labelled documents, as nothing speaks for
+    or against them. A null doc_id isn't held out and never learned from. Several labels of a document count as the
+    smallest, labels other than 0 and 1 as none; repeated rows score alike; texts of any length are read whole; other
+    columns are ignored; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
@@ -156,7 +167,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, whole rows, in one pass."""
+    """The documents that the classifier doesn't reject (see score_quality), whole rows in one pass. Each row is decided
+    by its own text, so null and repeated ids don't matter, nor do the names of other columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
@@ -165,4 +177,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = model.value.score([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
             yield batch.filter(pa.array(score >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered_columns(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
