@@ -3,7 +3,7 @@ shunting-yard parser.
 
 Words are runs of digits, ASCII letters (lower-cased) and code points beyond ASCII; a phrase matches where its words
 stand one after the other. After an identifier tag, the expression on the rest of its line is parsed (and, or, with,
-parentheses); its identifiers become labels too.
+parentheses); its identifiers become labels too, if they are known ones.
 """
 
 from __future__ import annotations
@@ -44,8 +44,15 @@ MORE = {
 PERMISSIVE = frozenset({"apache", "bsd", "boost", "cc0", "cc-by", "isc", "mit", "unlicense", "zlib"})
 TAG = "spdx license identifier"
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+#: Names that identifiers begin with; a version and `-only`, `-or-later` or `+` may follow.
+NAMES = (
+    "0bsd", "afl", "agpl", "apache", "apsl", "artistic", "boost", "bsd", "bsl", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0", "cddl",
+    "cecill", "cpl", "ecl", "epl", "eupl", "gfdl", "gpl", "hpnd", "ipl", "isc", "lgpl", "libpng", "lppl", "mit", "mpl", "ms-pl", "ms-rl", "ncsa", "odbl", "ofl", "openssl",
+    "osl", "pddl", "php", "postgresql", "psf", "python", "qpl", "ruby", "sspl", "unicode-dfs", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+)
+IDENTIFIER = re.compile("(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:-?v?\d[\d.]*)?(?:-(?:clause|universal|patent|modern|0))*(?:-only|-or-later|\+)?|(?:documentref-[\w.-]+:)?licenseref-[\w.-]+")
+EXCEPTION = re.compile(r"[\w.-]*exception[\w.-]*|additionref-[\w.-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -58,37 +65,44 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def parse(expression: str) -> list[str] | None:
-    """The expression in postfix order, or None if it isn't one. Reads as far as the expression goes on."""
+    """The expression in postfix order, or None if it isn't one. Operands are known identifiers (after `with`, names of
+    exceptions). Reads as far as the expression goes on: prose after it, an operator before prose included, is left."""
     out, ops, operand = [], [], False
     for token in TOKEN.findall(expression):
-        word = token.lower()
-        if word in BINDS:
-            if not operand:
-                return None
-            while ops and BINDS.get(ops[-1], 0) >= BINDS[word]:
-                out.append(ops.pop())
-            ops.append(word)
-            operand = False
-        elif token == "(":
+        word = token.lower().rstrip(".:")
+        if token == "(":
             if operand:
                 break
             ops.append(token)
         elif token == ")":
             if not operand:
                 return None
-            while ops and ops[-1] != "(":
-                out.append(ops.pop())
-            if not ops:
+            if "(" not in ops:
                 break
+            while ops[-1] != "(":
+                out.append(ops.pop())
             ops.pop()
+        elif word in BINDS:
+            if not operand:
+                return None
+            while ops and BINDS.get(ops[-1], 0) >= BINDS[word]:
+                out.append(ops.pop())
+            ops.append(word)
+            operand = False
         elif operand:
-            break  # prose follows
-        else:
-            out.append(token)
+            break
+        elif (EXCEPTION if ops and ops[-1] == "with" else IDENTIFIER).fullmatch(word):
+            out.append(token.rstrip(".:"))
             operand = True
-    if not operand or "(" in ops:
-        return None
-    return out + ops[::-1]
+        elif ops and ops[-1] in BINDS:  # "MIT and see the file"
+            ops.pop()
+            break
+        else:
+            return None
+    else:
+        if not operand:
+            return None
+    return None if "(" in ops else out + ops[::-1]
 
 
 def evaluate(postfix: list[str], permitted: frozenset[str]) -> bool:
@@ -124,25 +138,42 @@ def family(identifier: str) -> str:
     return re.sub(r"-?v?\d[\d.]*(-only|-or-later|\+)?$|\+$", "", identifier) or identifier
 
 
+def tag_lines(raw: bytes, text: str, ends: list[int]) -> list[str]:
+    """What follows each tag on its line. `ends` are the places in `text`, the joined words, where tags end; the word
+    there is found again in the raw text by its number."""
+    if not ends:
+        return []
+    number, at, wanted = -1, 0, []
+    for end in ends:
+        number += text.count(" ", at, end)
+        at = end
+        wanted.append(number)
+    out, wanted = [], set(wanted)
+    for k, word in enumerate(re.finditer(rb"[^ ]+", raw.translate(WORD))):
+        if k in wanted:
+            stop = re.compile(rb"[\r\n]|$").search(raw, word.end()).start()
+            out.append(raw[word.end() : stop].decode("utf-8", "replace").lstrip(" \t").removeprefix(":"))
+    return out
+
+
 def scan(raw: bytes, patterns: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, expressions (postfix), permitted, score."""
     words = b" ".join(raw.translate(WORD).split())
     text = f" {words.decode()} "
-    places, base, labels, tags, permitted = [], set(), set(), 0, True
+    places, base, labels, tags, permitted = [], set(), set(), [], True
     for end, (phrase, label) in patterns.iter(text):
         if phrase in BASE:
             places.append(end - len(phrase) - 1)
             base.add(label)
         elif phrase == TAG:
-            tags += 1
+            tags.append(end)
         labels |= {label} - {""}
     expressions = []
-    if tags:
-        for line in TAG_LINE.findall(raw.decode()):
-            if postfix := parse(line):
-                expressions.append(" ".join(postfix))
-                permitted &= evaluate(postfix, PERMISSIVE)
-                labels |= set(map(family, identifiers(postfix)))
+    for line in tag_lines(raw, text, tags):
+        if postfix := parse(line):
+            expressions.append(" ".join(postfix))
+            permitted &= evaluate(postfix, PERMISSIVE)
+            labels |= set(map(family, identifiers(postfix)))
     n = words.count(b" ") + 1 if words else 0
     starts = [text.count(" ", 0, at + 1) - 1 for at in ((min(places), max(places)) if places else ())]
     score = 1 - exp(-(len(base) + 0.5 * len(labels - base) + len(expressions))) if labels else 0.0
@@ -156,8 +187,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions (postfix), permitted, score.
 
     `permitted` says whether all expressions found can be met by permissive licences; null without any. Places that
-    overlap all count. Null and empty texts have no words and empty labels. Malformed expressions are left
-    out. Repeated rows give the same result; other columns are ignored.
+    overlap all count. Null and empty texts have no words and empty labels. Malformed expressions, and those whose first
+    operand isn't a known identifier, are left out. Texts of any length are read whole, in time that grows with their
+    length. Repeated rows give the same result; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
