@@ -9,7 +9,10 @@ shorter one already carries its weight. Matches inside exception phrases don't c
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import exp, log, log1p
 
 import ahocorasick
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 from oculith.llm.shared import crc_fold, slices, written
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Shortest entry, most entries, least number of toxic documents with it, least log odds.
-SHORTEST, ENTRIES, SUPPORT, ODDS = 4, 2000, 3, 2.5
-#: Bounds of the labelled sample (by hash order of ids) and of the candidates for entries.
-LABELLED, CANDIDATES = 20_000, 100_000
+#: Letters of a stem (whole words have any number), least number of toxic documents with an entry, least log odds.
+SHORTEST, LONGEST, SUPPORT, ODDS = 4, 12, 3, 2.5
+#: Bound of the labelled sample (by hash order of ids); entries and calibration come from these documents alone.
+LABELLED = 20_000
 #: What stands for which letter, and harmless phrases around harsh words.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏбкмнтвαοερντικυχ", "aeopcyxijsdhlbkmhtbaoepvtikux"))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
@@ -53,12 +56,11 @@ SCRIPTS = regex.compile("[" + "".join(map(chr, GLYPHS)) + "]")
 
 
 def beginnings(text: str) -> set[str]:
-    """Beginnings of the text's words from SHORTEST to 12 letters, and whole words (with a closing blank)."""
+    """Whole words of the text (with a closing blank) of any length, and their stems of SHORTEST to LONGEST letters."""
     out = set()
     for word in set(WORD.findall(fold(text))):
-        if len(word) >= SHORTEST:
-            out.update(word[:n] for n in range(SHORTEST, min(len(word), 12) + 1))
-            out.add(word[:40] + " ")
+        out.update(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))
+        out.add(word + " ")
     return out
 
 
@@ -122,7 +124,10 @@ class Scorer:
             own = weight(bad - (label == 1), good - (label == 0), self.n_bad, self.n_good)
             start = end - len(entry)
             at[start] = max(at.get(start, (0.0, "")), (own, joined[start + 1 : joined.index(" ", start + 1)]))
-        hits = [x for start, x in at.items() if not any(a <= start < b for a, b in safe)]
+        hits = list(at.values())
+        if safe:
+            reach, begins = list(accumulate((b for _, b in sorted(safe)), max)), [a for a, _ in sorted(safe)]
+            hits = [x for start, x in at.items() if (k := bisect_right(begins, start)) == 0 or reach[k - 1] <= start]
         if not hits:
             return np.array([1.0, 0, 0, 0, 0])
         best = dict((word, own) for own, word in hits)
@@ -147,40 +152,36 @@ class Scorer:
             self.curve = curve
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Scorer:
-    """Lexicon and curve from training folds; the labelled sample is bounded by LABELLED."""
-    train = labels.filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
-    train = train.filter("label is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id").select("label", "text"), "toxicity-sample")
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> Scorer:
+    """Lexicon and curve from training folds; `labelled` documents are learned from, by a bound of their ids' hash. Of
+    rows that repeat an id, one text counts."""
+    order = F.xxhash64("doc_id")
+    train = labels.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    train = train.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
+    below = min(1.0, labelled / max(1, train.count())) * 2.0**64 - 2.0**63  # as many as wanted lie below this hash, on average
+    train = train.filter(order.cast("double") <= below)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")
+    rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "toxicity-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            counts: dict[str, list[int]] = {}
-            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                for x in beginnings(text or ""):
-                    counts.setdefault(x, [0, 0])[1 - y] += 1
-            yield pa.record_batch({"entry": list(counts), "bad": [v[0] for v in counts.values()], "good": [v[1] for v in counts.values()]})
-
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    # Only what toxic documents hold can become an entry, so clean texts are counted against those alone.
-    seen = rows.filter("label = 1").mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= SUPPORT)
-    top = {r["entry"]: r["bad"] for r in seen.orderBy(F.desc("bad"), "entry").limit(CANDIDATES).collect()}
-
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = dict.fromkeys(top, 0)
-        for batch in slices(batches):
+            counts: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
-                for x in beginnings(text or "") & counts.keys():
-                    counts[x] += 1
-        own = {k: v for k, v in counts.items() if v}
-        yield pa.record_batch({"entry": pa.array(list(own), pa.string()), "good": pa.array(list(own.values()), pa.int64())})
+                held = beginnings(text or "")
+                counts.update(held if only is None else held & only)
+            yield pa.record_batch({"entry": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    def counted(label: int, only: frozenset[str] | None = None) -> DataFrame:
+        return rows.filter(F.col("label") == label).mapInArrow(lambda batches: count(batches, only), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
-    clean = rows.filter("label = 0").mapInArrow(against, "entry string, good long").groupBy("entry").agg(F.sum("good").alias("good"))
-    found = {r["entry"]: r["good"] for r in clean.collect()}  # CANDIDATES rows at most
-    odds = {e: weight(b, found.get(e, 0), bad, good) for e, b in top.items()}
-    best = sorted((e for e in odds if odds[e] >= ODDS), key=lambda e: (-odds[e] * log1p(top[e]), e))[:ENTRIES]
-    scorer = Scorer(choose([(e, top[e], found.get(e, 0)) for e in best], bad, good), bad, good)
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_bad, n_good = n.get(1, 0), n.get(0, 0)
+    # Only what enough toxic documents hold can become an entry, so clean texts are counted against those alone. Both come
+    # from the labelled sample, whose bound is theirs.
+    bad = {r["entry"]: r["n"] for r in counted(1).filter(F.col("n") >= SUPPORT).collect()}
+    good = {r["entry"]: r["n"] for r in counted(0, frozenset(bad)).collect()}
+    likely = [(e, b, good.get(e, 0)) for e, b in bad.items() if weight(b, good.get(e, 0), n_bad, n_good) >= ODDS]
+    scorer = Scorer(choose(likely, n_bad, n_good), n_bad, n_good)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -197,7 +198,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts score as texts without a match. Several labels of a document count as the largest. A null
-    doc_id isn't held out and never learned from. Repeated rows score alike; other columns are ignored.
+    doc_id isn't held out and never learned from. Repeated rows score alike; other columns are ignored. Texts of any
+    length are matched whole, in time that grows with their length. An empty table gives no rows.
     """
     learned = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
