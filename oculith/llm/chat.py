@@ -38,7 +38,8 @@ def final_messages(events: DataFrame) -> DataFrame:
     Within a message, events are folded by sequence: what stood before the last `message`, `edit` or `regenerate` is
     gone, later `delta` texts follow in order. Two `message` events of one message are two turns. A message stands
     where its first event stands; its role is the first that isn't null, else empty. Null text is empty; ties of
-    sequence are ordered by kind, role and text; null numbers come first; unknown kinds count as `message`.
+    sequence are ordered by kind, role and text; null numbers come first; unknown kinds count as `message`. Long texts and
+    long logs are folded in time that grows with their length. Other columns are ignored; an empty log gives no rows.
     """
     kind = F.coalesce(F.lower("kind"), F.lit("message"))
     rows = events.select(
@@ -48,14 +49,15 @@ def final_messages(events: DataFrame) -> DataFrame:
     ).repartition("conv_id")
     log = F.sort_array(F.collect_list(F.struct("seq", F.when(F.col("kind") == "message", 0).otherwise(1).alias("rank"), "kind", "role", "text")))
     folded = rows.groupBy("conv_id", "message").agg(log.alias("log"))
-    # One run of events for each `message` event: the k-th run of a message takes the events up to the next one.
-    run = F.transform("log", lambda e, i: F.struct(F.aggregate(F.slice("log", 1, i + 1), F.lit(0), lambda n, x: n + (x["kind"] == "message").cast("int")).alias("run"), e.alias("event")))
+    # One run of events for each `message` event, up to the next one; events before the first belong to its run.
+    opens = F.filter(F.transform("log", lambda e, i: F.when(e["kind"] == "message", i + 1)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(1)), F.slice(opens, 2, F.greatest(F.size(opens) - 1, F.lit(0))))
+    stops = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size("log") + 1))
     single = F.size(F.filter("log", lambda e: e["kind"] == "message")) <= 1
-    runs = F.when(single, F.array(F.col("log"))).otherwise(
-        F.transform(F.array_distinct(F.transform(run, lambda r: r["run"])), lambda k: F.transform(F.filter(run, lambda r: r["run"] == k), lambda r: r["event"]))
-    )
+    runs = F.when(single, F.array(F.col("log"))).otherwise(F.zip_with(starts, stops, lambda a, b: F.slice("log", a, b - a)))
     role = lambda es: F.coalesce(F.get(F.filter(es, lambda e: e["role"].isNotNull()), 0)["role"], F.lit(""))
-    text = lambda es: F.aggregate(es, F.lit(""), lambda s, e: F.when(e["kind"] == "delta", F.concat(s, e["text"])).otherwise(e["text"]))
+    last = lambda es: F.greatest(F.coalesce(F.array_max(F.transform(es, lambda e, i: F.when(e["kind"] != "delta", i + 1))), F.lit(1)), F.lit(1))
+    text = lambda es: F.array_join(F.transform(F.slice(es, last(es), F.size(es)), lambda e: e["text"]), "")
     turns = folded.select("conv_id", "message", F.posexplode(runs).alias("at", "es")).select("conv_id", F.struct(F.col("es")[0]["seq"].alias("seq"), "message", "at", role(F.col("es")).alias("role"), text(F.col("es")).alias("text")).alias("turn"))
     return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
