@@ -1,13 +1,17 @@
 """The ten operators against brute force, round trips and held-out accuracy, and on awkward tables."""
 
 import hashlib
+import json
+import random
 import zlib
 from array import array
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from oculith.llm import chat, exact_dedup, fingerprint, language, licence, mixing, packing, quality, simhash, toxicity
@@ -95,65 +99,31 @@ def test_exact_dedup(awkward):
 
 def test_directory_doubles_only_where_full():
     slots = exact_dedup.double_directory({0: 5, 1: 5, 8: 1}, 4, 5)
-    assert len(slots) == 16 and slots[0][1] != slots[1][1] and len({b for _, b in slots[8:]}) == 1
-    assert exact_dedup.double_directory({}, 4, 5) == [(0, 0)]
-    assert len(exact_dedup.double_directory({3: 100}, 4, 5)) == 16  # one hot hash: splitting ends with the bits
-
-
-def brute_fingerprint(text):
-    words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
-
-
-def brute_components(prints):
-    root = {k: k for k in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    keys = sorted(prints)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {k: find(k) for k in keys}
-
-
-def test_simhash_against_all_pairs(spark, real):
-    rows = [(r["doc_id"], r["text"]) for r in real.select("doc_id", "text").collect()]
-    base = rows[11][1]
-    rows += [(1000 + i, base + f" tail{i}") for i in range(60)] + [(2000, ""), (2001, None)]
-    got = {r["doc_id"]: r for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    prints = {d: brute_fingerprint(t) for d, t in rows}
-    assert {d: int(r["fingerprint"], 16) for d, r in got.items()} == prints
-    assert {d: r["component_id"] for d, r in got.items()} == brute_components(prints)
-
-
-def test_bit_sliced_distances():
-    rng = np.random.default_rng(1)
-    values = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    values[::7] = values[0] ^ (np.uint64(1) << rng.integers(0, 63, len(values[::7]), dtype=np.uint64))
-    for radius in (0, 3, 4, 7):
-        want = np.bitwise_count(values ^ values[0]) <= radius
-        assert (simhash.within(simhash.planes(values), len(values), radius, int(values[0])) == want).all()
-
-
-def test_links_of_a_large_bucket_connect_as_all_pairs_do(spark):
-    rng = np.random.default_rng(2)
-    fps, at = [], 12345
-    for _ in range(300):  # chains and clusters that share most bits
-        at ^= 1 << int(rng.integers(0, 24)) | 1 << int(rng.integers(0, 24))
-        fps.append(at)
-    fps = sorted(set(fps))
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"))
-    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    want = brute_components({x: x for x in fps})
-    assert {x: roots.get(x, x) for x in fps} == want
+    assert len(slots) == 16 and slots[0][1] != slots[1][1] and len({b for _, b, _ in slots[8:]}) == 1
+    assert [n for _, _, n in slots[:3]] == [5, 5, 0] and slots[15][2] == 1
+    assert exact_dedup.double_directory({}, 4, 5) == [(0, 0, 0)]
+    hot = exact_dedup.double_directory({3: 100}, 4, 5)  # one hot hash: splitting ends with the bits
+    assert len(hot) == 16 and hot[3][2] == 100
+
+
+def test_exact_dedup_by_chains_and_its_directory(spark, monkeypatch):
+    rows = [(i, f"Copy {i % 3}" if i % 2 else f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    best = {}
+    for i, text in rows:
+        best.setdefault(text.lower(), []).append(i)
+    want = sorted((i, max(g), len(g), i == max(g)) for g in best.values() for i in g)
+    for capacity, depth in ((7, 3), (1, 8), (10_000, 14)):  # chains of several parts; many buckets; one bucket
+        got = exact_dedup.exact_dedup(docs, capacity, depth).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
+        assert sorted(r["doc_id"] for r in exact_dedup.keep_distinct(docs, capacity, depth).collect()) == sorted(map(max, best.values()))
+    # a directory that sends rows elsewhere than to the bucket of their hash finds nothing
+    index = exact_dedup.Directory(docs, 7, 3)
+    table = exact_dedup.build_index(docs.select("doc_id", "text"), index)
+    wrong = index.table.withColumn("bucket", F.col("bucket") + 1000)
+    monkeypatch.setattr(index, "table", wrong)
+    probe = index.find(docs.select("doc_id", F.xxhash64(exact_dedup.normal(F.col("text"))).alias("h")))
+    assert probe.join(table, ["bucket", "h"]).count() == 0
 
 
 def test_fingerprints(spark, real):
@@ -181,7 +151,51 @@ def test_window_entropy_is_exact():
     for end in (63, 64, 200, 499):
         _, n = np.unique(data[end - 63 : end + 1], return_counts=True)
         entropy = -(n / 64 * np.log2(n / 64)).sum()
-        assert got[end - 63] == 63 - abs(round(entropy * 63 / 6) - fingerprint.COMMON)
+        assert got[end - 63] == sum(x < fingerprint.LEVELS[round(entropy * 63 / 6)] for x in fingerprint.LEVELS)
+
+
+def plain_filters(raw):
+    """Filters of a text as sets of bits, written out window by window."""
+    if len(raw) < 256:
+        own = [raw[a : a + 12] for a in range(max(1, len(raw) - 11))] if raw else []
+    else:
+        data = np.frombuffer(raw, np.uint8)
+        rank = fingerprint.ranks(data).tolist()
+        points = defaultdict(int)
+        for a in range(len(rank) - 63):
+            points[min(range(a, a + 64), key=lambda i: (rank[i], i))] += 1
+        most = [a for a in sorted(points) if points[a] >= 16] or [max(sorted(points), key=points.get)]
+        own = [raw[a : a + 64] for a in most]
+    own = list(dict.fromkeys(own))
+    bits = lambda x: {int.from_bytes(xxhash.xxh3_128_digest(x)[2 * k : 2 * k + 2], "little") % 2048 for k in range(5)}
+    return [set().union(*map(bits, own[at : at + 128])) for at in range(0, len(own), 128)]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if a == b:
+        return 1.0
+    a, b = sorted((a, b), key=len)
+    over = lambda x, y: (len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9)
+    return min(1.0, sum(max(0.0, *(over(x, y) for y in b)) * len(x) for x in a) / sum(map(len, a)))
+
+
+def test_fingerprints_against_plain_windows(real):
+    texts_ = sorted((r["text"] for r in real.select("text").collect()), key=len)
+    raws = [t.encode() for t in [*texts_[:40:5], *texts_[60:140:20], texts_[-3]]] + [b"", b"x", b"ab" * 127, b"abc" * 100, b"z" * 400]
+    got = fingerprint.digests(raws)
+    want = [plain_filters(x) for x in raws]
+    for filters, sets in zip(got, want):
+        assert [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in filters] == sets
+    for i in range(0, len(raws), 2):
+        for j in range(len(raws)):
+            assert fingerprint.likeness(got[i], got[j]) == pytest.approx(plain_likeness(want[i], want[j]), abs=1e-9)
+
+
+def test_fingerprints_need_numbers(spark):
+    with pytest.raises(ValueError, match="number"):
+        fingerprint.fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def held_out(spark, frame, labels, column):
@@ -199,6 +213,88 @@ def test_classifiers_on_held_out_documents(spark):
     assert found.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_language_against_plain_compression(spark, real):
+    rows = [r for r in real.collect()]
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] and any(c.isalpha() for c in r["text"])]
+    dictionaries = language.samples(real, 20)
+    assert {lang for lang, _ in dictionaries} == {r["lang"] for r in learned}
+    for lang, data in dictionaries:
+        own = [r["text"].lower() for r in learned if r["lang"] == lang]
+        pieces = data.decode("utf-8", "ignore").split("\n")
+        assert len(data) <= language.DICTIONARY_BYTES and sum(any(p in t for t in own) for p in pieces) > 0.9 * len(pieces)
+    classify = language.Classifier(dictionaries)
+    for r in rows[::7]:
+        raw, sizes = r["text"].lower().encode(), []
+        for _, data in dictionaries:
+            own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pack = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(pack.compress(raw[at : at + language.CHUNK])) for at in range(0, len(raw), language.CHUNK)))
+        assert classify(r["text"])[0] == dictionaries[sizes.index(min(sizes))][0]
+
+
+def test_language_learns_different_texts_with_letters(spark):
+    rows = [(i, "es", "") for i in range(400)] + [(1000 + i, "es", "hola mundo que tal") for i in range(400)] + [(2000 + i, "es", f"palabra{i} en texto") for i in range(40)]
+    [(lang, data)] = language.samples(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 100)
+    assert lang == "es" and len(data.split(b"\n")) >= 25 and data.count(b"hola") <= 1
+
+
+def test_quality_against_plain_neighbours(spark, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(real, labels)
+    train = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert model.prior == pytest.approx(np.mean(list(train.values())))
+    raws = {r["doc_id"]: r["text"].encode() for r in real.collect()}
+    x = np.stack([quality.terms(raws[d]) for d in sorted(train, key=str) if d in raws]).astype(float)
+    y = np.array([train[d] for d in sorted(train, key=str) if d in raws])
+    assert sorted(y) == sorted(model.y) and model.vectors.shape == (min(quality.RANK, len(y)), len(y))
+    weigh = lambda z: z * model.idf / np.maximum(np.linalg.norm(z * model.idf, axis=-1, keepdims=True), 1e-9)
+    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=-1, keepdims=True), 1e-9)
+    vectors, vote = unit(weigh(x) @ model.v), {k: (model.prior if k else 1 - model.prior) / (y == k).sum() * len(y) for k in (0, 1)}
+    some = list(raws.values())[::9]
+    for raw, got in zip(some, model.score(some)):
+        near = vectors @ unit(weigh(quality.terms(raw).astype(float)) @ model.v)
+        best = sorted(range(len(y)), key=lambda i: -near[i])[: quality.NEIGHBOURS]
+        s = [max(near[i], 0) ** 8 * vote[int(y[i])] for i in best]
+        assert got == pytest.approx(sum(w for w, i in zip(s, best) if y[i]) / sum(s), abs=2e-3)
+
+
+def test_quality_share_counts_documents_with_labels_0_and_1(spark):
+    docs = spark.createDataFrame([(i, f"word {i} some text") for i in range(1, 40)], "doc_id long, text string")
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], 5), (ids[1], 1), (ids[1], 1), (ids[2], 0), (ids[3], 9), (ids[4], 1), (ids[4], 0), (None, 0)]
+    model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert model.prior == pytest.approx(1 / 3) and (model.vote > 0).all() and len(model.y) == 3
+
+
+def test_toxicity_against_plain_counts(spark):
+    bad = [f"you are an idi{'o' * (i % 2)}ot and a foo number {i}" for i in range(1, 60)]
+    good = [f"a fine day with tea and cake number {i} an" for i in range(1, 90)]
+    docs = spark.createDataFrame(list(enumerate([*bad, *good])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(bad) + len(good))], "doc_id long, toxic int")
+    scorer = toxicity.learn(docs, labels)
+    train = [(i, t) for i, t in enumerate([*bad, *good]) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n_bad, n_good = sum(i < len(bad) for i, _ in train), sum(i >= len(bad) for i, _ in train)
+    assert (scorer.n_bad, scorer.n_good) == (n_bad, n_good)
+    assert any(e.startswith("idi") for e in scorer.lexicon) and "foo " in scorer.lexicon and "an " not in scorer.lexicon
+    for entry, counts in scorer.lexicon.items():  # every entry's documents, counted word by word
+        has = lambda t: any((w + " ").startswith(entry) for w in toxicity.WORD.findall(toxicity.fold(t)))
+        assert counts == (sum(has(t) for i, t in train if i < len(bad)), sum(has(t) for i, t in train if i >= len(bad)))
+        assert counts[0] >= toxicity.SUPPORT and toxicity.weight(*counts, n_bad, n_good) >= toxicity.ODDS
+    for _, text in train[::5]:
+        words = toxicity.WORD.findall(toxicity.fold(text))
+        hit = [max((toxicity.weight(*c, n_bad, n_good) for e, c in scorer.lexicon.items() if (w + " ").startswith(e)), default=0) for w in words]
+        best = {w: h for w, h in zip(words, hit) if h}
+        got = scorer.measures(text)
+        assert got[1] == pytest.approx(max(best.values(), default=0)) and got[3] == pytest.approx(np.log1p(sum(h > 0 for h in hit)))
+
+
+def test_matches_inside_exceptions_only_are_safe():
+    scorer = toxicity.Scorer({"clown": (50, 0), "fish ": (50, 0)}, 100, 1000)
+    assert scorer.measures("a clown fish")[1] == 0 < scorer.measures("a clown fish clown")[1]
+    long = "clown fish " * 20_000
+    assert scorer.measures(long)[1] == 0
+
+
 def test_disguises_fold_to_plain_words():
     assert toxicity.fold("1d10t tr@sh ｓｃｕｍ ѕtuріd cl​own m0ron") == "idiot trash scum stupid clown moron"
     assert toxicity.fold("from 10 to 5 on, 2024!") == "from 10 to 5 on, 2024!"
@@ -217,9 +313,29 @@ def test_licences():
     assert licence.scan(b"mit license mit license", patterns)[1] == 2 and licence.scan(b"", patterns)[:4] == (0, 0, None, None)
 
 
-def test_licence_words_against_brute_force(spark, real):
-    import regex
+def test_licence_expressions_take_known_identifiers_only():
+    patterns = licence.automaton()
+    found = lambda text: licence.scan(text.encode(), patterns)[5:8]
+    assert found("SPDX-License-Identifier: MIT and see the LICENSE file") == ("mit", ["MIT"], True)
+    assert found("SPDX-License-Identifier: see LICENSE") == found("SPDX-License-Identifier: unknown text") == ("", [], None)
+    assert found("SPDX-License-Identifier: MIT OR the other one") == ("mit", ["MIT"], True)
+    assert found("Été\nSPDX License Identifier: GPL-3.0-only\nMIT") == ("gpl", ["GPL-3.0-only"], False)
+    assert found("SPDX-License-Identifier:\nMIT") == ("", [], None)
+    assert found("x SPDX-License-Identifier: Apache-2.0 SPDX-License-Identifier: MIT") == ("apache,mit", ["Apache-2.0", "MIT"], True)
+
+
+def test_licence_labels_against_plain_phrases(spark, real):
+    docs = real.limit(50).unionByName(spark.createDataFrame([(9001, "Mozilla Public-License; ISC license, all rights\nreserved. CC BY-NC", "en", "a", 1)], real.schema))
+    got = {r["doc_id"]: r["labels"] for r in licence.scan_licences(docs).collect()}
+    for r in docs.collect():
+        joined = " " + " ".join(regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"]))) + " "
+        want = {label for phrase, label in {**licence.BASE, **licence.MORE}.items() if f" {phrase} " in joined}
+        assert want <= set(got[r["doc_id"]].split(","))
+        if "spdx" not in joined:
+            assert got[r["doc_id"]] == ",".join(sorted(want))
+
 
+def test_licence_words_against_brute_force(spark, real):
     got = {r["doc_id"]: r for r in licence.scan_licences(real).collect()}
     for r in real.collect():
         text = "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"])
@@ -262,6 +378,25 @@ def test_packing_round_trip(spark, real):
     assert padding < 0.1 * total
 
 
+def test_packing_ids_of_random_strings(tmp_path):
+    from tokenizers import Tokenizer
+
+    rng, tokenizer, encode = random.Random(5), Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, 2)
+    odd = [*"abzABZ", *"éÉßÄİıŉſǰΣσᾴ\u0301\u0308\u0307", *" \t\n\r\x0b\x0c\xa0\u2028\u200b", *".,!?|$#%&*'-_<>/09²½ªº×÷", "'s", "'ll", "<|endoftext|>", "中", "😀", "ﬁ", "\u212b", "\u212a", "\u2126", "हि"]
+    strings = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(60_000)]
+    strings += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), rng.randrange(32, 127)])) for _ in range(rng.randint(0, 12))) for _ in range(40_000)]
+    assert encode.cuttable
+    want = [array("I", [*e.ids, 2]).tobytes() for e in tokenizer.encode_batch(["İ,", *strings], add_special_tokens=False)]
+    assert encode(["İ,", *strings]) == want
+    # a file with other rules is not cut
+    rules = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    rules["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    other = packing.Encoder(str(tmp_path / "other.json"), 2)
+    tokenizer = Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not other.cuttable and other(["A b, C"]) == [array("I", [*tokenizer.encode("A b, C", add_special_tokens=False).ids, 2]).tobytes()]
+
+
 def test_step_groups_are_even():
     sizes = [4096] * 30 + [2048] * 11 + [512] * 40
     groups = packing.step_groups(sizes, 16_384)
@@ -289,18 +424,34 @@ def test_chat_without_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") <= 2
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_every_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.cells_of(mixing.measured(docs))
+    targets = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1, "none such": 0.0}}
+    for own, fraction in ((None, 0.5), (targets, 0.2)):
+        got = mixing.margins(cells, mixing.rake(cells, fraction, targets=own), fraction, targets=own).toPandas()
+        assert (got.reached <= got.tokens + 1e-6).all() and ((got.reached - got.goal).abs() <= 0.01 * got.goal).all()
+        whole = got[got.margin == "lang"].tokens.sum()
+        for _, m in got.groupby("margin"):
+            assert m.goal.sum() == pytest.approx(fraction * whole) and m.wanted.sum() == pytest.approx(fraction * whole)
+            short = m.wanted > m.tokens
+            assert (m.goal[short] == m.tokens[short]).all()  # what a value lacks goes to the others in proportion
+            free = m[m.goal < m.tokens]
+            assert (free.goal / free.wanted).max() == pytest.approx((free.goal / free.wanted).min())
+        if own:
+            assert got[got.margin == "lang"].set_index("value").wanted["de"] == pytest.approx(0.3 * fraction * whole)
+
+
+def test_mixing_samples_what_its_cells_say(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = mixing.mix(docs).toPandas()
     assert got.probability.between(0, 1).all() and len(got) == docs.count()
-    share = got.tokens * got.probability
-    raw = got.groupby("lang").tokens.sum() ** mixing.POWERS["lang"]
-    assert abs(share.groupby(got.lang).sum() / share.sum() - raw / raw.sum()).max() < 0.05
-    assert abs(got[got.sampled].tokens.sum() / share.sum() - 1) < 0.05
+    assert abs(got[got.sampled].tokens.sum() / (got.tokens * got.probability).sum() - 1) < 0.05
+    assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - 0.5) < 0.005
 
 
-def test_mixing_rakes_many_cells_as_it_does_few(spark):
-    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 4}", "prose" if i % 5 else "tabular", 10 + 7 * i) for i in range(60)], "source string, lang string, topic string, tokens long")
-    cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    few, many = [mixing.rake(cells, rounds=3, together=n).toPandas().set_index(["source", "lang", "topic"]).sort_index().weight for n in (1000, 0)]
-    assert len(few) == len(many) and np.allclose(few, many, rtol=1e-9)
+def test_mixing_by_given_topics_and_contradicting_targets(spark):
+    docs = spark.createDataFrame([(i, "one two three", "en", "a" if i % 2 else "b", "x" if i % 2 else "y") for i in range(200)], "doc_id long, text string, lang string, source string, kind string")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "topic": {"x": 0.1, "y": 0.9}}  # a is x and b is y: both can't be met
+    got = mixing.mix(docs, 0.3, targets=targets, topic=F.col("kind")).toPandas()
+    assert set(got.topic) == {"x", "y"} and got.probability.between(0, 1).all()
