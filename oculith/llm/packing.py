@@ -10,6 +10,7 @@ most one sequence a shard has padding. Sequences are then dealt to step groups o
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from array import array
@@ -17,7 +18,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +31,45 @@ TIERS = (512, 1024, 2048, 4096)
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: The normalizer and the pre-tokenizer whose rules let texts be cut at blanks, and ASCII letters from marks.
+CUTTABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by the tokenizer of a file, with what it gave kept.
 
-    Chunks between ASCII blanks are encoded one by one, and a run of letters apart from plain marks behind it: the
-    vocabulary's pre-tokenizer never joins across either border. ASCII words are kept in lower case, as it folds case.
+    Where the file's rules are those of CUTTABLE, chunks between ASCII blanks are encoded one by one: nothing joins across
+    them. A run of ASCII letters, or of Latin letters that stay single letters when composed and folded, is a word and is
+    encoded apart from plain marks behind it; ASCII words are kept in lower case. Many words are encoded as one text, whose
+    ids are cut where a word ends by its token's suffix. Texts of other files are encoded whole.
     """
 
     MARKS = ".,!?|$#%&*"
+    #: Latin letters of the two blocks after ASCII, without the signs among them and without those that fold to more.
+    PLAIN = regex.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
-    def __init__(self, path: str, end_id: int, chunks: int = 1_200_000, words: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, chunks: int = 600_000, words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id.to_bytes(4, "little")
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        plain = all(not t["lstrip"] and not t["rstrip"] and not t["normalized"] for t in rules["added_tokens"])
+        self.cuttable = plain and rules["post_processor"] is None and all(rules[k] == v for k, v in CUTTABLE.items())
+        suffix = rules["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.most = (chunks, words)
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
@@ -49,10 +77,28 @@ class Encoder:
     def parts(self, chunk: str) -> tuple[str, str]:
         core = chunk.rstrip(self.MARKS)
         if core.isalpha():
-            return core.lower() if core.isascii() else core, chunk[len(core) :]
+            if core.isascii():
+                return core.lower(), chunk[len(core) :]
+            if self.PLAIN.fullmatch(core):
+                return core, chunk[len(core) :]
         return chunk, ""
 
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded_words(self, words: list[str], together: int = 4096) -> list[bytes]:
+        """Ids of words (see parts), many at a time; one by one where a word's end can't be told."""
+        out = []
+        for at in range(0, len(words), together):
+            own = words[at : at + together]
+            raw = self.encoded([" ".join(own)])[0]
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(own) else self.encoded(own)
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuttable:
+            return [x + self.end for x in self.encoded(texts)]
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         every = set()
         for chunks in split:
@@ -66,9 +112,11 @@ class Encoder:
             if len(self.words) > self.most[1]:
                 self.words = {"": b""}
             words, parts = self.words, [self.parts(x) for x in new]
-            unseen = list({p for pair in parts for p in pair}.difference(words))
-            for word, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-                words[word] = array("I", e.ids).tobytes()
+            plain = list({core for core, marks in parts if core.isalpha()}.difference(words))
+            odd = list({p for pair in parts for p in pair if not p.isalpha()}.difference(words))
+            plain, mixed = [x for x in plain if x.isascii() or self.PLAIN.fullmatch(x)], [x for x in plain if not (x.isascii() or self.PLAIN.fullmatch(x))]
+            words.update(zip(plain, self.encoded_words(plain)))
+            words.update(zip(odd + mixed, self.encoded(odd + mixed)))
             known.update(zip(new, [words[core] + words[marks] for core, marks in parts]))
         return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
 
@@ -156,7 +204,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
 
     A document is its ids and then `end_id`; null and empty texts are `end_id` alone. Ids of sequences are unique:
     the number of the task's partition, then of the shard and of the sequence. Repeated rows are packed each for itself;
-    other columns are ignored; an empty table gives no rows.
+    a text of any length is encoded whole, and is the only one in memory beyond a shard's tokens; other columns are
+    ignored; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
