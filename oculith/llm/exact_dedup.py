@@ -22,8 +22,6 @@ from oculith.llm.shared import ascii_lower, kept_row, looked_up, written
 
 #: Rows of a bucket before it is split, and bits of the hash that the directory can use.
 CAPACITY, MAX_DEPTH = 4096, 16
-#: Buckets that one owner task holds on average, so that uneven ones even out.
-TOGETHER = 4
 
 
 def double_directory(histogram: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -84,7 +82,7 @@ class Directory:
     def deal(self, rows: DataFrame) -> DataFrame:
         """rows at their owners, with bucket and part. In a chain, rows of the same text go to any of its parts, by id."""
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
-        return rows.withColumn("part", part.cast("int")).repartition(max(1, -(-self.parts // TOGETHER)), "bucket", "part")
+        return rows.withColumn("part", part.cast("int")).repartition(self.parts, "bucket", "part")
 
 
 def folded(rows: DataFrame, text: Column, directory: Directory, first: dict[str, Column], again: dict[str, Column]) -> DataFrame:
