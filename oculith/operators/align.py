@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oculith.functions.columns import by, require_columns
+from oculith.functions.columns import require_columns
+from oculith.operators.ordered import SECONDS, cell_of, numbered, over
 
 SESSION = ("session_id",)
 
@@ -17,22 +18,17 @@ def gaze_clock(gaze: DataFrame, source_order: str = "src_id") -> DataFrame:
     """Seconds since the session's first sample, ids in time order, short names; other columns are carried."""
     require_columns(gaze, "session_id", "device_time_stamp", "gaze_point_on_display_area_x", "gaze_point_on_display_area_y")
     t = F.col("device_time_stamp")
-    return (
-        gaze.withColumn("time_sec", (t - F.min(t).over(by(SESSION))) / F.lit(1e6))
-        .withColumn("gaze_id", F.row_number().over(by(SESSION, t, source_order)))
-        .withColumnsRenamed({"gaze_point_on_display_area_x": "gaze_x", "gaze_point_on_display_area_y": "gaze_y"})
-    )
+    df = numbered(gaze, SESSION, (t, source_order), cell_of(t, SECONDS * 1e6), "gaze_id", least=("__origin", t))
+    df = df.withColumn("time_sec", (t - F.col("__origin")) / F.lit(1e6)).drop("__origin")
+    return df.withColumnsRenamed({"gaze_point_on_display_area_x": "gaze_x", "gaze_point_on_display_area_y": "gaze_y"})
 
 
 def event_clock(events: DataFrame, source_order: str = "src_id") -> DataFrame:
     """Seconds since the session's first event, ids in time order."""
     require_columns(events, "session_id", "client_timestamp", "plane", "index")
     t = F.col("client_timestamp")
-    return (
-        events.withColumn("z_time_sec", (t - F.min(t).over(by(SESSION))) / F.lit(1e3))
-        .withColumn("z_event_id", F.row_number().over(by(SESSION, t, source_order)))
-        .withColumnRenamed("index", "slice_index")
-    )
+    df = numbered(events, SESSION, (t, source_order), cell_of(t, SECONDS * 1e3), "z_event_id", least=("__origin", t))
+    return df.withColumn("z_time_sec", (t - F.col("__origin")) / F.lit(1e3)).drop("__origin").withColumnRenamed("index", "slice_index")
 
 
 def session_spans(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95, latency: float | None = None) -> DataFrame:
@@ -55,20 +51,15 @@ def intervals(events: DataFrame, spans: DataFrame) -> DataFrame:
     """Slice events with time_start and time_end; events that end when they start are left out."""
     mode = F.col("integration_mode")
     last = F.when(mode == "sparse_coverage", F.col("gaze_duration") + F.col("latency") + 1).otherwise(F.col("z_duration") + 1)
-    following = F.lead("z_time_sec").over(by(SESSION, "z_time_sec", "z_event_id"))
-    out = events.join(spans.select("session_id", "integration_mode", "coverage_ratio", "latency", "gaze_duration", "z_duration"), "session_id")
+    out = over(events, lambda w: {"__following": F.lead("z_time_sec").over(w)}, after=1, row="z_event_id").join(spans.select("session_id", "integration_mode", "coverage_ratio", "latency", "gaze_duration", "z_duration"), "session_id")
     out = out.withColumn("time_start", F.when(mode == "single_event", F.lit(0.0)).otherwise(F.col("z_time_sec")))
-    out = out.withColumn("time_end", F.when(mode == "single_event", F.col("gaze_duration")).otherwise(F.coalesce(following, last)))
+    out = out.withColumn("time_end", F.when(mode == "single_event", F.col("gaze_duration")).otherwise(F.coalesce("__following", last))).drop("__following")
     return out.filter((mode == "single_event") | (F.col("time_start") < F.col("time_end")))
 
 
 PAYLOAD = ("z_event_id", "z_time_sec", "plane", "slice_index", "image_id", "time_start", "time_end", "integration_mode", "coverage_ratio")
 
 
-def _cell(t: Column, bucket: float) -> Column:
-    return F.floor(t / F.lit(bucket)).cast("long")
-
-
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: tuple[str, ...], tie: str, bucket: float = 30.0, forward: bool = False, reach: tuple[Column, Column] | None = None) -> DataFrame:
     """Left rows with struct `hit` of the last right row at or before (forward: first at or after) in the same session.
 
@@ -78,11 +69,11 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, pa
     of time go to the largest `tie` (forward: the smallest).
     """
     hit = F.struct(F.col(right_time).alias("at"), F.col(tie).alias("tie"), *payload)
-    cells = F.array(_cell(F.col(right_time), bucket))
+    cells = F.array(cell_of(right_time, bucket))
     if reach:
-        first, last = (_cell(x, bucket) for x in reach)
+        first, last = (cell_of(x, bucket) for x in reach)
         cells = F.when(first <= last, F.sequence(first, last))
-    rows = left.select("session_id", _cell(F.col(left_time), bucket).alias("cell"), F.col(left_time).alias("at"), F.lit(0 if forward else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"))
+    rows = left.select("session_id", cell_of(left_time, bucket).alias("cell"), F.col(left_time).alias("at"), F.lit(0 if forward else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"))
     marks = right.select("session_id", F.explode(cells).alias("cell"), F.col(right_time).alias("at"), F.lit(1 if forward else 0).alias("side"), F.col(tie).cast("long").alias("tie"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), hit.alias("hit"))
     both = rows.unionByName(marks)
     up = (lambda c: F.col(c).desc()) if forward else F.col
@@ -102,9 +93,9 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
 
     Dealt as in as_of(); both directions are searched in one dealing.
     """
-    rows = left.select("session_id", _cell(F.col(left_time), bucket).alias("cell"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast("double").alias("mark"))
+    rows = left.select("session_id", cell_of(left_time, bucket).alias("cell"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast("double").alias("mark"))
     t = F.col(right_time).cast("double")
-    both = rows.unionByName(right.select("session_id", _cell(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark")))
+    both = rows.unionByName(right.select("session_id", cell_of(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark")))
     w, cells = Window.partitionBy("session_id", "cell").orderBy("at", F.col("mark").asc_nulls_last()), Window.partitionBy("session_id").orderBy("cell")
     back = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     forth = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -117,13 +108,14 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     return found.select("row.*", distance.alias(name))
 
 
-def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95, latency: float | None = None, method: str = "asof", fallback: bool = False) -> DataFrame:
+def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95, latency: float | None = None, method: str = "asof", fallback: bool = False, spans: DataFrame | None = None) -> DataFrame:
     """Every clocked gaze sample with the slice on screen; samples outside all intervals are dropped.
 
     method "asof" has no blow-up however many events a session has; "range" suits few events a session. With `fallback`,
-    a session where nothing matched gets the event numbered one past the last that has begun (mode `*_alt`).
+    a session where nothing matched gets the event numbered one past the last that has begun (mode `*_alt`). `spans`, one
+    row a session from session_spans(), can be given where it is there already.
     """
-    spans = session_spans(gaze, events, coverage_threshold, latency)
+    spans = session_spans(gaze, events, coverage_threshold, latency) if spans is None else spans
     z = intervals(events, spans)
     g = gaze.join(spans.select("session_id", "latency"), "session_id").withColumn("time_aligned", F.col("time_sec") + F.col("latency")).drop("latency")
     inside = (F.col("time_aligned") < F.col("time_end")) | (F.col("integration_mode") == "single_event")
@@ -136,9 +128,10 @@ def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95,
     if not fallback:
         return out
     missed = g.join(out.select("session_id").distinct(), "session_id", "left_anti")
-    begun = missed.join(events.select("session_id", F.col("z_time_sec").alias("begin")), "session_id").groupBy("session_id", "gaze_id").agg((F.count_if(F.col("begin") <= F.col("time_aligned")) + 1).alias("n"), F.count(F.lit(1)).alias("most"))
-    begun = begun.select("session_id", "gaze_id", F.least("n", "most").cast("int").alias("z_event_id"))
-    alt = missed.join(begun, ["session_id", "gaze_id"]).join(z.select("session_id", *PAYLOAD), ["session_id", "z_event_id"])
+    # Events are numbered by time, so the last one begun says how many have.
+    begun = as_of(missed, events, "time_aligned", "z_time_sec", (), "z_event_id").join(spans.select("session_id", "n_events"), "session_id")
+    begun = begun.withColumn("z_event_id", F.least(F.coalesce("hit.tie", F.lit(0)) + 1, F.col("n_events"))).drop("hit", "n_events")
+    alt = begun.join(z.select("session_id", *PAYLOAD), ["session_id", "z_event_id"])
     return out.unionByName(alt.withColumn("integration_mode", F.concat("integration_mode", F.lit("_alt"))))
 
 
@@ -148,11 +141,11 @@ def within_image(df: DataFrame, left: float = 0.0, right: float = 1.0, top: floa
     return df.withColumns({"gaze_x_adjusted": x, "gaze_y_adjusted": y}).withColumn("within_bounds", F.col("gaze_x_adjusted").between(0, 1) & F.col("gaze_y_adjusted").between(0, 1))
 
 
-def integration_report(gaze: DataFrame, events: DataFrame, integrated: DataFrame, coverage_threshold: float = 0.95) -> DataFrame:
+def integration_report(spans: DataFrame, integrated: DataFrame) -> DataFrame:
     """One row per session: counts, durations, mode, latency, matched and unmatched samples."""
     matched = integrated.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_matched"))
     n = F.coalesce("n_matched", F.lit(0))
-    return session_spans(gaze, events, coverage_threshold).join(matched, "session_id", "left").select(
+    return spans.join(matched, "session_id", "left").select(
         "session_id", "n_gaze", "n_events", "gaze_duration", "z_duration", "integration_mode", "coverage_ratio", "latency",
         n.alias("n_matched"), (F.col("n_gaze") - n).alias("n_unmatched"), (100.0 * n / F.col("n_gaze")).alias("pct_matched"),
     )

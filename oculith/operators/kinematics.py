@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from oculith.functions.columns import by, norm2
-
-SESSION = ("session_id",)
-ORDER = ("time_sec", "gaze_id")
+from oculith.functions.columns import norm2
+from oculith.operators.ordered import SESSION, dense, islands, over, quantiles, with_stats
 
 
 @dataclass(frozen=True)
@@ -45,14 +43,14 @@ def visual_angle(size: Column, distance: Column) -> Column:
     return F.degrees(2.0 * F.atan(size / (2.0 * distance)))
 
 
-def step(name: str, keys: tuple[str, ...] = SESSION) -> Column:
-    return F.col(name) - F.lag(name).over(by(keys, *ORDER))
+def step(name: str, w: WindowSpec) -> Column:
+    return F.col(name) - F.lag(name).over(w)
 
 
 def velocity(gaze: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """dt, dx, dy, displacement, velocity_norm, displacement_deg, velocity_deg_s; null at the first sample and where no
     time passes."""
-    df = gaze.withColumns({"dt": step("time_sec"), "dx": step("gaze_x"), "dy": step("gaze_y")})
+    df = over(gaze, lambda w: {"dt": step("time_sec", w), "dx": step("gaze_x", w), "dy": step("gaze_y", w)}, before=1)
     df = df.withColumn("displacement", norm2(F.col("dx"), F.col("dy")))
     df = df.withColumn("displacement_deg", norm2(F.col("dx") * screen.width_deg, F.col("dy") * screen.height_deg))
     return df.withColumns({"velocity_norm": F.try_divide("displacement", "dt"), "velocity_deg_s": F.try_divide("displacement_deg", "dt")})
@@ -61,58 +59,58 @@ def velocity(gaze: DataFrame, screen: Screen = Screen()) -> DataFrame:
 def fixations_deg(moving: DataFrame, screen: Screen = Screen()) -> DataFrame:
     """fixation_group (islands of equal flags), n_samples, is_fixation: slow samples in groups of enough samples."""
     slow = F.coalesce(F.col("velocity_deg_s") < screen.fixation_deg_s, F.lit(False))
-    df = moving.withColumn("slow", slow)
-    change = (F.col("slow") != F.lag("slow", 1, False).over(by(SESSION, *ORDER))).cast("int")
-    df = df.withColumn("change", change).withColumn("fixation_group", F.sum("change").over(by(SESSION, *ORDER).rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("n_samples", F.count_if("slow").over(by((*SESSION, "fixation_group"))))
-    return df.withColumn("is_fixation", F.col("slow") & (F.col("n_samples") >= screen.min_samples)).drop("slow", "change")
-
-
-def fixations_norm(gaze: DataFrame, threshold: float = 0.5, min_duration: float = 0.05, keys: tuple[str, ...] = SESSION) -> DataFrame:
-    """velocity, is_fixation, fixation_id, fixation_duration in normalised units; short islands lose flag and id."""
-    dt = F.greatest(F.coalesce(step("time_sec", keys), F.lit(0.0)), F.lit(1e-6))
-    df = gaze.withColumn("velocity", norm2(F.coalesce(step("gaze_x", keys), F.lit(0.0)), F.coalesce(step("gaze_y", keys), F.lit(0.0))) / dt)
-    df = df.withColumn("slow", F.col("velocity") < threshold)
-    rise = (F.col("slow") & ~F.lag("slow", 1, False).over(by(keys, *ORDER))).cast("int")
-    df = df.withColumn("rise", rise).withColumn("island", F.when(F.col("slow"), F.sum("rise").over(by(keys, *ORDER).rowsBetween(Window.unboundedPreceding, 0))))
-    own = by((*keys, "island"))
-    df = df.withColumn("span", F.max("time_sec").over(own) - F.min("time_sec").over(own))
+    df = islands(moving.withColumn("slow", slow), lambda w: F.col("slow") != F.lag("slow", 1, False).over(w), "slow")
+    df = df.withColumnsRenamed({"island": "fixation_group", "island_rows": "n_samples"}).drop("island_low", "island_high")
+    return df.withColumn("is_fixation", F.col("slow") & (F.col("n_samples") >= screen.min_samples)).drop("slow")
+
+
+def fixations_norm(gaze: DataFrame, threshold: float = 0.5, min_duration: float = 0.05, keys: tuple[str, ...] = SESSION, row: str = "gaze_id") -> DataFrame:
+    """velocity, is_fixation, fixation_id, fixation_duration in normalised units; short islands lose flag and id. `row`
+    numbers the rows of the keys without gaps."""
+    df = gaze
+    moved = lambda c, w: F.coalesce(step(c, w), F.lit(0.0))
+    speed = lambda w: {"velocity": norm2(moved("gaze_x", w), moved("gaze_y", w)) / F.greatest(moved("time_sec", w), F.lit(1e-6))}
+    df = over(df, speed, before=1, keys=keys, row=row).withColumn("slow", F.col("velocity") < threshold)
+    df = islands(df, lambda w: F.col("slow") & ~F.lag("slow", 1, False).over(w), "slow", keys=keys, row=row)
+    df = df.withColumn("span", F.col("island_high") - F.col("island_low"))
     valid = F.col("slow") & (F.col("span") >= min_duration)
-    return df.withColumns({"is_fixation": F.coalesce(valid, F.lit(False)), "fixation_id": F.when(valid, F.col("island")), "fixation_duration": F.when(valid, F.col("span"))}).drop("slow", "rise", "island", "span")
+    df = df.withColumns({"is_fixation": F.coalesce(valid, F.lit(False)), "fixation_id": F.when(valid, F.col("island")), "fixation_duration": F.when(valid, F.col("span"))})
+    return df.drop("slow", "island", "island_rows", "island_low", "island_high", "span")
 
 
 def gaps(aligned: DataFrame, seconds: float = 0.5, time: str = "time_aligned") -> DataFrame:
     """Samples that come more than `seconds` after the one before, with the gap."""
-    gap = F.coalesce(F.col(time) - F.lag(time).over(by(SESSION, time, "gaze_id")), F.lit(0.0))
-    return aligned.withColumn("gap", gap).filter(F.col("gap") > seconds)
+    gap = lambda w: {"gap": F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0.0))}
+    return over(dense(aligned, time), gap, before=1, row="__row").filter(F.col("gap") > seconds).drop("__row")
 
 
 def transitions(events: DataFrame, index: str = "slice_index", time: str = "z_time_sec", tie: str = "z_event_id") -> DataFrame:
     """session_id, transition_time, slice_before, slice_after where the slice changes."""
-    before = F.lag(index).over(by(SESSION, time, tie))
-    return events.select("session_id", F.col(time).alias("transition_time"), before.alias("slice_before"), F.col(index).alias("slice_after"), F.col(tie).alias("transition_id")).filter("slice_before <> slice_after")
+    df = over(dense(events, time, tie), lambda w: {"slice_before": F.lag(index).over(w)}, before=1, row="__row")
+    return df.select("session_id", F.col(time).alias("transition_time"), "slice_before", F.col(index).alias("slice_after"), F.col(tie).alias("transition_id")).filter("slice_before <> slice_after")
 
 
-def rolling_mean(name: str, before: int, after: int) -> Column:
-    """Mean over a full frame of rows; null near the ends."""
-    w = by(SESSION, *ORDER).rowsBetween(-before, after)
-    return F.when(F.count(F.lit(1)).over(w) == before + after + 1, F.avg(name).over(w))
+def rolling_mean(name: str, before: int, after: int, w: WindowSpec) -> Column:
+    """Mean over a full frame of rows of an ordered window; null near the ends."""
+    frame = w.rowsBetween(-before, after)
+    return F.when(F.count(F.lit(1)).over(frame) == before + after + 1, F.avg(name).over(frame))
 
 
 def jitter_and_drift(moving: DataFrame) -> DataFrame:
     """jitter (distance to the mean of five samples) and drift (distance to the first known position) of each sample."""
-    w = by(SESSION, *ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = moving.withColumns({"mx": rolling_mean("gaze_x", 2, 2), "my": rolling_mean("gaze_y", 2, 2), "fx": F.first("gaze_x", True).over(w), "fy": F.first("gaze_y", True).over(w)})
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("gaze_id")))
+    df = over(moving, lambda w: {"mx": rolling_mean("gaze_x", 2, 2, w), "my": rolling_mean("gaze_y", 2, 2, w)}, before=2, after=2)
+    df = df.join(moving.groupBy("session_id").agg(known("gaze_x").alias("fx"), known("gaze_y").alias("fy")), "session_id")
     x, y = F.col("gaze_x"), F.col("gaze_y")
     return df.withColumns({"jitter": norm2(x - F.col("mx"), y - F.col("my")), "drift": norm2(x - F.col("fx"), y - F.col("fy"))}).drop("mx", "my", "fx", "fy")
 
 
-def smooth_velocity(gaze: DataFrame) -> DataFrame:
-    """smooth_x, smooth_y (means of five), their central-difference velocity, and the residual to them."""
-    w = by(SESSION, *ORDER)
-    df = gaze.withColumns({"smooth_x": rolling_mean("gaze_x", 2, 2), "smooth_y": rolling_mean("gaze_y", 2, 2)})
-    slope = lambda c: F.try_divide(F.lead(c).over(w) - F.lag(c).over(w), F.lead("time_sec").over(w) - F.lag("time_sec").over(w))
-    df = df.withColumns({"vx": slope("smooth_x"), "vy": slope("smooth_y")})
+def smooth_velocity(gaze: DataFrame, row: str = "gaze_id") -> DataFrame:
+    """smooth_x, smooth_y (means of five), their central-difference velocity, and the residual to them; `row` numbers the
+    samples of a session without gaps."""
+    smooth = lambda w: {"smooth_x": rolling_mean("gaze_x", 2, 2, w), "smooth_y": rolling_mean("gaze_y", 2, 2, w)}
+    slope = lambda c, w: F.try_divide(F.lead(c).over(w) - F.lag(c).over(w), F.lead("time_sec").over(w) - F.lag("time_sec").over(w))
+    df = over(gaze, smooth, lambda w: {"vx": slope("smooth_x", w), "vy": slope("smooth_y", w)}, before=3, after=3, row=row)
     return df.withColumns({"smooth_velocity": norm2(F.col("vx"), F.col("vy")), "residual": norm2(F.col("gaze_x") - F.col("smooth_x"), F.col("gaze_y") - F.col("smooth_y"))})
 
 
@@ -138,19 +136,18 @@ def velocity_distribution(moving: DataFrame, screen: Screen = Screen()) -> DataF
     """Velocity statistics per session over samples that have one."""
     v = F.col("velocity_deg_s")
     slow = v < screen.fixation_deg_s
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]))
+    q = quantiles(moving, "velocity_deg_s", (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
     out = moving.filter(v.isNotNull()).groupBy("session_id").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.max(v).alias("max"),
-        F.count_if(slow).alias("n_fixation"), F.count_if(~slow).alias("n_saccade"), F.avg(F.when(slow, v)).alias("mean_fixation"), F.avg(F.when(~slow, v)).alias("mean_saccade"), F.max(F.when(~slow, v)).alias("max_saccade"), q.alias("q"),
-    )
+        F.count_if(slow).alias("n_fixation"), F.count_if(~slow).alias("n_saccade"), F.avg(F.when(slow, v)).alias("mean_fixation"), F.avg(F.when(~slow, v)).alias("mean_saccade"), F.max(F.when(~slow, v)).alias("max_saccade"),
+    ).join(q, "session_id")
     return out.select("*", *[F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75", "p90", "p95", "p99"))]).drop("q")
 
 
 def attention_weights(fixed: DataFrame, keys: tuple[str, ...] = SESSION, half: float = 0.05) -> DataFrame:
     """attention_weight: by fixation duration and slowness, summing to the number of samples of each key."""
-    own = by(keys)
     duration = F.when(F.col("is_fixation"), F.coalesce("fixation_duration", F.lit(0.0))).otherwise(0.0)
-    df = fixed.withColumn("duration", duration).withColumn("mean_duration", F.avg("duration").over(own))
-    raw = F.when(F.col("mean_duration") > 1e-6, F.col("duration") / F.col("mean_duration")).otherwise(F.col("duration")) / (1.0 + F.col("velocity") / half)
-    df = df.withColumn("raw", raw).withColumn("total", F.sum("raw").over(own))
-    return df.withColumn("attention_weight", F.when(F.col("total") > 0, F.col("raw") * F.count(F.lit(1)).over(own) / F.col("total")).otherwise(F.col("raw"))).drop("duration", "mean_duration", "raw", "total")
+    df = fixed.withColumn("part", duration / (1.0 + F.col("velocity") / half))
+    df = with_stats(df, keys, parts=F.sum("part"), n=F.count(F.lit(1)))  # the mean duration cancels against the sum
+    own = F.when(F.col("parts") > 0, F.col("part") * F.col("n") / F.col("parts")).otherwise(F.col("part"))
+    return df.withColumn("attention_weight", own).drop("part", "parts", "n")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oculith.functions.columns import by, equal_bin, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2
+from oculith.functions.columns import equal_bin, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2
 from oculith.operators.align import nearest
 from oculith.operators.kinematics import Screen, rolling_mean, transitions
-
-SESSION = ("session_id",)
+from oculith.operators.ordered import SESSION, dense, over, quantiles, tile, with_stats
 
 
 def nearest_transition(samples: DataFrame, marks: DataFrame, time: str = "time_aligned", mark: str = "transition_time") -> DataFrame:
@@ -39,8 +38,7 @@ def velocity_coupling(moving: DataFrame, screen: Screen = Screen(), n_bins: int
     """P1 per session: spread of displacement against velocity over equal-width bins of enough samples."""
     v = F.col("velocity_deg_s")
     valid = moving.filter(v.isNotNull() & F.col("displacement").isNotNull())
-    own = by(SESSION)
-    binned = valid.withColumn("bin", equal_bin(v, F.min(v).over(own), F.max(v).over(own), n_bins))
+    binned = with_stats(valid, SESSION, low=F.min(v), high=F.max(v)).withColumn("bin", equal_bin(v, F.col("low"), F.col("high"), n_bins))
     stats = binned.groupBy("session_id", "bin").agg(F.avg(v).alias("x"), F.stddev_samp("displacement").alias("y"), rows().alias("n")).filter(F.col("n") >= least)
     out = stats.groupBy("session_id").agg(rows().alias("n_bins"), safe_r2("y", "x").alias("r_squared"), F.regr_slope("y", "x").alias("slope"))
     enough = F.col("n_bins") >= 3
@@ -60,13 +58,14 @@ def independence(jittered: DataFrame, screen: Screen = Screen(), least: int = 50
 
 
 def segments(df: DataFrame, n: int = 4) -> DataFrame:
-    return df.withColumn("segment", F.ntile(n).over(by(SESSION, "time_sec", "gaze_id")))
+    """segment: which of n runs of nearly equal size a sample of its session belongs to."""
+    return dense(df, total="__total").withColumn("segment", tile(n, F.col("__row"), F.col("__total"))).drop("__row", "__total")
 
 
 def accumulation(integrated: DataFrame, n: int = 4) -> DataFrame:
     """P3 per session: does the spread of time residuals grow over the session's segments?"""
-    residual = F.col("time_aligned") - F.avg("time_aligned").over(by((*SESSION, "z_event_id")))
-    seg = segments(integrated.withColumn("residual", residual), n).groupBy("session_id", "segment").agg(F.var_samp("residual").alias("v"), F.stddev_samp("residual").alias("sd"), F.avg("time_sec").alias("t"))
+    centred = with_stats(integrated, (*SESSION, "z_event_id"), centre=F.avg("time_aligned"))
+    seg = segments(centred.withColumn("residual", F.col("time_aligned") - F.col("centre")), n).groupBy("session_id", "segment").agg(F.var_samp("residual").alias("v"), F.stddev_samp("residual").alias("sd"), F.avg("time_sec").alias("t"))
     out = seg.groupBy("session_id").agg(rows().alias("n_segments"), F.max(F.when(F.col("segment") == 1, F.col("v"))).alias("first"), F.max(F.when(F.col("segment") == n, F.col("v"))).alias("last"), F.regr_slope("sd", "t").alias("slope"))
     ratio = F.try_divide("last", "first")
     slope = F.when(F.col("n_segments") >= 3, F.col("slope"))
@@ -89,7 +88,7 @@ def recorded_coupling(smooth: DataFrame) -> DataFrame:
     """P1 on recordings: mean residual against smoothed velocity over deciles of velocity."""
     v = F.col("smooth_velocity")
     valid = smooth.filter((v > 0) & F.col("residual").isNotNull())
-    breaks = valid.groupBy("session_id").agg(F.percentile(v, F.array(*[F.lit(i / 10) for i in range(11)])).alias("breaks"))
+    breaks = quantiles(valid, "smooth_velocity", tuple(i / 10 for i in range(11)), name="breaks")
     binned = valid.join(breaks, "session_id").withColumn("bin", quantile_bin(v, F.col("breaks")))
     stats = binned.filter("bin is not null").groupBy("session_id", "bin").agg(F.avg(v).alias("x"), F.avg("residual").alias("y"), rows().alias("n"))
     lx, ly = F.log10("x"), F.log10(F.when(F.col("y") > 0, F.col("y")))
@@ -98,9 +97,8 @@ def recorded_coupling(smooth: DataFrame) -> DataFrame:
 
 def clock_drift(gaze: DataFrame) -> DataFrame:
     """P3 on recordings: the tracker's system clock against its device clock."""
-    w = by(SESSION, "device_time_stamp", "gaze_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = (F.col("system_time_stamp") - F.col("device_time_stamp")).cast("double")
-    df = gaze.withColumn("drift_ms", (gap - F.first(gap).over(w)) / 1000.0)
+    df = with_stats(gaze, SESSION, first=F.min_by(gap, F.struct("device_time_stamp", "gaze_id"))).withColumn("drift_ms", (gap - F.col("first")) / 1000.0)
     out = df.groupBy("session_id").agg(rows().alias("n"), F.max_by("drift_ms", F.struct("device_time_stamp", "gaze_id")).alias("total_ms"), F.regr_slope("drift_ms", "time_sec").alias("slope"), safe_r2("drift_ms", "time_sec").alias("r_squared"))
     return out.select("session_id", "n", "total_ms", (F.col("slope") * 1000).alias("slope_ppm"), "r_squared")
 
@@ -113,13 +111,14 @@ def recorded_assignment(gaze: DataFrame, events: DataFrame, screen: Screen = Scr
     p = normal_cdf(d / screen.sigma_delta)
     close = d < 0.005
     few = events.groupBy("session_id").agg(rows().alias("n_events"))
-    out = near.withColumn("p", p).groupBy("session_id").agg(rows().alias("n"), (100 * F.avg((d < 3 * screen.sigma_delta).cast("double"))).alias("pct_ambiguous"), F.avg("p").alias("mean_p"), F.percentile(d, 0.5).alias("median_distance"), F.count_if(close).alias("n_close"), F.avg(F.when(close, F.col("p"))).alias("mean_p_close"))
-    return out.join(few, "session_id").select("session_id", "n", "n_events", "pct_ambiguous", "mean_p", "median_distance", "n_close", "mean_p_close", F.when(F.col("n_events") < 5, "too few events").otherwise("ok").alias("status"))
+    out = near.withColumn("p", p).groupBy("session_id").agg(rows().alias("n"), (100 * F.avg((d < 3 * screen.sigma_delta).cast("double"))).alias("pct_ambiguous"), F.avg("p").alias("mean_p"), F.count_if(close).alias("n_close"), F.avg(F.when(close, F.col("p"))).alias("mean_p_close"))
+    out = out.join(few, "session_id").join(quantiles(near, "dist_to_transition", (0.5,)), "session_id", "left")
+    return out.select("session_id", "n", "n_events", "pct_ambiguous", "mean_p", F.col("q")[0].alias("median_distance"), "n_close", "mean_p_close", F.when(F.col("n_events") < 5, "too few events").otherwise("ok").alias("status"))
 
 
 def slow_drift(gaze: DataFrame, before: int = 124, after: int = 125) -> DataFrame:
     """slow_x, slow_y: means over a long frame of samples, null near the ends."""
-    return gaze.withColumns({"slow_x": rolling_mean("gaze_x", before, after), "slow_y": rolling_mean("gaze_y", before, after)})
+    return over(gaze, lambda w: {"slow_x": rolling_mean("gaze_x", before, after, w), "slow_y": rolling_mean("gaze_y", before, after, w)}, before=before, after=after)
 
 
 def expected_variance(velocity: Column, seconds: Column, sigma_tracker: float = 0.5, alpha: float = 0.01, sigma_latency: float = 0.02, sigma_transform: float = 0.1) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, rounded, rows
-from oculith.operators import align, kinematics
-from oculith.plans.base import BOUNDS, DIMS, INTEGRATED, events, gaze, integrated, rsql
+from oculith.operators import align, heatmap, kinematics
 from oculith.operators.geometry import slice_number
+from oculith.operators.ordered import over, quantiles
+from oculith.plans.base import DIMS, events, gaze, integrated, rsql, spans
 from oculith.sources import recordings
 
 I_COLS = "session_id; gaze_id; ~time_sec; ~time_aligned; ~gaze_x; ~gaze_y; z_event_id; ~z_time_sec; plane; ~slice_index; image_id; ~time_start; ~time_end; integration_mode; ~coverage_ratio; ~gaze_x_adjusted; ~gaze_y_adjusted; within_bounds"
@@ -22,20 +23,33 @@ def a7(s, d):
 
 
 def a5(s, d):
-    return rounded(integrated(s, d).groupBy("session_id", "plane").agg(rows().alias("n"), F.count_if("within_bounds").alias("n_within"), F.bround(100.0 * F.count_if("within_bounds") / rows(), 1).alias("pct_within")))
+    """By session and plane, and over all planes of each session (plane `overall`)."""
+    i = integrated(s, d).groupingSets([("session_id", "plane"), ("session_id",)], "session_id", "plane")
+    out = i.agg(F.grouping("plane").alias("all_planes"), rows().alias("n"), F.count_if("within_bounds").alias("n_within"), F.bround(100.0 * F.count_if("within_bounds") / rows(), 1).alias("pct_within"))
+    return rounded(out.withColumn("plane", F.when(F.col("all_planes") == 1, "overall").otherwise(F.col("plane"))).drop("all_planes"))
+
+
+def a2(s, d):
+    own = spans(s, d)
+    return rounded(align.integration_report(own, integrated(s, d, own=own)))
+
+
+def k3(s, d):
+    """The ten most viewed slices of all sessions, and those that tie with the tenth."""
+    n = integrated(s, d).groupBy("plane", "slice_index").agg(rows().alias("n"))
+    tenth = n.orderBy(F.desc("n")).limit(10).agg(F.min("n").alias("least"))
+    return rounded(n.crossJoin(F.broadcast(tenth)).filter("n >= least").select("plane", "slice_index", "n"))  # one row
 
 
 def j9(s, d):
     """Every slice of an axial list against all samples within 0.02 of its index."""
-    grid = s.range(1, DIMS[2] + 1).select(F.col("id").cast("int").alias("slice_num"), ((F.col("id") - 1) / F.lit(DIMS[2] - 1.0)).alias("at"))
     i = integrated(s, d).filter("plane = 'AXIAL' and within_bounds")
-    hit = i.join(F.broadcast(grid), F.abs(F.col("slice_index") - F.col("at")) < 0.02)  # DIMS[2] rows
-    return hit.groupBy("session_id", "slice_num").agg(rows().alias("n"))
+    return heatmap.slice_hits(i, DIMS).groupBy("session_id", "slice_num").agg(rows().alias("n"))
 
 
 def f5(s, d):
-    q = lambda c: F.percentile(c, F.array(F.lit(0.02), F.lit(0.98)))
-    out = gaze(s, d).groupBy("session_id").agg(q("gaze_x").alias("x"), q("gaze_y").alias("y"))
+    g = gaze(s, d)
+    out = quantiles(g, "gaze_x", (0.02, 0.98), name="x").join(quantiles(g, "gaze_y", (0.02, 0.98), name="y"), "session_id")
     return rounded(out.select("session_id", F.col("x")[0].alias("left"), F.col("x")[1].alias("right"), F.col("y")[0].alias("top"), F.col("y")[1].alias("bottom")))
 
 
@@ -44,20 +58,20 @@ QUERIES = {
     "f2_event_clock": (lambda s, d: rounded(events(s, d).select("session_id", "z_event_id", "z_time_sec", "plane", "slice_index")), rsql("session_id; z_event_id; ~z_time_sec; plane; ~slice_index", "from z")),
     "a1_session_spans": (lambda s, d: rounded(align.session_spans(gaze(s, d), events(s, d))), rsql("session_id; n_gaze; ~gaze_duration; n_events; ~z_duration; integration_mode; ~coverage_ratio; ~latency", "from spans")),
     "f3_latency_shift": (
-        lambda s, d: rounded(gaze(s, d).join(align.session_spans(gaze(s, d), events(s, d)).select("session_id", "latency"), "session_id").select("session_id", "gaze_id", (F.col("time_sec") + F.col("latency")).alias("time_aligned"))),
+        lambda s, d: rounded(gaze(s, d).join(spans(s, d).select("session_id", "latency"), "session_id").select("session_id", "gaze_id", (F.col("time_sec") + F.col("latency")).alias("time_aligned"))),
         rsql("session_id; gaze_id; ~time_aligned", "from ga"),
     ),
     "j3_integration_mode": (lambda s, d: align.session_spans(gaze(s, d), events(s, d)).select("session_id", "integration_mode"), rsql("session_id; integration_mode", "from spans")),
-    "j2_intervals": (lambda s, d: rounded(align.intervals(events(s, d), align.session_spans(gaze(s, d), events(s, d))).select("session_id", "z_event_id", "time_start", "time_end", "integration_mode")), rsql("session_id; z_event_id; ~time_start; ~time_end; integration_mode", "from zi")),
+    "j2_intervals": (lambda s, d: rounded(align.intervals(events(s, d), spans(s, d)).select("session_id", "z_event_id", "time_start", "time_end", "integration_mode")), rsql("session_id; z_event_id; ~time_start; ~time_end; integration_mode", "from zi")),
     "w4_event_intervals": (
-        lambda s, d: rounded(events(s, d).select("session_id", "z_event_id", F.col("z_time_sec").alias("time_start"), F.lead("z_time_sec").over(by(("session_id",), "z_time_sec", "z_event_id")).alias("time_end"))),
+        lambda s, d: rounded(over(events(s, d), lambda w: {"time_end": F.lead("z_time_sec").over(w)}, after=1, row="z_event_id").select("session_id", "z_event_id", F.col("z_time_sec").alias("time_start"), "time_end")),
         rsql("session_id; z_event_id; ~z_time_sec as time_start; ~lead(z_time_sec) over (partition by session_id order by z_time_sec, z_event_id) as time_end", "from z"),
     ),
     "j1_interval_join_asof": (lambda s, d: rounded(integrated(s, d)), rsql(I_COLS, "from i")),
     "j1_interval_join_range": (lambda s, d: rounded(integrated(s, d, "range")), rsql(I_COLS, "from i")),
     "f4_within_image": (lambda s, d: rounded(integrated(s, d).select("session_id", "gaze_id", "gaze_x_adjusted", "gaze_y_adjusted", "within_bounds")), rsql("session_id; gaze_id; ~gaze_x_adjusted; ~gaze_y_adjusted; within_bounds", "from i")),
     "a2_integration_report": (
-        lambda s, d: rounded(align.integration_report(gaze(s, d), events(s, d), align.align(gaze(s, d), events(s, d)))),
+        a2,
         rsql(
             "session_id; n_gaze; n_events; ~gaze_duration; ~z_duration; integration_mode; ~coverage_ratio; ~latency; coalesce(k.n, 0) as n_matched; n_gaze - coalesce(k.n, 0) as n_unmatched; ~100e0 * coalesce(k.n, 0) / n_gaze as pct_matched",
             "from spans left join (select session_id, count(*) as n from i group by 1) k using (session_id)",
@@ -65,7 +79,7 @@ QUERIES = {
     ),
     "a3_gaze_per_event": (lambda s, d: integrated(s, d).groupBy("session_id", "z_event_id").agg(rows().alias("n")), rsql("session_id; z_event_id; count(*) as n", "from i group by all")),
     "a4_plane_coverage": (lambda s, d: rounded(integrated(s, d).groupBy("session_id", "plane").agg(rows().alias("n"), (F.max("time_aligned") - F.min("time_aligned")).alias("span"))), rsql("session_id; plane; count(*) as n; ~max(time_aligned) - min(time_aligned) as span", "from i group by all")),
-    "a5_bounds_summary": (a5, rsql("session_id; plane; count(*) as n; count(*) filter (where within_bounds) as n_within; ~round_even(100e0 * count(*) filter (where within_bounds) / count(*), 1) as pct_within", "from i group by all")),
+    "a5_bounds_summary": (a5, rsql("session_id; case when grouping(plane) = 1 then 'overall' else plane end as plane; count(*) as n; count(*) filter (where within_bounds) as n_within; ~round_even(100e0 * count(*) filter (where within_bounds) / count(*), 1) as pct_within", "from i group by grouping sets ((session_id, plane), (session_id))")),
     "a6_observed_bounds": (
         lambda s, d: rounded(integrated(s, d).filter("within_bounds").groupBy("session_id").agg(F.min("gaze_x").alias("left"), F.max("gaze_x").alias("right"), F.min("gaze_y").alias("top"), F.max("gaze_y").alias("bottom"))),
         rsql('session_id; ~min(gaze_x) as "left"; ~max(gaze_x) as "right"; ~min(gaze_y) as top; ~max(gaze_y) as bottom', "from i where within_bounds group by all"),
@@ -103,7 +117,7 @@ QUERIES = {
     "a42_plane_duration": (lambda s, d: rounded(integrated(s, d).groupBy("plane").agg((F.max("time_aligned") - F.min("time_aligned")).alias("duration"))), rsql("plane; ~max(time_aligned) - min(time_aligned) as duration", "from i group by 1")),
     "a67_frequency": (lambda s, d: recordings.slice_events(s, d).groupBy("plane").agg(rows().alias("n")), rsql("plane; count(*) as n", "from ev group by 1")),
     "k3_top_slices": (
-        lambda s, d: rounded(integrated(s, d).groupBy("plane", "slice_index").agg(rows().alias("n")).withColumn("rank", F.rank().over(by((), F.desc("n")))).filter("rank <= 10").select("plane", "slice_index", "n")),
+        k3,
         rsql("plane; ~slice_index; n", "from (select plane, slice_index, count(*) as n, rank() over (order by count(*) desc) as r from i group by 1, 2) where r <= 10"),
     ),
     "k4_first_slices": (

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oculith.functions.columns import NUDGE
 from oculith.operators import align, kinematics
 from oculith.operators.kinematics import Screen
 from oculith.sources import recordings
+from oculith.sources.stored import stored
 
 #: Bounds of the image on the display, and the screen of the queries (the derived recordings have about 8 samples a second).
 BOUNDS = {"left": 0.2, "right": 0.8, "top": 0.2, "bottom": 0.8}
@@ -23,8 +25,19 @@ def events(s: SparkSession, d: str) -> DataFrame:
     return align.event_clock(recordings.slice_events(s, d))
 
 
-def integrated(s: SparkSession, d: str, method: str = "asof") -> DataFrame:
-    return align.within_image(align.align(gaze(s, d), events(s, d), method=method).select(*INTEGRATED), **BOUNDS)
+def spans(s: SparkSession, d: str) -> DataFrame:
+    """One row per session, worked out once and small."""
+    return stored(align.session_spans(gaze(s, d), events(s, d)), "spans")
+
+
+def integrated(s: SparkSession, d: str, method: str = "asof", own: DataFrame | None = None) -> DataFrame:
+    own = spans(s, d) if own is None else own
+    return align.within_image(align.align(gaze(s, d), events(s, d), method=method, spans=own).select(*INTEGRATED), **BOUNDS)
+
+
+def on_screen(s: SparkSession, d: str) -> DataFrame:
+    """What was on screen, worked out once for all parts of a query."""
+    return stored(integrated(s, d).select("session_id", "gaze_id", "time_sec", "time_aligned", "gaze_x", "gaze_y", "plane", "slice_index", "within_bounds"), "integrated")
 
 
 def moving(s: SparkSession, d: str) -> DataFrame:
@@ -103,6 +116,6 @@ def rsql(columns: str, source: str, more: str = "") -> str:
         if item.startswith("~"):
             expression, _, name = item[1:].rpartition(" as ")
             expression, name = (expression, name) if expression else (name, name.split(".")[-1])
-            item = f"round({expression}, 6) + 0e0 as {name.strip()}"
+            item = f"round({expression} + {NUDGE * 1e-6!r}::double, 6) + 0e0 as {name.strip()}"
         out.append(item)
     return sql(f"select {', '.join(out)} {source}", more)

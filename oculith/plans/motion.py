@@ -7,9 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, equal_bin, normal_cdf, rounded, rows
-from oculith.operators import kinematics, uncertainty
-from oculith.plans.base import SCREEN, H, W, events, fixed, gaze, integrated, moving, rsql
+from oculith.operators import align, kinematics, uncertainty
+from oculith.operators.ordered import over, quantiles, with_stats
+from oculith.plans.base import SCREEN, H, W, events, fixed, gaze, integrated, moving, on_screen, rsql, spans
+from oculith.sources.stored import stored
 
+#: Samples a second that the recordings are meant to have.
+NOMINAL = 8.0
 WS = "(partition by session_id order by time_sec, gaze_id)"
 JIT = """
  j0 as (select *, case when count(*) over w5 = 5 then avg(gaze_x) over w5 end as mx, case when count(*) over w5 = 5 then avg(gaze_y) over w5 end as my,
@@ -40,8 +44,8 @@ def phi(z: str) -> str:
 
 def p1_bins(s, d):
     v = F.col("velocity_deg_s")
-    own = by(("session_id",))
-    return rounded(moving(s, d).filter(v.isNotNull()).withColumn("bin", equal_bin(v, F.min(v).over(own), F.max(v).over(own), 50)).groupBy("session_id", "bin").agg(rows().alias("n")))
+    known = with_stats(moving(s, d).filter(v.isNotNull()), ("session_id",), low=F.min(v), high=F.max(v))
+    return rounded(known.withColumn("bin", equal_bin(v, F.col("low"), F.col("high"), 50)).groupBy("session_id", "bin").agg(rows().alias("n")))
 
 
 def a30(s, d):
@@ -49,11 +53,62 @@ def a30(s, d):
     return rounded(kinematics.attention_weights(own).select("session_id", "gaze_id", "attention_weight"))
 
 
+def a13(s, d):
+    """Samples and share of each class of confidence, the largest first, with the session's ambiguous samples and share."""
+    c = uncertainty.slice_confidence(on_screen(s, d), events(s, d), SCREEN)
+    n = c.groupBy("session_id", "assignment_confidence").agg(rows().alias("n"), F.count_if("is_ambiguous").alias("ambiguous"))
+    own = by(("session_id",))  # four rows a session
+    n = n.withColumns({"pct": 100.0 * F.col("n") / F.sum("n").over(own), "n_ambiguous": F.sum("ambiguous").over(own)}).withColumn("pct_ambiguous", 100.0 * F.col("n_ambiguous") / F.sum("n").over(own))
+    return rounded(n.drop("ambiguous").orderBy("session_id", F.desc("n")))
+
+
+def a44(s, d):
+    """Recording diagnostics with the rows of each file: gaze, and slice events by plane (a file each)."""
+    g = moving(s, d).groupBy("session_id").agg(rows().alias("n"), F.max("time_sec").alias("duration"), F.try_divide(rows().cast("double"), F.max("time_sec")).alias("rate"), F.count_if(F.col("dt") > 1).alias("n_gaps"))
+    z = events(s, d).groupBy("session_id").agg(*[F.count_if(F.col("plane") == p).alias(f"n_{p.lower()}") for p in ("AXIAL", "SAGITTAL", "CORONAL")])
+    files = [f"n_{p}" for p in ("axial", "sagittal", "coronal")]
+    return rounded(g.join(z, "session_id", "left").fillna(0, files).select("session_id", "n", "duration", "rate", "n_gaps", *files))
+
+
+def a45(s, d):
+    """How well each recording keeps its nominal rate (8 samples a second), rounded as reported."""
+    m = moving(s, d).groupBy("session_id").agg(rows().alias("n"), F.avg("dt").alias("mean_interval"), F.stddev_samp("dt").alias("sd_interval"), F.stddev_samp("gaze_x").alias("sd_x"), F.stddev_samp("gaze_y").alias("sd_y"), F.bround(F.try_divide(F.lit(1.0), F.avg("dt")), 2).alias("rate"), F.bround(F.try_divide(F.lit(1.0), F.avg("dt")) - NOMINAL, 2).alias("rate_error"))
+    apparent = spans(s, d).select("session_id", F.bround((F.col("z_duration") - F.col("gaze_duration")) * 1000, 1).alias("apparent_latency_ms"))
+    return rounded(m.join(apparent, "session_id", "left"))
+
+
+def a71(s, d):
+    """Summary of a column over everything, and by plane of what was on screen (row `all` first)."""
+    i = integrated(s, d)
+    stats = [F.min("gaze_x").alias("min"), F.avg("gaze_x").alias("mean"), F.max("gaze_x").alias("max"), F.stddev_samp("gaze_x").alias("sd")]
+    both = i.unionByName(i.withColumn("plane", F.lit("all"))).select("plane", "gaze_x")
+    q = quantiles(both, "gaze_x", (0.25, 0.5, 0.75), ("plane",))
+    out = both.groupBy("plane").agg(*stats).join(q, "plane")
+    return rounded(out.select("plane", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max", "sd"))
+
+
+def w11(s, d):
+    centred = with_stats(integrated(s, d), ("session_id", "z_event_id"), centre=F.avg("time_aligned"))
+    return rounded(centred.select("session_id", "gaze_id", (F.col("time_aligned") - F.col("centre")).alias("residual")))
+
+
+def w8(s, d):
+    means = lambda w: {"mean5": kinematics.rolling_mean("gaze_x", 2, 2, w), "mean250": kinematics.rolling_mean("gaze_x", 124, 125, w)}
+    return rounded(over(gaze(s, d), means, before=124, after=125).select("session_id", "gaze_id", "mean5", "mean250"))
+
+
+def w12(s, d):
+    ahead = lambda w: {"step_x": F.coalesce(F.lead("gaze_x").over(w) - F.col("gaze_x"), F.lit(0.0))}
+    return rounded(over(gaze(s, d), ahead, after=1).select("session_id", "gaze_id", "step_x"))
+
+
 def a23(s, d):
-    """All five parts of the evaluation, one row per session, over shared frames."""
-    m = moving(s, d)
-    g = gaze(s, d)
-    i, z = integrated(s, d), events(s, d)
+    """All five parts of the evaluation, one row per session. Gaze, events and what was on screen are worked out once and
+    read from there by every part."""
+    g, z = stored(gaze(s, d), "gaze"), stored(events(s, d), "slice-events")
+    own = align.session_spans(g, z)
+    i = stored(align.align(g, z, spans=stored(own, "spans")).select("session_id", "gaze_id", "time_sec", "time_aligned", "z_event_id"), "integrated")
+    m = kinematics.velocity(g, SCREEN)
     p1 = uncertainty.velocity_coupling(m, SCREEN).select("session_id", F.col("r_squared").alias("p1_r_squared"), F.col("pass").alias("p1_pass"))
     p2 = uncertainty.independence(kinematics.jitter_and_drift(m), SCREEN).select("session_id", F.col("max_correlation").alias("p2_max"), F.col("pass").alias("p2_pass"))
     p3 = uncertainty.accumulation(i).select("session_id", F.col("variance_ratio").alias("p3_ratio"))
@@ -115,18 +170,18 @@ QUERIES = {
         ),
     ),
     "w8_rolling_mean": (
-        lambda s, d: rounded(gaze(s, d).select("session_id", "gaze_id", kinematics.rolling_mean("gaze_x", 2, 2).alias("mean5"), kinematics.rolling_mean("gaze_x", 124, 125).alias("mean250"))),
+        w8,
         rsql("session_id; gaze_id; ~case when count(*) over a = 5 then avg(gaze_x) over a end as mean5; ~case when count(*) over b = 250 then avg(gaze_x) over b end as mean250", "from g window a as (partition by session_id order by time_sec, gaze_id rows between 2 preceding and 2 following), b as (partition by session_id order by time_sec, gaze_id rows between 124 preceding and 125 following)"),
     ),
     "w9_central_velocity": (lambda s, d: rounded(kinematics.smooth_velocity(gaze(s, d)).select("session_id", "gaze_id", "vx", "vy", "smooth_velocity")), rsql("session_id; gaze_id; ~vx; ~vy; ~smooth_velocity", "from js", JIT.lstrip())),
     "w10_drift": (lambda s, d: rounded(kinematics.jitter_and_drift(moving(s, d)).select("session_id", "gaze_id", "jitter", "drift")), rsql("session_id; gaze_id; ~jitter; ~drift", "from js", JIT.lstrip())),
     "w7_segments": (lambda s, d: uncertainty.segments(gaze(s, d)).select("session_id", "gaze_id", "segment"), rsql(f"session_id; gaze_id; ntile(4) over {WS}::int as segment", "from g")),
     "w11_interval_residual": (
-        lambda s, d: rounded(integrated(s, d).select("session_id", "gaze_id", (F.col("time_aligned") - F.avg("time_aligned").over(by(("session_id", "z_event_id")))).alias("residual"))),
+        w11,
         rsql("session_id; gaze_id; ~time_aligned - avg(time_aligned) over (partition by session_id, z_event_id) as residual", "from i"),
     ),
     "w12_forward_direction": (
-        lambda s, d: rounded(gaze(s, d).select("session_id", "gaze_id", F.coalesce(F.lead("gaze_x").over(by(("session_id",), "time_sec", "gaze_id")) - F.col("gaze_x"), F.lit(0.0)).alias("step_x"))),
+        w12,
         rsql(f"session_id; gaze_id; ~coalesce(lead(gaze_x) over {WS} - gaze_x, 0) as step_x", "from g"),
     ),
     "w13_clock_offset": (
@@ -135,15 +190,15 @@ QUERIES = {
     ),
     "w15_every_100th": (lambda s, d: gaze(s, d).filter((F.col("gaze_id") - 1) % 100 == 0).select("session_id", "gaze_id"), rsql("session_id; gaze_id", "from g where (gaze_id - 1) % 100 = 0")),
     "j5_nearest_transition": (
-        lambda s, d: rounded(uncertainty.nearest_transition(integrated(s, d), kinematics.transitions(events(s, d))).select("session_id", "gaze_id", "dist_to_transition")),
+        lambda s, d: rounded(uncertainty.nearest_transition(on_screen(s, d), kinematics.transitions(events(s, d))).select("session_id", "gaze_id", "dist_to_transition")),
         rsql("session_id; gaze_id; ~d as dist_to_transition", "from near", NEAR.lstrip()),
     ),
     "a13_confidence": (
-        lambda s, d: rounded(uncertainty.slice_confidence(integrated(s, d), events(s, d), SCREEN).groupBy("session_id", "assignment_confidence").agg(rows().alias("n")).withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(by(("session_id",))))),
-        rsql("session_id; c as assignment_confidence; n; ~100e0 * n / sum(n) over (partition by session_id) as pct", "from (select session_id, case when d > 0.06::double then 'High (>99.7%)' when d > 0.04::double then 'Good (95-99.7%)' when d > 0.02::double then 'Moderate (68-95%)' else 'Ambiguous (<68%)' end as c, count(*) as n from near group by 1, 2)", NEAR.lstrip()),
+        a13,
+        rsql("session_id; c as assignment_confidence; n; ~100e0 * n / sum(n) over (partition by session_id) as pct; (sum(a) over (partition by session_id))::bigint as n_ambiguous; ~100e0 * sum(a) over (partition by session_id) / sum(n) over (partition by session_id) as pct_ambiguous", "from (select session_id, case when d > 0.06::double then 'High (>99.7%)' when d > 0.04::double then 'Good (95-99.7%)' when d > 0.02::double then 'Moderate (68-95%)' else 'Ambiguous (<68%)' end as c, count(*) as n, count(*) filter (where d <= 0.06::double) as a from near group by 1, 2)", NEAR.lstrip()),
     ),
     "a20_p4_slice_assignment": (
-        lambda s, d: rounded(uncertainty.slice_assignment(integrated(s, d), events(s, d), SCREEN)),
+        lambda s, d: rounded(uncertainty.slice_assignment(on_screen(s, d), events(s, d), SCREEN)),
         rsql("session_id; coalesce(k.n, 0) as n_transitions; count(*) as n_total; count(*) filter (where d <= 0.06::double) as n_ambiguous; ~100e0 * count(*) filter (where d <= 0.06::double) / count(*) as pct_ambiguous", "from near left join (select session_id, count(*) as n from tr group by 1) k using (session_id) group by session_id, k.n", NEAR.lstrip()),
     ),
     "a14_p1_velocity_coupling": (
@@ -207,15 +262,18 @@ QUERIES = {
         rsql(f"session_id; t.step::int as step; ~most * t.step / 99e0 * 0.02::double * {math.sqrt(2 / math.pi)!r}::double as error", "from (select session_id, max(velocity_norm) as most from m group by 1), (select unnest(range(100)) as step) t"),
     ),
     "a44_recording_diagnostics": (
-        lambda s, d: rounded(gaze(s, d).withColumn("gap", F.col("time_sec") - F.lag("time_sec").over(by(("session_id",), "time_sec", "gaze_id"))).groupBy("session_id").agg(rows().alias("n"), F.max("time_sec").alias("duration"), F.try_divide(rows().cast("double"), F.max("time_sec")).alias("rate"), F.count_if(F.col("gap") > 1).alias("n_gaps"))),
-        rsql("session_id; count(*) as n; ~max(time_sec) as duration; ~count(*) / nullif(max(time_sec), 0) as rate; count(*) filter (where dt > 1) as n_gaps", "from m group by 1"),
+        a44,
+        rsql(
+            "session_id; n; ~duration; ~n / nullif(duration, 0) as rate; n_gaps; coalesce(a, 0) as n_axial; coalesce(b, 0) as n_sagittal; coalesce(c, 0) as n_coronal",
+            "from (select session_id, count(*) as n, max(time_sec) as duration, count(*) filter (where dt > 1) as n_gaps from m group by 1) left join (select session_id, count(*) filter (where plane = 'AXIAL') as a, count(*) filter (where plane = 'SAGITTAL') as b, count(*) filter (where plane = 'CORONAL') as c from ev group by 1) using (session_id)",
+        ),
     ),
     "a45_sampling_validation": (
-        lambda s, d: rounded(moving(s, d).groupBy("session_id").agg(F.avg("dt").alias("mean_interval"), F.stddev_samp("dt").alias("sd_interval"), F.stddev_samp("gaze_x").alias("sd_x"), F.stddev_samp("gaze_y").alias("sd_y"), F.bround(F.try_divide(F.lit(1.0), F.avg("dt")), 2).alias("rate"))),
-        rsql("session_id; ~avg(dt) as mean_interval; ~stddev_samp(dt) as sd_interval; ~stddev_samp(gaze_x) as sd_x; ~stddev_samp(gaze_y) as sd_y; ~round_even(1 / avg(dt), 2) as rate", "from m group by 1"),
+        a45,
+        rsql("session_id; n; ~mi as mean_interval; ~si as sd_interval; ~sx as sd_x; ~sy as sd_y; ~round_even(1 / mi, 2) as rate; ~round_even(1 / mi - 8, 2) as rate_error; ~round_even((z_duration - gaze_duration) * 1e3, 1) as apparent_latency_ms", "from (select session_id, count(*) as n, avg(dt) as mi, stddev_samp(dt) as si, stddev_samp(gaze_x) as sx, stddev_samp(gaze_y) as sy from m group by 1) left join spans using (session_id)"),
     ),
     "a71_column_summary": (
-        lambda s, d: rounded(gaze(s, d).agg(F.min("gaze_x").alias("min"), F.percentile("gaze_x", 0.25).alias("q1"), F.percentile("gaze_x", 0.5).alias("median"), F.avg("gaze_x").alias("mean"), F.percentile("gaze_x", 0.75).alias("q3"), F.max("gaze_x").alias("max"))),
-        rsql("~min(gaze_x) as min; ~quantile_cont(gaze_x, 0.25) as q1; ~quantile_cont(gaze_x, 0.5) as median; ~avg(gaze_x) as mean; ~quantile_cont(gaze_x, 0.75) as q3; ~max(gaze_x) as max", "from g"),
+        a71,
+        rsql("case when grouping(plane) = 1 then 'all' else plane end as plane; ~min(gaze_x) as min; ~quantile_cont(gaze_x, 0.25) as q1; ~quantile_cont(gaze_x, 0.5) as median; ~avg(gaze_x) as mean; ~quantile_cont(gaze_x, 0.75) as q3; ~max(gaze_x) as max; ~stddev_samp(gaze_x) as sd", "from i group by grouping sets ((plane), ())"),
     ),
 }

@@ -15,10 +15,9 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k")
     )
-    origin = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("origin"))
-    return events.crossJoin(F.broadcast(origin)).select(  # one row
-        (F.col("user_id") % 8).alias("session_id"), "event_id", "event_type", F.expr("(us - origin) div 21600").alias("t_us"), "k", "value"
-    )
+    origin = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))))
+    events = events.withColumn("origin", origin.scalar())  # one value, read once a query
+    return events.select((F.col("user_id") % 8).alias("session_id"), "event_id", "event_type", F.expr("(us - origin) div 21600").alias("t_us"), "k", "value")
 
 
 def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +37,9 @@ def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, src_id, client_timestamp (ms), plane, index (0 to 1), image_id."""
     b = clicks(spark, sf_dir).filter("event_type = 'view'")
-    first = b.groupBy("session_id").agg(F.min("event_id").alias("first_view"))
+    first = table(spark, sf_dir, "events").filter("event_type = 'view' and user_id % 8 = 7").agg(F.min("event_id")).scalar()
     keep = "session_id < 6 or (session_id = 6 and t_us < 60000000) or (session_id = 7 and event_id = first_view)"
-    return b.join(first, "session_id").filter(keep).select(
+    return b.withColumn("first_view", first).filter(keep).select(
         "session_id",
         F.col("event_id").alias("src_id"),
         F.expr("t_us / 1e3").alias("client_timestamp"),
