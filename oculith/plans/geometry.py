@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import norm2, rounded, rows
-from oculith.operators import geometry, latency
+from oculith.operators import geometry, heatmap, kinematics, latency, studies
 from oculith.operators.geometry import Volume, slice_number
 from oculith.plans.base import events, gaze, integrated, rsql
 from oculith.sources import recordings
@@ -59,6 +59,30 @@ def signals(s, d):
     return g.join(z, ["session_id", "idx"], "left").select("session_id", "idx", "gaze", F.coalesce("hit", F.lit(0.0)).alias("event"))
 
 
+def a35(s, d):
+    """Views, time (up to each sample from the one before it) and mean intensity of every voxel looked at."""
+    spent = kinematics.velocity(gaze(s, d)).select("session_id", "gaze_id", F.coalesce("dt", F.lit(0.0)).alias("spent"))
+    v = valued(s, d).filter("valid").join(spent, ["session_id", "gaze_id"])
+    return v.groupBy("voxel_i", "voxel_j", "voxel_k").agg(rows().alias("n_views"), F.sum("spent").alias("total_time"), F.avg("value").alias("mean_intensity"))
+
+
+def detections(s, d):
+    """Scores from 0 and labels 0 or 1, by level of the signal."""
+    return recordings.clicks(s, d).select((F.col("k") % 5 + 1).alias("snr"), F.floor("value").cast("double").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+
+
+ROC = """
+ rc0 as (select k % 5 + 1 as snr, floor(value)::double as s, sum((event_type = 'purchase')::int) as p, sum((event_type <> 'purchase')::int) as q from b0 group by 1, 2),
+ rc as (select *, sum(p) over w as tp, sum(q) over w as fp, sum(p) over (partition by snr) as np, sum(q) over (partition by snr) as nq from rc0 window w as (partition by snr order by s desc))"""
+
+
+def p_sql(t: str, free: str) -> str:
+    """Two-sided p of Student's t: the density over the angle, integrated by a fine midpoint rule."""
+    most = f"least(pi() / 2, 12 / sqrt({free}))"
+    area = lambda upto: f"list_sum(list_transform(range(4000), lambda i: pow(cos((i + 0.5::double) * {upto} / 4000e0), {free} - 1))) * {upto} / 4000e0"
+    return f"greatest(0, 1 - {area(f'least(atan(abs({t}) / sqrt({free})), {most})')} / ({area(most)}))"
+
+
 SIG = """
  sg as (select session_id, floor(time_sec * 10)::bigint as idx, avg(gaze_x) as gaze from g group by 1, 2),
  sz as (select distinct session_id, floor(z_time_sec * 10)::bigint as idx from z where plane = 'AXIAL'),
@@ -80,8 +104,8 @@ QUERIES = {
     "j14_voxel_intensity": (lambda s, d: rounded(valued(s, d).select("session_id", "gaze_id", "value")), rsql("session_id; gaze_id; ~value", "from lv", LOC.lstrip())),
     "j7_atlas_region": (lambda s, d: valued(s, d).groupBy("session_id", F.col("region_id").cast("double").alias("region_id")).agg(rows().alias("n")), rsql("session_id; region_id::double as region_id; count(*) as n", "from lv group by session_id, region_id", LOC.lstrip())),
     "a35_most_viewed_voxels": (
-        lambda s, d: rounded(valued(s, d).filter("valid").groupBy("voxel_i", "voxel_j", "voxel_k").agg(rows().alias("n_views"), F.avg("value").alias("mean_intensity"))),
-        rsql("vi as voxel_i; vj as voxel_j; vk as voxel_k; count(*) as n_views; ~avg(value) as mean_intensity", "from lv group by 1, 2, 3", LOC.lstrip()),
+        lambda s, d: rounded(a35(s, d)),
+        rsql("vi as voxel_i; vj as voxel_j; vk as voxel_k; count(*) as n_views; ~sum(coalesce(dt, 0)) as total_time; ~avg(value) as mean_intensity", "from lv join (select session_id, gaze_id, dt from m) using (session_id, gaze_id) group by 1, 2, 3", LOC.lstrip()),
     ),
     "a36_slice_report": (
         lambda s, d: rounded(located(s, d).groupBy("plane", "slice_num").agg(rows().alias("n"), F.count_distinct(F.struct("voxel_i", "voxel_j", "voxel_k")).alias("n_voxels"), F.avg("mm_x").alias("mean_x"), F.avg("mm_y").alias("mean_y"), F.sqrt(F.var_samp("mm_x") + F.var_samp("mm_y")).alias("spread"))),
@@ -96,7 +120,7 @@ QUERIES = {
         rsql("session_id; count(*) as n; count(distinct (vi, vj, vk)) as n_voxels; ~min(mx) as min_x; ~max(mx) as max_x; string_agg(distinct plane, ',' order by plane) as planes; ~max(time_sec) as duration", "from lc group by 1", LOC.lstrip()),
     ),
     "a31_density": (
-        lambda s, d: rounded(geometry.density(gaze(s, d), ("session_id",), 8, 0.1)),
+        lambda s, d: rounded(heatmap.density(gaze(s, d), ("session_id",), 8, 0.1)),
         rsql("session_id; cx.v::int as gx; cy.v::int as gy; ~sum(exp(-0.5::double * ((gaze_x - cx.v / 7e0) / 0.1::double) ** 2) / 0.25066282746310002::double * (exp(-0.5::double * ((gaze_y - cy.v / 7e0) / 0.1::double) ** 2) / 0.25066282746310002::double)) / count(*) as density", "from g, (select unnest(range(8)) as v) cx, (select unnest(range(8)) as v) cy group by 1, 2, 3"),
     ),
     "a53_cross_correlation": (lambda s, d: rounded(latency.cross_correlation(signals(s, d), 20)), rsql("session_id; lag::int as lag; n; ~r", "from cc", SIG.lstrip())),
@@ -108,19 +132,19 @@ QUERIES = {
         ),
     ),
     "a61_roc": (
-        lambda s, d: rounded(latency.roc(recordings.clicks(s, d).select(F.floor("value").cast("double").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label")), "score", "label").select("auc")),
-        rsql("~sum(q * (tp - p / 2e0)) / (sum(p) * sum(q)) as auc", "from (select *, sum(p) over (order by s desc) as tp from (select floor(value) as s, sum((event_type = 'purchase')::int) as p, sum((event_type <> 'purchase')::int) as q from b0 group by 1))"),
+        lambda s, d: rounded(latency.roc(detections(s, d), "score", "label", ("snr",))),
+        rsql("snr; ~sum(q * (tp - p / 2e0)) / (max(np) * max(nq)) as auc; ~arg_max(s, (round(tp / np - fp / nq, 12), -s)) as threshold; ~max(round(tp / np - fp / nq, 12)) as youden", "from rc group by 1", ROC.lstrip()),
+    ),
+    "a61_roc_curve": (
+        lambda s, d: rounded(latency.roc_points(detections(s, d), "score", "label", ("snr",)).select("snr", "threshold", "tpr", "fpr")),
+        rsql("snr; ~s as threshold; ~tp / np as tpr; ~fp / nq as fpr", "from rc", ROC.lstrip()),
     ),
     "a62_confusion": (
-        lambda s, d: recordings.clicks(s, d).select((F.col("event_type") == "click").alias("actual"), (F.col("value") > 50).alias("predicted")).groupBy("actual", "predicted").agg(rows().alias("n")),
-        rsql("event_type = 'click' as actual; value > 50 as predicted; count(*) as n", "from b0 group by 1, 2"),
+        lambda s, d: rounded(latency.confusion(detections(s, d), F.col("label") == 1, F.col("score") > 50, ("snr",))),
+        rsql("snr; tp; fp; fn; tn; n; ~(tp + tn) / n as accuracy; ~tp / nullif(tp + fn, 0) as sensitivity; ~tn / nullif(tn + fp, 0) as specificity", "from (select snr, count(*) filter (where l and p) as tp, count(*) filter (where not l and p) as fp, count(*) filter (where l and not p) as fn, count(*) filter (where not l and not p) as tn, count(*) as n from (select k % 5 + 1 as snr, event_type = 'purchase' as l, floor(value) > 50 as p from b0) group by 1)"),
     ),
     "a48_welch_t": (
-        lambda s, d: rounded(
-            recordings.clicks(s, d).groupBy((F.col("event_type") == "click").alias("g")).agg(F.avg("value").alias("m"), (F.var_samp("value") / rows()).alias("e"), rows().alias("n"))
-            .agg(*[F.max(F.when(F.col("g") == side, F.col(c))).alias(f"{c}{k}") for k, side in ((1, True), (2, False)) for c in ("m", "e", "n")])
-            .select(((F.col("m1") - F.col("m2")) / F.sqrt(F.col("e1") + F.col("e2"))).alias("t"), (F.pow(F.col("e1") + F.col("e2"), F.lit(2.0)) / (F.col("e1") * F.col("e1") / (F.col("n1") - 1) + F.col("e2") * F.col("e2") / (F.col("n2") - 1))).alias("df"))
-        ),
-        rsql("~(m1 - m2) / sqrt(e1 + e2) as t; ~(e1 + e2) ** 2 / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) as df", "from (select avg(value) filter (where c) as m1, avg(value) filter (where not c) as m2, var_samp(value) filter (where c) / count(*) filter (where c) as e1, var_samp(value) filter (where not c) / count(*) filter (where not c) as e2, count(*) filter (where c) as n1, count(*) filter (where not c) as n2 from (select *, event_type = 'click' as c from b0))"),
+        lambda s, d: rounded(studies.welch_test(recordings.clicks(s, d), "value", F.col("event_type") == "click")),
+        rsql(f"~t; ~df; ~{p_sql('t', 'df')} as p", "from (select (m1 - m2) / sqrt(e1 + e2) as t, (e1 + e2) ** 2 / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) as df from (select avg(value) filter (where c) as m1, avg(value) filter (where not c) as m2, var_samp(value) filter (where c) / count(*) filter (where c) as e1, var_samp(value) filter (where not c) / count(*) filter (where not c) as e2, count(*) filter (where c) as n1, count(*) filter (where not c) as n2 from (select *, event_type = 'click' as c from b0)))"),
     ),
 }

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, equal_bin, norm2, rounded, rows, safe_r2
+from oculith.operators.ordered import with_stats
 from oculith.operators import align, geometry, heatmap, kinematics, studies, uncertainty
 from oculith.operators.geometry import slice_number
-from oculith.plans.base import SCREEN, events, gaze, integrated, moving, rsql
-from oculith.plans.geometry import LOC, SIG, VOLUME, located, signals, valued
+from oculith.plans.base import SCREEN, events, gaze, integrated, moving, on_screen, rsql, spans
+from oculith.plans.geometry import LOC, SIG, VOLUME, located, p_sql, signals, valued
 from oculith.plans.motion import JIT, P2, corr, phi
 from oculith.sources import recordings, trials
+from oculith.sources.stored import stored
 
 DIMS = VOLUME.dims
 
@@ -69,10 +71,16 @@ RI = """
 
 def a24(s, d):
     """Cross-session summary of three checks, one row each."""
-    p2 = uncertainty.independence(kinematics.jitter_and_drift(moving(s, d)), SCREEN)
-    p3 = uncertainty.clock_drift(gaze(s, d))
-    p4 = uncertainty.slice_assignment(integrated(s, d), events(s, d), SCREEN)
-    parts = {"independence": studies.case_summary(p2, "max_correlation", F.col("pass")), "clock": studies.case_summary(p3, "total_ms", F.abs("total_ms") < 1), "assignment": studies.case_summary(p4, "pct_ambiguous", F.col("pct_ambiguous") < 50)}
+    g, z = stored(gaze(s, d), "gaze"), stored(events(s, d), "slice-events")
+    i = align.align(g, z, spans=stored(align.session_spans(g, z), "spans"))
+    p2 = uncertainty.independence(kinematics.jitter_and_drift(kinematics.velocity(g, SCREEN)), SCREEN)
+    p3 = uncertainty.clock_drift(g)
+    p4 = uncertainty.slice_assignment(i, z, SCREEN)
+    parts = {
+        "independence": studies.case_summary(p2, "max_correlation", F.col("pass")),
+        "clock": studies.case_summary(p3, "total_ms", F.abs("total_ms") < 1, worst=F.abs("total_ms")),
+        "assignment": studies.case_summary(p4, "pct_ambiguous", F.col("pct_ambiguous") < 50),
+    }
     out = None
     for name, part in parts.items():
         part = part.withColumn("check", F.lit(name))
@@ -88,11 +96,11 @@ TRC = """
 TRI = """
  tri as (select event_id as trial_id, (session_id + 1) * 10 as n_events, k % 5 + 1 as snr, case event_id % 3 when 0 then 20 when 1 then 60 else 120 end as fs, value as error, 1 + (event_id * 7 % 50) / 1e1 as prom, (1 + event_id * 3 % 17) / 1e1 as sd, (1 + event_id * 3 % 17) / 1e1 * (1 + event_id * 5 % 7) / 4e0 as sb from b0)"""
 LOG = """
- lg as (select event_type as modality, session_id, abs(value / 2) as err, 1000 + event_id % 7 * 100 as n0, 1000 + event_id % 7 * 100 - event_id % 11 * 20 as n1, (1 + event_id % 5) / 1e1 as sec, event_id % 10 / 1e1 as loss from b0)"""
+ lg as (select event_type as modality, session_id, abs(value / 2) as err, 1000 + event_id % 7 * 100 as n0, 1000 + event_id % 7 * 100 - event_id % 11 * 20 as n1, (1 + event_id % 5) / 1e1 as sec, event_id % 10 / 1e1 as loss, event_id % 13 / 1e3 as se from b0)"""
 
 
 def durations(s, d):
-    z = align.intervals(events(s, d), align.session_spans(gaze(s, d), events(s, d))).filter("integration_mode <> 'single_event'")
+    z = align.intervals(events(s, d), spans(s, d)).filter("integration_mode <> 'single_event'")
     return z.select(((F.col("time_end") - F.col("time_start")) * 1000.0).alias("duration_ms"))
 
 
@@ -125,11 +133,11 @@ CRV = TRC + """,
 def a46(s, d):
     p = trials.process_log(s, d)
     err = F.abs(F.col("estimated_latency_ms") - F.col("true_latency_ms"))
-    out = p.groupBy("modality").agg(
-        F.avg(err).alias("mean_error"), F.stddev_samp(err).alias("sd_error"), (100.0 * F.avg((err < 50).cast("double"))).alias("pct_accurate"), F.avg(F.col("n_gaze_matched") / F.col("n_gaze_original")).alias("assignment_rate"),
-        F.avg(F.col("processing_time_sec") * 1000.0 / (F.col("n_gaze_original") / 1000.0)).alias("ms_per_1000"), F.avg(F.col("n_gaze_original") / F.col("processing_time_sec")).alias("points_per_sec"),
-    )
-    return rounded(out)
+    stats = {
+        "mean_error": F.avg(err), "sd_error": F.stddev_samp(err), "pct_accurate": 100.0 * F.avg((err < 50).cast("double")), "assignment_rate": F.avg(F.col("n_gaze_matched") / F.col("n_gaze_original")),
+        "ms_per_1000": F.avg(F.col("processing_time_sec") * 1000.0 / (F.col("n_gaze_original") / 1000.0)), "points_per_sec": F.avg(F.col("n_gaze_original") / F.col("processing_time_sec")), "spatial_error": F.avg("spatial_error"),
+    }
+    return rounded(p.groupBy("modality").agg(*[c.alias(k) for k, c in stats.items()]), 2)
 
 
 def a66(s, d):
@@ -141,26 +149,104 @@ def a66(s, d):
 # round trips and positions ------------------------------------------------------------------------------------------
 
 
+#: Volumes of the round-trip study: voxel sizes as text and whether the volume is oblique. A session is of one volume.
+STUDY = (("2x2x3", False), ("1x1x1", False), ("1x1x4", True), ("0.5x0.5x5", True), ("2x3x4", False))
+
+
 def trip(s, d):
-    """Error of the screen position after rounding to a voxel and back, in voxels."""
-    v = located(s, d).filter("valid and plane = 'AXIAL'")
-    back = norm2(F.col("gaze_x") * (DIMS[0] - 1) - F.col("voxel_i"), F.col("gaze_y") * (DIMS[1] - 1) - F.col("voxel_j"))
-    return v.select("session_id", "plane", "slice_num", "voxel_i", back.alias("error"))
+    """Error of the screen position after rounding to a voxel and back, in voxels and in mm of the session's volume."""
+    v = located(s, d).filter("valid")
+    across, down = (F.coalesce(*[F.when(F.col("plane") == name, F.lit(DIMS[axes[k]] - 1.0)) for name, axes in geometry.AXES.items()]) for k in (0, 1))
+    at = [F.coalesce(*[F.when(F.col("plane") == name, F.col(f"voxel_{'ijk'[axes[k]]}")) for name, axes in geometry.AXES.items()]) for k in (0, 1)]
+    dx, dy = F.col("gaze_x") * across - at[0], F.col("gaze_y") * down - at[1]
+    volumes = s.createDataFrame([(k, size, oblique) for k, (size, oblique) in enumerate(STUDY)], "volume_id int, sizes string, oblique boolean")
+    t = v.select("session_id", "plane", (F.col("session_id") % len(STUDY)).cast("int").alias("volume_id"), norm2(dx, dy).alias("error"), F.greatest(F.abs(dx), F.abs(dy)).alias("pixel_error"))
+    return t.join(F.broadcast(volumes), "volume_id")  # five rows
 
 
 TRIP = LOC + """,
- tp as (select session_id, slice_num, vi, sqrt((gaze_x * 15 - vi) ** 2 + (gaze_y * 15 - vj) ** 2) as error from lc where plane = 'AXIAL' and vi between 0 and 15 and vj between 0 and 15 and vk between 0 and 24)"""
+ tp0 as (select session_id, plane, (session_id % 5)::int as volume_id,
+  gaze_x * 15 - case plane when 'SAGITTAL' then vj else vi end as dx, case plane when 'AXIAL' then gaze_y * 15 - vj else gaze_y * 24 - vk end as dy
+  from lc where vi between 0 and 15 and vj between 0 and 15 and vk between 0 and 24),
+ tp as (select *, sqrt(dx * dx + dy * dy) as error, greatest(abs(dx), abs(dy)) as pixel_error, volume_id in (2, 3) as oblique, [1.5::double, 1, 4, 10, 2][volume_id + 1] as aniso from tp0)"""
+TRIP_STATS = "count(*) as n; ~avg(error) as mean; ~stddev_samp(error) as sd; ~quantile_cont(error, 0.5) as median; ~quantile_cont(error, 0.95) as p95; ~max(error) as max; ~100e0 * avg((error < 0.5)::int) as pct_sub_voxel; ~100e0 * avg((error < 0.25::double)::int) as pct_sub_pixel"
+TRIP_LEVELS = (("volume", ("volume_id",)), ("plane", ("plane",)), ("oblique", ("oblique",)), ("overall", ()))
+
+
+def a49(s, d):
+    """Round-trip errors by volume, by plane, by orientation and over all: one row for each value of each level."""
+    t = trip(s, d)
+    of = F.array(*[F.struct(F.lit(level).alias("level"), (F.col(keys[0]).cast("string") if keys else F.lit("all")).alias("of")) for level, keys in TRIP_LEVELS])
+    each = t.select("error", F.explode(of).alias("l")).select("l.level", "l.of", "error")
+    return rounded(studies.error_summary(each, "error", ("level", "of"), {"pct_sub_voxel": 0.5, "pct_sub_pixel": 0.25}))
 
 
 def a50(s, d):
-    """Does the mean error of a session's slice depend on the slice?"""
-    t = trip(s, d).groupBy("session_id", "slice_num").agg(F.avg("error").alias("e"))
-    return rounded(studies.correlation_test(t.withColumn("x", F.col("slice_num").cast("double")), "x", "e"))
+    """Does the mean error of a volume depend on its anisotropy?"""
+    t = trip(s, d).groupBy("volume_id", geometry.anisotropy(F.col("sizes")).alias("x")).agg(F.avg("error").alias("e"))
+    return rounded(studies.correlation_test(t, "x", "e"))
+
+
+def plane_latency(s, d):
+    """Durations, latency and share of the session's samples of every session and plane."""
+    i = integrated(s, d).groupBy("session_id", "plane").agg(rows().alias("n"), (F.max("time_sec") - F.min("time_sec")).alias("gaze_duration"), (F.max("z_time_sec") - F.min("z_time_sec")).alias("z_duration"))
+    n = gaze(s, d).groupBy("session_id").agg(rows().alias("n_gaze"))
+    return i.join(n, "session_id").select("session_id", "plane", "n", "gaze_duration", "z_duration", (F.col("z_duration") - F.col("gaze_duration")).alias("latency"), (F.col("n") / F.col("n_gaze")).alias("match_rate"))
+
+
+PLANES = """
+ pl0 as (select session_id, plane, count(*) as n, max(time_sec) - min(time_sec) as gd, max(z_time_sec) - min(z_time_sec) as zd from i group by 1, 2),
+ pl as (select pl0.*, zd - gd as latency, n / n_gaze as match_rate from pl0 join sp0 using (session_id))"""
+
+
+def a58(s, d):
+    """The regression of log error on counts, signal, their product and rate, with confidence limits."""
+    return rounded(studies.linear_model(studies.trial_columns(trials.trials(s, d)), ("log_n", "log_snr", "log_n_snr", "log_fs"), "log_error"), 4)
+
+
+def ols_sql(features: dict[str, str], y: str) -> tuple[str, str]:
+    """CTEs and final source of an ordinary least-squares fit. Each term in turn comes last in a chain that takes every
+    other term out of all columns; its estimate is then a quotient of two sums, and what is left of y gives the error."""
+    names = list(features)
+    ctes = [("ols", f"select {y} as y, {', '.join(f'{e} as {n}' for n, e in features.items())} from tri")]
+    ends = []
+    for k, last in enumerate(names):
+        before, order = "ols", [n for n in names if n != last]
+        for i, out in enumerate(order):
+            rest = ["y", *order[i + 1 :], last]
+            taken = ", ".join(f"{c} - sum({c} * {out}) over () / sum({out} * {out}) over () * {out} as {c}" for c in rest)
+            ctes.append((f"o{k}_{i}", f"select {taken} from {before}"))
+            before = f"o{k}_{i}"
+        ends.append(f"select '{last}' as term, sum(y * {last}) / sum({last} * {last}) as estimate, sum({last} * {last}) as own, sum(y * y) - sum(y * {last}) ** 2 / sum({last} * {last}) as rss, count(*) - {len(names)}e0 as df from {before}")
+    z = 1.959963984540054
+    reach = f"({z!r}::double + {(z**3 + z) / 4!r}::double / df + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r}::double / (df * df))"
+    ctes.append(("fit", f"select *, sqrt(rss / df / own) as std_error, {reach} as reach from ({' union all '.join(ends)})"))
+    return ", ".join(f"{n} as materialized ({q})" for n, q in ctes), "from fit"
+
+
+OLS = ols_sql({"log_n": "ln(n_events)", "log_snr": "ln(snr + 1)", "log_n_snr": "ln(n_events * snr + 1)", "log_fs": "ln(fs)", "intercept": "1e0"}, "ln(error + 1)")
+
+
+def a59(s, d):
+    """Slope of log bootstrap sigma on log sigma by rate, R squared, and whether the slope lies within 0.8 and 1.2."""
+    x, y = F.log("sigma_delta"), F.log("sigma_delta_boot")
+    out = trials.trials(s, d).groupBy("sampling_freq").agg(rows().alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), safe_r2(y, x).alias("r_squared"))
+    return rounded(out.withColumn("in_range", F.col("slope").between(0.8, 1.2)))
+
+
+def a60_grid(s, d):
+    """Chance of success over a grid of counts and signal levels, and whether it exceeds 0.9."""
+    t = studies.trial_columns(trials.trials(s, d))
+    grid = s.range(1, 9).select((F.col("id") * 10).alias("n_events")).crossJoin(s.range(1, 6).select(F.col("id").alias("snr")))  # forty rows
+    grid = grid.withColumns({"log_n": F.log("n_events"), "log_snr": F.log(F.col("snr") + 1)})
+    out = studies.success_model(t, ("log_n", "log_snr"), grid=grid)
+    return rounded(out.select("n_events", "snr", "probability", (F.col("probability") > 0.9).alias("likely")), 4)
 
 
 def a8(s, d):
     x, y = geometry.canvas(F.col("gaze_x"), F.col("gaze_y"))
-    hit = heatmap.slice_hits(integrated(s, d), DIMS).join(heatmap.viewed_slices(integrated(s, d), DIMS).select("plane", "slice_num").distinct(), ["plane", "slice_num"], "left_semi")
+    i = on_screen(s, d)
+    hit = heatmap.slice_hits(i, DIMS).join(heatmap.viewed_slices(i, DIMS).select("plane", "slice_num").distinct(), ["plane", "slice_num"], "left_semi")
     ok = x.between(0, 1) & y.between(0, 1)
     return rounded(hit.groupBy("plane", "slice_num").agg(rows().alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), (100.0 * F.count_if(ok) / rows()).alias("percent_valid")))
 
@@ -198,8 +284,8 @@ def a34(s, d):
 def a37(s, d):
     """Spatial variance over twenty equal windows of each session's time."""
     v = located(s, d)
-    own = by(("session_id",))
-    df = v.withColumn("window", equal_bin(F.col("time_sec"), F.min("time_sec").over(own), F.max("time_sec").over(own), 20))
+    v = with_stats(v, ("session_id",), low=F.min("time_sec"), high=F.max("time_sec"))
+    df = v.withColumn("window", equal_bin(F.col("time_sec"), F.col("low"), F.col("high"), 20))
     return rounded(df.groupBy("session_id", "window").agg(rows().alias("n"), (F.var_samp("mm_x") + F.var_samp("mm_y") + F.var_samp("mm_z")).alias("variance")))
 
 
@@ -230,13 +316,13 @@ def j4(s, d):
 
 def j10(s, d):
     g = gaze(s, d)
-    i = integrated(s, d).select("session_id", F.col("gaze_id").alias("other_id"), F.col("time_sec").alias("other_sec"), F.col("gaze_x").alias("ox"), F.col("gaze_y").alias("oy"))
+    i = on_screen(s, d).select("session_id", F.col("gaze_id").alias("other_id"), F.col("time_sec").alias("other_sec"), F.col("gaze_x").alias("ox"), F.col("gaze_y").alias("oy"))
     m = studies.nearest_in_time(g.filter("gaze_id % 10 = 1").select("session_id", "gaze_id", "time_sec", "gaze_x", "gaze_y"), i, "time_sec", "other_sec", "other_id", ("ox", "oy"))
     return m.select("session_id", "gaze_id", norm2(F.col("gaze_x") - F.col("match.ox"), F.col("gaze_y") - F.col("match.oy")).alias("error"))
 
 
 def j11(s, d):
-    z = align.intervals(events(s, d), align.session_spans(gaze(s, d), events(s, d))).filter("integration_mode <> 'single_event' and plane = 'AXIAL'")
+    z = align.intervals(events(s, d), spans(s, d)).filter("integration_mode <> 'single_event' and plane = 'AXIAL'")
     z = z.select("session_id", F.col("time_start").alias("start"), F.col("time_end").alias("end"), F.col("z_event_id").alias("event_id"))
     return studies.event_signal(gaze(s, d).select("session_id", "gaze_id", "time_sec"), z).groupBy("session_id").agg(rows().alias("n"), F.sum("signal").alias("n_inside"))
 
@@ -271,10 +357,16 @@ def a51(s, d):
 def a60(s, d):
     """Chance of success of every trial by a logistic fit."""
     t = studies.trial_columns(trials.trials(s, d))
-    return rounded(studies.success_model(t, ("log_n", "log_snr", "prominence_ratio")).select("trial_id", "probability"))
+    return rounded(studies.success_model(t, ("log_n", "log_snr", "prominence_ratio")).select("trial_id", "probability"), 4)
 
 
-Q = "quantile_cont({x}, {q})"
+NEAREST = "case when (select count(*) from i where i.session_id = g.session_id and i.time_sec = g.time_sec) > 0 then (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and i.time_sec = g.time_sec order by i.gaze_id desc limit 1) else (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and abs(i.time_sec - g.time_sec) <= 0.001::double order by abs(i.time_sec - g.time_sec), i.time_sec, i.gaze_id limit 1) end"
+BOOT = """,
+ so as (select *, row_number() over (partition by session_id order by idx) as at, count(*) over (partition by session_id) as size from ss),
+ dr as (select so.session_id, rep, so.idx, so.event, ('0x' || substr(md5(so.session_id || '-' || rep || '-' || so.idx), 1, 8))::bigint % size + 1 as at from so, (select unnest(range(1, 101)) as rep)),
+ dn as (select dr.session_id, rep, dr.idx, dr.event, so.gaze from dr join so on dr.session_id = so.session_id and dr.at = so.at),
+ bc as (select a.session_id, a.rep, lag, case when stddev_samp(a.gaze) > 1e-6 and stddev_samp(b.event) > 1e-6 then covar_samp(a.gaze, b.event) / (stddev_samp(a.gaze) * stddev_samp(b.event)) end as r
+  from dn a cross join (select unnest(range(-10, 11)) as lag) l join ss b on a.session_id = b.session_id and b.idx = a.idx + lag group by 1, 2, 3)"""
 QUERIES = {
     "f40_induced_error": (lambda s, d: rounded(induced(s, d).select("session_id", "gaze_id", "v_normalized", "induced_error_x", "induced_error_y", "induced_error_magnitude")), rsql("session_id; gaze_id; ~vn as v_normalized; ~iex as induced_error_x; ~iey as induced_error_y; ~mag as induced_error_magnitude", "from ie", IND.lstrip())),
     "a70_bin_means": (lambda s, d: rounded(studies.bin_means(induced(s, d).filter("v_normalized > 0.01"), "v_normalized", "induced_error_magnitude")), rsql("session_id; bin; n; ~x as value_mean; ~y as error_mean; ~sd as error_sd; ~sd / sqrt(n) as error_se", "from bs", IND.lstrip())),
@@ -293,14 +385,14 @@ QUERIES = {
     "a28_boundary_validation": (lambda s, d: rounded(studies.boundary_validation(studies.boundary_probes(kinematics.transitions(events(s, d))))), rsql("session_id; ~avg(amb::int) as fraction_ambiguous; ~avg(pb) filter (where abs(u) < 0.1::double) as mean_p_at_boundary; count(distinct transition_id) as n_transitions; count(*) as n_points; abs(avg(pb) filter (where abs(u) < 0.1::double) - 0.5) < 0.1 as calibrated", "from pr group by session_id", PROBES.lstrip())),
     "a29_drift_validation": (
         lambda s, d: rounded(studies.drift_validation(drift_points(s, d)), 3),
-        rsql("session_id; round(sl, 3) + 0e0 as rate; round(sl * 60, 3) + 0e0 as rate_per_min; round(r2, 3) + 0e0 as r_squared; round(0.01::double / nullif(sl, 0), 3) + 0e0 as recalibration_sec", "from dv1",
+        rsql("session_id; " + "; ".join(f"round({e} + 7.071e-7, 3) + 0e0 as {k}" for e, k in (("sl", "rate"), ("sl * 60", "rate_per_min"), ("r2", "r_squared"), ("0.01::double / nullif(sl, 0)", "recalibration_sec"))), "from dv1",
              "dv0 as (select session_id, floor(time_sec) as t, sqrt((avg(gaze_x) - 0.5) ** 2 + (avg(gaze_y) - 0.5) ** 2) as dr from g group by 1, 2), dv1 as (select session_id, regr_slope(dr, t) as sl, case when var_samp(dr) > 0 then regr_r2(dr, t) end as r2 from dv0 group by 1)"),
     ),
     "a17_p2_recorded": (lambda s, d: rounded(studies.recorded_independence(gaze(s, d))), rsql("session_id; n as n_samples; ~a as r_velocity_drift; ~b as r_velocity_tracker; ~c as r_drift_tracker; ~case when a is not null and b is not null and c is not null then greatest(abs(a), abs(b), abs(c)) end as max_abs_r; coalesce(a is not null and b is not null and c is not null and greatest(abs(a), abs(b), abs(c)) < 0.3, false) as pass; st as status", "from ri", RI.lstrip())),
     "u4_correlations_long": (lambda s, d: rounded(studies.pairs_long(studies.recorded_independence(gaze(s, d)))), rsql("session_id; p as pair; ~v as correlation", "from (select session_id, unnest(['Velocity vs Drift', 'Velocity vs Tracker', 'Drift vs Tracker']) as p, unnest([a, b, c]) as v from ri)", RI.lstrip())),
     "a24_case_summary": (
         a24,
-        rsql("check_name as \"check\"; n as n_cases; np as n_pass; ~mean; ~sd; ~mn as min; ~mx as max", "from (select 'independence' as check_name, count(*) as n, count(*) filter (where t < 0.3) as np, avg(t) as mean, stddev_samp(t) as sd, min(t) as mn, max(t) as mx from s2 where t is not null union all select 'clock', count(*), count(*) filter (where abs(t) < 1), avg(t), stddev_samp(t), min(t), max(t) from s3 union all select 'assignment', count(*), count(*) filter (where t < 50), avg(t), stddev_samp(t), min(t), max(t) from s4)",
+        rsql("check_name as \"check\"; n as n_cases; np as n_pass; ~mean; ~sd; ~mn as min; ~mx as max; ~wo as worst", "from (select 'independence' as check_name, count(*) as n, count(*) filter (where t < 0.3) as np, avg(t) as mean, stddev_samp(t) as sd, min(t) as mn, max(t) as mx, max(t) as wo from s2 where t is not null union all select 'clock', count(*), count(*) filter (where abs(t) < 1), avg(t), stddev_samp(t), min(t), max(t), max(abs(t)) from s3 union all select 'assignment', count(*), count(*) filter (where t < 50), avg(t), stddev_samp(t), min(t), max(t), max(t) from s4)",
              JIT.lstrip() + P2 + ", s2 as (select case when a is not null and b is not null and c is not null then greatest(abs(a), abs(b), abs(c)) end as t from p2), s3 as (select arg_max(gap, gaze_id) - arg_min(gap, gaze_id) as t from (select session_id, gaze_id, (system_time_stamp - device_time_stamp) / 1e3 as gap from g) group by session_id), s4 as (select 100e0 * count(*) filter (where d <= 0.06::double) / count(*) as t from (select session_id, (select min(abs(i.time_aligned - t.transition_time)) from tr t where t.session_id = i.session_id) as d from i) group by session_id)"),
     ),
     "f29_sync_error": (f29, rsql("session_id; scenario; ~latency_ms; ~latency_ms + 125 as total_latency_ms; ~least(1, (latency_ms + 125) / 2e3) as misassignment_rate; ~1 - least(1, (latency_ms + 125) / 2e3) as data_quality_score", "from trc where latency_ms is not null", TRC.lstrip())),
@@ -312,28 +404,41 @@ QUERIES = {
     "a63_sync_performance": (lambda s, d: rounded(studies.sync_performance(trials.traces(s, d), durations(s, d), ("scenario", "session_id"))), rsql("scenario; session_id; ~avg(latency_ms) as mean_latency; ~quantile_cont(latency_ms, 0.95) as p95_latency; ~avg((latency_ms is null)::int) as packet_loss; ~coalesce(greatest(0, 1 - avg(latency_ms) / max(mean_duration)), 0) as sync_accuracy", "from trc, dur group by 1, 2", TRC.lstrip())),
     "a64_scenario_summary": (lambda s, d: rounded(studies.interval_summary(trials.traces(s, d).filter("latency_ms is not null"), "latency_ms", ("scenario",))), rsql("scenario; count(*) as n; ~avg(latency_ms) as mean; ~stddev_samp(latency_ms) as sd; ~quantile_cont(latency_ms, 0.025) as low; ~quantile_cont(latency_ms, 0.5) as median; ~quantile_cont(latency_ms, 0.975) as high", "from trc where latency_ms is not null group by 1", TRC.lstrip())),
     "a65_threshold": (lambda s, d: rounded(studies.crossing(curve(s, d), "x", "y", 0.5, ("scenario",))), rsql("scenario; ~max(x) filter (where y >= 0.5) as largest; ~min(x + (y - 0.5) * (nx - x) / (y - ny)) filter (where y >= 0.5 and ny < 0.5) as crossing", "from cv group by 1", CRV.lstrip())),
-    "a46_modality_performance": (a46, rsql("modality; ~avg(err) as mean_error; ~stddev_samp(err) as sd_error; ~100e0 * avg((err < 50)::int) as pct_accurate; ~avg(n1 / n0) as assignment_rate; ~avg(sec * 1e3 / (n0 / 1e3)) as ms_per_1000; ~avg(n0 / sec) as points_per_sec", "from lg group by 1", LOG.lstrip())),
+    "a46_modality_performance": (a46, rsql("modality; " + "; ".join(f"round({e} + 7.071e-6, 2) + 0e0 as {k}" for e, k in (("avg(err)", "mean_error"), ("stddev_samp(err)", "sd_error"), ("100e0 * avg((err < 50)::int)", "pct_accurate"), ("avg(n1 / n0)", "assignment_rate"), ("avg(sec * 1e3 / (n0 / 1e3))", "ms_per_1000"), ("avg(n0 / sec)", "points_per_sec"), ("avg(se)", "spatial_error"))), "from lg group by 1", LOG.lstrip())),
     "a66_stress": (a66, rsql("modality; ~avg(n1 / n0) as match_mean; ~stddev_samp(n1 / n0) as match_sd; min(n0) filter (where n1 / n0 >= 0.95) as least_rate; ~max(loss) filter (where err < 50) as most_loss; ~avg(loss) as mean_loss", "from lg group by 1", LOG.lstrip())),
     "a56_grid_summary": (lambda s, d: rounded(trials.trials(s, d).groupBy("n_events", "snr", "sampling_freq").agg(rows().alias("n"), F.avg("error").alias("mean_error"), (F.stddev_samp("error") / F.sqrt(rows().cast("double"))).alias("se"))), rsql("n_events; snr; fs as sampling_freq; count(*) as n; ~avg(error) as mean_error; ~stddev_samp(error) / sqrt(count(*)) as se", "from tri group by 1, 2, 3", TRI.lstrip())),
     "a57_success_rate": (lambda s, d: rounded(studies.trial_columns(trials.trials(s, d)).filter("n_snr_product > 60").groupBy("snr").agg(rows().alias("n"), F.avg(F.col("success").cast("double")).alias("success_rate"))), rsql("snr; count(*) as n; ~avg((error < 50)::int) as success_rate", "from tri where n_events * snr > 60 group by 1", TRI.lstrip())),
-    "a58_error_model": (lambda s, d: studies.linear_model(studies.trial_columns(trials.trials(s, d)), ("log_n", "log_snr", "log_fs"), "log_error"), None),
+    "a58_error_model": (
+        a58,
+        rsql("term; " + "; ".join(f"round({e} + 7.071e-8, 4) + 0e0 as {k}" for e, k in (("estimate", "estimate"), ("std_error", "std_error"), ("estimate - reach * std_error", "low"), ("estimate + reach * std_error", "high"), ("df", "df"))), OLS[1], TRI.lstrip() + ", " + OLS[0]),
+    ),
     "a59_calibration": (
-        lambda s, d: rounded(trials.trials(s, d).groupBy("sampling_freq").agg(F.regr_slope(F.log("sigma_delta_boot"), F.log("sigma_delta")).alias("slope"), F.regr_intercept(F.log("sigma_delta_boot"), F.log("sigma_delta")).alias("intercept"), safe_r2(F.log("sigma_delta_boot"), F.log("sigma_delta")).alias("r_squared"))),
-        rsql("fs as sampling_freq; ~regr_slope(ln(sb), ln(sd)) as slope; ~regr_intercept(ln(sb), ln(sd)) as intercept; ~regr_r2(ln(sb), ln(sd)) as r_squared", "from tri group by 1", TRI.lstrip()),
+        a59,
+        rsql("fs as sampling_freq; count(*) as n; ~regr_slope(ln(sb), ln(sd)) as slope; ~regr_intercept(ln(sb), ln(sd)) as intercept; ~regr_r2(ln(sb), ln(sd)) as r_squared; regr_slope(ln(sb), ln(sd)) between 0.8::double and 1.2::double as in_range", "from tri group by 1", TRI.lstrip()),
     ),
     "a60_success_model": (a60, None),
-    "a55_bootstrap": (lambda s, d: rounded(studies.bootstrap_latency(signals(s, d), 20, 10, 10.0)), None),
-    "a49_error_summary": (lambda s, d: rounded(studies.error_summary(trip(s, d), "error", ("session_id",), 0.5)), rsql("session_id; count(*) as n; ~avg(error) as mean; ~quantile_cont(error, 0.5) as median; ~quantile_cont(error, 0.95) as p95; ~max(error) as max; ~100e0 * avg((error < 0.5)::int) as pct_below", "from tp group by 1", TRIP.lstrip())),
-    "a50_error_dependence": (a50, rsql("n; ~case when v > 1e-10 then r end as r; ~case when v > 1e-10 then r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0) end as t", f"from (select count(*) as n, {corr('x', 'y')} as r, least(var_samp(x), var_samp(y)) as v from (select slice_num::double as x, log10(case when avg(error) > 0 then avg(error) end) as y from tp group by session_id, slice_num) where y is not null)", TRIP.lstrip())),
+    "a60_success_grid": (a60_grid, None),
+    "a55_bootstrap": (
+        lambda s, d: rounded(studies.bootstrap_latency(signals(s, d), 100, 10, 10.0)),
+        rsql("session_id; count(*) as n; ~stddev_samp(-lag * 100e0) as sd_ms", "from (select session_id, rep, arg_max(lag, (round(abs(r), 12), -lag)) as lag from bc where r is not null group by 1, 2) group by 1", SIG.split(",\n cc as")[0].lstrip() + BOOT),
+    ),
+    "a49_error_summary": (
+        a49,
+        rsql(f"l.level as level; l.of as of; {TRIP_STATS}", "from (select *, unnest([{'level': 'volume', 'of': volume_id::varchar}, {'level': 'plane', 'of': plane}, {'level': 'oblique', 'of': oblique::varchar}, {'level': 'overall', 'of': 'all'}]) as l from tp) group by 1, 2", TRIP.lstrip()),
+    ),
+    "a50_error_dependence": (
+        a50,
+        rsql(f"n; ~r; ~t; ~n - 2e0 as df; ~{p_sql('t', '(n - 2)')} as p", f"from (select n, case when v > 1e-10 then r end as r, case when v > 1e-10 then r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0) end as t from (select count(*) as n, {corr('x', 'y')} as r, least(var_samp(x), var_samp(y)) as v from (select aniso as x, log10(case when avg(error) > 0 then avg(error) end) as y from tp group by volume_id, aniso) where y is not null))", TRIP.lstrip()),
+    ),
     "a8_slice_validity": (a8, rsql("plane; slice_num; count(*) as total; count(*) filter (where ok) as valid; count(*) filter (where not ok) as invalid; ~100e0 * count(*) filter (where ok) / count(*) as percent_valid", "from (select *, (gaze_x * 2624 - 350) / 1924 between 0 and 1 and (gaze_y * 1640 - 80) / 1560 between 0 and 1 as ok from sh) group by 1, 2", hits("true", "0 as one").lstrip())),
-    "a32_slice_heatmaps": (lambda s, d: rounded(heatmap.slice_heatmaps(integrated(s, d), DIMS, 2.0)), rsql("session_id; plane; slice_num; gx::int as gx; gy::int as gy; ~att_n as attention", "from hn", HEAT.lstrip())),
+    "a32_slice_heatmaps": (lambda s, d: rounded(heatmap.slice_heatmaps(on_screen(s, d), DIMS, 2.0)), rsql("session_id; plane; slice_num; gx::int as gx; gy::int as gy; ~att_n as attention", "from hn", HEAT.lstrip())),
     "a33_volume_heatmap": (
-        lambda s, d: rounded(heatmap.volume_heatmap(integrated(s, d), DIMS, 2.0)),
+        lambda s, d: rounded(heatmap.volume_heatmap(on_screen(s, d), DIMS, 2.0)),
         rsql("session_id; plane; (case plane when 'SAGITTAL' then slice_num - 1 else gx end)::int as voxel_i; (case plane when 'AXIAL' then gy when 'SAGITTAL' then gx else slice_num - 1 end)::int as voxel_j; (case plane when 'AXIAL' then slice_num - 1 else gy end)::int as voxel_k; ~att_v as attention", "from hn", HEAT.lstrip()),
     ),
-    "f42_overlay": (lambda s, d: heatmap.overlay(heatmap.slice_heatmaps(integrated(s, d), DIMS, 2.0)).groupBy("session_id", "plane", "slice_num").agg(rows().alias("n"), F.count("attention").alias("n_shown")), rsql("session_id; plane; slice_num; count(*) as n; count(*) filter (where att_n >= 0.05) as n_shown", "from hn group by 1, 2, 3", HEAT.lstrip())),
+    "f42_overlay": (lambda s, d: heatmap.overlay(heatmap.slice_heatmaps(on_screen(s, d), DIMS, 2.0)).groupBy("session_id", "plane", "slice_num").agg(rows().alias("n"), F.count("attention").alias("n_shown")), rsql("session_id; plane; slice_num; count(*) as n; count(*) filter (where att_n >= 0.05) as n_shown", "from hn group by 1, 2, 3", HEAT.lstrip())),
     "s8_attention_export": (
-        lambda s, d: rounded(heatmap.attention_export(heatmap.volume_heatmap(integrated(s, d), DIMS, 2.0), 0.2)).groupBy("session_id", "plane").agg(rows().alias("n"), F.max("attention").alias("top")),
+        lambda s, d: rounded(heatmap.attention_export(heatmap.volume_heatmap(on_screen(s, d), DIMS, 2.0), 0.2)).groupBy("session_id", "plane").agg(rows().alias("n"), F.max("attention").alias("top")),
         rsql("session_id; plane; count(*) as n; ~max(att_v) as top", "from hn where att_v > 0.2 group by 1, 2", HEAT.lstrip()),
     ),
     "a34_reference_density": (
@@ -347,8 +452,12 @@ QUERIES = {
     ),
     "a39_gaze_volume": (lambda s, d: located(s, d).filter("valid").groupBy("session_id", "voxel_i", "voxel_j", "voxel_k").agg(rows().alias("n")), rsql("session_id; vi as voxel_i; vj as voxel_j; vk as voxel_k; count(*) as n", "from lc where vi between 0 and 15 and vj between 0 and 15 and vk between 0 and 24 group by 1, 2, 3, 4", LOC.lstrip())),
     "a43_plane_latency": (
-        lambda s, d: rounded(integrated(s, d).groupBy("session_id", "plane").agg(rows().alias("n"), (F.max("time_sec") - F.min("time_sec")).alias("gaze_duration"), (F.max("z_time_sec") - F.min("z_time_sec")).alias("z_duration")).withColumn("latency", F.col("z_duration") - F.col("gaze_duration"))),
-        rsql("session_id; plane; count(*) as n; ~max(time_sec) - min(time_sec) as gaze_duration; ~max(z_time_sec) - min(z_time_sec) as z_duration; ~max(z_time_sec) - min(z_time_sec) - (max(time_sec) - min(time_sec)) as latency", "from i group by 1, 2"),
+        lambda s, d: rounded(plane_latency(s, d)),
+        rsql("session_id; plane; n; ~gd as gaze_duration; ~zd as z_duration; ~latency; ~match_rate", "from pl", PLANES.lstrip()),
+    ),
+    "a43_latency_statistics": (
+        lambda s, d: rounded(studies.case_summary(plane_latency(s, d), "latency", keys=("plane",)).withColumn("range", F.col("max") - F.col("min")).drop("n_pass", "worst")),
+        rsql("plane; count(*) as n_cases; ~avg(latency) as mean; ~stddev_samp(latency) as sd; ~min(latency) as min; ~max(latency) as max; ~max(latency) - min(latency) as range", "from pl group by 1", PLANES.lstrip()),
     ),
     "a52_pattern_summary": (
         lambda s, d: rounded(valued(s, d).groupBy("session_id").agg(rows().alias("n"), (F.max("time_sec") - F.min("time_sec")).alias("duration"), F.count_if("valid").alias("n_valid"), F.count_distinct("region_id").alias("n_regions"))),
@@ -369,8 +478,11 @@ QUERIES = {
         lambda s, d: rounded(gaze(s, d).join(integrated(s, d).select("session_id", "gaze_id", slice_number("slice_index", "plane", DIMS).alias("slice_num")), ["session_id", "gaze_id"], "full_outer").groupBy("session_id").agg(rows().alias("n"), F.count_if(F.col("slice_num").isNull()).alias("n_unpaired"))),
         rsql("session_id; count(*) as n; count(*) filter (where i.gaze_id is null) as n_unpaired", "from g left join i using (session_id, gaze_id) group by 1"),
     ),
-    "j10_nearest_sample": (lambda s, d: rounded(j10(s, d)), rsql("session_id; gaze_id; ~case when (select count(*) from i where i.session_id = g.session_id and i.time_sec = g.time_sec) > 0 then (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and i.time_sec = g.time_sec order by i.gaze_id desc limit 1) else (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and abs(i.time_sec - g.time_sec) <= 0.001::double order by abs(i.time_sec - g.time_sec), i.time_sec, i.gaze_id limit 1) end as error", "from g where gaze_id % 10 = 1")),
-    "a47_spatial_accuracy": (lambda s, d: rounded(studies.error_summary(j10(s, d).filter("error is not null"), "error", ("session_id",), 0.01).select("session_id", "mean", "max", "pct_below")), None),
+    "j10_nearest_sample": (lambda s, d: rounded(j10(s, d)), rsql(f"session_id; gaze_id; ~{NEAREST} as error", "from g where gaze_id % 10 = 1")),
+    "a47_spatial_accuracy": (
+        lambda s, d: rounded(studies.error_summary(j10(s, d).filter("error is not null"), "error", ("session_id",), {"pct_below": 0.01}).select("session_id", "n", "mean", "sd", "max", "pct_below")),
+        rsql("session_id; count(*) as n; ~avg(error) as mean; ~stddev_samp(error) as sd; ~max(error) as max; ~100e0 * avg((error < 0.01::double)::int) as pct_below", f"from (select session_id, {NEAREST} as error from g where gaze_id % 10 = 1) where error is not null group by 1"),
+    ),
     "j11_event_membership": (j11, rsql("session_id; count(*) as n; count(*) filter (where exists (select 1 from zi where zi.session_id = g.session_id and plane = 'AXIAL' and integration_mode <> 'single_event' and time_start < g.time_sec and g.time_sec < time_end)) as n_inside", "from g group by 1")),
     "s6_slice_matrix": (s6, rsql("k::int + 1 as slice_num; count(*) as n; ~sum(value) as total; ~min(value) as low; ~max(value) as high", "from vx where k + 1 in (select slice_num from lc where plane = 'AXIAL') group by 1", LOC.lstrip())),
     "f38_anisotropy": (

@@ -31,8 +31,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """modality, session_id, true and estimated latency (ms), samples, matched samples, seconds."""
+    """modality, session_id, true and estimated latency (ms), samples, matched samples, seconds, loss, error in space."""
     return clicks(spark, sf_dir).select(
         F.col("event_type").alias("modality"), "session_id", F.lit(100.0).alias("true_latency_ms"), (100.0 + F.col("value") / 2 * F.expr("case when event_id % 2 = 0 then 1 else -1 end")).alias("estimated_latency_ms"),
-        F.expr("1000 + event_id % 7 * 100").alias("n_gaze_original"), F.expr("1000 + event_id % 7 * 100 - event_id % 11 * 20").alias("n_gaze_matched"), F.expr("(1 + event_id % 5) / 1e1").alias("processing_time_sec"), F.expr("event_id % 10 / 1e1").alias("loss"),
+        F.expr("1000 + event_id % 7 * 100").alias("n_gaze_original"), F.expr("1000 + event_id % 7 * 100 - event_id % 11 * 20").alias("n_gaze_matched"), F.expr("(1 + event_id % 5) / 1e1").alias("processing_time_sec"), F.expr("event_id % 10 / 1e1").alias("loss"), F.expr("event_id % 13 / 1e3").alias("spatial_error"),
     )
