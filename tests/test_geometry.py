@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oculith.operators import geometry, latency
+from oculith.operators import geometry, heatmap, latency
 from oculith.operators.geometry import Volume
 
 OBLIQUE = Volume(
@@ -67,5 +67,5 @@ def test_latency_direction(spark):
 
 def test_density_leans_to_heavier_samples(spark):
     rows = [(1, x, 0.5, w) for x, w in ((0.25, 10.0), (0.75, 1.0)) for _ in range(10)]
-    got = geometry.density(spark.createDataFrame(rows, "session_id long, gaze_x double, gaze_y double, w double"), ("session_id",), 32, 0.1, "w").toPandas()
+    got = heatmap.density(spark.createDataFrame(rows, "session_id long, gaze_x double, gaze_y double, w double"), ("session_id",), 32, 0.1, "w").toPandas()
     assert len(got) == 1024 and got[got.gx < 16].density.sum() > 5 * got[got.gx >= 16].density.sum()

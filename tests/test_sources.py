@@ -103,12 +103,3 @@ def test_models(spark):
     assert [got["a"], got["b"], got["intercept"]] == pytest.approx(list(want), abs=1e-6)
     p = studies.success_model(df, ("a", "b")).select(F.avg(((F.col("probability") > 0.5) == F.col("success")).cast("double"))).first()[0]
     assert p > 0.9
-
-
-def test_bootstrap_spread(spark):
-    rng = np.random.default_rng(4)
-    g = rng.random(200)
-    rows = [(1, i, float(g[i]), float(g[i - 3] if i >= 3 else 0)) for i in range(200)]
-    df = spark.createDataFrame(rows, "session_id long, idx long, gaze double, event double")
-    out = studies.bootstrap_latency(df, 5, 5, 10.0).collect()
-    assert [(r["session_id"], r["n"]) for r in out] == [(1, 5)] and out[0]["sd_ms"] >= 0
