@@ -2,8 +2,9 @@
 
 Documents are summed once to cells (source, language, topic). Each margin has a target share for each of its values; a
 value can't give more tokens than it has, so what it lacks is spread over the others of its margin in proportion (its
-goal). Raking scales the cells' token weights to the goals of each margin in turn and holds every cell to the tokens that
-it has, until no goal is missed by more than a tolerance. It runs on cells only, by partial sums, whatever their number.
+goal). Cells of a value that must give all it has are taken whole. Raking scales the token weights of the others to what
+is left of the goals of each margin in turn, and holds every cell to the tokens that it has, until no goal is missed by
+more than a tolerance. It runs on cells only, by partial sums, whatever their number.
 A document is then sampled with its cell's probability, by a hash of its id, so that reruns and recomputed tasks decide
 alike. margins() reports what was wanted, what is feasible and what is reached.
 """
@@ -21,8 +22,8 @@ NONE = "(none)"
 #: gain; the share of all tokens to sample.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION = 0.5
-#: Rounds between two tests, most tests, and the share of its goal by which a value may miss it.
-ROUNDS, TESTS, TOLERANCE = 2, 10, 5e-3
+#: Most rounds of raking, and the share of its goal by which a value may miss it.
+ROUNDS, TOLERANCE = 12, 2e-3
 #: Target shares by margin and value; values that aren't named have none.
 Targets = dict[str, dict[str, float]]
 
@@ -82,33 +83,41 @@ def goals(cells: DataFrame, fraction: float, powers: dict[str, float], targets:
     return found
 
 
-def rake(cells: DataFrame, fraction: float = FRACTION, powers: dict[str, float] = POWERS, targets: Targets | None = None, rounds: int = ROUNDS, tests: int = TESTS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, fraction: float = FRACTION, powers: dict[str, float] = POWERS, targets: Targets | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: tokens to sample, 0 <= weight <= tokens.
 
-    Stops once every value of every margin is within the tolerance of its goal, or after `tests` times `rounds` rounds
-    (goals of different margins can contradict each other). The sums of a margin are joined back, so that no task holds
-    all cells of a common value.
+    Stops once every value of every margin is within the tolerance of its goal, or after `rounds` rounds (goals of
+    different margins can contradict each other). The sums of a margin are joined back, so that no task holds all cells
+    of a common value; every step is written, so that plans stay small.
     """
-    goal = goals(cells, fraction, powers, targets)
-    cells = cells.withColumn("weight", fraction * F.col("tokens").cast("double"))
-    for test in range(tests):
-        for _ in range(rounds):
-            for name in MARGINS:
-                held = cells.groupBy(name).agg(F.sum("weight").alias("held"))
-                scale = held.join(goal[name], name).select(name, F.coalesce(F.try_divide("goal", "held"), F.lit(0.0)).alias("scale"))
-                cells = cells.join(scale, name).select(*MARGINS, "tokens", F.least(F.col("weight") * F.col("scale"), F.col("tokens").cast("double")).alias("weight"))
-            cells = written(cells, "raked")  # every step names its cells twice, so longer plans would grow as powers of two
-        if test < tests - 1 and missed(cells, goal) <= tolerance:
+    goal, marked = goals(cells, fraction, powers, targets), cells.withColumn("full", F.lit(False))
+    for name in MARGINS:
+        spent = goal[name].select(name, (F.col("goal") >= F.col("tokens")).alias("all"))
+        marked = marked.join(spent, name).select(*MARGINS, "tokens", (F.col("full") | F.col("all")).alias("full"))
+    marked = written(marked, "marked")
+    rest = {}
+    for name in MARGINS:
+        taken = marked.filter("full").groupBy(name).agg(F.sum("tokens").alias("taken"))
+        left = goal[name].join(taken, name, "left").select(name, F.greatest(F.col("goal") - F.coalesce("taken", F.lit(0)), F.lit(0.0)).alias("rest"), "goal")
+        rest[name] = written(left, f"rest-{name}")
+    free = marked.filter("not full").select(*MARGINS, "tokens", (fraction * F.col("tokens").cast("double")).alias("weight"))
+    for round_ in range(rounds):
+        for name in MARGINS:
+            held = free.groupBy(name).agg(F.sum("weight").alias("held"))
+            scale = held.join(rest[name], name).select(name, F.coalesce(F.try_divide("rest", "held"), F.lit(0.0)).alias("scale"))
+            free = free.join(scale, name).select(*MARGINS, "tokens", F.least(F.col("weight") * F.col("scale"), F.col("tokens").cast("double")).alias("weight"))
+            free = written(free, "raked")
+        if round_ < rounds - 1 and missed(free, rest) <= tolerance:
             break
-    return cells
+    return free.unionByName(marked.filter("full").select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("weight")))
 
 
-def missed(cells: DataFrame, goal: dict[str, DataFrame]) -> float:
-    """The largest share of its goal by which a value of any margin misses it."""
+def missed(free: DataFrame, rest: dict[str, DataFrame]) -> float:
+    """The largest share of its goal by which a value of any margin misses what is left of it."""
     off = None
     for name in MARGINS:
-        held = cells.groupBy(name).agg(F.sum("weight").alias("held")).join(goal[name], name)
-        part = held.select((F.abs(F.col("held") - F.col("goal")) / F.greatest(F.col("goal"), F.lit(1.0))).alias("off"))
+        held = free.groupBy(name).agg(F.sum("weight").alias("held")).join(rest[name], name)
+        part = held.select((F.abs(F.col("held") - F.col("rest")) / F.greatest(F.col("goal"), F.lit(1.0))).alias("off"))
         off = part if off is None else off.unionByName(part)
     return off.agg(F.max("off")).first()[0] or 0.0
 

@@ -112,26 +112,27 @@ def measured_sql(documents: str) -> str:
 
 def mixing_sql(documents: str) -> str:
     """CTEs of mixing.mix() over a table; the last is `mixed`. Goals come from one sorted pass over each margin; the
-    state of the first test whose goals are all met, else of the last one, is taken."""
+    state after the first round that meets all goals, else after the last one, is taken."""
     ctes = [("mix_rows", measured_sql(documents)), ("cells", "select source, lang, topic, sum(tokens)::bigint as tokens from mix_rows group by all"), ("whole", f"select {mixing.FRACTION}::double * sum(tokens)::double as budget from cells")]
     for name in mixing.MARGINS:
         ctes.append((f"t_{name}", f"select {name}, sum(tokens)::double as cap, pow(sum(tokens)::double, {mixing.POWERS[name]!r}::double) as share from cells group by 1"))
         rest = "rows between unbounded preceding and 1 preceding"
         ctes.append((f"f_{name}", f"select *, (budget - coalesce(sum(cap) over (order by cap / share, {name} {rest}), 0)) / sum(share) over (order by cap / share, {name} rows between current row and unbounded following) as factor from t_{name}, whole"))
-        ctes.append((f"goal_{name}", f"select {name}, least(share * (select max(factor) from f_{name}), cap) as goal from t_{name}"))
-    ctes.append(("w0", f"select *, {mixing.FRACTION}::double * tokens::double as weight from cells"))
-    k, states = 0, []
-    for test in range(mixing.TESTS):
-        for _ in range(mixing.ROUNDS):
-            for name in mixing.MARGINS:
-                ctes.append((f"w{k + 1}", f"select w.* exclude (weight, goal), least(weight * (goal / sum(weight) over (partition by {name})), tokens::double) as weight from (select * from w{k} join goal_{name} using ({name})) w"))
-                k += 1
-        off = " union all ".join(f"select abs(sum(weight) - any_value(goal)) / greatest(any_value(goal), 1) as off from w{k} join goal_{name} using ({name}) group by {name}" for name in mixing.MARGINS)
-        ctes.append((f"off{test}", f"select {test} as test, max(off) as off from ({off})"))
-        states.append((test, k))
-    ctes.append(("tests", " union all ".join(f"select * from off{test}" for test, _ in states)))
-    ctes.append(("chosen", f"select coalesce(min(test) filter (where off <= {mixing.TOLERANCE!r}::double), {mixing.TESTS - 1}) as test from tests"))
-    ctes.append(("raked", " union all ".join(f"select source, lang, topic, tokens, weight from w{k} where (select test from chosen) = {test}" for test, k in states)))
+        ctes.append((f"goal_{name}", f"select {name}, least(share * (select max(factor) from f_{name}), cap) as goal, share * (select max(factor) from f_{name}) >= cap as spent from t_{name}"))
+    ctes.append(("marked", "select cells.*, s.spent or l.spent or t.spent as whole_cell from cells join goal_source s using (source) join goal_lang l using (lang) join goal_topic t using (topic)"))
+    for name in mixing.MARGINS:
+        ctes.append((f"rest_{name}", f"select {name}, goal, greatest(goal - coalesce(taken, 0), 0) as rest from goal_{name} left join (select {name}, sum(tokens) as taken from marked where whole_cell group by 1) using ({name})"))
+    ctes.append(("w0", f"select source, lang, topic, tokens, {mixing.FRACTION}::double * tokens::double as weight from marked where not whole_cell"))
+    k = 0
+    for round_ in range(mixing.ROUNDS):
+        for name in mixing.MARGINS:
+            ctes.append((f"w{k + 1}", f"select w.* exclude (weight, goal, rest), least(weight * coalesce(rest / nullif(sum(weight) over (partition by {name}), 0), 0), tokens::double) as weight from (select * from w{k} join rest_{name} using ({name})) w"))
+            k += 1
+        off = " union all ".join(f"select abs(sum(weight) - any_value(rest)) / greatest(any_value(goal), 1) as off from w{k} join rest_{name} using ({name}) group by {name}" for name in mixing.MARGINS)
+        ctes.append((f"off{round_}", f"select {round_} as round_, max(off) as off from ({off})"))
+    ctes.append(("tests", " union all ".join(f"select * from off{r}" for r in range(mixing.ROUNDS))))
+    ctes.append(("chosen", f"select coalesce(min(round_) filter (where coalesce(off, 0) <= {mixing.TOLERANCE!r}::double), {mixing.ROUNDS - 1}) as round_ from tests"))
+    ctes.append(("raked", " union all ".join(f"select source, lang, topic, tokens, weight from w{3 * (r + 1)} where (select round_ from chosen) = {r}" for r in range(mixing.ROUNDS)) + " union all select source, lang, topic, tokens, tokens::double from marked where whole_cell"))
     chance = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296::double"
     ctes.append(("mixed", f"select r.doc_id, source, lang, topic, r.tokens, weight / w.tokens as probability, {chance} < weight / w.tokens as sampled from mix_rows r join raked w using (source, lang, topic)"))
     return ",\n".join(f"{name} as materialized ({sql})" for name, sql in ctes)
