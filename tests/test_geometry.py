@@ -69,3 +69,14 @@ def test_density_leans_to_heavier_samples(spark):
     rows = [(1, x, 0.5, w) for x, w in ((0.25, 10.0), (0.75, 1.0)) for _ in range(10)]
     got = heatmap.density(spark.createDataFrame(rows, "session_id long, gaze_x double, gaze_y double, w double"), ("session_id",), 32, 0.1, "w").toPandas()
     assert len(got) == 1024 and got[got.gx < 16].density.sum() > 5 * got[got.gx >= 16].density.sum()
+
+
+def test_batch_of_points_and_inverse_maps(spark):
+    volume = Volume((100, 100, 25), (1.0, 1.0, 1.0), ((1, 0, 0, -90), (0, 1, 0, -126), (0, 0, 1, -72), (0, 0, 0, 1)))
+    points = spark.createDataFrame([(0.25, 0.25, 5), (0.5, 0.5, 13), (0.75, 0.75, 20), (None, 0.5, 1), (1.5, -1.0, 25)], "gaze_x double, gaze_y double, slice_num int").withColumn("plane", F.lit("AXIAL"))
+    got = [tuple(r) for r in geometry.located(points, volume).select("voxel_i", "voxel_j", "voxel_k", "valid").collect()]
+    assert got == [(25, 25, 4, True), (50, 50, 12, True), (74, 74, 19, True), (None, 50, 0, False), (99, 0, 24, True)]
+    mm = [F.lit(10.0), F.lit(20.0), F.lit(30.0)]
+    for forth, back in ((volume.inverse(), volume.matrix()), (np.linalg.inv(volume.frac2mm()), volume.frac2mm())):
+        row = spark.range(1).select(*geometry.transform(back, *geometry.transform(forth, *mm))).first()
+        assert np.allclose(row, (10, 20, 30), atol=1e-10)
