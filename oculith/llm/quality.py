@@ -82,6 +82,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
     ids = ids.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "label")
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * per_class ids
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row an id, however often it is there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -91,7 +92,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: in
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("label").cast(pa.int32()), *columns], names=["doc_id", "label", "at", "value"])
 
     out = chosen.select("doc_id", "label", "text").mapInArrow(run, "doc_id string, label int, at binary, value binary").toPandas()
-    return out.sort_values(["doc_id", "at", "value"]).drop_duplicates("doc_id")
+    return out.sort_values("doc_id")
 
 
 class Model:
