@@ -20,7 +20,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +47,12 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by the tokenizer of a file, with what it gave kept.
 
     Where the file's rules are those of CUTTABLE, chunks between ASCII blanks are encoded one by one: nothing joins across
-    them. A run of ASCII letters, or of Latin letters that stay single letters when composed and folded, is a word and is
-    encoded apart from plain marks behind it; ASCII words are kept in lower case. Many words are encoded as one text, whose
+    them. A run of letters below U+0100, which stay single letters when composed and folded, is a word and is encoded apart
+    from plain marks behind it; ASCII words are kept in lower case. Many words are encoded as one text, whose
     ids are cut where a word ends by its token's suffix. Texts of other files are encoded whole.
     """
 
     MARKS = ".,!?|$#%&*"
-    #: Latin letters of the two blocks after ASCII, without the signs among them and without those that fold to more.
-    PLAIN = regex.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str, end_id: int, chunks: int = 600_000, words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,20 +71,11 @@ class Encoder:
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
 
-    def parts(self, chunk: str) -> tuple[str, str]:
-        core = chunk.rstrip(self.MARKS)
-        if core.isalpha():
-            if core.isascii():
-                return core.lower(), chunk[len(core) :]
-            if self.PLAIN.fullmatch(core):
-                return core, chunk[len(core) :]
-        return chunk, ""
-
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encoded_words(self, words: list[str], together: int = 4096) -> list[bytes]:
-        """Ids of words (see parts), many at a time; one by one where a word's end can't be told."""
+        """Ids of words, many at a time; one by one where a word's end can't be told."""
         out = []
         for at in range(0, len(words), together):
             own = words[at : at + together]
@@ -111,12 +99,25 @@ class Encoder:
         if new:
             if len(self.words) > self.most[1]:
                 self.words = {"": b""}
-            words, parts = self.words, [self.parts(x) for x in new]
-            plain = list({core for core, marks in parts if core.isalpha()}.difference(words))
-            odd = list({p for pair in parts for p in pair if not p.isalpha()}.difference(words))
-            plain, mixed = [x for x in plain if x.isascii() or self.PLAIN.fullmatch(x)], [x for x in plain if not (x.isascii() or self.PLAIN.fullmatch(x))]
+            words, parts, plain, odd = self.words, [], set(), set()
+            for chunk in new:
+                core = chunk.rstrip(self.MARKS)
+                if core.isalpha() and len(core.encode("latin-1", "ignore")) == len(core):
+                    marks = chunk[len(core) :]
+                    if core.isascii():
+                        core = core.lower()
+                    if core not in words:
+                        plain.add(core)
+                    if marks not in words:
+                        odd.add(marks)
+                    parts.append((core, marks))
+                else:
+                    if chunk not in words:
+                        odd.add(chunk)
+                    parts.append((chunk, ""))
+            plain, odd = list(plain), list(odd)
             words.update(zip(plain, self.encoded_words(plain)))
-            words.update(zip(odd + mixed, self.encoded(odd + mixed)))
+            words.update(zip(odd, self.encoded(odd)))
             known.update(zip(new, [words[core] + words[marks] for core, marks in parts]))
         return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
 
