@@ -117,13 +117,17 @@ def numbered_columns(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
-def kept_row(schema: StructType, largest: bool) -> Column:
-    """Aggregate of the struct column `whole`: the row with the largest or smallest doc_id; a null id loses to any other.
-    Rows with the same id are told apart by a hash of their columns."""
+def row_order(schema: StructType, largest: bool) -> Column:
+    """Order of the rows in the struct column `whole`: by doc_id, a null id losing to any other; rows with the same id are
+    told apart by a hash of their columns."""
     plain = [F.col("whole")[f.name] for f in schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     doc_id = F.col("whole")["doc_id"]
-    order = F.struct(doc_id.isNotNull() if largest else doc_id.isNull(), doc_id, F.xxhash64(*plain))
-    return (F.max_by if largest else F.min_by)(F.col("whole"), order)
+    return F.struct((doc_id.isNotNull() if largest else doc_id.isNull()).alias("no_id"), doc_id.alias("doc_id"), F.xxhash64(*plain).alias("hash"))
+
+
+def kept_row(schema: StructType, largest: bool) -> Column:
+    """Aggregate of the struct column `whole`: the row with the largest or smallest doc_id."""
+    return (F.max_by if largest else F.min_by)(F.col("whole"), row_order(schema, largest))
 
 
 def one_row(rows: DataFrame, group: list[str], largest: bool) -> DataFrame:
