@@ -154,14 +154,14 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> Scorer:
     """Lexicon and curve from training folds; `labelled` documents are learned from, by a bound of their ids' hash. Of
-    rows that repeat an id, one text counts."""
+    rows that repeat an id, one text counts; copies of a text with the same label count once, as they add no evidence."""
     order = F.xxhash64("doc_id")
     train = labels.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     train = train.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     below = min(1.0, labelled / max(1, train.count())) * 2.0**64 - 2.0**63  # as many as wanted lie below this hash, on average
     train = train.filter(order.cast("double") <= below)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")
-    rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "toxicity-sample")
+    rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text").distinct(), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
