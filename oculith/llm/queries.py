@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oculith.llm import chat, exact_dedup, fingerprint, language, licence, mixing, packing, quality, simhash, toxicity
+from oculith.llm import chat, exact_dedup, fingerprint, language, lexical, licence, mixing, packing, quality, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,8 +73,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing]
+    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing, op13_lexical]
     return {f.__name__: f for f in own}
 
 
@@ -141,5 +145,20 @@ def mixing_sql(documents: str) -> str:
 OP10 = f"with {mixing_sql('documents')}\nselect doc_id, source, lang, topic, tokens, round(probability, 6) as probability, sampled from mixed"
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+with w as (select row_number() over () as doc, doc_id, regexp_extract_all({LOWER}, '{TERM}') as words from documents),
+d as (select doc, doc_id, len(words)::bigint as n, words from w where len(words) > 0),
+total as (select count(*) as docs, sum(n)::bigint as terms from d),
+tf as (select doc, doc_id, n, term, count(*) as tf from (select doc, doc_id, n, unnest(words) as term from d) group by all),
+df as (select term, count(*) as df from tf group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) as term from (select distinct item_id, text from benchmark)) group by all),
+s as (select item_id, doc_id, doc, sum(times * floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from q join df using (term) join tf using (term), total group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from s where score > 0 qualify rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op9_chat": OP9, "op10_mixing": OP10}
+    return {"op1_exact_dedup": OP1, "op9_chat": OP9, "op10_mixing": OP10, "op13_lexical": OP13}
