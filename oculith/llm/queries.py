@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oculith.llm import chat, exact_dedup, fingerprint, language, lexical, licence, mixing, packing, quality, simhash, toxicity
+from oculith.llm import chat, collocation, exact_dedup, fingerprint, language, lexical, licence, mixing, packing, quality, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,12 +73,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing, op13_lexical]
+    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing, op12_collocations, op13_lexical]
     return {f.__name__: f for f in own}
 
 
@@ -145,6 +149,21 @@ def mixing_sql(documents: str) -> str:
 OP10 = f"with {mixing_sql('documents')}\nselect doc_id, source, lang, topic, tokens, round(probability, 6) as probability, sampled from mixed"
 
 
+OP12 = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as words from p),
+total as (select lang, sum(len(words))::bigint as n from w group by lang),
+g as (select lang, k, array_to_string(words[b : b + k - 1], ' ') as phrase from (select lang, words, k, unnest(range(1, len(words) - k + 2)) as b from w, (select unnest([1, 2, 3]) as k))),
+f as (select lang, k, phrase, count(*)::hugeint as a from g group by all having count(*) >= 10),
+longer as (select lang, unnest(list_distinct([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')])) as phrase, a from f where k = 3),
+kept as (select f.* from f left join (select lang, phrase, max(a) as over_ from longer group by all) o using (lang, phrase) where k = 3 or k = 2 and (over_ is null or 100 * over_ < 50 * a)),
+cuts as (select lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') as one, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') as two from (select *, unnest(range(1, k)) as cut from kept)),
+scored as (select cuts.*, x.a as l, y.a as r, 1000000 * cuts.a * cuts.a // (x.a * y.a) as score from cuts join f x on x.lang = cuts.lang and x.phrase = one join f y on y.lang = cuts.lang and y.phrase = two),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from lowest join total using (lang) qualify rank <= 2000
+"""
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OP13 = f"""
 with w as (select row_number() over () as doc, doc_id, regexp_extract_all({LOWER}, '{TERM}') as words from documents),
@@ -161,4 +180,4 @@ from s where score > 0 qualify rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op9_chat": OP9, "op10_mixing": OP10, "op13_lexical": OP13}
+    return {"op1_exact_dedup": OP1, "op9_chat": OP9, "op10_mixing": OP10, "op12_collocations": OP12, "op13_lexical": OP13}
