@@ -51,23 +51,33 @@ class Filter:
 
     @staticmethod
     def of(phrases: DataFrame) -> Filter:
-        """A filter of the rows' lang and phrase; its words are put together by Spark."""
-        at = F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 32).bitwiseAND(BITS - 1)))
-        bits = phrases.select(hashed(F.col("lang"), F.col("phrase")).alias("h")).select(at.alias("at"))
-        bits = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        """A filter of the rows' phrases of one or two words; its words are put together by Spark."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                split = [(lang, *phrase.split(b" ")) for lang, phrase in zip(texts(batch, "lang"), texts(batch, "phrase"))]
+                one = np.array([word_hash(x[0], x[1]) for x in split], np.uint64)
+                if split and len(split[0]) > 2:
+                    one = pair_hash(one, np.array([word_hash(x[0], x[2]) for x in split], np.uint64))
+                at = np.concatenate(list(Filter.probes(one))).astype(np.int64)
+                yield pa.record_batch({"word": pa.array(at >> 6), "bits": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
+
+        bits = phrases.select("lang", "phrase").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
         found = bits.toArrow()  # as many rows as the filter has words, at most
         words = np.zeros(BITS >> 6, np.uint64)
         words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         return Filter(words)
 
 
-def hashed(lang: Column, phrase: Column) -> Column:
-    return F.xxhash64(F.concat(lang.cast("binary"), F.lit(b"\x00"), phrase))
+def word_hash(lang: bytes, word: bytes) -> int:
+    return xxh64_intdigest(b"%b\x00%b" % (lang, word))
 
 
-def hashes(lang: bytes, phrases: list[bytes]) -> np.ndarray:
-    """hashed() of byte strings."""
-    return np.array([xxh64_intdigest(b"%b\x00%b" % (lang, p), 42) for p in phrases], np.uint64)
+def pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hash of two words in a row, from theirs."""
+    out = one * np.uint64(0x9E3779B97F4A7C15) + two
+    out = (out ^ out >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ out >> np.uint64(32)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
@@ -100,20 +110,22 @@ def grams(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Counted:
-    """Distinct phrases of one length: their bytes and hashes, how often each stands there, the first place of each among
-    the occurrences given, and the phrase's number at every occurrence."""
+    """Distinct phrases of one length: how often each stands there, the first place of each among the occurrences given,
+    and the phrase's number at every occurrence."""
 
-    def __init__(self, words: pa.Array, parts: np.ndarray, lang: bytes):
-        """parts: a row for each occurrence, with the numbers of its words."""
+    def __init__(self, words: int, parts: np.ndarray):
+        """words: how many distinct words there are; parts: a row for each occurrence, with the numbers of its words."""
         key = parts[:, 0].astype(np.int64)
         for k in range(1, parts.shape[1]):
             if k > 1:  # numbers of pairs, so that three words fit in 64 bits
                 _, key = np.unique(key, return_inverse=True)
-            key = key * len(words) + parts[:, k]
+            key = key * words + parts[:, k]
         _, self.first, self.number, self.n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        columns = [words.take(pa.array(parts[self.first, k])) for k in range(parts.shape[1])]
-        self.phrases = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
-        self.hashes = hashes(lang, self.phrases.to_pylist())
+        self.parts = parts[self.first]
+
+    def phrases(self, words: pa.Array, which: np.ndarray) -> pa.Array:
+        columns = [words.take(pa.array(c)) for c in self.parts[which].T]
+        return pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
 
 
 def first_pass(hits: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -135,14 +147,15 @@ def counts_of(lang: bytes, blob: bytes, passes: list[Pass], longest: int) -> Ite
     last, at = len(passes) - 1, np.flatnonzero(codes >= 0)
     if not len(at):
         return
-    found = Counted(words, codes[at][:, None], lang)
+    hashes = np.array([word_hash(lang, w) for w in words.to_pylist()], np.uint64)
+    found = Counted(len(words), codes[at][:, None])
     if last == 0:
         yield 0, pa.array([b""], pa.binary()), np.array([len(at)])
-        yield 1, found.phrases, found.n
-    due = np.zeros(len(found.n), int)
+        yield 1, found.phrases(words, slice(None)), found.n
+    due, own_hashes = np.zeros(len(found.n), int), hashes[found.parts[:, 0]]
     for level in range(2, longest + 1):
         # A phrase is of a pass's set only from the pass on that counted it, so that every pass draws the same lines.
-        hits = [np.ones(len(due), bool) if own[level - 2] is None else own[level - 2].holds(found.hashes) & (due <= k) for k, own in enumerate(passes)]
+        hits = [np.ones(len(due), bool) if own[level - 2] is None else own[level - 2].holds(own_hashes) & (due <= k) for k, own in enumerate(passes)]
         number = np.full(len(codes) + 1, -1)
         number[at] = found.number
         at = np.flatnonzero(place >= level) - (level - 1)
@@ -152,9 +165,11 @@ def counts_of(lang: bytes, blob: bytes, passes: list[Pass], longest: int) -> Ite
         at, due = at[keep], due[keep]
         if not len(at):
             return
-        found = Counted(words, np.stack([codes[at + k] for k in range(level)], axis=1), lang)
+        found = Counted(len(words), np.stack([codes[at + k] for k in range(level)], axis=1))
         due = due[found.first]
-        yield level, found.phrases.filter(pa.array(due == last)), found.n[due == last]
+        if level < longest:
+            own_hashes = pair_hash(hashes[found.parts[:, 0]], hashes[found.parts[:, 1]])
+        yield level, found.phrases(words, due == last), found.n[due == last]
 
 
 def count(docs: DataFrame, passes: list[Pass], longest: int = LONGEST) -> DataFrame:
