@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oculith.llm import chat, collocation, exact_dedup, fingerprint, language, lexical, licence, mixing, packing, quality, simhash, toxicity
+from oculith.llm import chat, collocation, exact_dedup, fingerprint, language, lexical, licence, mixing, neighbours, packing, quality, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,6 +73,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing, op12_collocations, op13_lexical]
+    own = [op1_exact_dedup, op2_fingerprints, op3_language, op4_simhash, op5_quality, op6_licences, op7_toxicity, op8_packing, op9_chat, op10_mixing, op11_neighbours, op12_collocations, op13_lexical]
     return {f.__name__: f for f in own}
 
 
