@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oculith.functions.columns import norm2
+from oculith.operators import matrices
+
 #: Which image axis the screen's x, the screen's y and the slice number run along, by plane.
 AXES = {"AXIAL": (0, 1, 2), "SAGITTAL": (1, 2, 0), "CORONAL": (0, 2, 1)}
 
@@ -142,3 +145,38 @@ def anisotropy(sizes: Column) -> Column:
 def orientation_class(orientation: Column, oblique: Column) -> Column:
     return F.when(oblique, "Oblique").when(orientation.isin("RAS", "LPS", "LAS", "RPI"), orientation).otherwise("Other")
 
+
+def axis_of(plane: Column, place: int) -> Column:
+    """Number (from 0) of the image axis along the screen's x (0), y (1) or the slices (2); null for other planes."""
+    return F.coalesce(*[F.when(plane == name, F.lit(axes[place])) for name, axes in AXES.items()])
+
+
+def _axes(plane: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    """Values along the screen's x, y and the slices, in the order of the image's axes."""
+    return [F.coalesce(*[F.when(plane == name, (x, y, z)[axes.index(axis)]) for name, axes in AXES.items()]) for axis in range(3)]
+
+
+def round_trips(df: DataFrame, x: str = "gaze_x", y: str = "gaze_y", index: str = "slice_index", plane: str = "plane") -> DataFrame:
+    """Screen to voxel, to the world by the row's own volume (columns dims, affine, inverse) and back.
+
+    slice_num, voxel_i, voxel_j, voxel_k, world_x, world_y, world_z, and how far the way back ends from the start:
+    voxel_error (voxels, in the slice), mm_error (in the world) and screen_error (of the screen's 0 to 1). Null for unknown
+    planes, null positions and volumes that can't be inverted.
+    """
+    own = F.col(plane)
+    last = lambda place: F.col("dims")[axis_of(own, place)] - 1.0
+    clamp = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)))
+    df = df.withColumns({"_nx": last(0), "_ny": last(1), "_at": F.rint(F.col(index) * last(2))})
+    df = df.withColumns({"_x": clamp(x) * F.col("_nx"), "_y": clamp(y) * F.col("_ny")})
+    voxel = _axes(own, F.rint("_x"), F.rint("_y"), F.col("_at"))
+    df = df.withColumns({"slice_num": (F.col("_at") + 1).cast("int")} | dict(zip(("_i", "_j", "_k"), voxel)))
+    ijk = [F.col(c) for c in ("_i", "_j", "_k")]
+    df = df.withColumns(dict(zip(("world_x", "world_y", "world_z"), matrices.applied(F.col("affine"), *ijk))))
+    df = df.withColumns(dict(zip(("_bi", "_bj", "_bk"), matrices.applied(F.col("inverse"), F.col("world_x"), F.col("world_y"), F.col("world_z")))))
+    back = [F.coalesce(*[F.when(own == name, F.col(("_bi", "_bj", "_bk")[axes[place]])) for name, axes in AXES.items()]) for place in range(2)]
+    df = df.withColumns({"_dx": F.col("_x") - back[0], "_dy": F.col("_y") - back[1]})
+    off = _axes(own, F.col("_dx"), F.col("_dy"), F.lit(0.0))
+    mm = [sum((F.col("affine")[r][c] * off[c] for c in (1, 2)), F.col("affine")[r][0] * off[0]) for r in range(3)]
+    df = df.withColumns({"voxel_error": norm2(F.col("_dx"), F.col("_dy")), "mm_error": norm2(*mm), "screen_error": norm2(F.try_divide("_dx", "_nx"), F.try_divide("_dy", "_ny"))})
+    df = df.withColumns({f"voxel_{a}": F.col(f"_{a}").cast("int") for a in "ijk"})
+    return df.drop("_nx", "_ny", "_at", "_x", "_y", "_i", "_j", "_k", "_bi", "_bj", "_bk", "_dx", "_dy")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oculith.operators import matrices
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,3 +56,18 @@ def voxels(spark: SparkSession, dims: tuple[int, int, int] = (16, 16, 25)) -> Da
     nx, ny, nz = dims
     grid = spark.range(nx * ny * nz).selectExpr(f"id % {nx} as i", f"(id div {nx}) % {ny} as j", f"id div {nx * ny} as k")
     return grid.selectExpr("0L as volume_id", "i", "j", "k", "cast((i * 7 + j * 13 + k * 29) % 256 as double) as value", "case when k < 3 then 0 else 1 + (i div 8) + 2 * (j div 8) end as region_id")
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """volume_id, dims, pixdim, affine, oblique of 25 volumes of different sizes and spacings, a third of them turned and a
+    third tilted; the last one has no extent along z. From the `nation` table's keys."""
+    v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("volume_id")).withColumns({"k": F.expr("volume_id % 5"), "o": F.expr("volume_id div 5")})
+    v = v.withColumn("dims", F.expr("array(cast(16 + 4 * k as int), cast(20 - 2 * k as int), cast(25 - 3 * o as int))"))
+    v = v.withColumn("pixdim", F.expr("array(0.5d + k / 4e0, 1 + o % 2 / 2e0, if(volume_id = 24, 0d, 1d + o))"))
+    kind = F.col("volume_id") % 3
+    turn = matrices.rotation("z", F.when(kind == 1, 0.8).otherwise(1.0), F.when(kind == 1, 0.6).otherwise(0.0))
+    tilt = matrices.rotation("x", F.when(kind == 2, 0.96).otherwise(1.0), F.when(kind == 2, 0.28).otherwise(0.0))
+    shift = matrices.translated(matrices.identity(), -8.0 - F.col("k"), 4.0 * F.col("o") - 10, F.col("volume_id") / 2.0 - 20)
+    flip = F.when(F.col("volume_id") % 2 == 1, -1.0).otherwise(1.0)
+    affine = matrices.scaled(matrices.product(shift, matrices.product(turn, tilt)), F.col("pixdim")[0] * flip, F.col("pixdim")[1], F.col("pixdim")[2])
+    return v.select("volume_id", "dims", "pixdim", affine.alias("affine"), (kind != 0).alias("oblique"))

@@ -11,7 +11,7 @@ from oculith.operators import align, kinematics
 from oculith.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "documents", "conversations", "labels")
+TABLES = ("events", "nation", "documents", "conversations", "labels")
 
 
 def rows(frame):
