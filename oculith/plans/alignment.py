@@ -31,7 +31,7 @@ def a5(s, d):
 
 def a2(s, d):
     own = spans(s, d)
-    return rounded(align.integration_report(own, integrated(s, d, own=own)))
+    return rounded(align.integration_report(own, integrated(s, d)))
 
 
 def k3(s, d):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from oculith.functions.columns import NUDGE
 from oculith.operators import align, kinematics
 from oculith.operators.kinematics import Screen
 from oculith.sources import recordings
-from oculith.sources.stored import stored
+from oculith.sources.stored import kept
 
 #: Bounds of the image on the display, and the screen of the queries (the derived recordings have about 8 samples a second).
 BOUNDS = {"left": 0.2, "right": 0.8, "top": 0.2, "bottom": 0.8}
@@ -17,35 +19,44 @@ DIMS = (512, 512, 25)
 INTEGRATED = ("session_id", "gaze_id", "time_sec", "time_aligned", "gaze_x", "gaze_y", "z_event_id", "z_time_sec", "plane", "slice_index", "image_id", "time_start", "time_end", "integration_mode", "coverage_ratio")
 
 
+def shared(s: SparkSession, d: str, name: str, build: Callable[[], DataFrame], **parameters: object) -> DataFrame:
+    """A table from `events` that many queries read: worked out once for the files at hand."""
+    return kept(s, name, [f"{d}/events.parquet"], build, **parameters)
+
+
 def gaze(s: SparkSession, d: str) -> DataFrame:
-    return align.gaze_clock(recordings.gaze(s, d))
+    return shared(s, d, "gaze", lambda: align.gaze_clock(recordings.gaze(s, d)))
 
 
 def events(s: SparkSession, d: str) -> DataFrame:
-    return align.event_clock(recordings.slice_events(s, d))
+    return shared(s, d, "slice-events", lambda: align.event_clock(recordings.slice_events(s, d)))
 
 
 def spans(s: SparkSession, d: str) -> DataFrame:
-    """One row per session, worked out once and small."""
-    return stored(align.session_spans(gaze(s, d), events(s, d)), "spans")
+    """One row per session, small."""
+    return shared(s, d, "spans", lambda: align.session_spans(gaze(s, d), events(s, d)))
 
 
-def integrated(s: SparkSession, d: str, method: str = "asof", own: DataFrame | None = None) -> DataFrame:
-    own = spans(s, d) if own is None else own
-    return align.within_image(align.align(gaze(s, d), events(s, d), method=method, spans=own).select(*INTEGRATED), **BOUNDS)
+def integrated(s: SparkSession, d: str, method: str = "asof") -> DataFrame:
+    """Every sample with the slice on screen."""
+    aligned = lambda: align.align(gaze(s, d), events(s, d), method=method, spans=spans(s, d)).select(*INTEGRATED)
+    return align.within_image(shared(s, d, "integrated", aligned, method=method), **BOUNDS)
 
 
 def on_screen(s: SparkSession, d: str) -> DataFrame:
-    """What was on screen, worked out once for all parts of a query."""
-    return stored(integrated(s, d).select("session_id", "gaze_id", "time_sec", "time_aligned", "gaze_x", "gaze_y", "plane", "slice_index", "within_bounds"), "integrated")
+    return integrated(s, d).select("session_id", "gaze_id", "time_sec", "time_aligned", "gaze_x", "gaze_y", "plane", "slice_index", "within_bounds")
 
 
 def moving(s: SparkSession, d: str) -> DataFrame:
-    return kinematics.velocity(gaze(s, d), SCREEN)
+    return shared(s, d, "moving", lambda: kinematics.velocity(gaze(s, d), SCREEN), screen=SCREEN)
 
 
 def fixed(s: SparkSession, d: str) -> DataFrame:
-    return kinematics.fixations_deg(moving(s, d), SCREEN)
+    return shared(s, d, "fixed", lambda: kinematics.fixations_deg(moving(s, d), SCREEN), screen=SCREEN)
+
+
+def fixed_norm(s: SparkSession, d: str) -> DataFrame:
+    return shared(s, d, "fixed-norm", lambda: kinematics.fixations_norm(gaze(s, d)))
 
 
 W, H = SCREEN.width_deg, SCREEN.height_deg

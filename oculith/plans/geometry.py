@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oculith.functions.columns import norm2, rounded, rows
 from oculith.operators import geometry, heatmap, kinematics, latency, studies
 from oculith.operators.geometry import Volume, slice_number
-from oculith.plans.base import events, gaze, integrated, rsql
+from oculith.plans.base import events, gaze, integrated, rsql, shared
 from oculith.sources import recordings
 
 #: The volume of the queries: the test volume's size, anisotropic, shifted.
@@ -54,6 +54,10 @@ def f7(s, d):
 
 def signals(s, d):
     """Ten values a second of each session: mean gaze_x, and whether an axial slice was opened."""
+    return shared(s, d, "signals", lambda: _signals(s, d))
+
+
+def _signals(s, d):
     g = gaze(s, d).groupBy("session_id", F.floor(F.col("time_sec") * 10).cast("long").alias("idx")).agg(F.avg("gaze_x").alias("gaze"))
     z = events(s, d).filter("plane = 'AXIAL'").select("session_id", F.floor(F.col("z_time_sec") * 10).cast("long").alias("idx")).distinct().withColumn("hit", F.lit(1.0))
     return g.join(z, ["session_id", "idx"], "left").select("session_id", "idx", "gaze", F.coalesce("hit", F.lit(0.0)).alias("event"))

@@ -7,10 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, equal_bin, normal_cdf, rounded, rows
-from oculith.operators import align, kinematics, uncertainty
+from oculith.operators import kinematics, uncertainty
 from oculith.operators.ordered import over, quantiles, with_stats
-from oculith.plans.base import SCREEN, H, W, events, fixed, gaze, integrated, moving, on_screen, rsql, spans
-from oculith.sources.stored import stored
+from oculith.plans.base import SCREEN, H, W, events, fixed, fixed_norm, gaze, integrated, moving, on_screen, rsql, spans
 
 #: Samples a second that the recordings are meant to have.
 NOMINAL = 8.0
@@ -49,8 +48,7 @@ def p1_bins(s, d):
 
 
 def a30(s, d):
-    own = kinematics.fixations_norm(gaze(s, d))
-    return rounded(kinematics.attention_weights(own).select("session_id", "gaze_id", "attention_weight"))
+    return rounded(kinematics.attention_weights(fixed_norm(s, d)).select("session_id", "gaze_id", "attention_weight"))
 
 
 def a13(s, d):
@@ -103,18 +101,15 @@ def w12(s, d):
 
 
 def a23(s, d):
-    """All five parts of the evaluation, one row per session. Gaze, events and what was on screen are worked out once and
-    read from there by every part."""
-    g, z = stored(gaze(s, d), "gaze"), stored(events(s, d), "slice-events")
-    own = align.session_spans(g, z)
-    i = stored(align.align(g, z, spans=stored(own, "spans")).select("session_id", "gaze_id", "time_sec", "time_aligned", "z_event_id"), "integrated")
-    m = kinematics.velocity(g, SCREEN)
+    """All five parts of the evaluation, one row per session."""
+    g, z, m = gaze(s, d), events(s, d), moving(s, d)
+    i = integrated(s, d).select("session_id", "gaze_id", "time_sec", "time_aligned", "z_event_id")
     p1 = uncertainty.velocity_coupling(m, SCREEN).select("session_id", F.col("r_squared").alias("p1_r_squared"), F.col("pass").alias("p1_pass"))
     p2 = uncertainty.independence(kinematics.jitter_and_drift(m), SCREEN).select("session_id", F.col("max_correlation").alias("p2_max"), F.col("pass").alias("p2_pass"))
     p3 = uncertainty.accumulation(i).select("session_id", F.col("variance_ratio").alias("p3_ratio"))
     p4 = uncertainty.slice_assignment(i, z, SCREEN).select("session_id", F.col("pct_ambiguous").alias("p4_pct"))
     p5 = uncertainty.calibration_drift(g, SCREEN).select("session_id", F.col("rate_per_min").alias("p5_rate"))
-    noise = kinematics.tracker_noise(kinematics.fixations_deg(m, SCREEN), SCREEN).select("session_id", F.col("sigma_norm"))
+    noise = kinematics.tracker_noise(fixed(s, d), SCREEN).select("session_id", F.col("sigma_norm"))
     out = g.select("session_id").distinct()
     for part in (noise, p1, p2, p3, p4, p5):
         out = out.join(part, "session_id", "left")
@@ -138,7 +133,7 @@ QUERIES = {
         rsql("session_id; gaze_id; n_samples >= 3 as valid_fixation", "from f"),
     ),
     "w3_fixations_norm": (
-        lambda s, d: rounded(kinematics.fixations_norm(gaze(s, d)).select("session_id", "gaze_id", "velocity", "is_fixation", F.col("fixation_id").cast("double").alias("fixation_id"), "fixation_duration")),
+        lambda s, d: rounded(fixed_norm(s, d).select("session_id", "gaze_id", "velocity", "is_fixation", F.col("fixation_id").cast("double").alias("fixation_id"), "fixation_duration")),
         rsql("session_id; gaze_id; ~velocity; is_fixation_n as is_fixation; fixation_id::double as fixation_id; ~fixation_duration", "from fn"),
     ),
     "a9_fixation_events": (

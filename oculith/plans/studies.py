@@ -12,7 +12,6 @@ from oculith.plans.base import SCREEN, events, gaze, integrated, moving, on_scre
 from oculith.plans.geometry import LOC, SIG, VOLUME, located, signals, valued
 from oculith.plans.motion import JIT, P2, corr, phi
 from oculith.sources import recordings, trials
-from oculith.sources.stored import stored
 
 DIMS = VOLUME.dims
 
@@ -71,11 +70,9 @@ RI = """
 
 def a24(s, d):
     """Cross-session summary of three checks, one row each."""
-    g, z = stored(gaze(s, d), "gaze"), stored(events(s, d), "slice-events")
-    i = align.align(g, z, spans=stored(align.session_spans(g, z), "spans"))
-    p2 = uncertainty.independence(kinematics.jitter_and_drift(kinematics.velocity(g, SCREEN)), SCREEN)
-    p3 = uncertainty.clock_drift(g)
-    p4 = uncertainty.slice_assignment(i, z, SCREEN)
+    p2 = uncertainty.independence(kinematics.jitter_and_drift(moving(s, d)), SCREEN)
+    p3 = uncertainty.clock_drift(gaze(s, d))
+    p4 = uncertainty.slice_assignment(on_screen(s, d), events(s, d), SCREEN)
     parts = {
         "independence": studies.case_summary(p2, "max_correlation", F.col("pass")),
         "clock": studies.case_summary(p3, "total_ms", F.abs("total_ms") < 1, worst=F.abs("total_ms")),

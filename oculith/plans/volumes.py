@@ -10,7 +10,7 @@ from oculith.plans.base import integrated, rsql
 from oculith.plans.geometry import p_sql
 from oculith.plans.motion import corr
 from oculith.sources import recordings
-from oculith.sources.stored import stored
+from oculith.sources.stored import kept
 
 #: The volumes of the recordings and their inverses, worked out entry by entry. A plane of a session is of one volume.
 VOLUMES = """
@@ -35,8 +35,8 @@ LEVELS, PIXEL = (("volume", "volume_id"), ("plane", "plane"), ("oblique", "obliq
 
 
 def volumes(s, d):
-    """A row a volume, worked out once."""
-    return stored(matrices.prepared(recordings.volumes(s, d)), "volumes")
+    """A row a volume, worked out once for the files at hand."""
+    return kept(s, "volumes", [f"{d}/nation.parquet"], lambda: matrices.prepared(recordings.volumes(s, d)))
 
 
 def trips(s, d):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from oculith.operators import geometry, matrices
 from tests.test_geometry import OBLIQUE
 
-M = F.col("m")
 
 
 def table(spark, *matrices_):
@@ -17,7 +16,7 @@ def test_algebra_equals_numpy(spark):
     random = np.random.default_rng(4)
     own = random.normal(size=(30, 4, 4))
     df = table(spark, *own)
-    got = df.select("id", matrices.inverse(M).alias("inv"), matrices.determinant(M).alias("det"), matrices.product(M, matrices.transpose(M)).alias("square"), matrices.translated(M, 1.0, -2.0, 0.5).alias("moved"), matrices.scaled(M, 2.0, 3.0, -1.0).alias("scaled"), F.array(*matrices.applied(M, F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("at"), matrices.fault(M).alias("fault")).orderBy("id").collect()
+    got = df.select("id", matrices.inverse(F.col("m")).alias("inv"), matrices.determinant(F.col("m")).alias("det"), matrices.product(F.col("m"), matrices.transpose(F.col("m"))).alias("square"), matrices.translated(F.col("m"), 1.0, -2.0, 0.5).alias("moved"), matrices.scaled(F.col("m"), 2.0, 3.0, -1.0).alias("scaled"), F.array(*matrices.applied(F.col("m"), F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("at"), matrices.fault(F.col("m")).alias("fault")).orderBy("id").collect()
     for r, m in zip(got, own):
         shift = np.eye(4)
         shift[:3, 3] = 1.0, -2.0, 0.5
@@ -37,7 +36,7 @@ def test_rotations(spark):
 def test_matrices_without_inverse(spark):
     nan = float("nan")
     df = table(spark, None, np.zeros((4, 4)), np.diag([1e-4, 1e-4, 1e-4, 1]), np.diag([1, 1, nan, 1]), np.eye(3), [*np.eye(4)[:3], None], np.diag([1, 1, 1e-9, 1]))
-    got = df.select("id", matrices.fault(M).alias("fault"), F.when(matrices.fault(M).isNull(), matrices.inverse(M)).alias("inv")).orderBy("id").collect()
+    got = df.select("id", matrices.fault(F.col("m")).alias("fault"), F.when(matrices.fault(F.col("m")).isNull(), matrices.inverse(F.col("m"))).alias("inv")).orderBy("id").collect()
     assert [r["fault"] for r in got] == ["no matrix", "singular", "singular", "not finite", "not 4 x 4", "not 4 x 4", None]
     assert [r["inv"] is None for r in got] == [True] * 6 + [False]
 
