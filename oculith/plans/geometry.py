@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import norm2, rounded, rows
-from oculith.operators import geometry, heatmap, kinematics, latency, studies
+from oculith.operators import bricks, geometry, heatmap, kinematics, latency, studies
 from oculith.operators.geometry import Volume, slice_number
 from oculith.plans.base import events, gaze, integrated, rsql, shared
 from oculith.sources import recordings
@@ -33,9 +33,15 @@ def located(s, d):
     return geometry.located(i, VOLUME)
 
 
+def voxel_bricks(s, d):
+    """The test volume in bricks."""
+    return shared(s, d, "bricks", lambda: bricks.packed(recordings.voxels(s, VOLUME.dims), ("value", "region_id")), dims=VOLUME.dims)
+
+
 def valued(s, d):
-    v = recordings.voxels(s, VOLUME.dims).select(F.col("i").cast("int").alias("voxel_i"), F.col("j").cast("int").alias("voxel_j"), F.col("k").cast("int").alias("voxel_k"), "value", "region_id")
-    return located(s, d).join(v, ["voxel_i", "voxel_j", "voxel_k"], "left")
+    """Located samples with intensity and region of their voxels, picked from bricks."""
+    v = located(s, d).withColumn("volume_id", F.lit(0).cast("long"))
+    return bricks.picked(v, voxel_bricks(s, d), ("value", "region_id")).drop("volume_id")
 
 
 def f26(s, d):

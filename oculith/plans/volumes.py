@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from oculith.functions.columns import rounded, rows
 from oculith.operators import geometry, matrices, studies
 from oculith.plans.base import integrated, rsql
+from oculith.plans.files import folder
 from oculith.plans.geometry import p_sql
 from oculith.plans.motion import corr
 from oculith.sources import recordings
+from oculith.sources import volumes as files
 from oculith.sources.stored import kept
 
 #: The volumes of the recordings and their inverses, worked out entry by entry. A plane of a session is of one volume.
@@ -81,7 +83,41 @@ def a50(s, d):
     return rounded(studies.correlation_test(t, "x", "e"))
 
 
+def volume_files(s, d):
+    """How often each voxel of each volume was looked at, as volume files."""
+    path, t = folder(s, "volumes"), trips(s, d)
+    counts = t.groupBy("volume_id", *[F.col(f"voxel_{a}").alias(a) for a in "ijk"]).agg(rows().cast("double").alias("value"))
+    files.write_volumes(counts, volumes(s, d).filter("fault is null"), path).count()
+    return path
+
+
+def volume_of(path):
+    return F.regexp_extract(path, r"volume-(\d+)\.nii", 1).cast("long").alias("volume_id")
+
+
+def s5(s, d):
+    """Volumes as their files have them, with what their voxels hold; ranges of 8 KB make several tasks of a file."""
+    path = volume_files(s, d)
+    heads = files.volumes(s, path).select(volume_of("path"), *[F.col("dims")[r].alias(f"n{a}") for r, a in enumerate("xyz")], F.round(F.col("affine")[0][0], 3).alias("a00"), F.round(F.col("affine")[1][2], 3).alias("a12"), F.col("error").isNull().alias("readable"))
+    held = files.voxels(s, path, 8192).groupBy(volume_of("path")).agg(rows().alias("n"), F.count_if(F.col("value") > 0).alias("n_seen"), F.sum("value").alias("total"), F.max("value").alias("most"), F.sum(F.col("value") * (F.col("i") + 100 * F.col("j") + 10000 * F.col("k"))).alias("places"))
+    return heads.join(held, "volume_id")
+
+
+def s6(s, d):
+    """Slices of the volume files that somebody looked at."""
+    v = files.slices(s, volume_files(s, d), 8192).select(volume_of("path"), "k", "width", "height", F.aggregate("content", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("content").alias("most"))
+    return v.filter("total > 0")
+
+
 QUERIES = {
+    "s5_volume_files": (
+        s5,
+        rsql(
+            "volume_id; nx::int as nx; ny::int as ny; nz::int as nz; round(a00, 3) + 0e0 as a00; round(a12, 3) + 0e0 as a12; true as readable; (nx * ny * nz)::bigint as n; coalesce(n_seen, 0) as n_seen; coalesce(total, 0)::double as total; coalesce(most, 0)::double as most; coalesce(places, 0)::double as places",
+            "from vo left join (select volume_id, count(*) as n_seen, sum(n) as total, max(n) as most, sum(n * (vi + 100 * vj + 10000 * vk)) as places from (select volume_id, vi, vj, vk, count(*) as n from rt group by all) group by 1) using (volume_id) where pz > 0", TRIPS.lstrip(),
+        ),
+    ),
+    "s6_volume_slices": (s6, rsql("volume_id; vk::int as k; any_value(nx)::int as width; any_value(ny)::int as height; sum(n)::double as total; max(n)::double as most", "from (select volume_id, vi, vj, vk, any_value(nx) as nx, any_value(ny) as ny, count(*) as n from rt group by 1, 2, 3, 4) group by volume_id, vk", TRIPS.lstrip())),
     "f23_matrix_algebra": (f23, rsql("volume_id; ~det as determinant; case when abs(det) < 1e-10 then 'singular' end as fault; " + "; ".join(f"~case when pz > 0 then {n} end as {n}" for n in (*[f"b{r}{c}" for r in range(3) for c in range(3)], "o0", "o1", "o2")) + "; ~case when pz > 0 then 0e0 end as off; ~a01", "from vo", VOLUMES.lstrip())),
     "f22_extents": (
         f22,

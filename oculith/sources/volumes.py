@@ -1,19 +1,28 @@
 """Ingestion of many NIfTI-1 files into two tables: `volumes` (one row a file) and `voxels` (one row a voxel).
 
-Files are read as binary rows; each task decodes its own files, so nothing passes the driver. A file that can't be decoded
-gives a row of `volumes` with `error` and no voxels. Voxels come out in blocks of whole slices.
+Headers are read as binary rows. Voxels come through a data source, `volume_slices`, with a row for each slice: files are
+dealt in ranges of bytes, and a task reads the slices that begin in its range, so a big file is many tasks'. Compressed
+files can't be entered in the middle: each is one task's. A file that can't be decoded gives a row of `volumes` with `error`
+and no voxels. Tasks open files by pyarrow's file systems (local, HDFS, S3 and others by the path's scheme).
 """
 
 from __future__ import annotations
 
 import gzip
+import posixpath
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 VOLUMES = "path string, dims array<int>, pixdim array<double>, affine array<array<double>>, error string"
 VOXELS = "path string, i int, j int, k int, value double"
@@ -72,24 +81,129 @@ def volumes(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).mapInPandas(decode, VOLUMES)
 
 
-def voxels(spark: SparkSession, path: str) -> DataFrame:
-    """path, i, j, k (from 0), value of every voxel of every readable file."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    raw = unpacked(content)
-                    h = header(raw)
-                    nx, ny, nz = h["dims"]
-                    data = np.frombuffer(raw, h["type"], nx * ny * nz, h["offset"]).reshape(nz, ny, nx)
-                except (ValueError, OSError, EOFError):
+SLICES = "path string, k int, width int, height int, content array<double>"
+#: Bytes of a file that one task reads, and of a header.
+RANGE_BYTES, HEADER_BYTES = 64 << 20, 352
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes low to high (the last excluded) of a file."""
+
+    path: str
+    low: int
+    high: int
+
+
+class SliceReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.glob, self.size = options["path"], options.get("glob", "*.nii*"), int(options.get("rangebytes", RANGE_BYTES))
+
+    def partitions(self) -> list[Range]:
+        folder, base = fs.FileSystem.from_uri(self.path)
+        found = folder.get_file_info(base)
+        files_ = [found] if found.is_file else folder.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        files_ = sorted((f.path, f.size) for f in files_ if f.is_file and fnmatch(posixpath.basename(f.path), self.glob))
+        size = lambda path, n: n if path.endswith(".gz") else self.size
+        return [Range(path, low, low + size(path, n)) for path, n in files_ for low in range(0, n, max(1, size(path, n)))]
+
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file at all
+            return
+        folder, _ = fs.FileSystem.from_uri(self.path)
+        scheme = self.path.split(":", 1)[0] if ":" in self.path else "file"
+        name = f"{scheme}:{part.path}" if scheme == "file" else f"{scheme}://{part.path.lstrip('/')}"
+        with folder.open_input_file(part.path) as f:
+            head = f.read_at(min(HEADER_BYTES, f.size()), 0)
+            try:
+                whole = unpacked(f.read_at(f.size(), 0)) if head[:2] == b"\x1f\x8b" else None
+                if whole is not None and part.low > 0:
+                    return  # compressed under another name: the first range has it all
+                h = header(head if whole is None else whole)
+            except (ValueError, OSError, EOFError, struct.error):
+                return
+            nx, ny, nz = h["dims"]
+            step = nx * ny * np.dtype(h["type"]).itemsize
+            for k in range(nz):
+                at = h["offset"] + k * step
+                if whole is None and not part.low <= at < part.high:
                     continue
-                j, i = (a.ravel().astype("int32") for a in np.indices((ny, nx)))
-                for k in range(nz):
-                    yield pd.DataFrame({"path": name, "i": i, "j": j, "k": np.int32(k), "value": data[k].ravel().astype(float) * h["slope"] + h["intercept"]})
+                raw = whole[at : at + step] if whole is not None else f.read_at(step, at)
+                if len(raw) < step:
+                    return  # cut off: the slices before it stand
+                content = np.frombuffer(raw, h["type"]).astype(float) * h["slope"] + h["intercept"]
+                yield pa.record_batch({"path": pa.array([name]), "k": pa.array([k], pa.int32()), "width": pa.array([nx], pa.int32()), "height": pa.array([ny], pa.int32()), "content": pa.ListArray.from_arrays(pa.array([0, len(content)], pa.int32()), pa.array(content))})
+
+
+class VolumeSlices(DataSource):
+    """Slices of volume files below `path`. Options: glob (*.nii*), rangeBytes."""
 
-    return files(spark, path).mapInPandas(decode, VOXELS)
+    @classmethod
+    def name(cls) -> str:
+        return "volume_slices"
+
+    def schema(self) -> str:
+        return SLICES
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return SliceReader({k.lower(): v for k, v in self.options.items()})
+
+
+def slices(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, k (from 0), width, height, content (along i, then j) of every slice of every readable file. A file that is cut
+    off has the slices before the cut."""
+    spark.dataSource.register(VolumeSlices)
+    return spark.read.format("volume_slices").option("rangeBytes", range_bytes).load(path)
+
+
+def voxels(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, i, j, k (from 0), value of every voxel of every readable file."""
+    each = slices(spark, path, range_bytes).select("path", "k", "width", F.posexplode("content").alias("at", "value"))
+    return each.select("path", (F.col("at") % F.col("width")).alias("i"), F.floor(F.col("at") / F.col("width")).cast("int").alias("j"), "k", "value")
+
+
+def written_header(dims: list[int], pixdim: list[float], affine: list[list[float]]) -> bytes:
+    """Header of a file of doubles with this size, spacing and affine."""
+    out = bytearray(HEADER_BYTES)
+    put = lambda form, at, *values: struct.pack_into("<" + form, out, at, *values)
+    put("i", 0, 348)
+    put("8h", 40, 3, *dims, 1, 1, 1, 1)
+    put("2h", 70, 64, 64)
+    put("8f", 76, 1.0, *pixdim, 0, 0, 0, 0)
+    put("3f", 108, float(HEADER_BYTES), 1.0, 0.0)
+    put("2h", 252, 0, 1)
+    put("12f", 280, *[v for row in affine[:3] for v in row])
+    out[344:348] = b"n+1\x00"
+    return bytes(out)
+
+
+def write_volumes(voxels: DataFrame, volumes: DataFrame, path: str) -> DataFrame:
+    """Writes a file for each volume_id (with dims, pixdim, affine) of its voxels' values, 0 where there is none, and returns
+    volume_id, path. A task holds one volume's given voxels and one slice; a file gets its name once it is whole, so tasks
+    that are run again do no harm. Voxels outside their volume are left out."""
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.iloc[0]
+        nx, ny, nz = (int(n) for n in own["dims"])
+        folder, base = fs.FileSystem.from_uri(path)
+        folder.create_dir(base, recursive=True)
+        name = f"{base}/volume-{own['volume_id']}.nii"
+        inside = part["i"].between(0, nx - 1) & part["j"].between(0, ny - 1) & part["k"].between(0, nz - 1)
+        given = part[inside].sort_values("k")
+        draft = f"{name}.{uuid.uuid4().hex}.draft"
+        with folder.open_output_stream(draft) as f:
+            f.write(written_header([nx, ny, nz], list(own["pixdim"]), [list(r) for r in own["affine"]]))
+            ends = np.searchsorted(given["k"].to_numpy(), np.arange(nz + 1))
+            for low, high in zip(ends, ends[1:]):
+                slab = np.zeros((ny, nx))
+                rows = given.iloc[low:high]
+                slab[rows["j"].to_numpy(int), rows["i"].to_numpy(int)] = rows["value"].to_numpy(float)
+                f.write(slab.tobytes())
+        folder.move(draft, name)
+        return pd.DataFrame({"volume_id": [own["volume_id"]], "path": [name]})
+
+    each = volumes.select("volume_id", "dims", "pixdim", "affine").join(voxels.select("volume_id", "i", "j", "k", "value"), "volume_id", "left")
+    return each.groupBy("volume_id").applyInPandas(write, "volume_id long, path string")
 
 
 def slice_matrix(voxels: DataFrame, plane: str, number: int) -> DataFrame:
