@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2, student_quantile, two_sided_p
@@ -14,6 +18,10 @@ from oculith.operators.kinematics import rolling_mean, smooth_velocity
 from oculith.operators.latency import POSITIONS
 from oculith.operators.latency import latency as signal_latency
 from oculith.operators.ordered import SESSION, dense, numbered, over, quantiles, running
+from oculith.sources.stored import stored
+
+#: The normal distribution's 97.5 % point.
+NORMAL = 1.959963984540054
 #: A scale that turns velocity in degrees a second into screens a second: the screen spans about 60 degrees.
 SCREEN_DEG = 60.0
 
@@ -262,13 +270,6 @@ def trial_columns(trials: DataFrame) -> DataFrame:
     })
 
 
-def _vectors(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    used = df.select(F.col(label).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(used)
-
-
 def linear_model(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
     """term, estimate, std_error, low, high (95 % confidence limits), df of an ordinary least-squares fit; rows with a null
     are left out. The normal equations are sums over all rows; only these few numbers are solved on the driver."""
@@ -296,10 +297,98 @@ def linear_model(df: DataFrame, features: tuple[str, ...], label: str) -> DataFr
     return df.sparkSession.createDataFrame([(t, float(e), float(s), float(e - reach * s), float(e + reach * s), float(n - k)) for t, e, s in zip(terms, estimate, error)], schema)
 
 
-def success_model(df: DataFrame, features: tuple[str, ...], label: str = "success", grid: DataFrame | None = None) -> DataFrame:
-    """The rows of `grid` (else of df) with `probability` from a logistic fit of the label."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+@dataclass(frozen=True)
+class Logistic:
+    """A fitted logistic model: terms (products of features; the empty one is the intercept), estimates, their covariance."""
+
+    terms: tuple[tuple[str, ...], ...]
+    estimates: np.ndarray
+    covariance: np.ndarray
+    rows: int
+    rounds: int
+    #: Why there is no fit; empty where there is one.
+    fault: str = ""
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """term, estimate, std_error, low, high (95 % limits), p (that the term is 0); no rows without a fit."""
+        error = np.sqrt(np.diag(self.covariance))
+        out = [(":".join(t) or "intercept", float(e), float(s), float(e - NORMAL * s), float(e + NORMAL * s)) for t, e, s in zip(self.terms, self.estimates, error)]
+        df = spark.createDataFrame(out if not self.fault else [], "term string, estimate double, std_error double, low double, high double")
+        return df.withColumn("p", 2.0 * normal_cdf(-F.abs(F.try_divide("estimate", "std_error"))))
+
+    def predicted(self, df: DataFrame) -> DataFrame:
+        """df with probability, and its 95 % limits probability_low and probability_high; null without a fit or a feature."""
+        if self.fault:
+            return df.withColumns({c: F.lit(None).cast("double") for c in ("probability", "probability_low", "probability_high")})
+        x = [_product(t, {c: F.col(c).cast("double") for c in t}) for t in self.terms]
+        at = _sum(x[i] * float(b) for i, b in enumerate(self.estimates))
+        spread = F.sqrt(F.greatest(F.lit(0.0), _sum(x[i] * x[j] * float(self.covariance[i, j]) for i in range(len(x)) for j in range(len(x)))))
+        chance = lambda v: 1.0 / (1.0 + F.exp(-v))
+        df = df.withColumns({"__at": at, "__spread": spread})
+        return df.withColumns({"probability": chance(F.col("__at")), "probability_low": chance(F.col("__at") - NORMAL * F.col("__spread")), "probability_high": chance(F.col("__at") + NORMAL * F.col("__spread"))}).drop("__at", "__spread")
 
-    model = GeneralizedLinearRegression(family="binomial", predictionCol="probability").fit(_vectors(df, features, label))
-    return model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(df if grid is None else grid)).drop("features")
+
+def _product(term: tuple[str, ...], of: dict[str, Column]) -> Column:
+    out = F.lit(1.0)
+    for c in term:
+        out = out * of[c]
+    return out
+
+
+def _sum(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
+def logistic_model(df: DataFrame, features: tuple[str, ...], label: str, rounds: int = 25, tolerance: float = 1e-12) -> Logistic:
+    """Chance of the label by its features and all their products, fitted by reweighted least squares.
+
+    Rows that share all features are counted once, before the shuffle and in a stored table; a round sums the Newton step's
+    matrices over it, and only these few numbers are solved on the driver. Features are centred and scaled meanwhile, so the
+    equations stay well conditioned. Rows with a null are left out. Constant features, too few different rows and labels that
+    the features separate have no fit: `fault` says which.
+    """
+    terms = tuple(t for k in range(len(features) + 1) for t in combinations(features, k))
+    used = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("__label")).dropna()
+    cells = stored(used.groupBy(*features).agg(rows().cast("double").alias("__n"), F.sum("__label").alias("__k")), "logistic")
+    n, hits, *sums = cells.agg(F.coalesce(F.sum("__n"), F.lit(0.0)), F.sum("__k"), *[F.sum(F.col("__n") * F.col(c)) for c in features]).first()
+    none = lambda why, k=0: Logistic(terms, np.zeros(len(terms)), np.zeros((len(terms), len(terms))), int(n), k, why)
+    if n == 0 or hits in (0, n):
+        return none("one label only")
+    mean = {c: v / n for c, v in zip(features, sums)}
+    spread = cells.agg(*[F.sqrt(F.sum(F.col("__n") * (F.col(c) - mean[c]) ** 2) / n) for c in features]).first()
+    if any(not v for v in spread):
+        return none("constant feature")
+    scale = dict(zip(features, spread))
+    z = {c: (F.col(c) - mean[c]) / scale[c] for c in features}
+    cells = cells.select("__n", "__k", *[_product(t, z).alias(f"t{i}") for i, t in enumerate(terms)])
+    x = [F.col(f"t{i}") for i in range(len(terms))]
+    pairs, beta, done = [(i, j) for i in range(len(x)) for j in range(i, len(x))], np.zeros(len(x)), 0
+
+    def step() -> tuple[np.ndarray, np.ndarray]:
+        p = 1.0 / (1.0 + F.exp(-F.least(F.greatest(_sum(v * float(b) for v, b in zip(x, beta)), F.lit(-30.0)), F.lit(30.0))))
+        at = cells.withColumn("__p", p)
+        weight, off = F.col("__n") * F.col("__p") * (1.0 - F.col("__p")), F.col("__k") - F.col("__n") * F.col("__p")
+        got = list(at.agg(*[F.sum(x[i] * x[j] * weight) for i, j in pairs], *[F.sum(v * off) for v in x]).first())
+        h = np.zeros((len(x), len(x)))
+        for (i, j), v in zip(pairs, got):
+            h[i, j] = h[j, i] = v
+        return h, np.array(got[len(pairs) :])
+
+    h, slope = step()
+    while done < rounds:
+        if np.linalg.cond(h) > 1e13:
+            return none("labels are separated" if done else "too few different rows", done)
+        move = np.linalg.solve(h, slope)
+        beta, done = beta + move, done + 1
+        h, slope = step()
+        if np.abs(move).max() < tolerance:
+            break
+    else:
+        return none("labels are separated", done)
+    # Products of centred features are sums of products of the features themselves.
+    back = np.zeros((len(terms), len(terms)))
+    for i, t in enumerate(terms):
+        for k in range(len(t) + 1):
+            for kept_ in combinations(t, k):
+                back[terms.index(kept_), i] = math.prod(1 / scale[c] for c in t) * math.prod(-mean[c] for c in t if c not in kept_)
+    return Logistic(terms, back @ beta, back @ np.linalg.inv(h) @ back.T, int(n), done)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, equal_bin, norm2, rounded, rows, safe_r2
@@ -193,13 +195,73 @@ def a59(s, d):
     return rounded(out.withColumn("in_range", F.col("slope").between(0.8, 1.2)))
 
 
-def a60_grid(s, d):
-    """Chance of success over a grid of counts and signal levels, and whether it exceeds 0.9."""
+#: Features of the success model in units that keep its estimates readable: tens of events, signal to noise, 100 Hz.
+FEATURES = {"n": "n_events / 10e0", "s": "snr * 1e0", "f": "fs / 100e0"}
+#: Where the model is asked: three events at twenty times the noise, at two rates (Hz).
+ASKED = ((3, 20, 120), (3, 20, 240))
+
+
+def success_trials(s, d):
     t = studies.trial_columns(trials.trials(s, d))
-    grid = s.range(1, 9).select((F.col("id") * 10).alias("n_events")).crossJoin(s.range(1, 6).select(F.col("id").alias("snr")))  # forty rows
-    grid = grid.withColumns({"log_n": F.log("n_events"), "log_snr": F.log(F.col("snr") + 1)})
-    out = studies.success_model(t, ("log_n", "log_snr"), grid=grid)
-    return rounded(out.select("n_events", "snr", "probability", (F.col("probability") > 0.9).alias("likely")), 4)
+    return t.withColumns({"n": F.col("n_events") / 10.0, "s": F.col("snr") * 1.0, "f": F.col("sampling_freq") / 100.0})
+
+
+def success(s, d):
+    return studies.logistic_model(success_trials(s, d), tuple(FEATURES), "success")
+
+
+def a60_grid(s, d):
+    """Chance of success where it is asked, with limits, and whether it exceeds 0.9."""
+    grid = s.createDataFrame(list(ASKED), "n_events int, snr int, sampling_freq int")
+    out = success(s, d).predicted(grid.withColumns({"n": F.col("n_events") / 10.0, "s": F.col("snr") * 1.0, "f": F.col("sampling_freq") / 100.0}))
+    return rounded(out.select("n_events", "snr", "sampling_freq", "probability", "probability_low", "probability_high", (F.col("probability") > 0.9).alias("likely")), 4)
+
+
+def logistic_sql(rounds: int = 9) -> str:
+    """CTEs of the success model, by Newton's method on the plain features; the last are `beta` (b0, ...), `errors` (v0, ...
+    variances of the estimates) and `asked` (a row for each asked point, with its variance)."""
+    names = list(FEATURES)
+    terms = [()] + [(a,) for a in names] + [("n", "s"), ("n", "f"), ("s", "f"), ("n", "s", "f")]
+    k, product_ = len(terms), lambda t: " * ".join(t) or "1e0"
+    ctes = [("lt0", "select " + ", ".join(f"{e} as {c}" for c, e in FEATURES.items()) + ", count(*)::double as m, count(*) filter (where error < 50)::double as hits from tri group by 1, 2, 3")]
+    ctes.append(("lt", "select m, hits, " + ", ".join(f"{product_(t)} as t{i}" for i, t in enumerate(terms)) + " from lt0"))
+    ctes.append(("beta0", "select " + ", ".join(f"0e0 as b{i}" for i in range(k))))
+    at = " + ".join(f"b{i} * t{i}" for i in range(k))
+
+    def solved(name: str, source: str, sides: list[str]) -> None:
+        """Adds `name`: x{side}_{i}, the solutions of the symmetric equations in a{i}_{j} (i <= j) and r{side}_{i}."""
+        for p in range(k - 1):
+            cols = [f"a{i}_{j} - a{p}_{i} * a{p}_{j} / a{p}_{p} as a{i}_{j}" if i > p else f"a{i}_{j}" for i in range(k) for j in range(i, k)]
+            cols += [f"r{q}_{i} - a{p}_{i} * r{q}_{p} / a{p}_{p} as r{q}_{i}" if i > p else f"r{q}_{i}" for q in sides for i in range(k)]
+            ctes.append((f"{name}_{p}", f"select {', '.join(cols)} from {source}"))
+            source = f"{name}_{p}"
+        for i in reversed(range(k)):
+            rest = "".join(f" - a{i}_{j} * x{{q}}_{j}" for j in range(i + 1, k))
+            ctes.append((f"{name}s{i}", f"select *, {', '.join(f'(r{q}_{i}{rest.format(q=q)}) / a{i}_{i} as x{q}_{i}' for q in sides)} from {source}"))
+            source = f"{name}s{i}"
+        ctes.append((name, f"select * from {source}"))
+
+    sums = ", ".join(f"sum(t{i} * t{j} * w) as a{i}_{j}" for i in range(k) for j in range(i, k))
+    weighted = lambda r: f"(select *, m * p * (1 - p) as w, hits - m * p as off from (select lt.*, 1 / (1 + exp(-({at}))) as p from lt, beta{r}))"
+    for r in range(rounds):
+        ctes.append((f"lh{r}", f"select {sums}, {', '.join(f'sum(t{i} * off) as r0_{i}' for i in range(k))} from {weighted(r)}"))
+        solved(f"ls{r}", f"lh{r}", ["0"])
+        ctes.append((f"beta{r + 1}", f"select {', '.join(f'b{i} + x0_{i} as b{i}' for i in range(k))} from beta{r}, ls{r}"))
+    ctes.append(("beta", f"select * from beta{rounds}"))
+    points = [[math.prod(dict(zip(names, (a / 10, b, c / 100)))[v] for v in t) for t in terms] for a, b, c in ASKED]
+    sides = [[float(i == j) for i in range(k)] for j in range(k)] + points
+    fixed_ = ", ".join(f"{float(v)!r}::double as r{q}_{i}" for q, side in enumerate(sides) for i, v in enumerate(side))
+    ctes.append(("hz", f"select {sums}, {fixed_} from {weighted(rounds)}"))
+    solved("nz", "hz", [str(q) for q in range(len(sides))])
+    ctes.append(("errors", f"select {', '.join(f'x{i}_{i} as v{i}' for i in range(k))} from nz"))
+    ctes.append(("asked", " union all ".join(f"select {a}::int as n_events, {b}::int as snr, {c}::int as sampling_freq, {' + '.join(f'{v!r}::double * b{i}' for i, v in enumerate(x))} as eta, {' + '.join(f'{v!r}::double * x{k + q}_{i}' for i, v in enumerate(x))} as var from beta, nz" for q, ((a, b, c), x) in enumerate(zip(ASKED, points)))))
+    ctes.append(("model", " union all ".join(f"select '{':'.join(t) or 'intercept'}' as term, b{i} as estimate, sqrt(v{i}) as std_error from beta, errors" for i, t in enumerate(terms))))
+    own = [f"{product_(t)}" for t in terms]
+    ctes.append(("each", f"select trial_id, 1 / (1 + exp(-({' + '.join(f'b{i} * {e}' for i, e in enumerate(own))}))) as probability from (select trial_id, {', '.join(f'{e} as {c}' for c, e in FEATURES.items())} from tri), beta"))
+    return ", ".join(f"{n} as materialized ({q})" for n, q in ctes)
+
+
+SUCCESS = logistic_sql()
 
 
 def a8(s, d):
@@ -314,9 +376,8 @@ def a51(s, d):
 
 
 def a60(s, d):
-    """Chance of success of every trial by a logistic fit."""
-    t = studies.trial_columns(trials.trials(s, d))
-    return rounded(studies.success_model(t, ("log_n", "log_snr", "prominence_ratio")).select("trial_id", "probability"), 4)
+    """Chance of success of every trial by its events, signal and rate."""
+    return rounded(success(s, d).predicted(success_trials(s, d)).select("trial_id", "probability"), 4)
 
 
 NEAREST = "case when (select count(*) from i where i.session_id = g.session_id and i.time_sec = g.time_sec) > 0 then (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and i.time_sec = g.time_sec order by i.gaze_id desc limit 1) else (select sqrt((g.gaze_x - i.gaze_x) ** 2 + (g.gaze_y - i.gaze_y) ** 2) from i where i.session_id = g.session_id and abs(i.time_sec - g.time_sec) <= 0.001::double order by abs(i.time_sec - g.time_sec), i.time_sec, i.gaze_id limit 1) end"
@@ -375,8 +436,15 @@ QUERIES = {
         a59,
         rsql("fs as sampling_freq; count(*) as n; ~regr_slope(ln(sb), ln(sd)) as slope; ~regr_intercept(ln(sb), ln(sd)) as intercept; ~regr_r2(ln(sb), ln(sd)) as r_squared; regr_slope(ln(sb), ln(sd)) between 0.8::double and 1.2::double as in_range", "from tri group by 1", TRI.lstrip()),
     ),
-    "a60_success_model": (a60, None),
-    "a60_success_grid": (a60_grid, None),
+    "a60_success_model": (a60, rsql("trial_id; round(probability + 7.071e-8, 4) + 0e0 as probability", "from each", TRI.lstrip() + ", " + SUCCESS)),
+    "a60_success_grid": (
+        a60_grid,
+        rsql("n_events; snr; sampling_freq; " + "; ".join(f"round(1 / (1 + exp(-(eta{e}))) + 7.071e-8, 4) + 0e0 as probability{k}" for k, e in (("", ""), ("_low", f" - {studies.NORMAL!r}::double * sqrt(var)"), ("_high", f" + {studies.NORMAL!r}::double * sqrt(var)"))) + "; 1 / (1 + exp(-eta)) > 0.9::double as likely", "from asked", TRI.lstrip() + ", " + SUCCESS),
+    ),
+    "a60_success_terms": (
+        lambda s, d: rounded(success(s, d).table(s), 4),
+        rsql("term; " + "; ".join(f"round({e} + 7.071e-8, 4) + 0e0 as {k}" for e, k in (("estimate", "estimate"), ("std_error", "std_error"), (f"estimate - {studies.NORMAL!r}::double * std_error", "low"), (f"estimate + {studies.NORMAL!r}::double * std_error", "high"), (f"2 * {phi('(-abs(estimate / std_error))')}", "p"))), "from model", TRI.lstrip() + ", " + SUCCESS),
+    ),
     "a55_bootstrap": (
         lambda s, d: rounded(studies.bootstrap_latency(signals(s, d), 100, 10, 10.0)),
         rsql("session_id; count(*) as n; ~stddev_samp(-lag * 100e0) as sd_ms", "from (select session_id, rep, arg_max(lag, (round(abs(r), 12), -lag)) as lag from bc where r is not null group by 1, 2) group by 1", SIG.split(",\n cc as")[0].lstrip() + BOOT),

@@ -164,10 +164,37 @@ def test_success_model_predicts_on_a_grid(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(0, 4, 2000)
     df = spark.createDataFrame([(float(v), bool(rng.random() < 1 / (1 + math.exp(3 - 2 * v)))) for v in x], "v double, success boolean")
-    got = {r["v"]: r["probability"] for r in studies.success_model(df, ("v",), grid=spark.createDataFrame([(0.0,), (1.5,), (3.0,)], "v double")).collect()}
+    model = studies.logistic_model(df, ("v",), "success")
+    rows = {r["v"]: r for r in model.predicted(spark.createDataFrame([(0.0,), (1.5,), (3.0,), (None,)], "v double")).collect()}
+    got = {v: r["probability"] for v, r in rows.items()}
+    assert got[None] is None and all(rows[v]["probability_low"] < got[v] < rows[v]["probability_high"] for v in (0.0, 1.5, 3.0))
     assert got[1.5] == pytest.approx(0.5, abs=0.06) and got[0.0] < 0.1 and got[3.0] > 0.9
 
 
+def test_success_model_with_products_equals_newton_on_plain_features(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 6, (3000, 2)).astype(float) * [1.0, 40.0]
+    y = rng.random(3000) < 1 / (1 + np.exp(2 - 0.3 * x[:, 0] - 0.01 * x[:, 1] + 0.002 * x[:, 0] * x[:, 1]))
+    df = spark.createDataFrame([(float(a), float(b), bool(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, True)], "a double, b double, y boolean")
+    model = studies.logistic_model(df, ("a", "b"), "y")
+    design, beta = np.c_[np.ones(3000), x, x[:, 0] * x[:, 1]], np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ beta))
+        h = (design * (p * (1 - p))[:, None]).T @ design
+        beta = beta + np.linalg.solve(h, design.T @ (y - p))
+    got = {r["term"]: r for r in model.table(spark).collect()}
+    assert model.terms == ((), ("a",), ("b",), ("a", "b")) and model.rows == 3000 and model.rounds < 12
+    for name, b, s in zip(("intercept", "a", "b", "a:b"), beta, np.sqrt(np.diag(np.linalg.inv(h)))):
+        assert got[name]["estimate"] == pytest.approx(b, rel=1e-6) and got[name]["std_error"] == pytest.approx(s, rel=1e-6)
+
+
+def test_success_models_without_a_fit(spark):
+    fit = lambda rows: studies.logistic_model(spark.createDataFrame(rows, "a double, y boolean"), ("a",), "y")
+    assert [fit(rows).fault for rows in ([(None, True)], [(1.0, True), (2.0, True)], [(1.0, True), (1.0, False)], [(float(i), i > 5) for i in range(10)])] == ["one label only", "one label only", "constant feature", "labels are separated"]
+    model = fit([(1.0, True)])
+    assert model.table(spark).count() == 0 and model.predicted(spark.range(1).selectExpr("1d as a")).first()["probability"] is None
+
+
 def test_stored_frames_are_removed(spark):
     df = stored.stored(spark.range(5), "test")
     assert df.count() == 5
