@@ -88,6 +88,20 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, pa
     return found.join(ends, ["session_id", "cell"]).select("row.*", F.coalesce("own", "before").alias("hit"))
 
 
+def overlapping(samples: DataFrame, intervals: DataFrame, time: str, start: str, end: str, reach: tuple[Column, Column] | None = None, bucket: float = 30.0) -> DataFrame:
+    """Every sample with every interval of its session that holds it (start <= time < end); intervals may overlap.
+
+    An interval is dealt to the cells of time that it reaches, or those of `reach` (from, to), the part of it where samples
+    can lie; a sample is of one cell. So both sides meet by (session, cell), and a long session is many tasks'. Columns
+    that both sides have, but for the session's, must not be. Intervals without a start or end hold nothing.
+    """
+    first, last = (cell_of(x, bucket) for x in (reach or (F.col(start), F.col(end))))
+    cells = F.when((F.col(start) < F.col(end)) & (first <= last), F.sequence(first, last))
+    dealt = intervals.withColumn("__cell", F.explode(cells))
+    both = samples.withColumn("__cell", cell_of(time, bucket)).join(dealt, ["session_id", "__cell"])
+    return both.filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("__cell")
+
+
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, bucket: float = 30.0) -> DataFrame:
     """Left rows with the distance to the nearest right row of the session, null where there is none.
 
@@ -111,19 +125,21 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
 def align(gaze: DataFrame, events: DataFrame, coverage_threshold: float = 0.95, latency: float | None = None, method: str = "asof", fallback: bool = False, spans: DataFrame | None = None) -> DataFrame:
     """Every clocked gaze sample with the slice on screen; samples outside all intervals are dropped.
 
-    method "asof" has no blow-up however many events a session has; "range" suits few events a session. With `fallback`,
-    a session where nothing matched gets the event numbered one past the last that has begun (mode `*_alt`). `spans`, one
+    method "asof" finds the last interval that has begun; "range" finds all intervals that hold a sample, for events whose
+    intervals may overlap. With `fallback`, a session where nothing matched gets the event numbered one past the last that has begun (mode `*_alt`). `spans`, one
     row a session from session_spans(), can be given where it is there already.
     """
     spans = session_spans(gaze, events, coverage_threshold, latency) if spans is None else spans
     z = intervals(events, spans)
     g = gaze.join(spans.select("session_id", "latency"), "session_id").withColumn("time_aligned", F.col("time_sec") + F.col("latency")).drop("latency")
     inside = (F.col("time_aligned") < F.col("time_end")) | (F.col("integration_mode") == "single_event")
+    end = F.when(F.col("integration_mode") == "single_event", F.col("gaze_duration")).otherwise(F.col("time_end"))
+    reach = F.greatest("time_start", "latency"), F.least(end, F.col("gaze_duration") + F.col("latency"))  # no sample lies outside
     if method == "range":
-        out = g.join(z.select("session_id", *PAYLOAD), "session_id").filter((F.col("time_aligned") >= F.col("time_start")) & inside)
+        single = F.when(F.col("integration_mode") == "single_event", F.lit(float("inf"))).otherwise(F.col("time_end"))
+        held = z.withColumns({"__end": single, "__low": reach[0], "__high": reach[1]}).select("session_id", "__end", "__low", "__high", *PAYLOAD)
+        out = overlapping(g, held, "time_aligned", "time_start", "__end", (F.col("__low"), F.col("__high"))).drop("__end", "__low", "__high")
     else:
-        end = F.when(F.col("integration_mode") == "single_event", F.col("gaze_duration")).otherwise(F.col("time_end"))
-        reach = F.greatest("time_start", "latency"), F.least(end, F.col("gaze_duration") + F.col("latency"))  # no sample lies outside
         out = as_of(g, z, "time_aligned", "time_start", PAYLOAD, "z_event_id", reach=reach).select(*g.columns, *[F.col(f"hit.{c}").alias(c) for c in PAYLOAD]).filter(inside)
     if not fallback:
         return out

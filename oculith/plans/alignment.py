@@ -53,7 +53,16 @@ def f5(s, d):
     return rounded(out.select("session_id", F.col("x")[0].alias("left"), F.col("x")[1].alias("right"), F.col("y")[0].alias("top"), F.col("y")[1].alias("bottom")))
 
 
+def near_slices(s, d):
+    """How many slices were on screen within a second of each sample: intervals widened by a second overlap."""
+    z = align.intervals(events(s, d), spans(s, d)).filter("integration_mode <> 'single_event'")
+    z = z.select("session_id", "z_event_id", (F.col("time_start") - 1).alias("low"), (F.col("time_end") + 1).alias("high"))
+    held = align.overlapping(gaze(s, d).select("session_id", "gaze_id", "time_sec"), z, "time_sec", "low", "high")
+    return held.groupBy("session_id", "gaze_id").agg(rows().alias("n"), F.min("z_event_id").alias("first"), F.max("z_event_id").alias("last"))
+
+
 QUERIES = {
+    "j1_overlapping": (near_slices, rsql("session_id; gaze_id; count(*) as n; min(zi.z_event_id) as first; max(zi.z_event_id) as last", "from g join zi using (session_id) where zi.integration_mode <> 'single_event' and time_sec >= time_start - 1 and time_sec < time_end + 1 group by 1, 2")),
     "f1_gaze_clock": (lambda s, d: rounded(gaze(s, d).select("session_id", "src_id", "gaze_id", "time_sec", "gaze_x", "gaze_y")), rsql("session_id; src_id; gaze_id; ~time_sec; ~gaze_x; ~gaze_y", "from g")),
     "f2_event_clock": (lambda s, d: rounded(events(s, d).select("session_id", "z_event_id", "z_time_sec", "plane", "slice_index")), rsql("session_id; z_event_id; ~z_time_sec; plane; ~slice_index", "from z")),
     "a1_session_spans": (lambda s, d: rounded(align.session_spans(gaze(s, d), events(s, d))), rsql("session_id; n_gaze; ~gaze_duration; n_events; ~z_duration; integration_mode; ~coverage_ratio; ~latency", "from spans")),

@@ -66,7 +66,42 @@ def s10(s, d):
     return rounded(back.groupBy("intensity").agg(rows().alias("n"), F.avg("x").alias("mean_x"), F.min("y").alias("low_y"), F.max("z").alias("high_z")))
 
 
+#: Which columns a session's file has, in its order: every third session's are turned round, session 4 has none of the
+#: system's time, session 5 has no header.
+LAYOUTS = (GAZE, tuple(reversed(GAZE)), GAZE, GAZE, (GAZE[0], *GAZE[2:]), GAZE, GAZE, tuple(reversed(GAZE)))
+
+
+def faulty_files(s, d) -> str:
+    """Gaze files with planted faults: unreadable positions, lines cut after two values, lines with a value too many."""
+    path, g = folder(s, "faulty-files"), recordings.gaze(s, d)
+    kind = F.expr("case when src_id % 17 = 0 then 'value' when src_id % 19 = 0 then 'short' when src_id % 23 = 0 then 'long' end")
+    x = F.when(kind == "value", F.lit("n/a?")).otherwise(F.col(GAZE[2]).cast("string"))
+    g = g.withColumn("kind", kind).withColumn(GAZE[2], x)
+    of = F.coalesce(*[F.when(F.col("session_id") == k, F.array(*[F.col(c).cast("string") for c in own])) for k, own in enumerate(LAYOUTS)])
+    cut = F.when(F.col("kind") == "short", F.slice(of, 1, 2)).when(F.col("kind") == "long", F.concat(of, F.array(F.lit("0")))).otherwise(of)
+    lines = g.select("session_id", F.col("src_id").alias("at"), F.array_join(cut, ",").alias("value"))
+    heads = s.createDataFrame([(k, -1, ",".join(own)) for k, own in enumerate(LAYOUTS) if k != 5], "session_id long, at long, value string")
+    lines.unionByName(heads).repartition("session_id").sortWithinPartitions("session_id", "at").select(F.concat(F.lit("s"), "session_id").alias("session"), "value").write.partitionBy("session").text(path)
+    return path
+
+
+def s13(s, d):
+    """Rows that each session's file gives, and its faults by reason and column."""
+    rows_, faults = files.audited(s, faulty_files(s, d), "*.txt", files.GAZE)
+    good = rows_.groupBy("session_id").agg(rows().alias("n"), F.avg(GAZE[3]).alias("mean_y")).withColumns({"reason": F.lit("row"), "column": F.lit("")})
+    bad = faults.groupBy("session_id", "reason", F.coalesce("column", F.lit("")).alias("column")).agg(rows().alias("n"), F.lit(None).cast("double").alias("mean_y"))
+    return rounded(good.unionByName(bad).select("session_id", "reason", "column", "n", "mean_y"))
+
+
 QUERIES = {
+    "s13_file_audit": (
+        s13,
+        rsql(
+            "'session=s' || session_id as session_id; reason; col as column; count(*) as n; ~case when reason = 'row' then avg(y) end as mean_y",
+            "from fa where reason <> 'lost' group by fa.session_id, reason, col union all select 'session=s4', 'missing column', 'system_time_stamp', 1, null union all select 'session=s5', 'no header', '', 1, null",
+            "fb as (select session_id, y, src_id % 17 = 0 as v, src_id % 17 <> 0 and src_id % 19 = 0 as sh, src_id % 17 <> 0 and src_id % 19 <> 0 and src_id % 23 = 0 as lo from gaze where session_id <> 5), fa as (select session_id, y, unnest(case when sh then ['short line'] when lo then ['long line'] when v then ['row', 'unreadable value'] else ['row'] end) as reason, '' as col from fb where not v union all select session_id, y, unnest(['row', 'unreadable value']), unnest(['', 'gaze_point_on_display_area_x']) from fb where v)",
+        ),
+    ),
     "s1_gaze_files": (s1, rsql("'session=s' || session_id as session_id; count(*) as n; sum(device_time_stamp)::bigint as stamps; ~avg(x) as mean_x; ~avg(y) as mean_y", "from gaze group by gaze.session_id")),
     "s2_event_files": (s2, rsql("'session=s' || session_id as session_id; plane; count(*) as n; ~avg(slice_index) as mean_index; ~max(client_timestamp) as last", "from ev group by ev.session_id, plane")),
     "s3_sessions": (s3, rsql("'session=s' || session_id as session_id; case when session_id in (select session_id from ev where plane = 'SAGITTAL') then 'complete' else 'no slice events' end as state", "from (select distinct session_id from gaze)")),
