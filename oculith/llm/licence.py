@@ -44,7 +44,8 @@ MORE = {
 PERMISSIVE = frozenset({"apache", "bsd", "boost", "cc0", "cc-by", "isc", "mit", "unlicense", "zlib"})
 TAG = "spdx license identifier"
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+TOKEN = re.compile(r"[(),/]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+LINE_END = re.compile(rb"[\r\n]|$")
 #: Names that identifiers begin with; a version and `-only`, `-or-later` or `+` may follow.
 NAMES = (
     "0bsd", "afl", "agpl", "apache", "apsl", "artistic", "boost", "bsd", "bsl", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0", "cddl",
@@ -54,6 +55,8 @@ NAMES = (
 IDENTIFIER = re.compile("(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:-?v?\d[\d.]*)?(?:-(?:clause|universal|patent|modern|0))*(?:-only|-or-later|\+)?|(?:documentref-[\w.-]+:)?licenseref-[\w.-]+")
 EXCEPTION = re.compile(r"[\w.-]*exception[\w.-]*|additionref-[\w.-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
+#: What stands for an operator between two licences of a list.
+LISTS = {",": "and", "/": "or"}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -66,43 +69,60 @@ def automaton() -> ahocorasick.Automaton:
 
 def parse(expression: str) -> list[str] | None:
     """The expression in postfix order, or None if it isn't one. Operands are known identifiers (after `with`, names of
-    exceptions). Reads as far as the expression goes on: prose after it, an operator before prose included, is left."""
-    out, ops, operand = [], [], False
-    for token in TOKEN.findall(expression):
+    exceptions); a comma between them is an `and`, a slash an `or`. Reads as far as the expression goes on: prose after it is
+    left, with operators and parentheses that it follows, and closes what is open. One pass; each token is moved once."""
+    out, ops, operand, depth, since, listed, prose = [], [], False, 0, 0, None, False
+
+    def bind(word: str) -> None:
+        while ops and BINDS.get(ops[-1], 0) >= BINDS[word]:
+            out.append(ops.pop())
+        ops.append(word)
+
+    for match in TOKEN.finditer(expression):
+        token = match[0]
         word = token.lower().rstrip(".:")
+        known = bool((EXCEPTION if ops and ops[-1] == "with" and not operand else IDENTIFIER).fullmatch(word)) and word not in BINDS
+        if token in LISTS:
+            if not operand:
+                prose = True
+                break
+            listed = LISTS[token]
+            continue
+        if listed and (known or token == "("):  # a separator counts once it has a licence on either side
+            bind(listed)
+            operand, since = False, 1
+        listed = None
         if token == "(":
             if operand:
+                prose = True
                 break
             ops.append(token)
+            depth, since = depth + 1, since + 1
         elif token == ")":
             if not operand:
                 return None
-            if "(" not in ops:
+            if not depth:
                 break
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
+            depth -= 1
         elif word in BINDS:
             if not operand:
                 return None
-            while ops and BINDS.get(ops[-1], 0) >= BINDS[word]:
-                out.append(ops.pop())
-            ops.append(word)
-            operand = False
-        elif operand:
-            break
-        elif (EXCEPTION if ops and ops[-1] == "with" else IDENTIFIER).fullmatch(word):
-            out.append(token.rstrip(".:"))
-            operand = True
-        elif ops and ops[-1] in BINDS:  # "MIT and see the file"
-            ops.pop()
+            bind(word)
+            operand, since = False, 1
+        elif operand or not known:
+            prose = True
             break
         else:
-            return None
-    else:
-        if not operand:
-            return None
-    return None if "(" in ops else out + ops[::-1]
+            out.append(token.rstrip(".:"))
+            operand, since = True, 0
+    if not out or (not operand and not prose) or (depth and not prose):
+        return None
+    if not operand:
+        del ops[len(ops) - since :]
+    return out + [op for op in reversed(ops) if op != "("]
 
 
 def evaluate(postfix: list[str], permitted: frozenset[str]) -> bool:
@@ -119,15 +139,8 @@ def evaluate(postfix: list[str], permitted: frozenset[str]) -> bool:
 
 
 def identifiers(postfix: list[str]) -> list[str]:
-    """The licences of an expression, without exceptions."""
-    stack: list[list[str]] = []
-    for token in postfix:
-        if token not in BINDS:
-            stack.append([token.lower()])
-            continue
-        right, left = stack.pop(), stack.pop()
-        stack.append(left if token == "with" else left + right if len(left) >= len(right) else right + left)
-    return stack.pop()
+    """The licences of an expression, without exceptions (each of which its `with` follows)."""
+    return [token.lower() for token, after in zip(postfix, [*postfix[1:], ""]) if token not in BINDS and after != "with"]
 
 
 def family(identifier: str) -> str:
@@ -139,8 +152,8 @@ def family(identifier: str) -> str:
 
 
 def tag_lines(raw: bytes, text: str, ends: list[int]) -> list[str]:
-    """What follows each tag on its line. `ends` are the places in `text`, the joined words, where tags end; the word
-    there is found again in the raw text by its number."""
+    """What follows each tag on its line, up to the next tag. `ends` are the places in `text`, the joined words, where tags
+    end; the word there is found again in the raw text by its number."""
     if not ends:
         return []
     number, at, wanted = -1, 0, []
@@ -148,18 +161,24 @@ def tag_lines(raw: bytes, text: str, ends: list[int]) -> list[str]:
         number += text.count(" ", at, end)
         at = end
         wanted.append(number)
-    out, wanted = [], set(wanted)
+    last, first = set(wanted), {n - TAG.count(" ") for n in wanted}
+    spans, begins = [], []
     for k, word in enumerate(re.finditer(rb"[^ ]+", raw.translate(WORD))):
-        if k in wanted:
-            stop = re.compile(rb"[\r\n]|$").search(raw, word.end()).start()
-            out.append(raw[word.end() : stop].decode("utf-8", "replace").lstrip(" \t").removeprefix(":"))
+        if k in first:
+            begins.append(word.start())
+        if k in last:
+            spans.append(word.end())
+    out = []
+    for low, high in zip(spans, [*begins[1:], len(raw)]):
+        stop = LINE_END.search(raw, low, high).start()
+        out.append(raw[low:stop].decode("utf-8", "replace").lstrip(" \t").removeprefix(":"))
     return out
 
 
 def scan(raw: bytes, patterns: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, expressions (postfix), permitted, score."""
     words = b" ".join(raw.translate(WORD).split())
-    text = f" {words.decode()} "
+    text = f" {words.decode('utf-8', 'replace')} "
     places, base, labels, tags, permitted = [], set(), set(), [], True
     for end, (phrase, label) in patterns.iter(text):
         if phrase in BASE:
@@ -188,8 +207,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     `permitted` says whether all expressions found can be met by permissive licences; null without any. Places that
     overlap all count. Null and empty texts have no words and empty labels. Malformed expressions, and those whose first
-    operand isn't a known identifier, are left out. Texts of any length are read whole, in time that grows with their
-    length. Repeated rows give the same result; other columns are ignored; an empty table gives no rows.
+    operand isn't a known identifier, are left out. Texts of any length, lines of any length included, are read whole, in time
+    that grows with their length; bytes that aren't UTF-8 are read as letters. Repeated rows give the same result; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 from array import array
 from collections import defaultdict
@@ -324,6 +325,30 @@ def test_licence_expressions_take_known_identifiers_only():
     assert found("x SPDX-License-Identifier: Apache-2.0 SPDX-License-Identifier: MIT") == ("apache,mit", ["Apache-2.0", "MIT"], True)
 
 
+def test_licence_lists_prose_and_open_parentheses():
+    cases = {
+        "MIT AND (see the file)": "MIT", "MIT OR (Apache-2.0 AND see it": "MIT Apache-2.0 or", "(MIT OR see the file)": "MIT", "MIT/Apache-2.0": "MIT Apache-2.0 or", "MIT, Apache-2.0": "MIT Apache-2.0 and", "MIT, Apache-2.0 or BSD-3-Clause, see it": "MIT Apache-2.0 and BSD-3-Clause or",
+        "MIT, see LICENSE": "MIT", "MIT,": "MIT", "MIT (https://x.org/MIT)": "MIT", "MIT, OR Apache-2.0": "MIT Apache-2.0 or", "GPL-2.0 WITH classpath-exception-2.0 / MIT": "GPL-2.0 classpath-exception-2.0 with MIT or", "MIT/(ISC)": "MIT ISC or",
+        "(MIT)": "MIT", "(see MIT)": None, ", MIT": None, "MIT OR": None, "((MIT)": None, "()": None, "MIT AND AND ISC": None,
+    }
+    assert {text: (" ".join(found) if (found := licence.parse(text)) else None) for text in cases} == cases
+    assert licence.identifiers(licence.parse("GPL-2.0 WITH classpath-exception-2.0 OR MIT")) == ["gpl-2.0", "mit"]
+
+
+def test_licence_time_grows_with_the_line():
+    patterns = licence.automaton()
+    for text in ("SPDX-License-Identifier: MIT OR ISC " * 20_000, "SPDX-License-Identifier: " + "(" * 100_000 + "MIT" + ")" * 100_000, "SPDX-License-Identifier: MIT" + " OR ISC" * 100_000):
+        began = time.perf_counter()
+        assert licence.scan(text.encode(), patterns)[5].split(",")[-1] == "mit"
+        assert time.perf_counter() - began < 5
+
+
+def test_licences_in_bytes_that_are_no_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('4D4954204C6963656E736520FFFE0A535044582D4C6963656E73652D4964656E7469666965723A204953430AC3') as string) as text")
+    row = licence.scan_licences(docs).first()
+    assert row["base_labels"] == "mit" and row["labels"] == "isc,mit" and row["n_words"] == 8
+
+
 def test_licence_labels_against_plain_phrases(spark, real):
     docs = real.limit(50).unionByName(spark.createDataFrame([(9001, "Mozilla Public-License; ISC license, all rights\nreserved. CC BY-NC", "en", "a", 1)], real.schema))
     got = {r["doc_id"]: r["labels"] for r in licence.scan_licences(docs).collect()}
