@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from oculith.llm.shared import whole_text
+
 WINDOW, NEIGHBOURS, POINTS = 64, 64, 16
 BITS, HASHES, CAPACITY = 2048, 5, 128
 #: Texts of fewer bytes than BRIEF have windows of SHORT bytes.
@@ -168,7 +170,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([own.column("doc_id"), pa.array(map(encode, digests(raws)), pa.string())], names=["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 def place(cuts: list[float], value: Column, step: int = 64) -> Column:
@@ -187,7 +189,7 @@ def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), reverse=True) if ranges > 1 else []
     part = place(cuts, F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))  # 0 holds the largest ids
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), part.alias("part"))
+    rows = docs.select("doc_id", F.coalesce(whole_text(), F.lit("")).alias("text"), part.alias("part"))
     heads = rows.select("part", "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
     spark = docs.sparkSession
     if not heads:
@@ -207,7 +209,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The edited text has the last third of the code points (rounded down) replaced by the first as many, or all, of the
     next document in descending doc_id; after the last comes the first. Null text is empty; a single document follows
     itself; repeated ids stand in order of their texts; a null id comes last. Other columns are ignored; an empty table
-    gives no rows. Ids must be numbers. Texts of any length are worked on whole; two texts of n and m filters (128
+    gives no rows. Ids must be numbers. Bytes that aren't UTF-8 count as U+FFFD. Texts of any length are worked on whole; two texts of n and m filters (128
     features each) take n x m comparisons of filters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import crc_fold, slices
+from oculith.llm.shared import crc_fold, slices, whole_text
 
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 #: Bounds of what is learned of each language: texts, characters of a text, bytes in all; chunk of compression; narrowest margin that isn't rejected.
@@ -28,7 +28,7 @@ LETTER = regex.compile(r"\p{L}")
 
 def samples(docs: DataFrame, documents: int = DOCUMENTS) -> list[tuple[str, bytes]]:
     """(language, dictionary), the commonest first: a piece of at most `documents` different training texts each."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.lower(whole_text()).alias("text"))
     rows = rows.filter((crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("order", F.xxhash64("text"))
     known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order", 0.02).alias("different")).collect()  # a row a language
@@ -74,7 +74,7 @@ def identify(docs: DataFrame) -> DataFrame:
     `und` with score 0 if the text is null, empty or has no letter, or if nothing could be learned; `rejected` marks
     these and narrow margins, where lang_pred is still the best guess. A null doc_id isn't held out and never learned
     from. Repeated rows are predicted alike; texts of any length are compressed whole, chunk by chunk; other columns are
-    ignored; an empty table gives no rows.
+    ignored; bytes that aren't UTF-8 count as U+FFFD; an empty table gives no rows.
     """
     learned = docs.sparkSession.sparkContext.broadcast(samples(docs))
 
@@ -86,5 +86,5 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), whole_text().alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import slices
+from oculith.llm.shared import slices, whole_text
 
 TIERS = (512, 1024, 2048, 4096)
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -206,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
     A document is its ids and then `end_id`; null and empty texts are `end_id` alone. Ids of sequences are unique:
     the number of the task's partition, then of the shard and of the sequence. Repeated rows are packed each for itself;
     a text of any length is encoded whole, and is the only one in memory beyond a shard's tokens; other columns are
-    ignored; an empty table gives no rows.
+    ignored; bytes that aren't UTF-8 count as U+FFFD; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -244,4 +244,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")

@@ -95,6 +95,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def whole_text(text: str = "text") -> Column:
+    """A text column as a string that Python can read: bytes that aren't UTF-8 become U+FFFD, all others stay."""
+    return F.make_valid_utf8(F.col(text).cast("string"))
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo `folds`; a null id falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

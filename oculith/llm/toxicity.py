@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oculith.llm.shared import crc_fold, slices, written
+from oculith.llm.shared import crc_fold, slices, whole_text, written
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Letters of a stem (whole words have any number), least number of toxic documents with an entry, least log odds.
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: in
     train = train.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     below = min(1.0, labelled / max(1, train.count())) * 2.0**64 - 2.0**63  # as many as wanted lie below this hash, on average
     train = train.filter(order.cast("double") <= below)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(train), "doc_id")
     rows = written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text").distinct(), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts score as texts without a match. Several labels of a document count as the largest. A null
     doc_id isn't held out and never learned from. Repeated rows score alike; other columns are ignored. Texts of any
-    length are matched whole, in time that grows with their length. An empty table gives no rows.
+    length are matched whole, in time that grows with their length; bytes that aren't UTF-8 count as U+FFFD. An empty table gives no rows.
     """
     learned = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
@@ -209,5 +209,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), whole_text().alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

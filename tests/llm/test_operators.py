@@ -349,6 +349,16 @@ def test_licences_in_bytes_that_are_no_utf8(spark):
     assert row["base_labels"] == "mit" and row["labels"] == "isc,mit" and row["n_words"] == 8
 
 
+def test_texts_that_are_no_utf8(spark, labels):
+    """Broken bytes are read as U+FFFD: each operator gives what it gives for the mended text."""
+    broken = spark.sql("select doc_id, cast(concat(unhex(repeat('C3', doc_id)), cast(repeat('some text here ', 30) as binary), unhex('FFFEC3')) as string) as text, 'en' as lang, 'a' as source, 1L as n_chars from (select explode(array(1L, 2L, 3L, 6L)) as doc_id)")
+    mended = broken.withColumn("text", F.make_valid_utf8("text"))
+    assert all(b"\xef\xbf\xbd" in bytes(r[0]) for r in mended.select(F.col("text").cast("binary")).collect())
+    for run in (fingerprint.fingerprint_documents, fingerprint.fingerprint_edits, language.identify, lambda d: toxicity.score_toxicity(d, labels), lambda d: packing.pack_documents(d, TOKENIZER)):
+        got, want = (sorted(map(str, run(d).collect())) for d in (broken, mended))
+        assert got == want and len(got) >= 4
+
+
 def test_licence_labels_against_plain_phrases(spark, real):
     docs = real.limit(50).unionByName(spark.createDataFrame([(9001, "Mozilla Public-License; ISC license, all rights\nreserved. CC BY-NC", "en", "a", 1)], real.schema))
     got = {r["doc_id"]: r["labels"] for r in licence.scan_licences(docs).collect()}
