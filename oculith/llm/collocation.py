@@ -25,7 +25,7 @@ from oculith.llm.shared import texts, written
 
 SUPPORT, LONGEST, COVERED, BEST = 10, 3, 50, 2000
 #: Bytes of text in the sample (by a hash of the rows), bytes of text that a task counts at a time, bits of a filter.
-SAMPLE_BYTES, CHUNK, BITS = 32 << 20, 3 << 20, 1 << 26
+SAMPLE_BYTES, CHUNK, BITS = 32 << 20, 2 << 20, 1 << 26
 #: A-Z become lower case, and what ends a piece a full stop, which no word can hold.
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 STOP = b"."
