@@ -37,18 +37,27 @@ def cross_correlation(signal: DataFrame, max_lag: int, x: str = "gaze", y: str =
         at, inside = rows_["i"].to_numpy() - first, rows_["block"].to_numpy() * size == rows_["i"].to_numpy() // size * size
         a[at[inside]] = (rows_["x"] - rows_["level_x"]).to_numpy()[inside]
         b[at + max_lag] = (rows_["y"] - rows_["level_y"]).to_numpy()
-        out = []
-        for lag in range(-max_lag, max_lag + 1):
-            other = b[max_lag + lag : max_lag + lag + size]
-            ok = ~(np.isnan(a) | np.isnan(other))
-            u, v = a[ok], other[ok]
-            out.append((lag, len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v))
-        found = pd.DataFrame(out, columns=["lag", *SUMS]).astype({"lag": "int32", "n": float})
+        found = lag_sums(a, b, max_lag)
         for k, (name, value) in enumerate(zip(keys, key)):
             found.insert(k, name, value)
         return found
 
-    parts = dealt.groupBy(*keys, "block").applyInPandas(sums, T.StructType(fields))
+    return correlated(dealt.groupBy(*keys, "block").applyInPandas(sums, T.StructType(fields)), keys)
+
+
+def lag_sums(a: np.ndarray, b: np.ndarray, max_lag: int) -> pd.DataFrame:
+    """lag and SUMS of a block of x against its y, which reaches `max_lag` positions further on both sides; NaN is missing."""
+    out = []
+    for lag in range(-max_lag, max_lag + 1):
+        other = b[max_lag + lag : max_lag + lag + len(a)]
+        ok = ~(np.isnan(a) | np.isnan(other))
+        u, v = a[ok], other[ok]
+        out.append((lag, len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v))
+    return pd.DataFrame(out, columns=["lag", *SUMS]).astype({"lag": "int32", "n": float})
+
+
+def correlated(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, lag, n, r from the blocks' sums; r is null where a side is constant."""
     total = parts.groupBy(*keys, "lag").agg(*[F.sum(s).alias(s) for s in SUMS]).filter("n > 0")
     n = F.col("n")
     vx, vy, co = (F.col(a) - F.col(b) * F.col(c) / n for a, b, c in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
@@ -59,7 +68,12 @@ def cross_correlation(signal: DataFrame, max_lag: int, x: str = "gaze", y: str =
 def latency(signal: DataFrame, max_lag: int, hertz: float, keys: tuple[str, ...] = ("session_id",), **names: str) -> DataFrame:
     """One row per key: best lag (largest |r|, the smallest lag on ties, sign flipped), latency in ms, prominence against
     the median of the other lags, peak, and its sigma."""
-    cc = cross_correlation(signal, max_lag, keys=keys, **names).withColumn("a", F.abs("r")).filter("a is not null")
+    return peaks(cross_correlation(signal, max_lag, keys=keys, **names), hertz, keys)
+
+
+def peaks(correlations: DataFrame, hertz: float, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """latency() from keys, lag, n, r."""
+    cc = correlations.withColumn("a", F.abs("r")).filter("a is not null")
     best = F.max_by(F.struct("lag", "a", "n"), F.struct(F.round("a", 12), -F.col("lag"))).alias("b")
     every = F.sort_array(F.collect_list(F.struct("a", "lag"))).alias("every")  # 2 * max_lag + 1 values at most
     rest = F.transform(F.filter("every", lambda e: e["lag"] != F.col("b.lag")), lambda e: e["a"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -9,15 +10,15 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oculith.functions.columns import by, norm2, normal_cdf, quantile_bin, rows, safe_corr, safe_r2, student_quantile, two_sided_p
 from oculith.operators.align import as_of
 from oculith.operators.kinematics import rolling_mean, smooth_velocity
-from oculith.operators.latency import POSITIONS
-from oculith.operators.latency import latency as signal_latency
-from oculith.operators.ordered import SESSION, dense, numbered, over, quantiles, running
+from oculith.operators.latency import POSITIONS, SUMS, correlated, lag_sums, peaks
+from oculith.operators.ordered import SESSION, dense, numbered, over, quantiles, running, with_stats
 from oculith.sources.stored import stored
 
 #: The normal distribution's 97.5 % point.
@@ -242,25 +243,62 @@ def event_signal(samples: DataFrame, events: DataFrame, time: str = "time_sec",
     return found.withColumn("signal", F.coalesce((F.col(time) < until).cast("int"), F.lit(0))).drop("hit")
 
 
-def bootstrap_latency(signal: DataFrame, replicates: int, max_lag: int, hertz: float) -> DataFrame:
+def bootstrap_latency(signal: DataFrame, replicates: int, max_lag: int, hertz: float, size: int = POSITIONS) -> DataFrame:
     """session_id, n, sd_ms: deviation of the latency estimate over resamples of each session's samples with replacement.
 
-    Gaze is drawn and events stay in place. A replicate draws, for every position, the gaze at a hashed position, by an
-    equi-join; all replicates are one plan.
+    Gaze is drawn and events stay in place. A replicate draws, for every position, the gaze at a hashed position. A block
+    of positions works out what it draws, and asks each block of samples for its share in one packed row: 8 bytes a draw
+    go there, 12 come back, whatever the session's length. Draws are uniform, so no block is asked for more than others.
     """
-    order = numbered(signal, SESSION, ("idx",), F.floor(F.col("idx") / POSITIONS).cast("long"), "at", total="size")
-    draw = order.select("session_id", "idx", "event", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draw = draw.withColumn("at", draw_of(F.concat_ws("-", "session_id", "replicate", "idx")) % F.col("size") + 1)
-    drawn = draw.join(order.select("session_id", "at", "gaze"), ["session_id", "at"])
-    found = signal_latency(drawn.select("session_id", "replicate", "idx", "gaze", "event"), max_lag, hertz, ("session_id", "replicate"))
+    if replicates * size >= 1 << 31:
+        raise ValueError(f"at most {(1 << 31) // size} replicates")
+    if max_lag > size:
+        raise ValueError(f"the largest lag is over {size} positions")
+    block = lambda c: F.floor(c / F.lit(size)).cast("long")
+    order = numbered(signal.select("session_id", F.col("idx").cast("long").alias("idx"), F.col("gaze").cast("double").alias("gaze"), F.col("event").cast("double").alias("event")), SESSION, ("idx",), block(F.col("idx")), "at", total="size")
+    order = stored(with_stats(order, SESSION, level_x=F.avg("gaze"), level_y=F.avg("event")).withColumns({"block": block(F.col("idx")), "source": block(F.col("at") - 1)}), "draws")
+    kind = signal.schema["session_id"].dataType.simpleString()
+
+    def asked(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        session, at_block = key
+        of, idx = int(own["size"].iloc[0]), own["idx"].tolist()
+        drawn = np.empty((replicates, len(idx)), np.int64)
+        for r in range(replicates):
+            head = f"{session}-{r + 1}-"
+            drawn[r] = [int(hashlib.md5(f"{head}{i}".encode()).hexdigest()[:8], 16) for i in idx]
+        drawn = (drawn % of).reshape(-1)
+        place = (np.arange(replicates)[:, None] * size + (own["idx"].to_numpy() - at_block * size)).reshape(-1).astype("<i4")
+        by_source = np.argsort(drawn, kind="stable")
+        source, first = np.unique(drawn[by_source] // size, return_index=True)
+        cut = lambda x: [p.tobytes() for p in np.split(x, first[1:])]
+        return pd.DataFrame({"session_id": session, "source": source, "block": at_block, "offset": cut((drawn[by_source] % size).astype("<i4")), "place": cut(place[by_source])})
+
+    def answered(key: tuple, requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        gaze = np.full(size, np.nan)
+        gaze[own["at"].to_numpy() - 1 - key[1] * size] = (own["gaze"] - own["level_x"]).to_numpy()
+        value = [gaze[np.frombuffer(o, "<i4")].tobytes() for o in requests["offset"]]
+        return pd.DataFrame({"session_id": key[0], "block": requests["block"], "place": requests["place"], "value": value})
+
+    def correlate(key: tuple, answers: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(answers):  # only the halo of its neighbours
+            return pd.DataFrame([], columns=["session_id", "replicate", "lag", *SUMS])
+        x, y = np.full((replicates, size), np.nan), np.full(size + 2 * max_lag, np.nan)
+        for place, value in zip(answers["place"], answers["value"]):
+            x.reshape(-1)[np.frombuffer(place, "<i4")] = np.frombuffer(value, "<f8")
+        y[own["idx"].to_numpy() - key[1] * size + max_lag] = (own["event"] - own["level_y"]).to_numpy()
+        every = [lag_sums(x[r], y, max_lag).assign(replicate=np.int32(r + 1)) for r in range(replicates)]
+        return pd.concat(every).assign(session_id=key[0])[["session_id", "replicate", "lag", *SUMS]]
+
+    requests = order.select("session_id", "idx", "size", "block").groupBy("session_id", "block").applyInPandas(asked, f"session_id {kind}, source long, block long, offset binary, place binary")
+    own = order.select("session_id", "source", "at", "gaze", "level_x").groupBy("session_id", "source")
+    answers = requests.groupBy("session_id", "source").cogroup(own).applyInPandas(answered, f"session_id {kind}, block long, place binary, value binary")
+    near = F.explode(F.array_distinct(F.array(F.col("block"), block(F.col("idx") - max_lag), block(F.col("idx") + max_lag)))).alias("block")
+    beside = order.select("session_id", "idx", "event", "level_y", near).groupBy("session_id", "block")
+    sums = answers.groupBy("session_id", "block").cogroup(beside).applyInPandas(correlate, f"session_id {kind}, replicate int, lag int, {', '.join(f'{c} double' for c in SUMS)}")
+    found = peaks(correlated(sums, ("session_id", "replicate")), hertz, ("session_id", "replicate"))
     return found.groupBy("session_id").agg(rows().alias("n"), F.stddev_samp("latency_ms").alias("sd_ms"))
 
 
-def draw_of(text: Column) -> Column:
-    """A number below 2**32 from the text, the same in every engine."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
 def trial_columns(trials: DataFrame) -> DataFrame:
     """Logarithms, product and success of latency trials (error in ms; under 50 is a success)."""
     product = F.col("n_events") * F.col("snr")

@@ -1,5 +1,6 @@
 """Work by blocks against plain windows over whole sessions, with blocks and cells of a few rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -122,6 +123,33 @@ def test_bootstrap_draws_gaze_and_keeps_events(spark):
     assert out["n"] == 30 and out["sd_ms"] > 100
 
 
+def test_bootstrap_in_blocks_equals_draws_by_hand(spark):
+    """Draws that cross blocks of positions and of samples, gaps of positions, and a session of one sample."""
+    rng = np.random.default_rng(6)
+    data = [(s, i, float(rng.random()), float(rng.random() < 0.3)) for s, n in ((1, 150), (2, 90)) for i in range(n) if rng.random() < 0.85] + [(3, 0, 0.5, 1.0)]
+    df = spark.createDataFrame(data, "session_id long, idx long, gaze double, event double")
+    got = {r["session_id"]: r for r in studies.bootstrap_latency(df, 12, 5, 10.0, size=16).collect()}
+    assert {k: r["sd_ms"] for k, r in got.items()} == {r["session_id"]: pytest.approx(r["sd_ms"]) for r in studies.bootstrap_latency(df, 12, 5, 10.0).collect()}
+    assert sorted(got) == [1, 2]
+    for session in (1, 2):
+        own = sorted((i, g, e) for s, i, g, e in data if s == session)
+        event, found = {i: e for i, _, e in own}, []
+        for replicate in range(1, 13):
+            drawn = {i: own[int(hashlib.md5(f"{session}-{replicate}-{i}".encode()).hexdigest()[:8], 16) % len(own)][1] for i in event}
+            score = {}
+            for lag in range(-5, 6):
+                pairs = np.array([(drawn[i], event[i + lag]) for i in drawn if i + lag in event])
+                score[lag] = abs(np.corrcoef(pairs.T)[0, 1])
+            found.append(-100.0 * max(score, key=lambda k: (round(score[k], 12), -k)))
+        assert got[session]["n"] == 12 and got[session]["sd_ms"] == pytest.approx(np.std(found, ddof=1))
+
+
+def test_bootstrap_moves_packed_draws(spark):
+    df = spark.createDataFrame([(1, i, float(i % 7), float(i % 3)) for i in range(100)], "session_id long, idx long, gaze double, event double")
+    plan = studies.bootstrap_latency(df, 5, 3, 10.0, size=32)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
 def test_roc_against_all_thresholds(spark):
     rng = np.random.default_rng(2)
     data = [(int(k), float(np.round(rng.normal(y, 1), 1)), int(y)) for k in (1, 2) for y in rng.integers(0, 2, 300)]
