@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oculith.plans import alignment, coordinates, files, geometry, live, motion, studies, volumes
+from oculith.plans import alignment, coordinates, files, geometry, live, motion, sketches, studies, volumes
 
-GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES, studies.QUERIES, coordinates.QUERIES, files.QUERIES, volumes.QUERIES, live.QUERIES)
+GROUPS = (alignment.QUERIES, motion.QUERIES, geometry.QUERIES, studies.QUERIES, coordinates.QUERIES, files.QUERIES, volumes.QUERIES, live.QUERIES, sketches.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
