@@ -44,7 +44,7 @@ def velocity_sketches(s, d):
 def a12(s, d):
     """Velocity's distribution of each session from sketches of its cells."""
     table = sketches.summary(velocity_sketches(s, d), LEVELS, ("session_id",))
-    beside = moving(s, d).select("session_id", "velocity_deg_s").join(F.broadcast(table), "session_id")  # one row a session
+    beside = moving(s, d).select("session_id", "velocity_deg_s").join(table, "session_id")
     found = ranked(beside, "velocity_deg_s", VELOCITIES, ("session_id", "low", "high"))
     return rounded(found.drop("name"))
 
@@ -60,7 +60,7 @@ def a71(s, d):
 def f5(s, d):
     """The image's rectangle by session, from sketches of both coordinates."""
     bounds = sketches.image_bounds(sketched(s, d, "gaze-x", gaze, "gaze_x"), sketched(s, d, "gaze-y", gaze, "gaze_y"), tail=TAIL)
-    beside = gaze(s, d).select("session_id", "gaze_x", "gaze_y").join(F.broadcast(bounds), "session_id")
+    beside = gaze(s, d).select("session_id", "gaze_x", "gaze_y").join(bounds, "session_id")
     x = ranked(beside, "gaze_x", {"left": TAIL, "right": 1 - TAIL}, ("session_id",))
     y = ranked(beside, "gaze_y", {"top": TAIL, "bottom": 1 - TAIL}, ("session_id",))
     return rounded(x.unionByName(y).withColumnRenamed("name", "edge"))
