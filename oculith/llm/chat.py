@@ -8,7 +8,7 @@ that partitioning. A conversation becomes one row, so the longest one must fit i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's control strings.
@@ -63,34 +63,34 @@ def final_messages(events: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, spans: the template's text, and (start, length) of what the loss is taken on, in code points
-    from 0. Each assistant text is one span; markers, roles and other texts are under none."""
-    parts = F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), F.lit(CLOSE + "\n").alias("tail"), (t["role"] == "assistant").alias("loss"),
-    ))
-    empty = F.expr("cast(array() as array<struct<start:int,length:int>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def add(state: Column, p: Column) -> Column:
-        begin, n = state["at"] + F.char_length(p["head"]), F.char_length(p["body"])
-        own = F.struct(begin.alias("start"), n.alias("length"))
-        return F.struct((begin + n + F.char_length(p["tail"])).alias("at"), F.when(p["loss"], F.array_append(state["spans"], own)).otherwise(state["spans"]).alias("spans"))
-
-    return conversations.select("conv_id", parts.alias("parts")).select(
-        "conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"), F.aggregate("parts", start, add)["spans"].alias("spans")
-    )
+    """conv_id, formatted, spans: the template's text, and what the loss is taken on: start and length in code points from
+    0, the turn (from 0), and `at`, the start within the turn's own part of the text. Each assistant text is one span;
+    markers, roles and other texts are under none. conv_id is unique. Places are running sums over the turns as rows, so
+    time grows with the conversation's length."""
+    turn = F.col("t")
+    rows = conversations.select("conv_id", F.posexplode("turns").alias("turn", "t")).select(
+        "conv_id", "turn", F.concat(F.lit(OPEN), escape_role(turn["role"]), F.lit("\n")).alias("head"), escape(turn["text"]).alias("body"), (turn["role"] == "assistant").alias("loss"),
+    )
+    at, length = F.char_length("head"), F.char_length("body")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(at + length + len(CLOSE) + 1).over(before), F.lit(0)).cast("int") + at
+    span = F.struct(start.alias("start"), length.alias("length"), "turn", at.alias("at"))
+    placed = rows.select("conv_id", "turn", F.concat("head", "body", F.lit(CLOSE + "\n")).alias("part"), F.when(F.col("loss"), span).alias("span"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "part"))).alias("parts"), F.sort_array(F.collect_list("span")).alias("spans"))
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), "spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns, loss_text from render()'s output alone."""
-    opened = F.split("formatted", r"<\|im_start\|>")  # what stands before the first marker is empty
-    pieces = F.slice(opened, 2, F.size(opened) - 1)
+    """conv_id, turns, loss_text from render()'s output alone. The text is split once; spans are cut from their turn's part,
+    so that no look-up walks the text from its beginning."""
+    pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, F.lit(1 << 30))  # what stands before the first marker is empty
     turn = lambda s: F.struct(
         unescape_role(F.substring_index(s, "\n", 1)).alias("role"),
         unescape(F.substring(s, F.instr(s, F.lit("\n")) + 1, F.char_length(s) - F.instr(s, F.lit("\n")) - len(CLOSE) - 1)).alias("text"),
     )
-    loss = F.transform("spans", lambda x: unescape(F.substring(F.col("formatted"), x["start"] + 1, x["length"])))
-    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"), "formatted")
+    # The pieces are bound to a variable: named in the inner function itself, they would be split anew for each span.
+    loss = F.transform(F.array(pieces), lambda own: F.array_join(F.transform(F.col("spans"), lambda x: unescape(F.substring(F.get(own, x["turn"]), x["at"] - len(OPEN) + 1, x["length"]))), ""))[0]
+    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), loss.alias("loss_text"), "formatted")
 
 
 def format_chats(events: DataFrame) -> DataFrame:
