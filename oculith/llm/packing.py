@@ -49,12 +49,13 @@ class Encoder:
     Where the file's rules are those of CUTTABLE, chunks between ASCII blanks are encoded one by one: nothing joins across
     them. A run of letters below U+0100, which stay single letters when composed and folded, is a word and is encoded apart
     from plain marks behind it; ASCII words are kept in lower case. Many words are encoded as one text, whose
-    ids are cut where a word ends by its token's suffix. Texts of other files are encoded whole.
+    ids are cut where a word ends by its token's suffix. Texts of other files are encoded whole. What is kept is bounded by
+    number, and by length: chunks of over `longest` characters are encoded with their texts and forgotten.
     """
 
     MARKS = ".,!?|$#%&*"
 
-    def __init__(self, path: str, end_id: int, chunks: int = 600_000, words: int = 600_000):
+    def __init__(self, path: str, end_id: int, chunks: int = 600_000, words: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,7 +68,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
-        self.most = (chunks, words)
+        self.most, self.longest = (chunks, words), longest
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -91,6 +92,8 @@ class Encoder:
         every = set()
         for chunks in split:
             every.update(chunks)
+        long = [x for x in every if len(x) > self.longest]
+        every.difference_update(long)
         new = every.difference(self.chunks)
         if len(self.chunks) + len(new) > self.most[0]:
             self.chunks = {"": b""}
@@ -119,6 +122,9 @@ class Encoder:
             words.update(zip(plain, self.encoded_words(plain)))
             words.update(zip(odd, self.encoded(odd)))
             known.update(zip(new, [words[core] + words[marks] for core, marks in parts]))
+        if long:
+            once = dict(zip(long, self.encoded(long)))
+            return [b"".join([once[c] if len(c) > self.longest else known[c] for c in chunks]) + self.end for chunks in split]
         return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
 
 

@@ -423,6 +423,11 @@ def test_packing_ids_of_random_strings(tmp_path):
     assert encode.cuttable
     want = [array("I", [*e.ids, 2]).tobytes() for e in tokenizer.encode_batch(["İ,", *strings], add_special_tokens=False)]
     assert encode(["İ,", *strings]) == want
+    # long chunks give the same ids and aren't kept
+    short = packing.Encoder(TOKENIZER, 2, longest=6)
+    assert short(["İ,", *strings]) == want and max(map(len, short.chunks)) <= 6 and max(map(len, short.words)) <= 6
+    blob = "".join(rng.choice("abcdefghijklmnop0123456789+/") for _ in range(9000))
+    assert encode([blob + " x"]) == [array("I", [*tokenizer.encode(blob + " x", add_special_tokens=False).ids, 2]).tobytes()] and blob not in encode.chunks
     # a file with other rules is not cut
     rules = json.loads(open(TOKENIZER, encoding="utf-8").read())
     rules["normalizer"] = {"type": "NFC"}
@@ -453,6 +458,22 @@ def test_chat_folds_events_and_round_trips(spark):
     assert chat.format_chats(frame.limit(0)).collect() == []
 
 
+def test_chat_spans_of_a_long_conversation(spark):
+    """12,000 turns of non-ASCII text: spans lie where the loss is, and reading back doesn't walk the text for each."""
+    texts = [f"é<|{i}|> 中{'x' * (i % 50)}" for i in range(12_000)]
+    rows = [(1, i, "assistant" if i % 2 else "user", x) for i, x in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").selectExpr("conv_id", "seq", "seq as message", "'message' as kind", "role", "text")
+    made = chat.format_chats(frame).cache()
+    began = time.time()
+    back = chat.read_back(made).first()
+    assert time.time() - began < 60  # one walk a span took minutes
+    assert [tuple(t) for t in back["turns"]] == [(r, x) for _, _, r, x in rows] and back["loss_text"] == "".join(texts[1::2])
+    row = made.first()
+    whole = [row["formatted"][x["start"] : x["start"] + x["length"]] for x in row["spans"]]
+    assert [x.replace("&lt;|", "<|").replace("&amp;", "&") for x in whole] == texts[1::2]
+    made.unpersist()
+
+
 def test_chat_without_python(spark):
     frame = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text")
     plan = chat.format_chats(frame)._jdf.queryExecution().toString()
