@@ -2,9 +2,11 @@
 
 Every 64-byte window of a text has a Shannon entropy; windows whose entropy is rare in prose (by a fixed table of measured
 frequencies) are improbable. In each neighbourhood of 64 windows the rarest (leftmost on ties) scores a point, and windows
-with enough points are the text's features. Texts under 256 bytes have too few such windows; all their windows of 12 bytes
-are features. Features go in order into chained Bloom filters of 2,048 bits. Two fingerprints are compared filter by filter:
-the overlap beyond chance, as a share of what it could be, of the best partner, averaged by features.
+with enough points are the text's features. Texts under 512 bytes, which have few of them, carry all their windows of 12
+bytes beside them, as features of their own kind. Features of a kind go in order into chained Bloom filters of 2,048 bits.
+Two fingerprints are compared by the shorter kind where both have it, else by the longer, so that a length on one side of
+a bound and a length on the other are compared alike. Filter by filter: the overlap beyond chance, as a share of what it
+could be, of the best partner, averaged by features.
 
 Fingerprints depend on the text alone, so they can be compared across tables.
 """
@@ -15,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,16 @@ from oculith.llm.shared import whole_text
 
 WINDOW, NEIGHBOURS, POINTS = 64, 64, 16
 BITS, HASHES, CAPACITY = 2048, 5, 128
-#: Texts of fewer bytes than BRIEF have windows of SHORT bytes.
-BRIEF, SHORT = 4 * WINDOW, 12
+#: Texts of fewer bytes than BRIEF have windows of SHORT bytes beside those of WINDOW.
+BRIEF, SHORT = 8 * WINDOW, 12
 #: Bytes of texts that are worked on together.
 TOGETHER = 1 << 19
 #: n log2 n in fixed point, so that sliding sums are exact.
 NLOGN = np.array([0, *(round(n * np.log2(n) * 65536) for n in range(1, WINDOW + 2))], np.int64)
 GAIN = np.diff(NLOGN)
-#: Bytes of texts that one range of documents holds, about.
-RANGE = 1 << 24
+#: Bytes of texts that one range of documents holds, about, and the most ranges: a task streams its range, which may be
+#: larger.
+RANGE, RANGES = 1 << 24, 16_384
 #: How many windows of each entropy level (64 steps from 0 to 6 bits) were counted in 4.4 million windows of
 #: prose in four languages. A window is the rarer the fewer windows have its level.
 LEVELS = (
@@ -91,10 +95,34 @@ def features(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def digests(raws: list[bytes]) -> list[np.ndarray]:
-    """Bloom filters (filters x BITS / 8 bytes) of each text; an empty text has none."""
-    out = []
-    lo = 0
+class Print(NamedTuple):
+    """Bloom filters (rows of BITS / 8 bytes) of the two kinds of features; an empty text has none."""
+
+    short: np.ndarray
+    long: np.ndarray
+
+
+def short_windows(raw: bytes) -> list[bytes]:
+    """The different windows of SHORT bytes in order; the text itself if it is shorter."""
+    return list(dict.fromkeys(raw[a : a + SHORT] for a in range(max(1, len(raw) - SHORT + 1)))) if raw else []
+
+
+def filled(features: list[list[bytes]]) -> list[np.ndarray]:
+    """Chains of Bloom filters, CAPACITY features each, for each list of features."""
+    filters = np.concatenate(([0], np.cumsum([-(-len(own) // CAPACITY) for own in features]))).astype(np.int64)
+    bits = np.zeros((filters[-1], BITS), bool)
+    hashed = b"".join(xxhash.xxh3_128_digest(x) for own in features for x in own)
+    if hashed:
+        value = np.frombuffer(hashed, "<u2").reshape(-1, 8)[:, :HASHES] % BITS
+        at = np.concatenate([first + np.arange(len(own)) // CAPACITY for first, own in zip(filters.tolist(), features)])
+        bits[np.repeat(at, HASHES), value.reshape(-1)] = True
+    packed = np.packbits(bits, axis=1)
+    return [packed[a:b] for a, b in pairwise(filters.tolist())]
+
+
+def digests(raws: list[bytes]) -> list[Print]:
+    """The fingerprint of each text."""
+    out, lo = [], 0
     while lo < len(raws):
         hi, size = lo, 0
         while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= TOGETHER):
@@ -103,38 +131,25 @@ def digests(raws: list[bytes]) -> list[np.ndarray]:
         joined = b"".join(raws[lo:hi])
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in raws[lo:hi]])))
         starts = features(np.frombuffer(joined, np.uint8), bounds)
-        hashed, filters = [], [0]
-        for raw, at in zip(raws[lo:hi], starts):
-            if len(raw) < BRIEF:
-                own = [raw[a : a + SHORT] for a in range(max(1, len(raw) - SHORT + 1))] if raw else []
-            else:
-                own = [joined[a : a + WINDOW] for a in at.tolist()]
-            own = list(dict.fromkeys(own))
-            hashed += [xxhash.xxh3_128_digest(x) for x in own]
-            filters += [filters[-1] - (-len(own) // CAPACITY)]
-            hashed.append(None)
-        bits = np.zeros((filters[-1], BITS), bool)
-        doc, k, real, rows = 0, 0, [], []
-        for h in hashed:
-            if h is None:
-                doc, k = doc + 1, 0
-                continue
-            real.append(h)
-            rows.append(filters[doc] + k // CAPACITY)
-            k += 1
-        if real:
-            value = np.frombuffer(b"".join(real), "<u2").reshape(-1, 8)[:, :HASHES] % BITS
-            bits[np.repeat(rows, HASHES), value.reshape(-1)] = True
-        packed = np.packbits(bits, axis=1)
-        out += [packed[a:b] for a, b in pairwise(filters)]
+        short = filled([short_windows(x) if len(x) < BRIEF else [] for x in raws[lo:hi]])
+        long = filled([list(dict.fromkeys(joined[a : a + WINDOW] for a in at.tolist())) for at in starts])
+        out += map(Print, short, long)
         lo = hi
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """From 0 to 1: for each filter of the shorter chain, the best overlap beyond chance; averaged by filled bits."""
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
+def likeness(a: Print, b: Print) -> float:
+    """From 0 to 1, by the shorter kind of features that both have. Two empty texts are alike; an empty one and another, or
+    two that share no kind (one under WINDOW bytes, one of BRIEF or more), aren't."""
+    if len(a.short) and len(b.short):
+        return overlap(a.short, b.short)
+    if len(a.long) and len(b.long):
+        return overlap(a.long, b.long)
+    return float(not any(map(len, (*a, *b))))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """For each filter of the shorter chain, the best overlap beyond chance; averaged by filled bits."""
     if a.shape == b.shape and (a == b).all():
         return 1.0
     if len(a) > len(b):
@@ -151,12 +166,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip((best * nx).sum() / max(nx.sum(), 1), 0, 1))
 
 
-def encode(filters: np.ndarray) -> str:
-    return base64.b64encode(filters.tobytes()).decode()
+def encode(own: Print) -> str:
+    """Base64 of the number of filters of the short kind (one byte), these, and the others; empty without any."""
+    if not any(map(len, own)):
+        return ""
+    return base64.b64encode(bytes([len(own.short)]) + own.short.tobytes() + own.long.tobytes()).decode()
 
 
-def decode(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, BITS // 8)
+def decode(text: str) -> Print:
+    raw = base64.b64decode(text)
+    filters = np.frombuffer(raw[1:], np.uint8).reshape(-1, BITS // 8)
+    return Print(filters[: raw[0]], filters[raw[0] :]) if raw else Print(filters, filters)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -173,7 +193,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def place(cuts: list[float], value: Column, step: int = 64) -> Column:
+def place(cuts: list[float], value: Column, step: int = 128) -> Column:
     """Number of the descending `cuts` that lie above the value: coarse steps first, so that many cuts cost little."""
     above = lambda some: F.size(F.filter(some, lambda c: c > value))
     if len(cuts) <= step:
@@ -183,7 +203,8 @@ def place(cuts: list[float], value: Column, step: int = 64) -> Column:
 
 def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """part, tail, doc_id, text: documents dealt by ranges of doc_id; `tail` marks a copy of the document that follows
-    a range's last one, so that each range has all it needs. In a part: doc_id descending, the tail last.
+    a range's last one, so that each range has all it needs. In a part: doc_id descending, the tail last. All rows that
+    repeat an id are in one part, sorted on disk and streamed.
 
     Only range bounds and the largest id of each range (at most `ranges` of each) come to the driver.
     """
@@ -218,7 +239,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     if not ranges:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-        ranges = max(1, -(-size // RANGE))
+        ranges = min(RANGES, max(1, -(-size // RANGE)))
 
     def rows_of(pairs: list[tuple]) -> pa.RecordBatch:
         texts = [t for _, t, _ in pairs]

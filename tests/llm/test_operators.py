@@ -156,25 +156,29 @@ def test_window_entropy_is_exact():
 
 
 def plain_filters(raw):
-    """Filters of a text as sets of bits, written out window by window."""
-    if len(raw) < 256:
-        own = [raw[a : a + 12] for a in range(max(1, len(raw) - 11))] if raw else []
-    else:
+    """Filters of a text as sets of bits, written out window by window: those of 12-byte windows, then the others."""
+    short, long = [], []
+    if raw and len(raw) < 512:
+        short = [raw[a : a + 12] for a in range(max(1, len(raw) - 11))]
+    if len(raw) >= 64:
         data = np.frombuffer(raw, np.uint8)
         rank = fingerprint.ranks(data).tolist()
         points = defaultdict(int)
         for a in range(len(rank) - 63):
             points[min(range(a, a + 64), key=lambda i: (rank[i], i))] += 1
-        most = [a for a in sorted(points) if points[a] >= 16] or [max(sorted(points), key=points.get)]
-        own = [raw[a : a + 64] for a in most]
-    own = list(dict.fromkeys(own))
+        few = min(range(len(rank)), key=lambda i: (rank[i], i))
+        most = [a for a in sorted(points) if points[a] >= 16] or [max(sorted(points), key=points.get, default=few)]
+        long = [raw[a : a + 64] for a in most]
     bits = lambda x: {int.from_bytes(xxhash.xxh3_128_digest(x)[2 * k : 2 * k + 2], "little") % 2048 for k in range(5)}
-    return [set().union(*map(bits, own[at : at + 128])) for at in range(0, len(own), 128)]
+    chain = lambda own: [set().union(*map(bits, own[at : at + 128])) for at in range(0, len(own), 128)]
+    return chain(list(dict.fromkeys(short))), chain(list(dict.fromkeys(long)))
 
 
 def plain_likeness(a, b):
-    if not a or not b:
-        return float(len(a) == len(b))
+    kind = next((k for k in (0, 1) if a[k] and b[k]), None)
+    if kind is None:
+        return float(a == b)
+    a, b = a[kind], b[kind]
     if a == b:
         return 1.0
     a, b = sorted((a, b), key=len)
@@ -184,16 +188,31 @@ def plain_likeness(a, b):
 
 def test_fingerprints_against_plain_windows(real):
     texts_ = sorted((r["text"] for r in real.select("text").collect()), key=len)
-    raws = [t.encode() for t in [*texts_[:40:5], *texts_[60:140:20], texts_[-3]]] + [b"", b"x", b"ab" * 127, b"abc" * 100, b"z" * 400]
+    raws = [t.encode() for t in [*texts_[:40:5], *texts_[60:140:20], texts_[-3]]] + [b"", b"x", b"ab" * 30, b"ab" * 50, b"ab" * 127, b"abc" * 100, b"z" * 400, b"z" * 700]
     got = fingerprint.digests(raws)
     want = [plain_filters(x) for x in raws]
-    for filters, sets in zip(got, want):
-        assert [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in filters] == sets
+    for own, sets in zip(got, want):
+        assert tuple([set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in kind] for kind in own) == sets
+        assert all((x == y).all() for x, y in zip(fingerprint.decode(fingerprint.encode(own)), own, strict=True))
     for i in range(0, len(raws), 2):
         for j in range(len(raws)):
             assert fingerprint.likeness(got[i], got[j]) == pytest.approx(plain_likeness(want[i], want[j]), abs=1e-9)
 
 
+def test_fingerprints_have_no_cliff_of_length():
+    """The same edit with ASCII and with accented text, at lengths around every bound: neither may fall far below the other."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))[:n]
+    for n in (60, 66, 190, 250, 255, 300, 400, 500, 511, 600):
+        text, other = prose(n), prose(n)
+        kept = text[: n - n // 3]
+        plain, accented = kept + other[: n // 3], kept + other[: n // 3].replace("a", "á").replace("e", "é").replace("o", "ó")
+        far, own, a, b = fingerprint.digests([x.encode() for x in (prose(n), text, plain, accented)])
+        near = [fingerprint.likeness(own, x) for x in (a, b)]
+        assert min(near) > 0.35 and abs(near[0] - near[1]) < 0.3 and fingerprint.likeness(own, far) < 0.25, (n, near)
+
+
 def test_fingerprints_need_numbers(spark):
     with pytest.raises(ValueError, match="number"):
         fingerprint.fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
