@@ -3,8 +3,10 @@
 1. Hashes of the texts (A-Z lower-cased) are counted by their first `max_depth` bits. The directory starts with one
    bucket and doubles until no bucket holds more than `capacity` rows, or its bits are used up; what is then still
    overfull (copies of one text share all bits) is a chain, which is dealt to as many parts as its rows ask for.
-2. Whole rows are dealt once, by the bucket and part that the directory names. Owner tasks fold what they own by hash
-   and bytes: texts that collide in their hash stay apart. Parts of a chain are folded again, one row for each part.
+2. Whole rows are dealt once, by the bucket and part that the directory names: buckets lie in order along the tasks, each
+   task taking an equal share of the bytes. There are as many tasks as the bytes ask for, up to a bound; what a task holds
+   beyond its memory it sorts on disk. Owner tasks fold what they own by hash and bytes: texts that collide in their hash
+   stay apart. Parts of a chain are folded again, one row for each part.
 3. The index (one small row for each text: bucket, hash, digest, the id to keep, the number of rows) is written to the
    shared folder, in ranges of buckets.
 4. Documents ask the directory for their bucket and look their entry up there by hash and digest; only ids and digests
@@ -22,6 +24,8 @@ from oculith.llm.shared import ascii_lower, kept_row, looked_up, written
 
 #: Rows of a bucket before it is split, and bits of the hash that the directory can use.
 CAPACITY, MAX_DEPTH = 4096, 16
+#: Bytes of text that a task is dealt, about, and the most tasks.
+SHARE, TASKS = 8 << 20, 20_000
 
 
 def double_directory(histogram: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -61,35 +65,46 @@ def slot_of(h: Column, depth: int) -> Column:
 
 
 class Directory:
-    """Which bucket, and which part of it, a row belongs to; at most 2**max_depth slots."""
+    """Which bucket, which part of it, and which task a row belongs to; at most 2**max_depth slots."""
 
-    def __init__(self, docs: DataFrame, capacity: int, max_depth: int):
-        counts = docs.groupBy(slot_of(F.xxhash64(normal(F.col("text"))), max_depth).alias("slot")).count()
-        slots = double_directory({r["slot"]: r["count"] for r in counts.collect()}, max_depth, capacity)  # 2**max_depth counts at most
+    def __init__(self, docs: DataFrame, capacity: int, max_depth: int, share: int = SHARE, tasks: int = TASKS):
+        size = F.sum(F.octet_length(normal(F.col("text"))) + 64).alias("bytes")  # a row is more than its text
+        found = docs.groupBy(slot_of(F.xxhash64(normal(F.col("text"))), max_depth).alias("slot")).agg(F.count(F.lit(1)).alias("rows"), size).collect()  # 2**max_depth rows at most
+        slots = double_directory({r["slot"]: r["rows"] for r in found}, max_depth, capacity)
         self.depth, self.buckets = len(slots).bit_length() - 1, slots[-1][1] + 1
-        parts = {b: self.split(n, capacity) for _, b, n in slots}
-        self.parts, self.chains = sum(parts.values()), max(parts.values()) > 1
-        self.table = docs.sparkSession.createDataFrame([(s, b, self.split(n, capacity)) for s, b, n in slots], "slot long, bucket int, parts int")
+        held = [0] * self.buckets
+        for r in found:
+            held[slots[r["slot"] >> (max_depth - self.depth)][1]] += r["bytes"]
+        before = list(accumulate(held, initial=0))
+        parts = sum({b: self.split(n, capacity) for _, b, n in slots}.values())
+        self.tasks = max(1, min(tasks, parts, -(-before[-1] // share)))
+        wide = self.tasks / max(1, before[-1])
+        rows = [(s, b, self.split(n, capacity), before[b] * wide, held[b] * wide) for s, b, n in slots]
+        self.chains = max(parts for _, _, parts, *_ in rows) > 1
+        self.table = docs.sparkSession.createDataFrame(rows, "slot long, bucket int, parts int, first double, wide double")
 
     @staticmethod
     def split(rows: int, capacity: int) -> int:
         return max(1, -(-rows // capacity))
 
     def find(self, rows: DataFrame) -> DataFrame:
-        """rows with `bucket` and `parts`, by column h."""
+        """rows with `bucket`, `parts`, and where the bucket lies along the tasks (`first`, `wide`), by column h."""
         return rows.withColumn("slot", slot_of(F.col("h"), self.depth)).join(F.broadcast(self.table), "slot").drop("slot")
 
     def deal(self, rows: DataFrame) -> DataFrame:
-        """rows at their owners, with bucket and part. In a chain, rows of the same text go to any of its parts, by id."""
+        """rows at their owners, with bucket, part and task. In a chain, rows of the same text go to any of its parts, by id.
+        A part belongs to the task that its middle lies in."""
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
-        return rows.withColumn("part", part.cast("int")).repartition(self.parts, "bucket", "part")
+        middle = F.col("first") + (F.col("part") + 0.5) * F.col("wide") / F.col("parts")
+        task = F.least(F.floor(middle).cast("int"), F.lit(self.tasks - 1))
+        return rows.withColumn("part", part.cast("int")).withColumn("task", task).drop("first", "wide").repartitionById(self.tasks, "task")
 
 
 def folded(rows: DataFrame, text: Column, directory: Directory, first: dict[str, Column], again: dict[str, Column]) -> DataFrame:
     """bucket, h, norm and the aggregates of each different text, folded by the owners of its bucket. Only what chains
     leave, one row a text and part, is dealt and folded a second time."""
     rows = directory.find(rows)
-    fold = lambda some: directory.deal(some).withColumn("norm", normal(text)).groupBy("bucket", "part", "h", "norm").agg(*[c.alias(k) for k, c in first.items()]).drop("part")
+    fold = lambda some: directory.deal(some).withColumn("norm", normal(text)).groupBy("task", "bucket", "part", "h", "norm").agg(*[c.alias(k) for k, c in first.items()]).drop("task", "part")
     if not directory.chains:
         return fold(rows)
     return fold(rows.filter("parts = 1")).unionByName(fold(rows.filter("parts > 1")).groupBy("bucket", "h", "norm").agg(*[c.alias(k) for k, c in again.items()]))

@@ -118,6 +118,14 @@ def test_exact_dedup_by_chains_and_its_directory(spark, monkeypatch):
         got = exact_dedup.exact_dedup(docs, capacity, depth).collect()
         assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
         assert sorted(r["doc_id"] for r in exact_dedup.keep_distinct(docs, capacity, depth).collect()) == sorted(map(max, best.values()))
+    # the fullest task has at most twice the median, however many buckets there are and however hot one is; no more tasks
+    # than the bound, and fewer at work where single buckets are over a share
+    even = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), F.lpad(F.col("id").cast("string"), 8, "0"))).alias("text"))
+    for capacity, bound in ((4096, 30), (4096, 8), (40, 30), (40, 8)):
+        directory = exact_dedup.Directory(even, capacity, 16, share=100_000, tasks=bound)
+        dealt = directory.deal(directory.find(even.withColumn("h", F.xxhash64(exact_dedup.normal(F.col("text"))))))
+        n = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+        assert directory.tasks <= bound and len(n) >= min(bound, 16) and n[-1] <= 2 * n[len(n) // 2]
     # a directory that sends rows elsewhere than to the bucket of their hash finds nothing
     index = exact_dedup.Directory(docs, 7, 3)
     table = exact_dedup.build_index(docs.select("doc_id", "text"), index)
