@@ -105,19 +105,19 @@ def overlapping(samples: DataFrame, intervals: DataFrame, time: str, start: str,
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, bucket: float = 30.0) -> DataFrame:
     """Left rows with the distance to the nearest right row of the session, null where there is none.
 
-    Dealt as in as_of(); both directions are searched in one dealing.
+    Dealt as in as_of(); both directions are searched in one dealing. Each is a running frame in its own order, as a frame
+    that ends with the cell would be read again from every row.
     """
     rows = left.select("session_id", cell_of(left_time, bucket).alias("cell"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast("double").alias("mark"))
     t = F.col(right_time).cast("double")
     both = rows.unionByName(right.select("session_id", cell_of(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark")))
-    w, cells = Window.partitionBy("session_id", "cell").orderBy("at", F.col("mark").asc_nulls_last()), Window.partitionBy("session_id").orderBy("cell")
-    back = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    forth = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    cells, own = Window.partitionBy("session_id").orderBy("cell"), Window.partitionBy("session_id", "cell")
+    reached = lambda at: F.last("mark", ignorenulls=True).over(own.orderBy(at, F.col("mark").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     ends = both.groupBy("session_id", "cell").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
     before = F.last("high", ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("low", ignorenulls=True).over(cells.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("low", ignorenulls=True).over(Window.partitionBy("session_id").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("session_id", "cell", before.alias("before"), after.alias("after"))
-    found = both.withColumns({"back": back, "forth": forth}).filter("row is not null").join(ends, ["session_id", "cell"])
+    found = both.withColumns({"back": reached(F.col("at")), "forth": reached(F.desc("at"))}).filter("row is not null").join(ends, ["session_id", "cell"])
     distance = F.least(F.col("at") - F.coalesce("back", "before"), F.coalesce("forth", "after") - F.col("at"))
     return found.select("row.*", distance.alias(name))
 

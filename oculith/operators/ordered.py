@@ -131,7 +131,9 @@ def quantiles(df: DataFrame, value: str, probabilities: tuple[float, ...], keys:
         return quantiles(df.withColumn("__all_rows", F.lit(0)), value, probabilities, ("__all_rows",), name, cells).drop("__all_rows")
     known = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null")
     cuts = known.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(8 * cells)))).alias("__cuts"))
-    cell = F.size(F.filter("__cuts", lambda c: c < F.col("v")))  # a value that is itself a cut closes its cell
+    # How many cuts lie below a value, by halves; a value that is itself a cut closes its cell.
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(cells.bit_length()))])
+    cell = F.aggregate(halves, F.lit(0), lambda below, step: below + F.when(F.get("__cuts", below + step - 1) < F.col("v"), step).otherwise(F.lit(0)))
     placed = known.join(cuts, list(keys)).select(*keys, cell.alias("__cell"), "v")
     values = placed.groupBy(*keys, "__cell", "v").agg(rows().alias("n"))
     counts = values.groupBy(*keys, "__cell").agg(F.sum("n").alias("n"))
