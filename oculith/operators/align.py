@@ -75,7 +75,7 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, pa
         cells = F.when(first <= last, F.sequence(first, last))
     rows = left.select("session_id", cell_of(left_time, bucket).alias("cell"), F.col(left_time).alias("at"), F.lit(0 if forward else 1).alias("side"), F.lit(None).cast("long").alias("tie"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"))
     marks = right.select("session_id", F.explode(cells).alias("cell"), F.col(right_time).alias("at"), F.lit(1 if forward else 0).alias("side"), F.col(tie).cast("long").alias("tie"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), hit.alias("hit"))
-    both = rows.unionByName(marks)
+    both = rows.unionByName(marks).repartition("session_id", "cell")  # else a union of sides dealt by session stays so
     up = (lambda c: F.col(c).desc()) if forward else F.col
     own = F.last("hit", ignorenulls=True).over(Window.partitionBy("session_id", "cell").orderBy(up("at"), up("side"), up("tie")).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("own", own).filter("row is not null")
@@ -110,7 +110,7 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     """
     rows = left.select("session_id", cell_of(left_time, bucket).alias("cell"), F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast("double").alias("mark"))
     t = F.col(right_time).cast("double")
-    both = rows.unionByName(right.select("session_id", cell_of(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark")))
+    both = rows.unionByName(right.select("session_id", cell_of(t, bucket).alias("cell"), t.alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), t.alias("mark"))).repartition("session_id", "cell")
     cells, own = Window.partitionBy("session_id").orderBy("cell"), Window.partitionBy("session_id", "cell")
     reached = lambda at: F.last("mark", ignorenulls=True).over(own.orderBy(at, F.col("mark").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     ends = both.groupBy("session_id", "cell").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))

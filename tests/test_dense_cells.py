@@ -33,3 +33,20 @@ def test_quantiles_find_a_value_s_cell_by_halves(spark):
             low = int(at)
             assert abs(v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low]) - q) < 1e-12
     assert "filter(__cuts" not in plan_of(quantiles(df, "v", (0.5,)))
+
+
+def test_sides_dealt_by_session_are_dealt_anew_by_cell(spark):
+    """A union of sides that joins left dealt by session kept that dealing, and its partitions stopped matching at size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = spark.createDataFrame([(s, i, float(i)) for s in (1, 2) for i in range(90)], "session_id long, gaze_id long, t double")
+        marks = spark.createDataFrame([(s, i, i * 7.0) for s in (1, 2) for i in range(9)], "session_id long, mark_id long, m double")
+        own = spark.createDataFrame([(1,), (2,)], "session_id long")
+        found = align.as_of(samples.join(own, "session_id"), marks.join(own, "session_id"), "t", "m", (), "mark_id")
+        near = align.nearest(samples.join(own, "session_id"), marks.join(own, "session_id"), "t", "m", "d")
+        for df in (found, near):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert any("Exchange hashpartitioning" in line and "session_id" in line and "cell" in line for line in plan.splitlines())
+        assert {(r["gaze_id"], r["hit"]["tie"]) for r in found.collect()} == {(i, min(i // 7, 8)) for i in range(90)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
