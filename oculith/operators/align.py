@@ -91,15 +91,49 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, pa
 def overlapping(samples: DataFrame, intervals: DataFrame, time: str, start: str, end: str, reach: tuple[Column, Column] | None = None, bucket: float = 30.0) -> DataFrame:
     """Every sample with every interval of its session that holds it (start <= time < end); intervals may overlap.
 
-    An interval is dealt to the cells of time that it reaches, or those of `reach` (from, to), the part of it where samples
-    can lie; a sample is of one cell. So both sides meet by (session, cell), and a long session is many tasks'. Columns
-    that both sides have, but for the session's, must not be. Intervals without a start or end hold nothing.
+    An interval lies in cells of time about as wide as itself: those of `bucket` seconds times a power of four. It is dealt
+    to the cells that it reaches, or those of `reach` (from, to), the part of it where samples can lie; a sample is dealt
+    to one cell of each width that intervals have. So what meets by (session, cell) grows with what is held, however many
+    intervals there are a second, and a long session is many tasks'. The narrowest tenth share one width. Columns that
+    both sides have, but for the session's, must not be. Intervals without a start or end hold nothing.
     """
-    first, last = (cell_of(x, bucket) for x in (reach or (F.col(start), F.col(end))))
-    cells = F.when((F.col(start) < F.col(end)) & (first <= last), F.sequence(first, last))
-    dealt = intervals.withColumn("__cell", F.explode(cells))
-    both = samples.withColumn("__cell", cell_of(time, bucket)).join(dealt, ["session_id", "__cell"])
-    return both.filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("__cell")
+    low, high = reach or (F.col(start), F.col(end))
+    own = intervals.withColumns({"__low": low, "__high": high}).filter((F.col(start) < F.col(end)) & (F.col("__low") <= F.col("__high")))
+    widest = F.ceil(F.log2((F.col("__high") - F.col("__low")) / F.lit(bucket)) / 2).cast("int")
+    own = own.withColumn("__width", F.coalesce(F.greatest(widest, F.lit(-10)), F.lit(-10)))
+    least = own.agg(F.percentile_approx("__width", 0.1)).scalar()
+    own = own.withColumn("__width", F.greatest("__width", least))
+    widths = own.agg(F.collect_set("__width")).scalar()
+    cell = lambda t: F.floor(t / (F.lit(float(bucket)) * F.pow(F.lit(4.0), F.col("__width")))).cast("long")
+    dealt = own.withColumn("__cell", F.explode(F.sequence(cell(F.col("__low")), cell(F.col("__high"))))).drop("__low", "__high")
+    both = samples.withColumn("__width", F.explode(widths)).withColumn("__cell", cell(F.col(time))).join(dealt, ["session_id", "__width", "__cell"])
+    return both.filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("__width", "__cell")
+
+
+def held(samples: DataFrame, intervals: DataFrame, time: str, start: str, end: str, number: str, bucket: float = 30.0) -> DataFrame:
+    """Samples that some interval of their session holds (start <= time < end), with n, first and last: how many do, and
+    the smallest and largest `number` among them. No pair is made.
+
+    Numbers must rise with starts and with ends (no interval lies inside another one): those that hold a sample then are
+    those that have started without those that have ended. Samples, starts and ends are dealt by (session, time bucket);
+    other buckets leave one row behind.
+    """
+    z = intervals.filter(F.col(start) < F.col(end)).select("session_id", F.col(number).cast("long").alias("k"), F.col(start).cast("double").alias("low"), F.col(end).cast("double").alias("high"))
+    marks = z.select("session_id", F.inline(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("step"), "k"), F.struct(F.col("high").alias("at"), F.lit(-1).alias("step"), "k"))))
+    rows = samples.filter(F.col(time).isNotNull()).select("session_id", F.col(time).cast("double").alias("at"), F.lit(0).alias("step"), F.lit(None).cast("long").alias("k"), F.struct(*samples.columns).alias("row"))
+    both = rows.unionByName(marks.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
+    both = both.withColumn("cell", cell_of("at", bucket)).repartition("session_id", "cell")
+    begun, ended = F.when(F.col("step") == 1, F.col("k")), F.when(F.col("step") == -1, F.col("k"))
+    ends = both.groupBy("session_id", "cell").agg(F.sum("step").alias("n"), F.max(begun).alias("begun"), F.min(ended).alias("ended"))
+    cells = Window.partitionBy("session_id")
+    past, ahead = cells.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1), cells.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("session_id", "cell", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__n"), F.max("begun").over(past).alias("__begun"), F.min("ended").over(ahead).alias("__ended"))
+    side, own = F.col("row").isNotNull(), Window.partitionBy("session_id", "cell")
+    upto = own.orderBy("at", side).rowsBetween(Window.unboundedPreceding, 0)  # starts and ends at a sample's time count
+    after = own.orderBy(F.desc("at"), F.desc(side)).rowsBetween(Window.unboundedPreceding, 0)  # ends at its time don't
+    found = both.withColumns({"n": F.sum("step").over(upto), "begun": F.max(begun).over(upto), "ended": F.min(ended).over(after)}).filter("row is not null")
+    found = found.join(ends, ["session_id", "cell"]).withColumn("n", F.col("n") + F.col("__n")).filter("n > 0")
+    return found.select("row.*", "n", F.least("ended", "__ended").alias("first"), F.greatest("begun", "__begun").alias("last"))
 
 
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, name: str, bucket: float = 30.0) -> DataFrame:

@@ -57,8 +57,7 @@ def near_slices(s, d):
     """How many slices were on screen within a second of each sample: intervals widened by a second overlap."""
     z = align.intervals(events(s, d), spans(s, d)).filter("integration_mode <> 'single_event'")
     z = z.select("session_id", "z_event_id", (F.col("time_start") - 1).alias("low"), (F.col("time_end") + 1).alias("high"))
-    held = align.overlapping(gaze(s, d).select("session_id", "gaze_id", "time_sec"), z, "time_sec", "low", "high")
-    return held.groupBy("session_id", "gaze_id").agg(rows().alias("n"), F.min("z_event_id").alias("first"), F.max("z_event_id").alias("last"))
+    return align.held(gaze(s, d).select("session_id", "gaze_id", "time_sec"), z, "time_sec", "low", "high", "z_event_id").select("session_id", "gaze_id", "n", "first", "last")
 
 
 QUERIES = {
