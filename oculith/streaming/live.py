@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,8 @@ from oculith.sources.stored import files_of, set_times
 
 ROWS = "session_id long, at timestamp, id long, shown boolean, plane string, slice_index double"
 FOUND = "session_id long, gaze_id long, z_event_id long, plane string, slice_index double"
+COLUMNS = ["session_id", "gaze_id", "z_event_id", "plane", "slice_index"]
+WAITING = pa.schema([("at", pa.int64()), ("gaze", pa.bool_()), ("id", pa.int64()), ("plane", pa.string()), ("slice_index", pa.float64())])
 #: Of a state store's provider; the one in memory holds no timers.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,8 +36,22 @@ def stream_of(gaze: DataFrame, events: DataFrame, latency_ms: int = 0) -> DataFr
     return g.unionByName(events.select("session_id", "at", F.col("z_event_id").alias("id"), F.lit(True).alias("shown"), "plane", "slice_index"))
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state, in Arrow's format."""
+    batch = pa.RecordBatch.from_pandas(rows, WAITING, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, WAITING) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(values: list[bytes]) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(v).read_all() for v in values]
+    return pa.concat_tables(tables or [WAITING.empty_table()]).to_pandas()
+
+
 class OnScreen(StatefulProcessor):
-    """State of a session: the slice on screen, rows that wait, and the time of the last row taken."""
+    """State of a session: the slice on screen, rows that wait (packed, many a value), and the time of the last row taken."""
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
@@ -41,15 +59,14 @@ class OnScreen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", "id long, plane string, slice_index double")
-        self.waiting = handle.getListState("waiting", "at long, gaze boolean, id long, plane string, slice_index double")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         for part in rows:
             at = part["at"].astype("datetime64[us]").astype("int64")
-            for values in zip(at, ~part["shown"].astype(bool), part["id"], part["plane"], part["slice_index"]):
-                when, gaze, number, plane, index = values
-                self.waiting.appendValue((int(when), bool(gaze), int(number), None if pd.isna(plane) else str(plane), None if pd.isna(index) else float(index)))
+            own = pd.DataFrame({"at": at, "gaze": ~part["shown"].astype(bool), "id": part["id"].astype("int64"), "plane": part["plane"], "slice_index": part["slice_index"].astype("float64")})
+            self.waiting.appendValue((packed(own),))
         yield self._taken(key, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
@@ -58,39 +75,48 @@ class OnScreen(StatefulProcessor):
     def _taken(self, key: tuple, timerValues: object) -> pd.DataFrame:
         """Takes the waiting rows that the watermark has passed, and sets the one timer of the session."""
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:3])  # events before gaze of the same time
-        due = [r for r in rows if r[0] <= passed * 1000]
-        now, last, out = self.current.get(), (self.last.get() or (None,))[0], []
-        for at, gaze, number, plane, index in due:
-            if last is not None and at - last > self.idle * 1000:
-                now = None
-            last = at
-            if not gaze:
-                now = (number, plane, index)
-            elif now:
-                out.append((key[0], number, *now))
+        rows = unpacked([bytes(v) for (v,) in self.waiting.get()]).sort_values(["at", "gaze", "id"], kind="stable", ignore_index=True)  # events before gaze of the same time
+        n = int(np.searchsorted(rows["at"].to_numpy(), passed * 1000, side="right"))
+        due, rest = rows.iloc[:n], rows.iloc[n:]
+        last = (self.last.get() or (None,))[0]
+        out = self._shown(key, due, last) if n else pd.DataFrame(columns=COLUMNS)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        rest = rows[len(due) :]
-        if due:
+        if n:
+            last = int(due["at"].iloc[-1])
             self.last.update((last,))
-            if now:
-                self.current.update(tuple(now))
-            else:
-                self.current.clear()
-            if rest:
-                self.waiting.put(rest)
+            if len(rest):
+                self.waiting.put([(packed(rest),)])
             else:
                 self.waiting.clear()
         end = (last or 0) // 1000 + self.idle
-        if rest:
-            self.handle.registerTimer(max(rest[0][0] // 1000 + 1, passed + 1))
+        if len(rest):
+            self.handle.registerTimer(max(int(rest["at"].iloc[0]) // 1000 + 1, passed + 1))
         elif passed >= end:
             self.current.clear()
             self.last.clear()
         else:
             self.handle.registerTimer(end)
-        return pd.DataFrame(out, columns=["session_id", "gaze_id", "z_event_id", "plane", "slice_index"])
+        return out
+
+    def _shown(self, key: tuple, due: pd.DataFrame, last: int | None) -> pd.DataFrame:
+        """Samples among rows in order of time, with the last event before them since the session was last idle; keeps
+        what is on screen after them."""
+        at, gaze, now = due["at"].to_numpy(), due["gaze"].to_numpy(bool), self.current.get()
+        idle = np.diff(at, prepend=at[0] if last is None else last) > self.idle * 1000
+        place = np.arange(len(due))
+        event, begun = np.maximum.accumulate(np.where(gaze, -1, place)), np.maximum.accumulate(np.where(idle, place, -1))
+        event[event < begun] = -2  # idle since: nothing is on screen; -1 is what was before these rows
+        first = pd.DataFrame([now or (0, None, None)], columns=["id", "plane", "slice_index"]).astype({"id": "int64", "plane": object, "slice_index": "float64"})
+        shown = pd.concat([first, due[["id", "plane", "slice_index"]]], ignore_index=True)
+        sent = gaze & ((event >= 0) | ((event == -1) & (now is not None)))
+        hit = shown.iloc[event[sent] + 1]
+        if event[-1] >= 0:
+            number, plane, index = shown.iloc[event[-1] + 1]
+            self.current.update((int(number), None if pd.isna(plane) else str(plane), None if pd.isna(index) else float(index)))
+        elif event[-1] == -2:
+            self.current.clear()
+        return pd.DataFrame({"session_id": key[0], "gaze_id": due["id"].to_numpy()[sent], "z_event_id": hit["id"].to_numpy(), "plane": hit["plane"].to_numpy(), "slice_index": hit["slice_index"].to_numpy()}, columns=COLUMNS)
 
 
 def assign(rows: DataFrame, late: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:

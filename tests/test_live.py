@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pandas as pd
+
 from oculith.streaming import live
 
 START = dt.datetime(2020, 1, 1)
@@ -48,3 +50,70 @@ def test_an_idle_session_ends(spark, tmp_path):
     own = [(1, 0.0, 1, True, "AXIAL", 0.1), (1, 5.0, 1, False, None, None), (2, 500.0, 1, True, "AXIAL", 0.1), (2, 900.0, 5, False, None, None), (1, 1000.0, 2, False, None, None)]
     assert got(live.replayed(spark, rows(spark, *own), f"file://{tmp_path}/a", 5, idle_ms=100_000)) == [(1, 1, 1)]
     assert got(live.replayed(spark, rows(spark, *own), f"file://{tmp_path}/b", 5)) == [(1, 1, 1), (1, 2, 1), (2, 5, 1)]
+
+
+class State:
+    """A state of one key, in memory, that counts how often it is called."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.values.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.values = list(values)
+
+    def update(self, value):
+        self.value = value
+
+    def get(self):
+        self.calls += 1
+        return iter(self.values)
+
+    def clear(self):
+        self.values = []
+
+
+class Single(State):
+    value = None
+
+    def get(self):
+        return self.value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def getValueState(self, *_):
+        return Single()
+
+    def getListState(self, *_):
+        return State()
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+class Passed:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_are_kept_many_at_a_time():
+    step = live.OnScreen(3_600_000)
+    step.init(Handle())
+    own = pd.DataFrame({"at": pd.to_datetime(range(5000), unit="ms"), "shown": [i % 10 == 0 for i in range(5000)], "id": range(5000), "plane": None, "slice_index": 0.5})
+    (first,) = step.handleInputRows((1,), iter([own[2500:], own[:2500]]), Passed(999))
+    (rest,) = step.handleExpiredTimer((1,), Passed(9000), None)
+    assert [(r.gaze_id, r.z_event_id) for part in (first, rest) for r in part.itertuples()] == [(i, i - i % 10) for i in range(5000) if i % 10]
+    assert len(first) == 900 and step.waiting.calls < 10
