@@ -24,7 +24,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (Jaccard similarity of 5-word shingles from 0.8), the one with the smallest doc_id."""
+    """Of each group of near duplicates, the one with the smallest doc_id. SimHash fingerprints linked as by operator 4, and
+    min-hashes for what these miss, propose; Jaccard similarity of 5-word shingles from 0.8 decides."""
     return near.keep_one(docs)
 
 

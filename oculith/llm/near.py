@@ -1,7 +1,7 @@
 """Near copies by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-A 64-bit SimHash within a few bits can't find all pairs of Jaccard similarity 0.8: they differ in ten bits on average.
-Keys come from min-hashes instead: BANDS keys of ROWS minima each, of which a pair at similarity s shares one with
+The texts' 64-bit SimHash fingerprints are linked within four bits as in operator 4, and what they connect is a key. That
+can't find all pairs of Jaccard similarity 0.8, which differ in ten bits on average, so more keys come from min-hashes: BANDS keys of ROWS minima each, of which a pair at similarity s shares one with
 probability 1 - (1 - s**ROWS)**BANDS (0.9996 at 0.8). What shares a key is first compared by SimHash fingerprints of
 SKETCH bits, small enough to be dealt for every key: pairs at 0.8 differ in 39 of 256 bits on average (deviation 5.7), and
 texts with nobody within RADIUS bits in a key leave it. Texts of few shingles have no reliable fingerprint and stay. What is
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from oculith.llm import simhash
 from oculith.llm.shared import kept_row, looked_up, numbered_columns, row_order, slices, written
 from oculith.llm.simhash import components
 
@@ -157,19 +158,28 @@ def with_node(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """node, size (its shingles), its sketch, its band keys, and the row's order among copies, one row a document."""
+    """node, size (its shingles), its sketch, its band keys, its 64-bit SimHash (fp), and the row's order among copies, one
+    row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raws = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             found = [shingles(x) for x in raws]
-            columns = [pa.array([node_of(x) for x in raws], pa.int64()), pa.array(map(len, found), pa.int32()), pa.array(map(sketch, found), pa.binary()), pa.array(map(band_keys, found), pa.list_(pa.int64()))]
-            yield pa.record_batch([*columns, *batch.columns[1:]], names=["node", "size", "sketch", "keys", *batch.schema.names[1:]])
+            columns = [pa.array([node_of(x) for x in raws], pa.int64()), pa.array(map(len, found), pa.int32()), pa.array(map(sketch, found), pa.binary()), pa.array(map(band_keys, found), pa.list_(pa.int64())), pa.array(np.array([simhash.fingerprint(x) for x in raws], np.uint64).view(np.int64))]
+            yield pa.record_batch([*columns, *batch.columns[1:]], names=["node", "size", "sketch", "keys", "fp", *batch.schema.names[1:]])
 
     whole = docs.select(F.struct("*").alias("whole"))
     rows = whole.select(F.col("whole")["text"].cast("string").alias("text"), row_order(docs.schema, largest=False).alias("order")).select("text", "order.*")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"node long, size int, sketch binary, keys array<long>, no_id boolean, doc_id {kind}, hash long")
+    return rows.mapInArrow(run, f"node long, size int, sketch binary, keys array<long>, fp long, no_id boolean, doc_id {kind}, hash long")
+
+
+def with_simhash_keys(found: DataFrame, radius: int = 4) -> DataFrame:
+    """Signatures with one more key: what the text's SimHash is connected with by links of fingerprints within the radius."""
+    roots = written(components(simhash.near_links(found.select("fp").distinct(), radius)), "near-simhash")
+    grouped = found.join(roots, found["fp"] == roots["node"], "left").drop(roots["node"])
+    key = F.when(F.col("size") > 0, F.array(F.coalesce("root", "fp"))).otherwise(F.array().cast("array<long>"))
+    return grouped.withColumn("keys", F.concat("keys", key)).drop("root")
 
 
 def in_parts(keyed: DataFrame, parts: DataFrame) -> DataFrame:
@@ -248,7 +258,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, most: int = MOST) ->
     component, one stays; texts of any length are compared by all their shingles. An empty table gives an empty result.
     """
     found = written(signatures(docs), "near-signatures")
-    roots = written(components(near_links(docs, found, threshold, most)), "near-roots")
+    roots = written(components(near_links(docs, with_simhash_keys(found), threshold, most)), "near-roots")
     # Small rows decide which node of a component stays; whole rows move once, to be folded by node.
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     first = found.groupBy("node").agg(F.min(F.struct("no_id", "doc_id", "hash")).alias("order"))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oculith.llm import near
@@ -90,3 +91,16 @@ def test_fingerprints_lose_no_pair_at_the_threshold():
         if n > 80:
             apart += near.partnered(prints[[0, 2]], np.array([len(a), len(c)])).any()
     assert missed == 0 and apart == 0
+
+
+def test_simhash_links_alone_propose_copies(spark):
+    """Without min-hashes, what fingerprints within four bits connect is still compared and linked."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-1] + ["other"]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = near.with_simhash_keys(near.signatures(docs).withColumn("keys", F.array().cast("array<long>")))
+    pairs = {tuple(sorted((near.node_of(a.encode()), near.node_of(b.encode())))) for (_, a), (_, b) in zip(rows[::2], rows[1::2])}
+    assert {(r["v"], r["u"]) for r in near.near_links(docs, found).collect()} == pairs
