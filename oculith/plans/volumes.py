@@ -12,7 +12,7 @@ from oculith.plans.geometry import p_sql
 from oculith.plans.motion import corr
 from oculith.sources import recordings
 from oculith.sources import volumes as files
-from oculith.sources.stored import kept
+from oculith.sources.stored import kept, stored
 
 #: The volumes of the recordings and their inverses, worked out entry by entry. A plane of a session is of one volume.
 VOLUMES = """
@@ -68,7 +68,8 @@ def f22(s, d):
 
 def a49(s, d):
     """Round-trip errors by volume, by plane, by orientation and over all: one row for each value of each level."""
-    t = trips(s, d).filter("voxel_error is not null")
+    t = trips(s, d).filter("voxel_error is not null").select("volume_id", "plane", "oblique", "voxel_error", "mm_error", "screen_error")
+    t = stored(t, "trips")  # read by every pass of the quantiles, and dear to work out
     of = F.array(*[F.struct(F.lit(level).alias("level"), (F.col(c).cast("string") if c else F.lit("all")).alias("of")) for level, c in LEVELS])
     each = t.select("voxel_error", "mm_error", "screen_error", F.explode(of).alias("l")).select("l.level", "l.of", "voxel_error", "mm_error", "screen_error")
     out = studies.error_summary(each, "voxel_error", ("level", "of"), {"pct_sub_voxel": 0.5})

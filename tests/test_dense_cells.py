@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oculith.operators import align
 from oculith.operators.ordered import quantiles
+from oculith.plans import catalog
 
 
 def plan_of(df):
@@ -81,3 +82,8 @@ def test_short_intervals_meet_few_samples(spark):
         assert {(r["gaze_id"], r["k"]) for r in align.overlapping(samples, intervals, "t", "low", "high").collect()} == {(i, int(i / 32 / step)) for i in range(1024)}
         met.append(align.overlapping(samples, intervals, "t", "low", "far", (F.col("low"), F.col("high"))).count())  # of those that share a cell
     assert max(met) <= 4 * 1024
+
+
+def test_error_summary_reads_round_trips_worked_out_once(spark):
+    files = catalog.queries()["a49_error_summary"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/trips-" in f for f in files)
